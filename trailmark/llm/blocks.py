@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 
 
 class Blocks(NamedTuple):

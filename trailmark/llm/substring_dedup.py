@@ -66,7 +66,7 @@ def remove_repeated_windows(
     def tell(table: pa.Table) -> pa.Table:
         out = {"shard": [], "block": [], "hashes": []}
         if not B.is_loose(table):
-            found = np.unique(_windows(table.select(["text"]), width)[0])
+            found = A.distinct(_windows(table.select(["text"]), width)[0])
             shards = A.shard_of(found, n_shards)
             edges = np.flatnonzero(np.diff(shards)) + 1
             for part in np.split(found, edges) if len(found) else []:

@@ -64,35 +64,36 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
     return starts, low[:n][starts]
 
 
-def _keys(data: np.ndarray, starts: np.ndarray, width: int) -> list[np.ndarray]:
-    """The windows' bytes as big-endian integers, the last one first."""
-    padded = np.concatenate((data, np.zeros(8, np.uint8)))
-    word = np.zeros(len(data), A.U64)
-    for k in range(8):
-        word |= padded[k : k + len(data)].astype(A.U64) << A.U64(8 * (7 - k))
-    keys = [word[starts + k] for k in range(0, width - 7, 8)]
-    if rest := width % 8:
-        keys.append(word[starts + width - rest] >> A.U64(64 - 8 * rest))
-    return keys[::-1]
+def _recurring(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Which of the ascending starts have a window that may occur again (by its hash)."""
+    parts = [np.zeros(0, A.U64)]
+    for at in range(0, len(data), A.CHUNK_BYTES):
+        own = starts[slice(*np.searchsorted(starts, [at, at + A.CHUNK_BYTES]))] - at
+        sums = A.prefix(data[at : at + A.CHUNK_BYTES + width].astype(A.U64) + A.U64(1), A.BYTE_BASE)
+        parts.append(A.slice_hash(sums, own, own + width, A.BYTE_BASE))
+    hashes = np.concatenate(parts)
+    return A.member(hashes, A.repeated(hashes))
 
 
 def longest_previous(data: np.ndarray, starts: np.ndarray, owner: np.ndarray, width: int) -> np.ndarray:
     """Whether the longest previous factor at each start reaches ``width``.
 
-    ``owner`` is ascending in text order; a factor is previous if it starts
-    under a smaller owner.
+    Starts and owners are ascending; a factor is previous if it starts under a
+    smaller owner.  Suffixes whose first ``width`` bytes occur once cannot reach
+    it and stay out of the order.
     """
-    if not len(starts):
-        return np.zeros(0, bool)
-    keys = _keys(data, starts, width)
-    order = np.lexsort([owner, *keys])  # suffix order, ties by document
-    head = np.zeros(len(order), bool)
-    head[0] = True
-    for key in keys:
-        head[1:] |= key[order[1:]] != key[order[:-1]]
-    previous = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-    reached = np.zeros(len(order), bool)
-    reached[order] = owner[previous] < owner[order]
+    reached = np.zeros(len(starts), bool)
+    again = np.flatnonzero(_recurring(data, starts, width)) if len(starts) else starts
+    if not len(again):
+        return reached
+    suffix = np.ndarray(len(data) - width + 1, f"S{width}", np.ascontiguousarray(data), strides=(1,))[starts[again]]
+    order = np.argsort(suffix, kind="stable")  # suffix order, ties by document
+    suffix = suffix[order]
+    head = np.ones(len(order), bool)
+    head[1:] = suffix[1:] != suffix[:-1]
+    owner = owner[again][order]
+    previous = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
+    reached[again[order]] = owner[previous] < owner
     return reached
 
 
@@ -114,7 +115,7 @@ def _multi(anchors: np.ndarray, rows: np.ndarray) -> np.ndarray:
     a, r = anchors[keep], rows[keep]
     order = np.argsort(a, kind="stable")
     a, r = a[order], r[order]
-    return np.unique(a[1:][(a[1:] == a[:-1]) & (r[1:] != r[:-1])])
+    return A.distinct(a[1:][(a[1:] == a[:-1]) & (r[1:] != r[:-1])])
 
 
 def remove_repeated_bytes(
@@ -134,7 +135,7 @@ def remove_repeated_bytes(
             for _, part, offs in A.chunks(data, offsets):
                 low = _anchors(part, offs, width)[1]
                 found.append(low[np.concatenate(([True], low[1:] != low[:-1]))] if len(low) else low)
-            found = np.unique(np.concatenate(found or [np.zeros(0, A.U64)]))
+            found = A.distinct(np.concatenate(found or [np.zeros(0, A.U64)]))
             edges = np.flatnonzero(np.diff(A.shard_of(found, n_shards))) + 1
             for piece in np.split(found, edges) if len(found) else []:
                 out["shard"].append(int(A.shard_of(piece[:1], n_shards)[0]))
@@ -144,8 +145,8 @@ def remove_repeated_bytes(
 
     def shared(table: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x.as_py(), A.U64) for x in table["hashes"]]
-        held = np.sort(np.concatenate(parts))
-        twice = np.unique(held[1:][held[1:] == held[:-1]])
+        held = np.concatenate(parts)
+        twice = A.repeated(held)
         out = {"block": [], "hashes": []}
         for block, part in zip(table["block"].to_pylist(), parts):
             if len(hit := part[A.member(part, twice)]):
@@ -172,7 +173,7 @@ def remove_repeated_bytes(
                     brief.append((low[new], rank[np.searchsorted(offs, starts[new], side="right") - 1 + at]))
             if brief:
                 near = _multi(np.concatenate([x[0] for x in brief]), np.concatenate([x[1] for x in brief]))
-                wanted = np.union1d(near, far)
+                wanted = A.distinct(np.concatenate((near, far)))
                 for at, part, offs in A.chunks(data, offsets):
                     starts, low = _anchors(part, offs, width)
                     hit = A.member(low, wanted)
@@ -208,6 +209,7 @@ def remove_repeated_bytes(
         return pa.table(out, wire)
 
     def settle(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
         out = {"block": [], "spans": []}
         blocks = table["block"].to_pylist()
         for block, own in zip(blocks, table["spans"]):
@@ -217,7 +219,7 @@ def remove_repeated_bytes(
         parts = [np.frombuffer(x.as_py(), SEGMENT) for x in table["segments"]]
         seg = np.concatenate(parts)
         if len(seg):
-            owner = np.repeat(blocks, [len(x) for x in parts])
+            owner = np.repeat(blocks, [len(x) for x in parts])  # ascending: the table is ordered by block
             data = np.frombuffer(b"".join(x.as_py() for x in table["body"]), np.uint8)
             begin = np.cumsum(seg["n"], dtype=np.int64) - seg["n"]
             size = (seg["n"] - width + 1).astype(np.int64)

@@ -15,7 +15,7 @@ import pyarrow as pa
 U64 = np.uint64
 BYTE_BASE = 0x9E3779B97F4A7C15  # odd, hence invertible modulo 2**64
 WORD_BASE = 0xD6E8FEB86659FD93
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -128,6 +128,20 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, ordered (sorting is faster than hashing here)."""
+    values = np.sort(values)
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return values[new]
+
+
+def repeated(values: np.ndarray) -> np.ndarray:
+    """The values that occur more than once, ordered."""
+    values = np.sort(values)
+    return distinct(values[1:][values[1:] == values[:-1]])
+
+
 def member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     """Which values occur in the ordered array."""
     if not len(ordered):
