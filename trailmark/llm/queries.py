@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, language_id, mixing
+from .kmeans_tree import nearest_neighbours
 from .minhash import near_duplicates
 from .substring_dedup import remove_repeated_windows
 from .suffix_dedup import remove_repeated_bytes
+from .vector_graph import near_vectors
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,14 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_read(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op8_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(_read(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -57,11 +67,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_vector_graph": op2_vector_graph,
     "op3_mixing": op3_mixing,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_language_id": op5_language_id,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_minhash": op7_minhash,
+    "op8_kmeans_tree": op8_kmeans_tree,
     "op10_byte_bpe": op10_byte_bpe,
 }
 

@@ -97,6 +97,11 @@ def longest_previous(data: np.ndarray, starts: np.ndarray, owner: np.ndarray, wi
     return reached
 
 
+def _shard(anchors: np.ndarray, n_shards: int) -> np.ndarray:
+    """Anchors are minima, so small; mixing them again deals them evenly."""
+    return A.shard_of(A.mix(anchors + A.U64(A.WORD_BASE)), n_shards).astype(np.int64)
+
+
 def _spans(doc: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     """Maximal spans covered by windows, which come in order of document and place."""
     if not len(at):
@@ -136,9 +141,12 @@ def remove_repeated_bytes(
                 low = _anchors(part, offs, width)[1]
                 found.append(low[np.concatenate(([True], low[1:] != low[:-1]))] if len(low) else low)
             found = A.distinct(np.concatenate(found or [np.zeros(0, A.U64)]))
-            edges = np.flatnonzero(np.diff(A.shard_of(found, n_shards))) + 1
-            for piece in np.split(found, edges) if len(found) else []:
-                out["shard"].append(int(A.shard_of(piece[:1], n_shards)[0]))
+            shard = _shard(found, n_shards)
+            order = np.argsort(shard, kind="stable")
+            edges = np.flatnonzero(np.diff(shard[order])) + 1
+            for at in np.split(order, edges) if len(found) else []:
+                piece = found[at]
+                out["shard"].append(int(shard[at[0]]))
                 out["block"].append(table["block"][0].as_py())
                 out["hashes"].append(piece.tobytes())
         return pa.table(out, pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary())]))
@@ -195,7 +203,7 @@ def remove_repeated_bytes(
                     first = np.flatnonzero(cut)
                     last = np.concatenate((first[1:], [len(starts)])) - 1
                     begin, size = starts[first], starts[last] - starts[first] + width
-                    shard = A.shard_of(low[first], n_shards).astype(np.int64)
+                    shard = _shard(low[first], n_shards)
                     order = np.argsort(shard, kind="stable")
                     for piece in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
                         seg = np.empty(len(piece), SEGMENT)
