@@ -24,11 +24,13 @@ import base64
 import heapq
 import sys
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,8 +42,8 @@ LETTER, NUMBER, SPACE, OTHER, END = range(5)
 WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 ONE_LETTER, TWO_LETTERS = "stmd", ("re", "ve", "ll")
 SHORT = 48  # longer pre-tokens are merged with a heap
-CACHE = 400_000  # distinct pre-tokens kept by a worker before it starts anew
-CHUNK_CHARS = 1_500_000
+CACHE = 120_000  # distinct pre-tokens kept by a worker before it starts anew
+CHUNK_CHARS = 600_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -110,18 +112,10 @@ class Encoder:
                 a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if a is not None and b is not None:
                     pairs[a * self.size + b] = rank
-        self.pairs = pairs
         self.keys = np.array(sorted(pairs), np.int64)
         self.rank = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        length = np.zeros(self.size, np.int64)
-        for token, rank in ranks.items():
-            length[rank] = len(token)
-        self.length, self.at = length, np.cumsum(length) - length
-        body = bytearray(int(length.sum()))
-        for token, rank in ranks.items():
-            body[self.at[rank] : self.at[rank] + len(token)] = token
-        self.body = np.frombuffer(bytes(body), np.uint8)
+
 
     def _pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.size + right
@@ -167,7 +161,13 @@ class Encoder:
         ids = self.byte[np.frombuffer(piece, np.uint8)].tolist()
         n = len(ids)
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        rank = lambda i: self.pairs.get(ids[i] * self.size + ids[after[i]]) if after[i] >= 0 else None
+        keys, ranks = self.keys.tolist(), self.rank.tolist()
+
+        def rank(i: int) -> int | None:
+            key = ids[i] * self.size + ids[after[i]] if after[i] >= 0 else -1
+            at = bisect_left(keys, key)
+            return ranks[at] if at < len(keys) and keys[at] == key else None
+
         heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank(i)) is not None]
         heapq.heapify(heap)
         gone = bytearray(n)
@@ -236,32 +236,49 @@ class Encoder:
         per_text = np.bincount(which, weights=own, minlength=len(texts)).astype(np.int64)
         return np.split(out, np.cumsum(per_text)[:-1]) if texts else []
 
+class Decoder:
+    """The bytes of every id, end to end."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.size = max(ranks.values()) + 1
+        length = np.zeros(self.size, np.int64)
+        for token, rank in ranks.items():
+            length[rank] = len(token)
+        self.length, self.at = length, np.cumsum(length) - length
+        body = bytearray(int(length.sum()))
+        for token, rank in ranks.items():
+            body[self.at[rank] : self.at[rank] + len(token)] = token
+        self.body = np.frombuffer(bytes(body), np.uint8)
+
     def decode(self, ids: np.ndarray) -> bytes:
         own = self.length[ids]
         offset = np.cumsum(own) - own
         return self.body[np.repeat(self.at[ids] - offset, own) + np.arange(int(own.sum()))].tobytes()
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _encoder(key: tuple[int, int], held) -> Encoder:
     return Encoder(held.value)
 
 
+@lru_cache(1)
+def _decoder(key: tuple[int, int], held) -> Decoder:
+    return Decoder(held.value)
+
+
 def _shared(spark, path: str):
     ranks = load_ranks(path)
     return (len(ranks), hash(path)), spark.sparkContext.broadcast(ranks)
 
 
-def _groups(texts: list[str]) -> Iterator[list[str]]:
-    group, size = [], 0
-    for text in texts:
-        group.append(text)
-        size += len(text)
-        if size > CHUNK_CHARS:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
+def _groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of about CHUNK_CHARS bytes of text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK_CHARS)))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -277,17 +294,17 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(key, held)
         for batch in batches:
-            texts = batch.column("text").fill_null("").to_pylist()
-            ids = [x for group in _groups(texts) for x in encoder.encode(group)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()),
-                    batch.column("rest"),
-                ],
-                names=["doc_id", "n_tokens", "ids", "rest"],
-            )
+            for part in _groups(batch):
+                ids = encoder.encode(part.column("text").fill_null("").to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id"),
+                        pa.array([len(x) for x in ids], pa.int64()),
+                        pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()),
+                        part.column("rest"),
+                    ],
+                    names=["doc_id", "n_tokens", "ids", "rest"],
+                )
 
     return picked.mapInArrow(run, schema)
 
@@ -298,9 +315,9 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(key, held)
+        decoder = _decoder(key, held)
         for batch in batches:
-            decoded = [encoder.decode(np.frombuffer(x.as_py() or b"", "<u4").astype(np.int64)) for x in batch.column("ids")]
+            decoded = [decoder.decode(np.frombuffer(x.as_py() or b"", "<u4").astype(np.int64)) for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, schema)
