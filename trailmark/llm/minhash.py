@@ -16,10 +16,12 @@ chance below 1e-9, so pairs that agree in fewer are left out.
    each of ``ROUNDS`` rounds a posting list names one hub, drawn by a hash; members
    count how often they collide with a hub of another class, the best few hubs
    are compared on full sets, and linked documents share a class from then on.
-4. What remains is exact: for each value, distinct classes are paired once; the
-   smaller class of a pair is compared with the larger in blocks of about
-   ``BLOCK`` documents, on full sets, in one task a block.  Documents of one class
-   need no comparison, since only classes are asked for.
+4. What remains is exact: documents whose classes still meet under a value post
+   their shingles, rarest first, as far as the threshold asks; classes that meet
+   there are paired once, and the smaller class of a pair is compared with the
+   larger in blocks of about ``BLOCK`` documents, on full sets, in one task a
+   block.  Documents of one class need no comparison, since only classes are
+   asked for.
 
 Components come from min-label propagation with pointer jumping over the links,
 cut by checkpoint() each round.
@@ -172,7 +174,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _hub_pairs(now: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b): each document with the hubs of other classes that it collides with most."""
-    rank = F.xxhash64("doc_id", F.lit(turn))
+    # First the documents that agree with most others, later any.
+    rank = F.struct(-F.col("fame"), "doc_id") if turn == 0 else F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id")
     hubs = (
         now.groupBy("value")
         .agg(F.min_by(F.struct("doc_id", "label"), rank).alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi"))
@@ -184,17 +187,48 @@ def _hub_pairs(now: DataFrame, turn: int) -> DataFrame:
     return met.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= HUBS).select(F.col("doc_id").alias("a"), "b")
 
 
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of each set."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("items")]
+            n = np.array([len(x) for x in sets])
+            row = np.repeat(np.arange(len(n)), n)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id").take(pa.array(row)), part.column("label").take(pa.array(row)), pa.array(n[row]), pa.array(np.concatenate(sets))],
+                names=["doc_id", "label", "n", "item"],
+            )
+
+
 def _rest(lists: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between classes that still meet under a value, all of them compared."""
+    """Links between classes that still meet under a value, all of them compared.
+
+    The documents of such classes post their shingles themselves.  A document of n
+    shingles has a link into another class only if that class's documents hold
+    percent * n / 100 of them or more; of the c that any other class holds, it is
+    enough to meet under the rarest c - percent * n / 100 + 1.
+    """
     classes = lists.join(label, "doc_id").select("value", "label").distinct()
-    open_ = classes.join(classes.groupBy("value").count().filter("count > 1").select("value"), "value").checkpoint()
-    met = (
-        open_.select("value", F.col("label").alias("p"))
-        .join(open_.select("value", F.col("label").alias("q")), "value")
-        .filter("p < q")
-        .select("p", "q")
-        .distinct()
+    values = classes.groupBy("value").count().filter("count > 1").select("value")
+    meeting = classes.join(values, "value").select("label").distinct()
+    open_ = label.join(meeting, "label").join(sets, "doc_id").select("doc_id", "label", "items").checkpoint()
+    posts = open_.mapInArrow(_explode, "doc_id long, label long, n long, item long")
+    held = posts.groupBy("item").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("df"))
+    ranked = (
+        posts.join(held.filter("lo < hi").select("item", "df"), "item")
+        .groupBy("doc_id", "label", "n")
+        .agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("held"))
     )
+    needed = F.ceil(F.col("n") * percent / 100).cast("int")
+    rare = F.slice("held", 1, F.size("held") - needed + 1)
+    prefix = ranked.filter(F.size("held") >= needed).select("label", "n", F.size("held").alias("c"), F.explode(rare).alias("p"))
+    # What a class's documents under an item have at best: the fewest shingles, the most shared ones.
+    under = prefix.groupBy(F.col("p.item").alias("item"), "label").agg(F.min("n").alias("n"), F.max("c").alias("c")).checkpoint()
+    side = lambda x: under.select("item", F.col("label").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"))
+    # A link shares percent / (100 + percent) of both sizes, and no more than either side shares with others.
+    possible = (100 + percent) * F.least("cp", "cq") >= percent * (F.col("np") + F.col("nq"))
+    met = side("p").join(side("q"), "item").filter((F.col("p") < F.col("q")) & possible).select("p", "q").distinct()
     count = label.groupBy("label").count()
     sized = met.join(count.select(F.col("label").alias("p"), F.col("count").alias("np")), "p").join(
         count.select(F.col("label").alias("q"), F.col("count").alias("nq")), "q"
@@ -209,12 +243,12 @@ def _rest(lists: DataFrame, label: DataFrame, sets: DataFrame, percent: int) ->
     # Small classes are compared pair by pair.
     a, b = (label.select(F.col("doc_id").alias(x), F.col("label").alias(y)) for x, y in (("a", "small"), ("b", "large")))
     little = F.col("few") * F.col("many") <= SMALL
-    direct = _verified(tests.filter(little).join(a, "small").join(b, "large").select("a", "b"), sets, percent)
+    direct = _verified(tests.filter(little).join(a, "small").join(b, "large").select("a", "b"), open_, percent)
     # The documents of the smaller class, in chunks, against a larger one, in blocks.
     tests = tests.filter(~little)
     per = tests.groupBy("large").agg(F.sum("few").alias("asked"), F.max("many").alias("size"))
     per = per.select("large", F.ceil(F.col("asked") / BLOCK).cast("int").alias("chunks"), F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
-    full = label.join(sets, "doc_id")
+    full = open_
     queries = (
         tests.select("small", "large")
         .join(per, "large")
@@ -281,8 +315,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, id_col: s
     # Rarest first; documents with too few shared values cannot reach ``least`` matches.
     held = posts.join(shared, "value").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("held"))
     rare = F.slice("held", 1, F.size("held") - (least - 1))
-    prefix = held.filter(F.size("held") >= least).select("doc_id", F.explode(rare).alias("p"))
-    lists = prefix.select("doc_id", F.col("p.value").alias("value")).checkpoint()
+    fame = F.aggregate("held", F.lit(0).cast("long"), lambda total, x: total + x["df"]).alias("fame")
+    prefix = held.filter(F.size("held") >= least).select("doc_id", fame, F.explode(rare).alias("p"))
+    lists = prefix.select("doc_id", "fame", F.col("p.value").alias("value")).checkpoint()
     wanted = lists.select("doc_id").distinct()
     sets = _sets(picked.join(wanted, "doc_id"), size).checkpoint()
     label = wanted.select("doc_id", F.col("doc_id").alias("label")).checkpoint()
