@@ -41,15 +41,18 @@ from . import textarrays as A
 
 GRAM = 24
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-SEGMENT = np.dtype([("doc", "<i8"), ("at", "<i4"), ("n", "<i4")])
 SPAN = np.dtype([("doc", "<i8"), ("start", "<i4"), ("end", "<i4")])
 
 
-def _anchors(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The starts of all windows inside one document and their anchors."""
+def _anchors(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows, each inside one document and of one anchor: first start, length, anchor.
+
+    Anchors have 48 bits: they only choose what is compared.
+    """
     n = len(data) - width + 1
+    none = np.zeros(0, np.int64)
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, A.U64)
+        return none, none, np.zeros(0, A.U64)
     low = A.window_hash(A.prefix(data.astype(A.U64) + A.U64(1), A.BYTE_BASE), GRAM, A.BYTE_BASE)
     reach, span = 1, width - GRAM + 1
     while 2 * reach <= span:
@@ -57,11 +60,49 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
         reach *= 2
     if reach < span:
         low = np.minimum(low[: len(low) - (span - reach)], low[span - reach :])
-    inside = np.ones(n, bool)
+    low = low[:n]
+    inside = np.ones(n + 1, bool)
+    inside[n] = False
+    edge = np.ones(n + 1, bool)
+    edge[1:n] = low[1:] != low[:-1]
     for end in offsets[1:-1].tolist():  # windows that would cross a document's end
         inside[max(0, end - width + 1) : end] = False
-    starts = np.flatnonzero(inside)
-    return starts, low[:n][starts]
+        edge[max(0, min(n, end - width + 1))] = edge[min(n, end)] = True
+    first = np.flatnonzero(edge)
+    size = np.diff(np.append(first, n + 1))
+    keep = inside[first]
+    return first[keep], size[keep], low[first[keep]] >> A.U64(16)
+
+
+def _runs(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of a whole block; starts count from its first byte."""
+    data, offsets = A.buffers(column)
+    parts = [(first + offsets[at], size, low) for at, part, offs in A.chunks(data, offsets) for first, size, low in [_anchors(part, offs, width)]]
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate([x[k] for x in parts] or [none.astype(A.U64) if k == 2 else none]) for k in range(3))
+
+
+def _six(anchors: np.ndarray) -> bytes:
+    return anchors.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _from_six(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def _pack(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True) if raw else b""
+
+
+def _unpack(raw: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True) if raw else b""
+
+
+def _each(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of the ranges [first, first + size)."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
 def _recurring(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
@@ -135,12 +176,7 @@ def remove_repeated_bytes(
     def tell(table: pa.Table) -> pa.Table:
         out = {"shard": [], "block": [], "hashes": []}
         if not B.is_loose(table):
-            data, offsets = A.buffers(table["text"])
-            found = []
-            for _, part, offs in A.chunks(data, offsets):
-                low = _anchors(part, offs, width)[1]
-                found.append(low[np.concatenate(([True], low[1:] != low[:-1]))] if len(low) else low)
-            found = A.distinct(np.concatenate(found or [np.zeros(0, A.U64)]))
+            found = A.distinct(_runs(table["text"], width)[2])
             shard = _shard(found, n_shards)
             order = np.argsort(shard, kind="stable")
             edges = np.flatnonzero(np.diff(shard[order])) + 1
@@ -148,18 +184,18 @@ def remove_repeated_bytes(
                 piece = found[at]
                 out["shard"].append(int(shard[at[0]]))
                 out["block"].append(table["block"][0].as_py())
-                out["hashes"].append(piece.tobytes())
+                out["hashes"].append(_six(piece))
         return pa.table(out, pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary())]))
 
     def shared(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x.as_py(), A.U64) for x in table["hashes"]]
+        parts = [_from_six(x.as_py()) for x in table["hashes"]]
         held = np.concatenate(parts)
         twice = A.repeated(held)
         out = {"block": [], "hashes": []}
         for block, part in zip(table["block"].to_pylist(), parts):
             if len(hit := part[A.member(part, twice)]):
                 out["block"].append(block)
-                out["hashes"].append(hit.tobytes())
+                out["hashes"].append(_six(hit))
         return pa.table(out, pa.schema([("block", pa.int32()), ("hashes", pa.binary())]))
 
     wire = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("body", pa.binary()), ("segments", pa.binary()), ("spans", pa.binary())])
@@ -172,48 +208,33 @@ def remove_repeated_bytes(
             ids = table["doc_id"].to_numpy()
             rank = np.cumsum(np.concatenate(([False], ids[1:] != ids[:-1])))
             data, offsets = A.buffers(table["text"])
-            far = np.sort(np.concatenate([np.frombuffer(x.as_py(), A.U64) for x in reply["hashes"]] or [np.zeros(0, A.U64)]))
-            brief, held = [], []
-            for at, part, offs in A.chunks(data, offsets):  # first only which anchors two documents hold
-                starts, low = _anchors(part, offs, width)
-                if len(low):
-                    new = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
-                    brief.append((low[new], rank[np.searchsorted(offs, starts[new], side="right") - 1 + at]))
-            if brief:
-                near = _multi(np.concatenate([x[0] for x in brief]), np.concatenate([x[1] for x in brief]))
-                wanted = A.distinct(np.concatenate((near, far)))
-                for at, part, offs in A.chunks(data, offsets):
-                    starts, low = _anchors(part, offs, width)
-                    hit = A.member(low, wanted)
-                    held.append((starts[hit] + offsets[at], low[hit]))
-                starts, low = (np.concatenate([x[k] for x in held]) for k in (0, 1))
-                row = np.searchsorted(offsets, starts, side="right") - 1
-                gone = longest_previous(data, starts, rank[row], width)
-                local = _spans(ids[row[gone]], (starts - offsets[row])[gone], width)
-                # Rows that share an id are told apart by none of this, so their spans join.
-                out["shard"].append(block % n_shards)
-                out["block"].append(block)
-                out["body"].append(b"")
-                out["segments"].append(b"")
-                out["spans"].append(local.tobytes())
-                send = ~gone & A.member(low, far)
-                starts, low, row = starts[send], low[send], row[send]
-                if len(starts):
-                    cut = np.concatenate(([True], (low[1:] != low[:-1]) | (starts[1:] != starts[:-1] + 1)))
-                    first = np.flatnonzero(cut)
-                    last = np.concatenate((first[1:], [len(starts)])) - 1
-                    begin, size = starts[first], starts[last] - starts[first] + width
-                    shard = _shard(low[first], n_shards)
-                    order = np.argsort(shard, kind="stable")
-                    for piece in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-                        seg = np.empty(len(piece), SEGMENT)
-                        seg["doc"], seg["at"], seg["n"] = ids[row[first[piece]]], (begin - offsets[row[first]])[piece], size[piece]
-                        inner = np.arange(int(size[piece].sum())) - np.repeat(np.cumsum(size[piece]) - size[piece], size[piece])
-                        out["shard"].append(int(shard[piece[0]]))
-                        out["block"].append(block)
-                        out["body"].append(data[np.repeat(begin[piece], size[piece]) + inner].tobytes())
-                        out["segments"].append(seg.tobytes())
-                        out["spans"].append(b"")
+            far = np.sort(np.concatenate([_from_six(x.as_py()) for x in reply["hashes"]] or [np.zeros(0, A.U64)]))
+            start, size, low = _runs(table["text"], width)
+            row = np.searchsorted(offsets, start, side="right") - 1
+            hit = A.member(low, A.distinct(np.concatenate((_multi(low, rank[row]), far)))) if len(low) else np.zeros(0, bool)
+            start, size, low, row = start[hit], size[hit], low[hit], row[hit]
+            window = _each(start, size)
+            doc = np.repeat(row, size)
+            gone = longest_previous(data, window, rank[doc], width)
+            local = _spans(ids[doc[gone]], (window - offsets[doc])[gone], width)
+            for name, value in zip(wire.names, (block % n_shards, block, b"", b"", _pack(local.tobytes()))):
+                out[name].append(value)
+            send = ~gone & np.repeat(A.member(low, far), size)
+            run = np.repeat(np.arange(len(low)), size)[send]
+            window = window[send]
+            if len(window):
+                cut = np.concatenate(([True], (run[1:] != run[:-1]) | (window[1:] != window[:-1] + 1)))
+                first = np.flatnonzero(cut)
+                begin, run = window[first], run[first]
+                size = np.diff(np.append(first, len(window))) + width - 1
+                shard = _shard(low[run], n_shards)
+                order = np.argsort(shard, kind="stable")
+                for piece in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+                    own = row[run[piece]]
+                    segments = b"".join(x.tobytes() for x in (ids[own], (begin[piece] - offsets[own]).astype("<i4"), size[piece].astype("<i4")))
+                    body = data[_each(begin[piece], size[piece])].tobytes()
+                    for name, value in zip(wire.names, (int(shard[piece[0]]), block, _pack(body), _pack(segments), b"")):
+                        out[name].append(value)
         return pa.table(out, wire)
 
     def settle(table: pa.Table) -> pa.Table:
@@ -223,19 +244,24 @@ def remove_repeated_bytes(
         for block, own in zip(blocks, table["spans"]):
             if len(own.as_py()):
                 out["block"].append(block)
-                out["spans"].append(own.as_py())
-        parts = [np.frombuffer(x.as_py(), SEGMENT) for x in table["segments"]]
-        seg = np.concatenate(parts)
-        if len(seg):
-            owner = np.repeat(blocks, [len(x) for x in parts])  # ascending: the table is ordered by block
-            data = np.frombuffer(b"".join(x.as_py() for x in table["body"]), np.uint8)
-            begin = np.cumsum(seg["n"], dtype=np.int64) - seg["n"]
-            size = (seg["n"] - width + 1).astype(np.int64)
-            inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-            which = np.repeat(np.arange(len(seg)), size)
-            gone = longest_previous(data, begin[which] + inner, owner[which], width)
+                out["spans"].append(_unpack(own.as_py()))
+        docs, ats, sizes = [], [], []
+        for raw in table["segments"]:
+            raw = _unpack(raw.as_py())
+            n = len(raw) // 16
+            docs.append(np.frombuffer(raw, "<i8", n))
+            ats.append(np.frombuffer(raw, "<i4", n, 8 * n))
+            sizes.append(np.frombuffer(raw, "<i4", n, 12 * n))
+        owner = np.repeat(blocks, [len(x) for x in docs])  # ascending: the table is ordered by block
+        seg_doc, seg_at, seg_n = (np.concatenate(x).astype(np.int64) for x in (docs, ats, sizes))
+        if len(seg_doc):
+            data = np.frombuffer(b"".join(_unpack(x.as_py()) for x in table["body"]), np.uint8)
+            size = seg_n - width + 1
+            which = np.repeat(np.arange(len(size)), size)
+            inner = _each(np.zeros_like(size), size)
+            gone = longest_previous(data, (np.cumsum(seg_n) - seg_n)[which] + inner, owner[which], width)
             which, inner = which[gone], inner[gone]
-            doc, at, blk = seg["doc"][which], seg["at"][which] + inner, owner[which]
+            doc, at, blk = seg_doc[which], seg_at[which] + inner, owner[which]
             order = np.lexsort([at, doc, blk])
             doc, at, blk = doc[order], at[order], blk[order]
             for piece in np.split(np.arange(len(blk)), np.flatnonzero(np.diff(blk)) + 1) if len(blk) else []:
