@@ -164,10 +164,28 @@ def _multi(anchors: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return A.distinct(a[1:][(a[1:] == a[:-1]) & (r[1:] != r[:-1])])
 
 
+def _on_characters(body: bytes, start: int, end: int) -> list[int]:
+    inner = lambda i: i < len(body) and body[i] & 0xC0 == 0x80
+    while start < end and inner(start):
+        start += 1
+    while end > start and inner(end):
+        end -= 1
+    return [start, end]
+
+
 def remove_repeated_bytes(
-    docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None
+    docs: DataFrame,
+    width: int = 50,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    carry: list[str] | None = None,
+    whole_characters: bool = False,
 ) -> DataFrame:
-    """doc_id, n_bytes, n_removed, kept (binary), spans (byte ranges), rest (the carried columns)."""
+    """doc_id, n_bytes, n_removed, kept (binary), spans (byte ranges), rest (the carried columns).
+
+    With ``whole_characters`` a span gives back the characters that it would cut in
+    two, so that what is kept is UTF-8 again.
+    """
     if width < GRAM:
         raise ValueError(f"width must be {GRAM} or more")
     laid = B.lay_out(docs, id_col, text_col, carry)
@@ -286,6 +304,8 @@ def remove_repeated_bytes(
                     merged[-1][1] = max(merged[-1][1], min(end, len(body)))
                 else:
                     merged.append([start, min(end, len(body))])
+            if whole_characters:
+                merged = [pair for pair in (_on_characters(body, *x) for x in merged) if pair[0] < pair[1]]
             edges = [0, *(x for pair in merged for x in pair), len(body)]
             out["doc_id"].append(doc)
             out["n_bytes"].append(len(body))
