@@ -32,7 +32,7 @@ def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # Large star: larger neighbours move to the smallest node around.
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Small star: smaller neighbours and the node itself do.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u")

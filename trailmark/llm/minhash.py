@@ -187,6 +187,17 @@ def _hub_pairs(now: DataFrame, turn: int) -> DataFrame:
     return met.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= HUBS).select(F.col("doc_id").alias("a"), "b")
 
 
+def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Linked documents join the class of their hub, and classes that of their first document.
+
+    Two documents of one class stay connected; classes may still be parted.
+    """
+    of_hub = links.join(label.select(F.col("doc_id").alias("b"), F.col("label").alias("to")), "b").groupBy(F.col("a").alias("doc_id")).agg(F.min("to").alias("to"))
+    moved = label.join(of_hub, "doc_id", "left").select("doc_id", F.coalesce("to", "label").alias("label"))
+    ahead = moved.select(F.col("doc_id").alias("label"), F.col("label").alias("next"))
+    return moved.join(ahead, "label", "left").select("doc_id", F.coalesce("next", "label").alias("label"))
+
+
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each shingle of each set."""
     for batch in batches:
@@ -325,7 +336,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, id_col: s
     for turn in range(ROUNDS):
         found = _verified(_hub_pairs(lists.join(label, "doc_id"), turn), sets, percent).checkpoint()
         links = found if links is None else links.unionByName(found)
-        label = connected_components(wanted, links).checkpoint()
+        label = _joined(label, found).checkpoint()
+    label = connected_components(wanted, links).checkpoint()
     links = links.unionByName(_rest(lists, label, sets, percent))
     component = connected_components(named.select("doc_id").distinct(), links.unionByName(copies))
     return (
