@@ -8,7 +8,8 @@ each pair of languages votes.
 
 Counting runs in Spark tasks, for every document.  Training takes a bounded
 sample of labelled rows to the driver: ``per_language`` rows of a language on
-average, drawn by a hash of the text, whole texts each.  The model has ``DIM``
+average, drawn by a hash of the text, whole texts each, of the ``LANGUAGES`` most
+frequent languages.  The model has ``DIM``
 weights a machine and is shipped with the tasks.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0;
@@ -32,6 +33,7 @@ from pyspark.sql import types as T
 from . import textarrays as A
 
 DIM = 4096
+LANGUAGES = 128  # the most frequent ones; a model has a machine for each pair of a family
 #: The family of each language code.  Other codes share one more family.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is fy af lb yi",
@@ -154,10 +156,12 @@ def fit(docs: DataFrame, teaches: Column, lang_col: str = "lang", text_col: str
     named = docs.filter(teaches & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text")
     )
-    counts = named.groupBy("lang").count()
-    chance = F.col("of.count") * ((F.xxhash64("text", F.lit(seed)).bitwiseAND(F.lit((1 << 30) - 1))) / F.lit(float(1 << 30)))
-    # Languages are few; Spark broadcasts their counts only if it finds them small.
-    picked = named.join(counts.alias("of"), "lang").filter(chance < per_language).select("lang", "text")
+    counts = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    if not counts:
+        return None
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"]))])
+    draw = F.xxhash64("text", F.lit(seed)).bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))
+    picked = named.filter(draw < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0.0))).limit(2 * per_language * len(counts))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
