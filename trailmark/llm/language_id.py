@@ -8,7 +8,7 @@ each pair of languages votes.
 
 Counting runs in Spark tasks, for every document.  Training takes a bounded
 sample of labelled rows to the driver: ``per_language`` rows of a language on
-average, drawn by a hash of the text, whole texts each, of the ``LANGUAGES`` most
+average, drawn by a hash of id and text, whole texts each, of the ``LANGUAGES`` most
 frequent languages.  The model has ``DIM``
 weights a machine and is shipped with the tasks.
 
@@ -151,17 +151,19 @@ def predict(model: Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _MAP = "features array<float>"
 
 
-def fit(docs: DataFrame, teaches: Column, lang_col: str = "lang", text_col: str = "text", per_language: int = 600, seed: int = 5) -> Model | None:
+def fit(
+    docs: DataFrame, teaches: Column, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = 600, seed: int = 5
+) -> Model | None:
     """A model from a sample of the rows where ``teaches`` holds; None without any."""
     named = docs.filter(teaches & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text")
+        F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")
     )
     counts = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return None
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"]))])
-    draw = F.xxhash64("text", F.lit(seed)).bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))
-    picked = named.filter(draw < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0.0))).limit(2 * per_language * len(counts))
+    draw = F.xxhash64("id", "text", F.lit(seed)).bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))
+    picked = named.filter(draw < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0.0))).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
