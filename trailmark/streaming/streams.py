@@ -37,10 +37,15 @@ def with_time_rules(events: DataFrame, sent: str = "sent_at", received: str = "r
     return events.select("*", *[c.alias(n) for n, c in event_time(F.col(sent), F.col(received)).items()])
 
 
+def _timed(events: DataFrame, delay: str | None) -> DataFrame:
+    """Events with a watermark; None leaves the one that they have."""
+    return events.withWatermark("created_at", delay) if delay else events
+
+
 SESSION_MARKS = "project_id string, device_id string, session_id string, name string, created_at timestamp, duration_ms long, views long, events long"
 
 
-def session_marks(events: DataFrame, gap_minutes: int = 30, delay: str = "30 minutes", view: str = "screen_view") -> DataFrame:
+def session_marks(events: DataFrame, gap_minutes: int = 30, delay: str | None = "30 minutes", view: str = "screen_view") -> DataFrame:
     """session_start when a device's session opens, session_end when it has been silent for the gap."""
     gap = timedelta(minutes=gap_minutes)
 
@@ -71,7 +76,7 @@ def session_marks(events: DataFrame, gap_minutes: int = 30, delay: str = "30 min
             state.setTimeoutTimestamp(max(held[1] // 1000 + gap // timedelta(milliseconds=1), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in SESSION_MARKS.split(", ")])
 
-    keyed = events.withWatermark("created_at", delay).groupBy("project_id", "device_id")
+    keyed = _timed(events, delay).groupBy("project_id", "device_id")
     return keyed.applyInPandasWithState(run, SESSION_MARKS, "first long, last long, views long, events long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
