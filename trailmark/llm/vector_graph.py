@@ -6,8 +6,8 @@
 2. Each (sub-)shard builds a graph over members and visitors: the nearest
    ``POOL`` candidates of a vector, robust-pruned to ``DEGREE`` with slack ``ALPHA``.
 3. The adjacency lists of a vector from all its shards are united into one.
-4. Each vector is searched in all its shards: greedy search from the shard's
-   medoid and from the vector's own node, if the shard holds it, with a beam;
+4. Each vector is searched in all its shards: greedy search from the nearest
+   medoids of the shard and from the vector's own node, if it is there, with a beam;
    then the range is expanded over neighbours not far below the threshold.
    An audit compares up to ``AUDIT`` queries of a task with brute force and doubles
    the beam, up to the whole shard, while a link is missed.
@@ -42,6 +42,7 @@ PART = 2048
 OVERLAP = 3
 POOL, DEGREE, ALPHA = 64, 24, 1.2
 BEAM = 24
+MEDOIDS, ENTRIES = 48, 4  # medoids of a shard's clusters; a search starts from the few nearest to the query
 AUDIT = 64
 MARGIN = 0.03  # how far below the threshold a neighbour may lie and still be expanded
 
@@ -93,20 +94,28 @@ def _padded(lists: list[np.ndarray], width: int) -> np.ndarray:
     return out
 
 
-def greedy(x: np.ndarray, graph: list[np.ndarray], q: np.ndarray, own: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+def find_medoids(x: np.ndarray) -> np.ndarray:
+    """The nodes nearest to the centres of the shard's own clusters."""
+    return np.unique((x @ V.kmeans(x, min(MEDOIDS, len(x)), rounds=6).T).argmax(axis=0))
+
+
+def greedy(
+    x: np.ndarray, graph: list[np.ndarray], medoids: np.ndarray, q: np.ndarray, own: np.ndarray, beam: int
+) -> tuple[np.ndarray, np.ndarray]:
     """The beam of each query after greedy search: nodes (or -1) and similarities."""
     wide = 4 * DEGREE
     table = _padded([g[:wide] for g in graph], min(wide, max((len(g) for g in graph), default=1)))
-    medoid = int((x @ x.mean(axis=0)).argmax())
     m = len(q)
     nodes, sims, open_ = np.full((m, beam), -1), np.full((m, beam), -2.0), np.zeros((m, beam), bool)
     seen = np.zeros((m, len(x)), bool)
-    for slot, start in ((0, np.full(m, medoid)), (1, np.where(own == medoid, -1, own))):
-        real = start >= 0
+    entries = medoids[np.argsort(-(q @ x[medoids].T), axis=1, kind="stable")[:, : min(ENTRIES, beam - 1)]]
+    starts = [np.where(entries[:, k] == own, -1, entries[:, k]) for k in range(entries.shape[1])]
+    for slot, start in enumerate([own, *starts]):
+        real = np.flatnonzero(start >= 0)
         nodes[real, slot] = start[real]
         sims[real, slot] = np.einsum("qd,qd->q", q[real], x[start[real]])
         open_[real, slot] = True
-        seen[np.flatnonzero(real), start[real]] = True
+        seen[real, start[real]] = True
     for _ in range(4 * beam):
         best = np.where(open_, sims, -3).argmax(axis=1)
         live = np.flatnonzero(open_[np.arange(m), best])
@@ -143,14 +152,14 @@ def expand(x: np.ndarray, graph: list[np.ndarray], q: np.ndarray, start: np.ndar
 
 def search(x: np.ndarray, graph: list[np.ndarray], q: np.ndarray, own: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Links (query, node) found, the node itself among them."""
-    beam = min(BEAM, len(x) + 1)
+    beam, medoids = min(BEAM, len(x) + 1), find_medoids(x)
     audit = np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int)
     true = (x @ q[audit].T >= threshold).sum(axis=0)
     while True:
         beam = max(2, beam)
         out_q, out_n, got = [], [], np.zeros(len(q), np.int64)
         for at in range(0, len(q), 512):
-            nodes, sims = greedy(x, graph, q[at : at + 512], own[at : at + 512], beam)
+            nodes, sims = greedy(x, graph, medoids, q[at : at + 512], own[at : at + 512], beam)
             near = sims >= threshold - MARGIN
             for i in np.flatnonzero(near.any(axis=1)):
                 all_ = expand(x, graph, q[at + i], nodes[i, near[i]], threshold - MARGIN)
