@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, mixing
+from . import byte_bpe, language_id, mixing, packing, token_counts
 from .kmeans_tree import nearest_neighbours
 from .minhash import near_duplicates
 from .substring_dedup import remove_repeated_windows
@@ -29,6 +29,19 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path(), public_tokenizers.PATTERN, length=2048)
+    return packed.select(
+        "group", "row", "n_tokens", "n_segments", "doc_ids", "pieces", "cu_seqlens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256")
+    )
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op2_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_read(spark, sf_dir, "embeddings"), threshold=0.95)
 
@@ -74,6 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "pipeline": pipeline,
+    "op1_packing": op1_packing,
     "op2_vector_graph": op2_vector_graph,
     "op3_mixing": op3_mixing,
     "op4_substring_dedup": op4_substring_dedup,
@@ -81,6 +95,7 @@ QUERIES = {
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_minhash": op7_minhash,
     "op8_kmeans_tree": op8_kmeans_tree,
+    "op9_token_counts": op9_token_counts,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
