@@ -40,7 +40,7 @@ def test_best_fit_decreasing():
 def test_packing_loses_nothing(spark, reference, tmp_path):
     rng = random.Random(2)
     texts = {i: " ".join(rng.choice(["the", "cat", "漢字", "x1"]) for _ in range(rng.randint(0, 40))) for i in range(200)}
-    texts |= {300: None, 301: "", 302: "word " * 3000}
+    texts |= {7: "the cat x1", 300: None, 301: "", 302: "word " * 3000}
     rows = spark.createDataFrame([(i, t, 0, "clash") for i, t in texts.items()] + [(7, texts[7], 0, ""), (None, "the end", 0, "")], "doc_id long, text string, row int, ids string")
     packed = packing.pack_documents(rows, Q.tokenizer_path(), public_tokenizers.PATTERN, length=64)
     packing.write_binary(packed, str(tmp_path / "packed"))
