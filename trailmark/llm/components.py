@@ -18,6 +18,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffles and checkpoints that nothing refers to any more.
+
+    Spark's cleaner follows the driver's garbage collection, which may not come
+    for a long time in a job of many small rounds.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """doc_id and label, the smallest doc_id reachable over links (a, b); ``nodes`` has doc_id.
 
@@ -42,5 +51,6 @@ def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         if now == seen or not now["n"]:
             break
         seen = now
+        release(nodes.sparkSession)
     found = edges.groupBy("u").agg(F.min("v").alias("label"))
     return nodes.join(found, nodes["doc_id"] == found["u"], "left").select("doc_id", F.coalesce("label", "doc_id").alias("label"))

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textarrays as A
-from .components import connected_components, ensure_checkpoint_dir
+from .components import connected_components, ensure_checkpoint_dir, release
 
 COORDS = 64
 ROUNDS = 3
@@ -332,13 +332,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, id_col: s
     wanted = lists.select("doc_id").distinct()
     sets = _sets(picked.join(wanted, "doc_id"), size).checkpoint()
     label = wanted.select("doc_id", F.col("doc_id").alias("label")).checkpoint()
+    release(docs.sparkSession)
     links = None
     for turn in range(ROUNDS):
         found = _verified(_hub_pairs(lists.join(label, "doc_id"), turn), sets, percent).checkpoint()
         links = found if links is None else links.unionByName(found)
         label = _joined(label, found).checkpoint()
+        release(docs.sparkSession)
     label = connected_components(wanted, links).checkpoint()
     links = links.unionByName(_rest(lists, label, sets, percent))
+    release(docs.sparkSession)
     component = connected_components(named.select("doc_id").distinct(), links.unionByName(copies))
     return (
         sketched.select("doc_id", F.col("n").alias("n_shingles"))
