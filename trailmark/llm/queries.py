@@ -100,6 +100,17 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_vector_graph": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a),
+reach AS (SELECT vec_id, vec_id AS other FROM v UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a),
+least AS (SELECT vec_id, min(other) AS c FROM reach GROUP BY vec_id)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(c, e.vec_id) AS component_id, coalesce(c, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN counts USING (vec_id) LEFT JOIN least USING (vec_id)
+""",
     "op3_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
@@ -163,9 +174,9 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(c, d.doc
 FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
 """,
     "op6_suffix_dedup": r"""
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-starts AS (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 49)) AS i FROM d WHERE length(x) >= 100),
-windows AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS k FROM starts),
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS raw, hex(encode(coalesce(text, ''))) AS x FROM documents),
+starts AS (SELECT doc_id, raw, unnest(range(0, octet_length(raw) - 49)) AS i FROM d WHERE octet_length(raw) >= 50),
+windows AS (SELECT doc_id, i, raw[i + 1:i + 50] AS k FROM starts),
 firsts AS (SELECT k, min(doc_id) AS f FROM windows GROUP BY k HAVING min(doc_id) < max(doc_id)),
 hits AS (SELECT doc_id, i FROM windows JOIN firsts USING (k) WHERE f < doc_id),
 steps AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM hits),
