@@ -25,11 +25,12 @@ LEAST_SCORE = 0.25  # what guessing among two families of two languages would sc
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a recognised language; fills in missing language codes."""
-    others = [c for c in docs.columns if c != "doc_id"]
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     model = language_id.fit(docs, ~held_out)
-    found = language_id.identify(docs, model, carry=others).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return found.select("doc_id", *[F.coalesce("rest.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"rest.{c}").alias(c) for c in others])
+    found = language_id.identify(docs, model, carry=others, keep_text=True).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    kept = found.select("doc_id", "text", *[F.coalesce("rest.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"rest.{c}").alias(c) for c in others])
+    return kept.select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -181,28 +181,30 @@ def fit(
     return train(x[order], [langs[i] for i in order])
 
 
-def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """doc_id, lang_pred, score, rest (the carried columns)."""
+def identify(
+    docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, keep_text: bool = False
+) -> DataFrame:
+    """doc_id, lang_pred, score, rest (the carried columns), and text if it is to be kept."""
     picked = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(text_col).cast("string").alias("text"),
         F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("lettered"),
         F.struct(*[F.col(c) for c in carry]).alias("rest") if carry else F.lit(None).cast("int").alias("rest"),
     )
-    schema = T.StructType([picked.schema["doc_id"], *T.StructType.fromDDL("lang_pred string, score double").fields, picked.schema["rest"]])
+    out = ["doc_id", "lang_pred", "score", "rest", *(["text"] if keep_text else [])]
+    made = T.StructType.fromDDL("lang_pred string, score double")
+    schema = T.StructType([made[c] if c in made.names else picked.schema[c] for c in out])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, score = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows)
-            for at in range(0, batch.num_rows if model else 0, 500):
+            for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                found, sure = predict(model, features(part.column("text")))
-                lettered = part.column("lettered").to_numpy(zero_copy_only=False)
-                names[at : at + 500] = np.where(lettered, found, "und")
-                score[at : at + 500] = np.where(lettered, sure, 0.0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(names.tolist(), pa.string()), pa.array(score), batch.column("rest")],
-                names=["doc_id", "lang_pred", "score", "rest"],
-            )
+                names, score = np.full(part.num_rows, "und", object), np.zeros(part.num_rows)
+                if model:
+                    found, sure = predict(model, features(part.column("text")))
+                    lettered = part.column("lettered").to_numpy(zero_copy_only=False)
+                    names, score = np.where(lettered, found, "und"), np.where(lettered, sure, 0.0)
+                told = {"lang_pred": pa.array(names.tolist(), pa.string()), "score": pa.array(score)}
+                yield pa.RecordBatch.from_arrays([told[c] if c in told else part.column(c) for c in out], names=out)
 
     return picked.mapInArrow(run, schema)
