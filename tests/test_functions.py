@@ -177,3 +177,18 @@ def test_sessions_from_events(spark):
     events = events.withColumn("revenue", F.lit(0).cast("long")).withColumn("properties", F.create_map(F.lit("__query.utm_source"), F.lit("n")))
     got = session_rows(sessionize(events, 1800)).orderBy("created_at").collect()
     assert [(r.screen_view_count, r.event_count, r.is_bounce, r.profile_id, r.exit_path, r.utm_source) for r in got] == [(2, 0, False, "u", "/b", "n"), (0, 1, True, "d", "/c", "n")]
+
+
+def test_copy_slice(spark, tmp_path):
+    rows = spark.createDataFrame([(str(i), f"p{i % 2}", datetime(2024, 1, 1 + i % 3, 5)) for i in range(12)], "id string, project_id string, created_at timestamp")
+    for _ in range(2):
+        imports.copy_slice(rows, str(tmp_path / "copy"), "p1", datetime(2024, 1, 2), datetime(2024, 1, 4))
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "copy")).collect()) == ["1", "11", "5", "7"]
+
+
+def test_references(spark):
+    from trailmark.plans.spec import EventSeries, ReportSpec
+
+    notes = spark.createDataFrame([("in", datetime(2024, 1, 6), "p1"), ("other", datetime(2024, 1, 6), "p2"), ("late", datetime(2024, 2, 1), "p1")], "title string, date timestamp, project_id string")
+    spec = ReportSpec((EventSeries("view"),), datetime(2024, 1, 5), datetime(2024, 1, 25), project_id="p1")
+    assert [r.title for r in charts.references_in(notes, spec).collect()] == ["in"]

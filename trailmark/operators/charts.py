@@ -236,3 +236,17 @@ def project_card(events: DataFrame, as_of) -> DataFrame:
         people(0, 1).alias("day"), people(1, 2).alias("previous_day"), people(0, 30).alias("month"), people(0, 14).alias("half"), people(14, 28).alias("previous_half"), F.sum("revenue").alias("revenue")
     )
     return out.withColumn("trend", F.coalesce(F.round(F.try_divide((F.col("half") - F.col("previous_half")) * 100.0, F.col("previous_half")), 2), F.lit(0.0)))
+
+
+def references_in(references: DataFrame, spec: ReportSpec) -> DataFrame:
+    """Annotations (title, date, project_id) inside a chart's range."""
+    inside = between("date", spec.start, spec.end)
+    return references.filter(inside & (F.col("project_id") == spec.project_id) if spec.project_id else inside)
+
+
+def rate_table(rates: DataFrame, keys: Sequence[str], dates: Sequence[str]) -> DataFrame:
+    """A conversion table's rows: sums, mean rate, and the rate of each date."""
+    named = rates.withColumn("day", F.date_format("date", "yyyyMMdd"))
+    wide = named.groupBy(*keys).pivot("day", list(dates)).agg(F.first("rate"))
+    sums = rates.groupBy(*keys).agg(F.sum("total").alias("total"), F.sum("conversions").alias("conversions"), F.round(F.avg("rate"), 2).alias("mean_rate"))
+    return sums.join(wide.select(*keys, *[F.coalesce(F.col(d), F.lit(0.0)).alias(f"d{d}") for d in dates]), list(keys))

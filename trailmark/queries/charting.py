@@ -6,6 +6,7 @@ import re
 from dataclasses import replace
 from datetime import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.filters import Filter
@@ -313,6 +314,28 @@ def conversion_summary(spark, sf_dir):
     return K.conversion_summary(_rates(spark, sf_dir))
 
 
+@query(
+    "WITH " + _conv("region") + """ SELECT region, CAST(sum(total) AS BIGINT) AS total, CAST(sum(conversions) AS BIGINT) AS conversions, round(avg(rate), 2) AS mean_rate,
+    coalesce(max(rate) FILTER (strftime(date, '%Y%m%d') = '20240105'), 0) AS d20240105, coalesce(max(rate) FILTER (strftime(date, '%Y%m%d') = '20240106'), 0) AS d20240106 FROM rates GROUP BY region"""
+)
+def conversion_table(spark, sf_dir):
+    return C.rate_table(_rates(spark, sf_dir, breakdowns=["region"]), ["region"], ["20240105", "20240106"])
+
+
+@query(
+    "WITH " + _conv() + ", now AS (SELECT row_number() OVER (ORDER BY date) AS position, rate FROM rates WHERE date >= TIMESTAMP '2024-01-15'), "
+    "old AS (SELECT row_number() OVER (ORDER BY date) AS position, rate FROM rates WHERE date < TIMESTAMP '2024-01-15') "
+    "SELECT CAST(now.position AS INTEGER) AS position, now.rate, old.rate AS previous FROM now LEFT JOIN old ON old.position = now.position"
+)
+def conversion_previous(spark, sf_dir):
+    rates = _rates(spark, sf_dir)
+    place = F.row_number().over(Window.orderBy("date"))  # one row for each bucket
+    cut = F.lit(datetime(2024, 1, 15)).cast("timestamp")
+    now = rates.filter(F.col("date") >= cut).withColumn("position", place)
+    old = rates.filter(F.col("date") < cut).withColumn("position", place)
+    return now.select("position", "rate").join(old.select("position", F.col("rate").alias("previous")), "position", "left")
+
+
 def _cohort(keep, unit="day", days=1):
     return f"""daily AS (SELECT DISTINCT project_id, name, CAST(created_at AS DATE) AS day, profile_id FROM ev WHERE profile_id <> device_id),
     cohorts AS (SELECT DISTINCT project_id, profile_id, CAST(date_trunc('{unit}', day) AS DATE) AS cohort FROM daily WHERE name = 'view'),

@@ -138,3 +138,16 @@ def import_sessions(staged: DataFrame) -> DataFrame:
 def progress(staged: DataFrame) -> DataFrame:
     """Rows and date bounds of each import."""
     return staged.groupBy("import_id").agg(F.count(F.lit(1)).alias("rows"), F.min(F.to_date("created_at")).alias("first_day"), F.max(F.to_date("created_at")).alias("last_day"))
+
+
+def copy_slice(rows: DataFrame, path: str, project_id: str | None = None, start=None, end=None) -> None:
+    """Copies a project's events of a range to another store, by day; a repeated copy replaces the same days."""
+    picked = rows
+    if project_id is not None:
+        picked = picked.filter(F.col("project_id") == project_id)
+    if start is not None:
+        picked = picked.filter(F.col("created_at") >= F.lit(start))
+    if end is not None:
+        picked = picked.filter(F.col("created_at") <= F.lit(end))
+    dated = picked.withColumn("event_date", F.to_date("created_at"))
+    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id", "event_date").parquet(path)
