@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 from . import textarrays as A
 
 DIM = 4096
+SAMPLE_ROWS = 8000  # of all languages together, on average
 LANGUAGES = 128  # the most frequent ones; a model has a machine for each pair of a family
 #: The family of each language code.  Other codes share one more family.
 FAMILIES = {
@@ -161,6 +162,7 @@ def fit(
     counts = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return None
+    per_language = min(per_language, SAMPLE_ROWS // len(counts))
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"]))])
     draw = F.xxhash64("id", "text", F.lit(seed)).bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))
     picked = named.filter(draw < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0.0))).select("lang", "text")
