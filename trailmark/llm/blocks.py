@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import in_small_batches
+
 BLOCK_BYTES = 4_000_000
 
 
@@ -49,7 +51,7 @@ def lay_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = docs.agg(F.sum(F.octet_length(F.col(text_col))).alias("b")).first()["b"] or 0
     n = max(-(-total // BLOCK_BYTES), 2 * parts)
-    picked = docs.select(
+    picked = in_small_batches(docs).select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(text_col).cast("string").alias("text"),
         F.struct(*[F.col(c) for c in carry]).alias("rest") if carry else F.struct(F.lit(0).alias("none")).alias("rest"),

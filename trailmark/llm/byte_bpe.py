@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textarrays as A
+from .batches import in_small_batches
 
 LETTER, NUMBER, SPACE, OTHER, END = range(5)
 #: Fixed values of the pattern: white space besides the ASCII kinds, and the contractions' letters.
@@ -284,7 +285,7 @@ def _groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """doc_id, n_tokens, ids (unsigned 32-bit little-endian integers), rest (the carried columns)."""
     key, held = _shared(docs.sparkSession, ranks_path)
-    picked = docs.select(
+    picked = in_small_batches(docs).select(
         F.col(id_col).alias("doc_id"),
         F.col(text_col).cast("string").alias("text"),
         F.struct(*[F.col(c) for c in carry]).alias("rest") if carry else F.lit(None).cast("int").alias("rest"),

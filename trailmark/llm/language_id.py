@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textarrays as A
+from .batches import in_small_batches
 
 DIM = 4096
 SAMPLE_ROWS = 8000  # of all languages together, on average
@@ -156,7 +157,7 @@ def fit(
     docs: DataFrame, teaches: Column, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = 600, seed: int = 5
 ) -> Model | None:
     """A model from a sample of the rows where ``teaches`` holds; None without any."""
-    named = docs.filter(teaches & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+    named = in_small_batches(docs).filter(teaches & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")
     )
     counts = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
@@ -187,7 +188,7 @@ def identify(
     docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, keep_text: bool = False
 ) -> DataFrame:
     """doc_id, lang_pred, score, rest (the carried columns), and text if it is to be kept."""
-    picked = docs.select(
+    picked = in_small_batches(docs).select(
         F.col(id_col).alias("doc_id"),
         F.col(text_col).cast("string").alias("text"),
         F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("lettered"),

@@ -45,6 +45,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textarrays as A
+from .batches import in_small_batches
 from .components import connected_components, ensure_checkpoint_dir, release
 
 COORDS = 64
@@ -312,7 +313,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, id_col: s
     """doc_id, n_shingles, component_id, kept: a row for each row of ``docs``."""
     ensure_checkpoint_dir(docs.sparkSession)
     least = least_matches(percent / 100)
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    picked = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketched = _sketch(picked, size).checkpoint()
     named = sketched.filter("doc_id is not null and n > 0")
     # Representatives of equal sets: the smallest id stands for all.

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import in_small_batches
 from .byte_bpe import load_ranks
 
 GROUP_BYTES = 8_000_000
@@ -99,7 +100,7 @@ def token_ids(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc
                 ids = [np.array(encoding.encode_ordinary(t), "<u4").tobytes() for t in part.column("text").fill_null("").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
 def pack(encoded: DataFrame, n_groups: int, length: int = 2048, pad: int = 0) -> DataFrame:

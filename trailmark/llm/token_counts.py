@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textarrays as A
+from .batches import in_small_batches
 from .byte_bpe import END, _groups, classes, load_ranks, pretokens
 
 CACHE = 200_000
@@ -110,7 +111,7 @@ def _counter(path: str, held) -> Counter:
 def count_tokens(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_pretokens, n_tokens, score."""
     held = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))  # of the vocabulary's size
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    picked = in_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([picked.schema["doc_id"], *T.StructType.fromDDL("n_pretokens long, n_tokens long, score long").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
