@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailmark.llm import queries as Q
+from trailmark.llm import vector_graph
 from trailmark.llm.kmeans_tree import nearest_neighbours
 from trailmark.llm.vector_graph import near_vectors
 
@@ -46,6 +47,29 @@ def test_near_vectors(spark, rows):
     assert [(r.n_links, r.component_id, r.kept) for r in got if r.vec_id is None] == [(0, None, True)]
 
 
+def test_near_vectors_with_links_in_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(vector_graph, "PART", 16)  # 25 shards
+    x = np.float32(np.random.default_rng(4).normal(size=(400, 5)))
+    got = near_vectors(spark.createDataFrame([(i, [float(c) for c in v], 0, "", 1) for i, v in enumerate(x)], SCHEMA), 0.8).collect()
+    c = cosines([(i, v) for i, v in enumerate(x)])
+    np.fill_diagonal(c, -1)
+    label = brute.classes(range(400), list(zip(*np.nonzero(c >= 0.8))))
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (int((c[i] >= 0.8).sum()), label[i]) for i in range(400)}
+
+
+def test_reachable_rules_out_no_link():
+    rng = np.random.default_rng(5)
+    for d, threshold in ((3, 0.95), (8, 0.9), (4, -0.2)):
+        x = unit(rng.normal(size=(600, d)) + 3 * rng.normal(size=(6, d))[rng.integers(0, 6, 600)])
+        centres = unit(rng.normal(size=(20, d)))
+        home, radius = (x @ centres.T).argmax(axis=1), np.full(20, -1.0)
+        np.maximum.at(radius, home, np.arccos(np.clip((x @ centres.T).max(axis=1), -1, 1)))
+        a, b = np.nonzero(x @ x.T >= threshold)
+        may = vector_graph.reachable(x, centres, radius, threshold)
+        assert may[a, home[b]].all()
+        assert threshold < 0 or may.mean() < 0.6
+
+
 def test_near_vectors_of_nothing(spark):
     assert near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
 

@@ -9,9 +9,13 @@
 4. Each vector is searched in all its shards: greedy search from the nearest
    medoids of the shard and from the vector's own node, if it is there, with a beam;
    then the range is expanded over neighbours not far below the threshold.
-   An audit compares up to ``AUDIT`` queries of a task with brute force and doubles
-   the beam, up to the whole shard, while a link is missed.
-5. Links are verified by cosine on the vectors in double precision.  A link is
+   Every query is audited by brute force in its task; one that misses a link
+   takes its links from there.
+5. A vector can also have links in shards further away.  It is compared with all
+   members of each shard that two exact bounds do not rule out (``reachable``); on
+   spread-out vectors these are most shards, so that work grows with the square
+   of the table.
+6. Links are verified by cosine on the vectors in double precision.  A link is
    counted in the target's home shard only, so counts add up without listing
    pairs; links become edges to the least vector of a task's class.
 
@@ -43,7 +47,7 @@ OVERLAP = 3
 POOL, DEGREE, ALPHA = 64, 24, 1.2
 BEAM = 24
 MEDOIDS, ENTRIES = 48, 4  # medoids of a shard's clusters; a search starts from the few nearest to the query
-AUDIT = 64
+SLACK = 1e-6  # for rounding in the bounds
 MARGIN = 0.03  # how far below the threshold a neighbour may lie and still be expanded
 
 
@@ -152,25 +156,38 @@ def expand(x: np.ndarray, graph: list[np.ndarray], q: np.ndarray, start: np.ndar
 
 def search(x: np.ndarray, graph: list[np.ndarray], q: np.ndarray, own: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Links (query, node) found, the node itself among them."""
-    beam, medoids = min(BEAM, len(x) + 1), find_medoids(x)
-    audit = np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int)
-    true = (x @ q[audit].T >= threshold).sum(axis=0)
-    while True:
-        beam = max(2, beam)
-        out_q, out_n, got = [], [], np.zeros(len(q), np.int64)
-        for at in range(0, len(q), 512):
-            nodes, sims = greedy(x, graph, medoids, q[at : at + 512], own[at : at + 512], beam)
-            near = sims >= threshold - MARGIN
-            for i in np.flatnonzero(near.any(axis=1)):
+    beam, medoids = max(2, min(BEAM, len(x) + 1)), find_medoids(x)
+    out_q, out_n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(q), 512):
+        true = q[at : at + 512] @ x.T >= threshold
+        nodes, sims = greedy(x, graph, medoids, q[at : at + 512], own[at : at + 512], beam)
+        near = sims >= threshold - MARGIN
+        for i in np.flatnonzero(true.any(axis=1)):
+            hit = out_n[0]
+            if near[i].any():
                 all_ = expand(x, graph, q[at + i], nodes[i, near[i]], threshold - MARGIN)
                 hit = all_[x[all_] @ q[at + i] >= threshold]
-                got[at + i] = len(hit)
-                out_q.append(np.full(len(hit), at + i))
-                out_n.append(hit)
-        if (got[audit] >= true).all() or beam > len(x):
-            none = np.zeros(0, np.int64)
-            return np.concatenate(out_q or [none]), np.concatenate(out_n or [none])
-        beam *= 2
+            if len(hit) < true[i].sum():
+                hit = np.flatnonzero(true[i])
+            out_q.append(np.full(len(hit), at + i))
+            out_n.append(hit)
+    return np.concatenate(out_q), np.concatenate(out_n)
+
+
+def reachable(x: np.ndarray, centres: np.ndarray, radius: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether each shard can hold a link of each row; ``radius`` is the angle of its farthest member (negative: none).
+
+    A link lies within the angle t = arccos(threshold).  So the shard's centre is
+    within t + radius; and as a member is at least as near to its own centre as to
+    the row's, the row is within t of the member's side of the plane between them.
+    """
+    t = np.arccos(np.clip(threshold, -1, 1))
+    sims = x @ centres.T
+    home = sims.argmax(axis=1)
+    gap = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))
+    ball = np.arccos(np.clip(sims, -1, 1)) <= t + radius + SLACK
+    side = sims.max(axis=1, keepdims=True) - sims <= np.sin(min(t, np.pi / 2)) * gap[home] + SLACK
+    return ball & side & (radius >= 0)
 
 
 def _least_in_class(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -186,6 +203,80 @@ def _least_in_class(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np
         label = new
 
 
+def _report(query_ids: np.ndarray, ids: np.ndarray, copies: np.ndarray, counted: np.ndarray, a: np.ndarray, b: np.ndarray, own: np.ndarray) -> dict:
+    """vec_id, n, least of a task with the links (a, b); ``own`` is a query's place among the nodes, or -1."""
+    n = np.bincount(a[counted[b]], weights=copies[b[counted[b]]], minlength=len(query_ids)).astype(np.int64)
+    all_ids = np.concatenate((query_ids, ids))
+    # A vector may stand on both sides; its two places are linked.
+    both = np.flatnonzero(own >= 0)
+    least = _least_in_class(len(all_ids), np.concatenate((a, both)), np.concatenate((b, own[both])) + len(query_ids), all_ids)
+    n = np.concatenate((n, np.zeros(len(ids), np.int64)))
+    told = (n > 0) | (all_ids != least)
+    return {"vec_id": all_ids[told], "n": n[told], "least": least[told]}
+
+
+def _far_links(points: DataFrame, dealt: DataFrame, centres: np.ndarray, threshold: float, schema: str) -> DataFrame:
+    """What ``_report`` says of links into shards that are not among the ``OVERLAP`` nearest of a vector."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sims = V.unit(V.matrix(batch.column("v"))) @ centres.T
+                yield pa.RecordBatch.from_arrays([pa.array(sims.argmax(axis=1)), pa.array(sims.max(axis=1))], names=["shard", "cosine"])
+
+    # A row for each centre, SHARDS at most.
+    radius = np.full(len(centres), -1.0)
+    for r in points.mapInArrow(measure, "shard long, cosine double").groupBy("shard").agg(F.min("cosine").alias("cosine")).collect():
+        radius[r["shard"]] = np.arccos(np.clip(r["cosine"], -1, 1))
+
+    def visits(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows and the far shards that they visit."""
+        x = V.unit(V.matrix(batch.column("v"))) if batch.num_rows else np.zeros((0, 1))
+        for at in range(0, len(x), 1024):
+            own = x[at : at + 1024]
+            far = reachable(own, centres, radius, threshold)
+            np.put_along_axis(far, np.argsort(-(own @ centres.T), axis=1, kind="stable")[:, :OVERLAP], False, axis=1)
+            rows, shards = np.nonzero(far)
+            yield rows + at, shards
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(centres), np.int64)
+        for batch in batches:
+            for _, shards in visits(batch):
+                total += np.bincount(shards, minlength=len(centres))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(centres))), pa.array(total)], names=["shard", "n"])
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, shards in visits(batch):
+                for at in range(0, len(rows), 4096):
+                    own = pa.array(rows[at : at + 4096])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("vec_id").take(own), batch.column("v").take(own), pa.array(shards[at : at + 4096])], names=["vec_id", "v", "shard"]
+                    )
+
+    def compare(asked: pa.Table, held: pa.Table) -> pa.Table:
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        query_ids, ids = asked["vec_id"].to_numpy(), held["vec_id"].to_numpy()
+        if len(query_ids) and len(ids):
+            q, x = V.unit(V.matrix(asked["v"])), V.unit(V.matrix(held["v"]))
+            for at in range(0, len(q), 512):
+                i, j = np.nonzero(q[at : at + 512] @ x.T >= threshold)
+                a.append(i + at), b.append(j)
+        return pa.table(_report(query_ids, ids, held["copies"].to_numpy(), np.ones(len(ids), bool), np.concatenate(a), np.concatenate(b), np.full(len(query_ids), -1)))
+
+    size = points.mapInArrow(tally, "shard long, n long").groupBy("shard").agg(F.ceil(F.sum("n") / (2 * PART)).alias("far_chunks")).filter("far_chunks > 0")
+    members = dealt.filter("home").join(F.broadcast(size), "shard")
+    shards = members.groupBy("shard").agg(F.first("parts").alias("parts"), F.first("far_chunks").alias("far_chunks"))
+    members = members.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("far_chunks") - 1)))
+    asked = points.mapInArrow(visit, "vec_id long, v array<double>, shard long").join(F.broadcast(shards), "shard")
+    asked = asked.withColumn("chunk", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col("far_chunks")))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    keys = ["shard", "part", "chunk"]
+    asked, members = asked.select(*keys, "vec_id", "v"), members.select(*keys, "vec_id", "v", "copies")
+    return asked.groupBy(keys).cogroup(members.groupBy(keys)).applyInArrow(compare, schema)
+
+
 def near_vectors(table: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept: a row for each row of ``table``."""
     ensure_checkpoint_dir(table.sparkSession)
@@ -251,16 +342,13 @@ def near_vectors(table: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
         a, b = search(x, lists, q, own, threshold)
         other = query_ids[a] != ids[b]
         a, b = a[other], b[other]
-        counted = held["home"].to_numpy()[b]
-        n = np.bincount(a[counted], weights=held["copies"].to_numpy()[b[counted]], minlength=len(query_ids)).astype(np.int64)
-        all_ids = np.concatenate((query_ids, ids))
-        # A vector may stand on both sides; its two places are linked.
-        both = np.flatnonzero(own >= 0)
-        least = _least_in_class(len(all_ids), np.concatenate((a, both)), np.concatenate((b, own[both])) + len(query_ids), all_ids)
-        out = pd.DataFrame({"vec_id": all_ids, "n": np.concatenate((n, np.zeros(len(ids), np.int64))), "least": least})
-        return out[(out["n"] > 0) | (out["vec_id"] != out["least"])]
-
-    found = nodes.unionByName(queries).groupBy("shard", "part", "chunk").applyInPandas(find, "vec_id long, n long, least long").checkpoint()
+        return pd.DataFrame(_report(query_ids, ids, held["copies"].to_numpy(), held["home"].to_numpy(), a, b, own))
+
+    found_schema = "vec_id long, n long, least long"
+    found = nodes.unionByName(queries).groupBy("shard", "part", "chunk").applyInPandas(find, found_schema)
+    if len(centres) > OVERLAP:
+        found = found.unionByName(_far_links(points, dealt, centres, threshold, found_schema))
+    found = found.checkpoint()
     links = found.filter("vec_id != least").select(F.col("vec_id").alias("a"), F.col("least").alias("b"))
     label = connected_components(points.select(F.col("vec_id").alias("doc_id")), links)
     counts = found.groupBy("vec_id").agg(F.sum("n").alias("n")).withColumnRenamed("vec_id", "head")
