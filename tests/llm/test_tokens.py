@@ -83,3 +83,23 @@ def test_token_counts(spark, reference):
         assert got[i] == (len(words), sum(n for n, _ in each), sum(s for _, s in each))
     assert got[None] == got[len(texts) - 1]
     assert token_counts.count_tokens(rows.limit(0), Q.tokenizer_path()).count() == 0
+
+
+def test_token_counts_of_the_longest_pieces(spark):
+    """The longest pieces that are texts, against the full vocabulary."""
+    import regex
+
+    scores = token_counts.piece_scores(load_ranks(Q.tokenizer_path()))
+    texts = []
+    for piece in sorted(scores, key=len, reverse=True)[:200]:
+        try:
+            texts += [piece.decode(), "the " + piece.decode() + piece.decode()]
+        except UnicodeDecodeError:
+            pass
+    assert max(len(t.encode()) for t in texts[::2]) > 32
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_pretokens, r.n_tokens, r.score) for r in token_counts.count_tokens(rows, Q.tokenizer_path()).collect()}
+    for i, t in enumerate(texts):
+        words = [w.encode() for w in regex.findall(public_tokenizers.PATTERN, t)]
+        each = [plain_count(w, scores) for w in words]
+        assert got[i] == (len(words), sum(n for n, _ in each), sum(s for _, s in each))

@@ -43,8 +43,8 @@ def piece_scores(ranks: dict[bytes, int]) -> dict[bytes, int]:
 class Counter:
     """Counts tokens of pre-tokens; a worker keeps one."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 32):
-        self.scores = {p: s for p, s in piece_scores(ranks).items() if len(p) <= most}
+    def __init__(self, ranks: dict[bytes, int]):
+        self.scores = piece_scores(ranks)
         self.longest = max(map(len, self.scores))
         self.cache: dict[int, tuple[int, int]] = {}
 
