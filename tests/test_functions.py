@@ -1,6 +1,7 @@
 """Row functions, enrichment, imports: the cases that SQL twins do not reach."""
 
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -72,6 +73,29 @@ def test_window_funnel(spark):
         assert rows.select(window_funnel(F.col("pairs"), 3, window).alias("l")).first().l == want
 
 
+def plain_level(pairs, steps, window):
+    """The deepest step of any chain, by trying all."""
+
+    def go(first, last, step):
+        return max([step, *(go(first, t, step + 1) for t, s in pairs if s == step + 1 and t > last and (window is None or t <= first + window))])
+
+    return max([0, *(go(t, t, 1) for t, s in pairs if s == 1)])
+
+
+def tied_events(n):
+    rng = random.Random(6)
+    return [[(rng.randint(0, 12), rng.randint(1, 3)) for _ in range(rng.randint(1, 9))] for _ in range(n)]
+
+
+def test_window_funnel_with_ties(spark):
+    cases = [[(1, 1), (5, 1), (5, 2)], *tied_events(300)]
+    rows = spark.createDataFrame(list(enumerate(cases)), "i int, pairs array<struct<ts:long,step:int>>")
+    for window in (5, None):
+        got = {r.i: r.l for r in rows.select("i", window_funnel(F.col("pairs"), 3, window).alias("l")).collect()}
+        assert got == {i: plain_level(pairs, 3, window) for i, pairs in enumerate(cases)}
+    assert plain_level(cases[0], 3, 5) == 2
+
+
 def test_cursor():
     at = datetime(2024, 1, 2, 3, 4, 5, 678000)
     assert lists.decode_cursor(lists.encode_cursor(at, "x/1")) == (at, "x/1")

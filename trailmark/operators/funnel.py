@@ -17,9 +17,12 @@ def window_funnel(pairs: Column, steps: int, window_ms: int | None) -> Column:
 
     Steps must follow at strictly later times, within the window from the first.
     For each step the fold keeps the latest start of a chain that reaches it and
-    the time it did so; a later start never loses against an earlier one.
+    the time it did so; a later start never loses against an earlier one.  Of
+    events of one time the deeper step comes first, so that a step reads only what
+    strictly earlier events left.
     """
-    ordered = F.array_sort(pairs)
+    turned = F.array_sort(F.transform(pairs, lambda p: F.struct(p["ts"].alias("ts"), (-p["step"]).alias("step"))))
+    ordered = F.transform(turned, lambda p: F.struct(p["ts"].alias("ts"), (-p["step"]).alias("step")))
     empty = F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda i: F.struct(F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last")))
 
     def step(state: Column, pair: Column) -> Column:
