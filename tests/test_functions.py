@@ -11,8 +11,9 @@ from trailmark.functions.filters import Filter, where
 from trailmark.functions.flatten import flatten_json, merge_maps, register_functions, render, to_dots
 from trailmark.functions.timegrid import capped, named_range, previous_range
 from trailmark.operators import charts, enrich, lists, profiles
-from trailmark.operators.funnel import window_funnel
+from trailmark.operators.funnel import funnel_levels, window_funnel
 from trailmark.operators.sessions import session_rows, sessionize
+from trailmark.plans.spec import EventSeries
 from trailmark.sources import imports
 
 
@@ -96,6 +97,20 @@ def test_window_funnel_with_ties(spark):
     assert plain_level(cases[0], 3, 5) == 2
 
 
+def test_funnel_levels_of_a_long_key(spark):
+    rng, epoch = random.Random(7), datetime(2024, 1, 1)
+    cases = [*tied_events(200), [(rng.randint(-400, 400), rng.randint(1, 3)) for _ in range(150)] * 2]
+    rows = [(f"w{i}" if i else None, "r", f"s{s}", epoch + timedelta(milliseconds=t)) for i, pairs in enumerate(cases) for t, s in pairs]
+    events = spark.createDataFrame(rows, "session_id string, region string, name string, created_at timestamp")
+    series = [EventSeries(f"s{k}") for k in (1, 2, 3)]
+    for window in (5, 0, None):
+        hours = None if window is None else window / 3_600_000
+        levels = funnel_levels(events, series, epoch - timedelta(days=1), epoch + timedelta(days=1), hours, breakdowns=["region"])
+        assert "collect_list" not in levels._jdf.queryExecution().toString()  # no array of all events of a key
+        want = {f"w{i}" if i else None: plain_level(pairs, 3, window) for i, pairs in enumerate(cases)}
+        assert {r.who: r.level for r in levels.collect()} == {who: level for who, level in want.items() if level}
+
+
 def test_cursor():
     at = datetime(2024, 1, 2, 3, 4, 5, 678000)
     assert lists.decode_cursor(lists.encode_cursor(at, "x/1")) == (at, "x/1")

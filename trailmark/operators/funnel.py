@@ -49,11 +49,27 @@ def step_pairs(events: DataFrame, steps: Sequence[EventSeries]) -> DataFrame:
 def funnel_levels(
     events: DataFrame, steps: Sequence[EventSeries], start, end, window_hours: float | None = 24, group: str = "session_id", breakdowns: Sequence[str] = ()
 ) -> DataFrame:
-    """group, breakdowns, level: how deep each session or profile got."""
+    """group, breakdowns, level: how deep each session or profile got.
+
+    Each event carries the latest start of a chain that it ends, read from strictly
+    earlier events of the step before by windows, which spill, so no key's events
+    are gathered in memory.  A key is split by time: a chain that starts in a bucket
+    of the window's width ends in it or in the next, so later steps stand in two
+    buckets.  Without a window a key is one bucket.
+    """
     pairs = step_pairs(events.filter(between("created_at", start, end)), steps)
     window = None if window_hours is None else int(window_hours * 3_600_000)
-    collected = pairs.groupBy(F.col(group).alias("who"), *breakdowns).agg(F.collect_list(F.struct("ts", "step")).alias("pairs"))
-    return collected.select("who", *breakdowns, window_funnel(F.col("pairs"), len(steps), window).alias("level")).filter("level > 0")
+    keys = ["who", *breakdowns]
+    own = F.floor(F.col("ts") / max(1, window or 1))
+    buckets = F.array(F.lit(0)) if window is None else F.when(F.col("step") == 1, F.array(own)).otherwise(F.array(own - 1, own))
+    rows = pairs.select(F.col(group).alias("who"), *breakdowns, "ts", "step", F.explode(buckets).alias("_bucket")).distinct()
+    rows = rows.withColumn("_start", F.when(F.col("step") == 1, F.col("ts")))
+    earlier = Window.partitionBy(*keys, "_bucket").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
+    for i in range(2, len(steps) + 1):
+        before = F.max(F.when(F.col("step") == i - 1, F.col("_start"))).over(earlier)
+        fits = F.lit(True) if window is None else F.col("ts") <= before + window
+        rows = rows.withColumn("_start", F.when((F.col("step") == i) & fits, before).otherwise(F.col("_start")))
+    return rows.filter("_start IS NOT NULL").groupBy(*keys).agg(F.max("step").alias("level"))
 
 
 def with_person(events: DataFrame, sessions: DataFrame) -> DataFrame:
