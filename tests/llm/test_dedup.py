@@ -1,11 +1,15 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trailmark.llm import substring_dedup
 from trailmark.llm.minhash import least_matches, near_duplicates
+from trailmark.llm.skew import join_salted
 from trailmark.llm.substring_dedup import remove_repeated_windows
-from trailmark.llm.suffix_dedup import remove_repeated_bytes
+from trailmark.llm.suffix_dedup import longest_previous, remove_repeated_bytes
+from trailmark.llm.textarrays import in_order
 
 from . import brute
 
@@ -61,6 +65,68 @@ def test_bytes_on_characters(spark, docs):
         bytes(r.kept).decode()
 
 
+def thue_morse(n):
+    """Two words of n letters that collide under every polynomial hash modulo 2**64."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_that_collide_under_polynomials(spark, n):
+    one, other = thue_morse(n)
+    line = " ".join(f"w{i}" for i in range(12))
+    docs = [(1, f"{one} {line}"), (2, f"{other} {line}"), (3, f"{one} {line}"), (4, f"{one} {other} {one} {other} {one} {other}")]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    got = remove_repeated_windows(rows, 13).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in got} == brute.cut_windows(docs, 13)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(rows).collect()} == brute.near(docs)
+    got = remove_repeated_bytes(rows, 50).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in got} == brute.cut_bytes(docs, 50)
+
+
+def test_messages():
+    """Hashes survive their wire form, gaps above 48 bits and equal hashes with two checks included."""
+    rng = np.random.default_rng(2)
+    h = np.concatenate((rng.integers(0, 1 << 63, 50, dtype=np.uint64), np.arange(5, dtype=np.uint64), np.zeros(2, np.uint64))) * np.uint64(2)
+    c = np.concatenate((rng.integers(0, 1 << 24, 55).astype(np.uint32), np.array([7, 9], np.uint32)))
+    order, new = in_order(h, c)
+    pairs = sorted(zip(h.tolist(), c.tolist()))
+    assert [(int(h[i]), int(c[i])) for i in order] == pairs and new.sum() == len(set(pairs))
+    read = [substring_dedup._read(m) for _, _, m in substring_dedup._messages(h[order], c[order], 3)]
+    assert [(int(a), int(b)) for hs, cs in read for a, b in zip(hs, cs)] == pairs
+
+
+def test_longest_previous():
+    rng = random.Random(6)
+    for width in (3, 5):
+        texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 40))) for _ in range(30)]
+        data = "".join(texts).encode()
+        starts, owner, at = [], [], 0
+        for i, t in enumerate(texts):
+            for k in range(len(t) - width + 1):
+                starts.append(at + k), owner.append(i // 2)  # two texts of one owner
+            at += len(t)
+        got = longest_previous(np.frombuffer(data, np.uint8), np.array(starts), np.array(owner), width)
+        window = lambda s: data[s : s + width]
+        want = [width if any(o < own and window(t) == window(s) for t, o in zip(starts, owner)) else 0 for s, own in zip(starts, owner)]
+        assert got.tolist() == want
+
+
+def test_rows_of_one_id_keep_their_own_spans(spark):
+    first, second = (" ".join(f"{w}{i}" for i in range(40)) for w in ("left", "right"))
+    rows = [(1, first), (1, second), (7, first + " tail of seven"), (7, "head " + second), (7, "nothing shared")]
+    got = remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 50).collect()
+    assert sorted((r.doc_id, bytes(r.kept).decode()) for r in got) == sorted([(1, first), (1, second), (7, " tail of seven"), (7, "head "), (7, "nothing shared")])
+
+
+def test_salted_join(spark):
+    rows = spark.createDataFrame([(7, i) for i in range(900)] + [(i % 50 + 100, i) for i in range(100)], "k long, i long")
+    keyed = rows.groupBy("k").agg(F.count("*").alias("w"), F.min("i").alias("least"))
+    got = join_salted(rows, keyed, ["k"], "w", ["i"])
+    assert got.columns == ["k", "i", "least"]
+    assert got.exceptAll(rows.join(keyed.drop("w"), "k")).count() == 0 and got.count() == 1000
+
+
 @pytest.mark.parametrize("cut", [remove_repeated_windows, remove_repeated_bytes])
 def test_rows_without_or_with_equal_ids(spark, cut):
     text = " ".join(f"word{i}" for i in range(40))

@@ -61,6 +61,18 @@ def test_packing_loses_nothing(spark, reference, tmp_path):
     assert packing.pack_documents(rows.limit(0), Q.tokenizer_path(), public_tokenizers.PATTERN).count() == 0
 
 
+def test_packing_ties_and_copies(spark):
+    """Texts of one id and length are placed alike however rows arrive; copies of one text fill several groups."""
+    rows = [(5, [k, k + 1]) for k in range(40)] + [(None, [9, 9])] * 3
+    ids = lambda x: np.array(x, "<u4").tobytes()
+    frame = lambda order: spark.createDataFrame([(d, ids(x), 0) for d, x in order], "doc_id long, ids binary, salt long")
+    packed = [packing.pack(frame(order), 3, 8).orderBy("group", "row").collect() for order in (rows, rows[::-1])]
+    assert packed[0] == packed[1]
+    copies = spark.createDataFrame([(None, "the cat")] * 400, "doc_id long, text string").coalesce(1)
+    salts = packing.token_ids(copies, Q.tokenizer_path(), public_tokenizers.PATTERN).groupBy("salt").count().collect()
+    assert {r["count"] for r in salts} == {packing.COPIES} and len(salts) == 400 // packing.COPIES
+
+
 def plain_count(word, scores):
     best = [(0, 0)]
     for end in range(1, len(word) + 1):
@@ -75,7 +87,7 @@ def test_token_counts(spark, reference):
     rng = random.Random(3)
     texts = ["".join(rng.choice(list("abcdetion é漢'12 \n") + ["the ", "tion"]) for _ in range(rng.randint(0, 80))) for _ in range(200)] + [None, "", "a" * 2000, "the the"]
     rows = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, "the the", 1)], "doc_id long, text string, score int")
-    scores = {p: s for p, s in token_counts.piece_scores(load_ranks(Q.tokenizer_path())).items() if len(p) <= 32}
+    scores = {p: s for p, s in token_counts.piece_scores(load_ranks(Q.tokenizer_path())).items()}
     got = {r.doc_id: (r.n_pretokens, r.n_tokens, r.score) for r in token_counts.count_tokens(rows, Q.tokenizer_path()).collect()}
     for i, t in enumerate(texts):
         words = [w.encode() for w in regex.findall(public_tokenizers.PATTERN, t or "")]

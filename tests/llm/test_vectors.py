@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from trailmark.llm import queries as Q
 from trailmark.llm import vector_graph
-from trailmark.llm.kmeans_tree import nearest_neighbours
+from trailmark.llm.kmeans_tree import Tree, nearest_neighbours
 from trailmark.llm.vector_graph import near_vectors
 
 from . import brute
@@ -47,16 +47,31 @@ def test_near_vectors(spark, rows):
     assert [(r.n_links, r.component_id, r.kept) for r in got if r.vec_id is None] == [(0, None, True)]
 
 
-def test_near_vectors_with_links_in_many_shards(spark, monkeypatch):
-    monkeypatch.setattr(vector_graph, "PART", 16)  # 25 shards
+def test_near_vectors_with_links_in_many_shards(spark):
     x = np.float32(np.random.default_rng(4).normal(size=(400, 5)))
-    got = near_vectors(spark.createDataFrame([(i, [float(c) for c in v], 0, "", 1) for i, v in enumerate(x)], SCHEMA), 0.8).collect()
+    got = near_vectors(spark.createDataFrame([(i, [float(c) for c in v], 0, "", 1) for i, v in enumerate(x)], SCHEMA), 0.8, shard_rows=16).collect()  # 25 shards
     c = cosines([(i, v) for i, v in enumerate(x)])
     np.fill_diagonal(c, -1)
     label = brute.classes(range(400), list(zip(*np.nonzero(c >= 0.8))))
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (int((c[i] >= 0.8).sum()), label[i]) for i in range(400)}
 
 
+def test_near_vectors_in_parts(spark):
+    """Clusters above the size of a shard's part, copies, and one id with two vectors."""
+    rng = np.random.default_rng(8)
+    x = np.float32(rng.normal(size=(12, 6))[rng.integers(0, 12, 500)] + 0.15 * rng.normal(size=(500, 6)))
+    x[::9] = x[0]
+    rows = [(i, [float(c) for c in v], 0, "", 1) for i, v in enumerate(x)]
+    twice = rows + [(3, [9.0] * 6, 0, "", 1), rows[4]]
+    got = near_vectors(spark.createDataFrame(twice, SCHEMA).repartition(5), 0.95, shard_rows=24, shards=20).collect()
+    x[3] = min(x[3].tolist(), [9.0] * 6)
+    c = cosines([(i, v) for i, v in enumerate(x)])
+    np.fill_diagonal(c, -1)
+    label = brute.classes(range(500), list(zip(*np.nonzero(c >= 0.95))))
+    want = {i: (int((c[i] >= 0.95).sum()), label[i]) for i in range(500)}
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want and len(got) == 502
+
+
 def test_reachable_rules_out_no_link():
     rng = np.random.default_rng(5)
     for d, threshold in ((3, 0.95), (8, 0.9), (4, -0.2)):
@@ -90,6 +105,29 @@ def test_nearest(spark, rows):
     assert {r.query_id for r in got} == set(range(0, 300, 50))
 
 
+def test_nearest_in_a_deep_tree(spark):
+    """Three levels, leaves in several parts, and more equal vectors than are asked for."""
+    rng = np.random.default_rng(9)
+    x = np.float32(rng.normal(size=(40, 10))[rng.integers(0, 40, 4000)] + 0.3 * rng.normal(size=(4000, 10)))
+    x[1000:1400] = x[50]
+    tree = Tree(unit(x), 4000, 8)
+    depth = lambda nodes: 1 + max((depth(tree.children[n]) for n in nodes if tree.children[n]), default=0)
+    assert depth(tree.top) >= 3 and tree.n_leaves > 256
+    rows = spark.createDataFrame([(i, [float(c) for c in v], 0, "", 1) for i, v in enumerate(x)], SCHEMA).repartition(6)
+    got = nearest_neighbours(rows, F.col("vec_id") % 50 == 0, leaf_rows=8, part=16).collect()
+    c = cosines([(i, v) for i, v in enumerate(x)])
+    np.fill_diagonal(c, -2)
+    hit = 0
+    for q in range(0, 4000, 50):
+        mine = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+        assert [m[0] for m in mine] == [1, 2, 3, 4, 5] and all(abs(s - c[q, v]) < 1e-9 for _, v, s in mine)
+        hit += len(set(np.lexsort((np.arange(4000), -np.round(c[q], 12)))[:5].tolist()) & {v for _, v, _ in mine})
+    assert hit >= 0.9 * 400
+    assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == 50] == [1000, 1001, 1002, 1003, 1004]
+    everything = nearest_neighbours(rows.filter("vec_id between 1000 and 1399"), F.col("vec_id") % 100 == 0).collect()
+    assert len(everything) == 20  # k rows for each query, however many tie
+
+
 def test_nearest_with_few_candidates(spark):
     three = [(0, [1.0, 0.0], 0, "", 1), (1, [1.0, 1.0], 0, "", 1), (2, [0.0, 1.0], 0, "", 1)]
     got = nearest_neighbours(spark.createDataFrame(three, SCHEMA), F.col("vec_id") == 0).orderBy("rank").collect()

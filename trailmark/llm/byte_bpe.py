@@ -1,13 +1,17 @@
 """Byte-level BPE encoding and decoding of whole texts.
 
-Texts become arrays of codepoint classes (letter, number, white space, other).
-The pre-token pattern is a transition function over these classes.  Composed
-over any four neighbouring codepoints that function no longer depends on the
-state before them, so its associative scan ends after four steps, and pre-token
-boundaries are found by comparing the class array with itself shifted; no
-regular expression runs.  Slices between boundaries are hashed, distinct ones
-are merged once (all short ones of a batch side by side) and kept in a cache,
-and ids are laid out by the slices' offsets, which decoding uses again.
+Texts become arrays of codepoint classes (letter, number, other, kinds of white
+space, quotes that begin a contraction); a class looks at most two codepoints
+ahead.  The pre-token pattern is an automaton over these classes: each class is a
+function from state to state.  These functions and all their compositions form a
+small set, so a function is a number and composing two is a table lookup; an
+associative scan over the numbers gives the state before every codepoint, and with
+it the pre-token boundaries.  No regular expression runs.  (Over any four
+codepoints a composition is constant, so the scan ends after two doublings.)
+
+Distinct slices between boundaries are merged once, all short ones of a batch side
+by side, and kept in a cache.  Encoding also returns where in the text's bytes each
+id ends; decoding lays ids out by these offsets.
 
 The merge ranks are read on the driver from a file of ``base64 rank`` lines and
 broadcast; their size is that of the vocabulary and does not grow with the data.
@@ -24,26 +28,27 @@ import base64
 import heapq
 import sys
 import unicodedata
-from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textarrays as A
-from .batches import in_small_batches
+from .batches import in_small_batches, slices, tidied
 
-LETTER, NUMBER, SPACE, OTHER, END = range(5)
+LETTER, NUMBER, OTHER, SPACE, END, LAST, BLANK, QUOTE1, QUOTE2 = range(9)
+"""Classes.  LAST and BLANK: white space before something else, BLANK if it is 0x20; QUOTE1 and QUOTE2: a quote before that many letters of a contraction."""
 #: Fixed values of the pattern: white space besides the ASCII kinds, and the contractions' letters.
 WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 ONE_LETTER, TWO_LETTERS = "stmd", ("re", "ve", "ll")
 SHORT = 48  # longer pre-tokens are merged with a heap
-CACHE = 120_000  # distinct pre-tokens kept by a worker before it starts anew
+CACHE = 60_000  # distinct pre-tokens in each generation of a worker's cache
 CHUNK_CHARS = 600_000
 
 
@@ -66,46 +71,119 @@ def classes() -> np.ndarray:
     return table
 
 
+class Automaton:
+    """The pattern's states after a codepoint, and all functions that runs of classes have on them.
+
+    FREE: whatever comes begins a pre-token.  WORD, DIGITS, SIGNS, WHITES: inside such a
+    run.  JOIN: after a blank that belongs to what follows.  ONE, TWO: so many letters of a
+    contraction are to come.
+    """
+
+    FREE, WORD, DIGITS, SIGNS, WHITES, JOIN, ONE, TWO = STATES = range(8)
+
+    def __init__(self):
+        go = np.empty((9, 8), np.int64)  # the state after each class, by the state before
+        begins = np.ones((9, 8), bool)  # whether the codepoint begins a pre-token
+        for kind, run in ((LETTER, self.WORD), (NUMBER, self.DIGITS), (OTHER, self.SIGNS), (SPACE, self.WHITES)):
+            go[kind], begins[kind, run] = run, False
+        go[[LAST, END]], go[BLANK] = self.FREE, self.JOIN
+        for kind, state in ((QUOTE1, self.ONE), (QUOTE2, self.TWO)):
+            go[kind] = state
+            go[kind, [self.SIGNS, self.JOIN]], begins[kind, [self.SIGNS, self.JOIN]] = self.SIGNS, False
+        begins[[LETTER, NUMBER, OTHER], self.JOIN] = False
+        go[LETTER, [self.ONE, self.TWO]], begins[LETTER, [self.ONE, self.TWO]] = (self.FREE, self.ONE), False
+        self.begins = begins
+        known = {tuple(f): i for i, f in enumerate(dict.fromkeys(map(tuple, [*go.tolist(), *([s] * 8 for s in self.STATES)])))}
+        while True:  # close under composition
+            new = {tuple(g[x] for x in f) for f in known for g in known} - known.keys()
+            if not new:
+                break
+            known |= {f: len(known) + i for i, f in enumerate(sorted(new))}
+        functions = list(known)
+        self.of_class = np.array([known[tuple(f)] for f in go.tolist()], np.int32)
+        self.constant = np.array([known[(s,) * 8] for s in self.STATES], np.int32)
+        self.after = np.array(functions, np.int8)  # by function and state
+        self.is_constant = (self.after == self.after[:, :1]).all(axis=1)
+        self.n = len(functions)
+        self.then = np.array([[known[tuple(g[x] for x in f)] for g in functions] for f in functions], np.int32).ravel()
+
+    def states_before(self, kind: np.ndarray) -> np.ndarray:
+        """The state before each place; the text begins in FREE."""
+        scan = self.of_class[kind]
+        scan[0] = self.constant[self.after[scan[0], self.FREE]]
+        reach = 1
+        while reach < len(scan) and not self.is_constant[scan].all():
+            scan[reach:] = self.then[scan[:-reach] * self.n + scan[reach:]]
+            reach *= 2
+        out = np.full(len(kind), self.FREE, np.int8)
+        out[1:] = self.after[scan[:-1], 0]
+        return out
+
+
+@lru_cache(1)
+def automaton() -> Automaton:
+    return Automaton()
+
+
+def look_ahead(cp: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Classes that depend on what follows: the last white space of a run, quotes of contractions."""
+    kind = kind.copy()
+    white = np.flatnonzero(kind[:-1] == SPACE)
+    last = white[(kind[white + 1] != SPACE) & (kind[white + 1] != END)]
+    kind[last] = np.where(cp[last] == 0x20, BLANK, LAST)
+    quote = np.flatnonzero(cp[:-1] == 0x27)
+    one, two = cp[quote + 1], cp[np.minimum(quote + 2, len(cp) - 1)]
+    kind[quote[np.isin(one, [ord(c) for c in ONE_LETTER])]] = QUOTE1
+    for a, b in TWO_LETTERS:
+        kind[quote[(one == ord(a)) & (two == ord(b))]] = QUOTE2
+    return kind
+
+
 def pretokens(cp: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    """Where pre-tokens begin.  ``kind`` is END at the places between texts."""
-    n = len(cp)
-    before = np.empty(n, np.uint8)
-    before[0] = END
-    before[1:] = kind[:-1]
-    after_blank = np.zeros(n, bool)
-    after_blank[1:] = (cp[:-1] == 0x20) & (kind[:-1] == SPACE)
-    start = before != kind
-    start &= ~(after_blank & (kind != SPACE) & (kind != END))  # a blank joins what follows it
-    start |= kind == END
-    white = kind == SPACE
-    split = white.copy()  # the last of two or more white characters before a text goes on
-    split[0] = False
-    split[1:] &= white[:-1]
-    split[:-1] &= (kind[1:] != SPACE) & (kind[1:] != END)
-    split[-1] = False
-    start |= split
-    quote = np.flatnonzero((cp[: n - 1] == 0x27) & start[: n - 1] & (kind[1:] == LETTER))
-    if len(quote):
-        one = cp[quote + 1]
-        two = np.where(kind[np.minimum(quote + 2, n - 1)] == LETTER, cp[np.minimum(quote + 2, n - 1)], 0)
-        single = np.isin(one, [ord(c) for c in ONE_LETTER])
-        double = np.zeros(len(quote), bool)
-        for a, b in TWO_LETTERS:
-            double |= (one == ord(a)) & (two == ord(b))
-        for hit, size in ((single, 2), (double, 3)):
-            at = quote[hit]
-            start[at + 1] = False
-            end = at + size
-            end = end[end < n]
-            start[end[kind[end] == LETTER]] = True
-    return np.flatnonzero(start)
+    """Where pre-tokens begin.  ``kind`` is END at the places between texts, and at the end."""
+    kind = look_ahead(cp, kind)
+    return np.flatnonzero(automaton().begins[kind, automaton().states_before(kind)])
+
+
+class Sliced(NamedTuple):
+    """The pre-tokens of some texts: each one's text and place among the distinct ones, and those."""
+
+    text: np.ndarray
+    which: np.ndarray
+    distinct: list[bytes]
+
+
+def pretokenise(texts: list[str]) -> Sliced:
+    joined = "\0".join(texts) + "\0"
+    cp = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    kind = classes()[cp]
+    kind[np.cumsum([len(t) + 1 for t in texts]) - 1] = END
+    start = pretokens(cp, kind)
+    stop = np.append(start[1:], len(cp))
+    real = kind[start] != END
+    text = np.cumsum(kind == END)[start][real]  # END itself counts to the next
+    start, stop = start[real], stop[real]
+    first, which = A.distinct_slices(cp, start, stop)
+    return Sliced(text, which, [joined[a:b].encode() for a, b in zip(start[first].tolist(), stop[first].tolist())])
+
+
+class Cache:
+    """Two generations of results: what is not asked for while one fills is forgotten."""
+
+    def __init__(self, size: int = CACHE):
+        self.size, self.now, self.before = size, {}, {}
+
+    def turn(self) -> tuple[dict, dict]:
+        if len(self.now) > self.size:
+            self.now, self.before = {}, self.now
+        return self.now, self.before
 
 
 class Encoder:
     """Merges pre-tokens by rank; a worker keeps one."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks, self.cache = ranks, {}
+        self.ranks, self.cache = ranks, Cache()
         self.size = max(ranks.values()) + 1
         pairs = {}
         for token, rank in ranks.items():
@@ -113,10 +191,11 @@ class Encoder:
                 a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if a is not None and b is not None:
                     pairs[a * self.size + b] = rank
+        self.pairs = pairs
         self.keys = np.array(sorted(pairs), np.int64)
         self.rank = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-
+        self.length = token_lengths(ranks)
 
     def _pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.size + right
@@ -162,12 +241,9 @@ class Encoder:
         ids = self.byte[np.frombuffer(piece, np.uint8)].tolist()
         n = len(ids)
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        keys, ranks = self.keys.tolist(), self.rank.tolist()
 
         def rank(i: int) -> int | None:
-            key = ids[i] * self.size + ids[after[i]] if after[i] >= 0 else -1
-            at = bisect_left(keys, key)
-            return ranks[at] if at < len(keys) and keys[at] == key else None
+            return self.pairs.get(ids[i] * self.size + ids[after[i]]) if after[i] >= 0 else None
 
         heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank(i)) is not None]
         heapq.heapify(heap)
@@ -185,76 +261,64 @@ class Encoder:
                     heapq.heappush(heap, (x, k, ids[k], ids[after[k]]))
         return tuple(x for x, dead in zip(ids, gone) if not dead)
 
-    def lookup(self, hashes: list[int], slices: list[bytes]) -> list[tuple[int, ...]]:
+    def lookup(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """The ids of distinct pre-tokens, from the cache where they are in it."""
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        out = [cache.get(h) for h in hashes]
-        new = [i for i, x in enumerate(out) if x is None]
+        cache, before = self.cache.turn()
         short = []
-        for i in new:
-            piece = slices[i]
-            whole = self.ranks.get(piece)
-            if whole is not None:
-                out[i] = (whole,)
-            elif len(piece) > SHORT:
-                out[i] = self.merge_long(piece)
-            else:
-                short.append(i)
-        short.sort(key=lambda i: len(slices[i]))
+        for piece in pieces:
+            if piece not in cache:
+                found = before.get(piece)
+                if found is None and (whole := self.ranks.get(piece)) is not None:
+                    found = (whole,)
+                if found is None and len(piece) > SHORT:
+                    found = self.merge_long(piece)
+                if found is None:
+                    short.append(piece)
+                else:
+                    cache[piece] = found
+        short.sort(key=len)
         for k in range(0, len(short), 4096):
             part = short[k : k + 4096]
-            for i, ids in zip(part, self.merge_short([slices[i] for i in part])):
-                out[i] = ids
-        for i in new:
-            cache[hashes[i]] = out[i]
-        return out
+            cache.update(zip(part, self.merge_short(part)))
+        return [cache[piece] for piece in pieces]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        joined = "\0".join(texts) + "\0"
-        cp = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
-        kind = classes()[cp]
-        kind[ends] = END
-        start = pretokens(cp, kind)
-        stop = np.append(start[1:], len(cp))
-        sums = A.prefix(cp.astype(A.U64) + A.U64(1), A.BYTE_BASE)
-        hashes = A.mix(A.slice_hash(sums, start, stop, A.BYTE_BASE) + (stop - start).astype(A.U64))
-        real = kind[start] != END
-        which = np.cumsum(kind == END)[start]  # the text of each pre-token; END itself counts to the next
-        start, stop, hashes, which = start[real], stop[real], hashes[real], which[real]
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        slices = [joined[a:b].encode() for a, b in zip(start[first].tolist(), stop[first].tolist())]
-        ids = self.lookup(distinct.tolist(), slices)
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The ids of each text, and where in its bytes each of them ends."""
+        sliced = pretokenise(texts)
+        ids = self.lookup(sliced.distinct)
         count = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for row in ids for x in row), np.uint32, int(count.sum()))
-        begin = np.cumsum(count) - count
-        own = count[inverse]
-        offset = np.cumsum(own) - own  # where each pre-token's ids go
-        out = flat[np.repeat(begin[inverse] - offset, own) + np.arange(int(own.sum()))]
-        per_text = np.bincount(which, weights=own, minlength=len(texts)).astype(np.int64)
-        return np.split(out, np.cumsum(per_text)[:-1]) if texts else []
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(count.sum()))
+        own = count[sliced.which]
+        out = flat[A.each((np.cumsum(count) - count)[sliced.which], own)]
+        cut = np.cumsum(np.bincount(sliced.text, weights=own, minlength=len(texts)).astype(np.int64))[:-1]
+        return [(x, np.cumsum(self.length[x], dtype=np.uint32)) for x in np.split(out, cut)] if texts else []
+
+
+def token_lengths(ranks: dict[bytes, int]) -> np.ndarray:
+    length = np.zeros(max(ranks.values()) + 1, np.int64)
+    for token, rank in ranks.items():
+        length[rank] = len(token)
+    return length
+
 
 class Decoder:
     """The bytes of every id, end to end."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.size = max(ranks.values()) + 1
-        length = np.zeros(self.size, np.int64)
-        for token, rank in ranks.items():
-            length[rank] = len(token)
-        self.length, self.at = length, np.cumsum(length) - length
+        length = token_lengths(ranks)
+        self.at = np.cumsum(length) - length
+        self.length = length
         body = bytearray(int(length.sum()))
         for token, rank in ranks.items():
             body[self.at[rank] : self.at[rank] + len(token)] = token
         self.body = np.frombuffer(bytes(body), np.uint8)
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        own = self.length[ids]
-        offset = np.cumsum(own) - own
-        return self.body[np.repeat(self.at[ids] - offset, own) + np.arange(int(own.sum()))].tobytes()
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> bytes:
+        """The bytes of ids that end where ``ends`` says."""
+        own = np.diff(ends.astype(np.int64), prepend=0)
+        if (own != self.length[ids]).any():
+            raise ValueError("ids and offsets do not belong together")
+        return self.body[A.each(self.at[ids], own)].tobytes()
 
 
 @lru_cache(1)
@@ -272,53 +336,49 @@ def _shared(spark, path: str):
     return (len(ranks), hash(path)), spark.sparkContext.broadcast(ranks)
 
 
-def _groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of about CHUNK_CHARS bytes of text."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK_CHARS)))
-        yield batch.slice(at, to - at)
-        at = to
+def _encoded(texts: list[str], encoder: Encoder, decoder: Decoder | None) -> Iterator[tuple]:
+    for ids, ends in encoder.encode(texts):
+        yield len(ids), ids.astype("<u4").tobytes(), ends.astype("<u4").tobytes(), *([decoder.decode(ids, ends)] if decoder else [])
+
 
+def encode(
+    docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, decoded: bool = False
+) -> DataFrame:
+    """doc_id, n_tokens, ids and ends (unsigned 32-bit little-endian integers), rest (the carried columns).
 
-def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids (unsigned 32-bit little-endian integers), rest (the carried columns)."""
+    With ``decoded`` also what ``decode`` makes of them, in the same pass.
+    """
     key, held = _shared(docs.sparkSession, ranks_path)
     picked = in_small_batches(docs).select(
         F.col(id_col).alias("doc_id"),
         F.col(text_col).cast("string").alias("text"),
         F.struct(*[F.col(c) for c in carry]).alias("rest") if carry else F.lit(None).cast("int").alias("rest"),
     )
-    schema = T.StructType([picked.schema["doc_id"], *T.StructType.fromDDL("n_tokens long, ids binary").fields, picked.schema["rest"]])
+    made = T.StructType.fromDDL("n_tokens long, ids binary, ends binary" + (", decoded binary" if decoded else ""))
+    schema = T.StructType([picked.schema["doc_id"], *made.fields, picked.schema["rest"]])
+    types = [pa.int64(), *[pa.binary()] * (len(made) - 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(key, held)
+        encoder, decoder = _encoder(key, held), _decoder(key, held) if decoded else None
         for batch in batches:
-            for part in _groups(batch):
-                ids = encoder.encode(part.column("text").fill_null("").to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()),
-                        part.column("rest"),
-                    ],
-                    names=["doc_id", "n_tokens", "ids", "rest"],
-                )
+            for part in slices(batch, CHUNK_CHARS):
+                rows = list(_encoded(part.column("text").fill_null("").to_pylist(), encoder, decoder))
+                columns = [pa.array(values, kind) for values, kind in zip(zip(*rows), types)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns, part.column("rest")], names=schema.names)
 
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(tidied(run), schema)
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """The same rows with ``decoded``, the bytes that their ids stand for."""
+    """The same rows with ``decoded``, the bytes that their ids stand for, laid out by ``ends``."""
     key, held = _shared(encoded.sparkSession, ranks_path)
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _decoder(key, held)
         for batch in batches:
-            decoded = [decoder.decode(np.frombuffer(x.as_py() or b"", "<u4").astype(np.int64)) for x in batch.column("ids")]
+            pairs = zip(batch.column("ids"), batch.column("ends"))
+            decoded = [decoder.decode(*(np.frombuffer(x.as_py() or b"", "<u4") for x in pair)) for pair in pairs]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], names=[*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(tidied(run), schema)

@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .skew import join_salted
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Checkpoints go to the folder in spark.checkpoint.dir; a local one serves tests."""
@@ -32,25 +34,26 @@ def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
     Edges are replaced, round by round, by edges to smaller neighbours (large
     star, then small star), until they form stars around the smallest node.
-    Every round is cut by a checkpoint, and both kinds of round aggregate before
-    the shuffle, so a node with very many neighbours costs no single task its list.
+    Every round is cut by a checkpoint.  Neighbours are aggregated before the
+    shuffle, and where a node's edges meet its smallest neighbour, those of nodes
+    with very many are dealt over all tasks, so no task gets a hub's whole list.
     """
     edges = links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
-    seen = None
-    while True:
+    seen, total = None, edges.count()
+    while total:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("w")).select("u", F.least("u", "m").alias("m"), "w")
         # Large star: larger neighbours move to the smallest node around.
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = join_salted(both, least, ["u"], "w", ["v"], total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Small star: smaller neighbours and the node itself do.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(low, "u")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("w"))
+        moved = join_salted(large, low, ["u"], "w", ["v"], total)
         small = moved.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = small.distinct().checkpoint()
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if now == seen or not now["n"]:
+        if now == seen:
             break
-        seen = now
+        seen, total = now, now["n"]
         release(nodes.sparkSession)
     found = edges.groupBy("u").agg(F.min("v").alias("label"))
     return nodes.join(found, nodes["doc_id"] == found["u"], "left").select("doc_id", F.coalesce("label", "doc_id").alias("label"))

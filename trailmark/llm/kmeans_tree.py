@@ -11,12 +11,16 @@ visits are widened until the share of true neighbours whose leaf was visited
 reaches ``recall``.  The same count then holds for all queries; a query goes on
 until it has seen k candidates at least.
 
-Queries meet the rows of a leaf in blocks of at most about ``PART`` rows and
-``PART`` queries a task, however large a leaf is.
+Queries meet the rows of a leaf in blocks of at most about ``part`` rows and
+``part`` queries a task, however large a leaf is; blocks follow from the queries
+that visit a leaf, so rows of leaves that none visits go nowhere.  Scores are
+computed on the original vectors, pair by pair in one order of operations, so equal
+vectors get equal scores however the blocks are cut.
 
 Defined cases: rows that ``vectors.clean`` leaves out take no part; a query is
 never its own neighbour (rows that share its id neither); repeated vectors are
-neighbours of score 1, ties go to the smaller id; with fewer than k candidates
+neighbours of score 1, ties go to the smaller id, also among more than k; vectors
+of another length than most take no part; with fewer than k candidates
 all are returned; an empty table gives an empty result; other columns are
 ignored.
 """
@@ -38,14 +42,15 @@ LEAVES = 4096
 LEAF_ROWS = 256
 AUDIT = 200
 PART = 4096
+NEAR = 1e-9  # scores this close are decided by the exact ones
 
 
 class Tree:
     """Nodes of a k-means tree: centres, children (none for leaves)."""
 
-    def __init__(self, x: np.ndarray, n: int):
+    def __init__(self, x: np.ndarray, n: int, leaf_rows: int = LEAF_ROWS):
         self.centres, self.children, self.leaf, self.n_leaves = [], [], [], 0
-        wanted = max(1, min(LEAVES, n // LEAF_ROWS, len(x) // 8))
+        wanted = max(1, min(LEAVES, n // leaf_rows, len(x) // 8))
         self.top = self._grow(x, wanted)
 
     def _grow(self, x: np.ndarray, leaves: int) -> list[int]:
@@ -61,7 +66,7 @@ class Tree:
             self.leaf.append(-1)
             part = x[own == k]
             below = round(leaves * len(part) / max(1, len(x)))
-            if leaves > BRANCH and below > 1 and len(part) > 1 and len(centres) > 1:
+            if leaves > BRANCH and 1 < below and 1 < len(part) < len(x):
                 self.children[node] = self._grow(part, below)
             else:
                 self.leaf[node] = self.n_leaves
@@ -101,18 +106,18 @@ class Tree:
                 yield self.leaf[node]
 
 
-def _cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return q @ x.T
-
-
-def _top(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int):
+def _top(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int):
     """For each query its k best rows by (score, smaller id): query index, row index, score."""
-    sims = _cosines(q, x)
+    sims = V.unit(q) @ V.unit(v).T
     sims[query_ids[:, None] == ids[None, :]] = -np.inf
     take = min(k, len(ids))
     cut = -np.partition(-sims, take - 1, axis=1)[:, take - 1 : take]
-    qi, ri = np.nonzero((sims >= cut) & np.isfinite(sims))  # ties at the cut stay in
-    return qi, ri, sims[qi, ri]
+    qi, ri = np.nonzero((sims >= cut - NEAR) & np.isfinite(sims))
+    score = np.concatenate([np.zeros(0), *(V.cosines(q[qi[at : at + 65536]], v[ri[at : at + 65536]]) for at in range(0, len(qi), 65536))])
+    order = np.lexsort((ids[ri], -score, qi))
+    qi = qi[order]
+    best = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
+    return qi[best], ri[order][best], score[order][best]
 
 
 def _nearest(found: DataFrame, k: int) -> DataFrame:
@@ -122,13 +127,13 @@ def _nearest(found: DataFrame, k: int) -> DataFrame:
 
 def _audit(leafed: DataFrame, probes: pa.Table, k: int) -> list[tuple[int, int]]:
     """(query_id, leaf of a true neighbour), by brute force over all rows."""
-    ids, q = probes["vec_id"].to_numpy(), V.unit(V.matrix(probes["v"]))
+    ids, q = probes["vec_id"].to_numpy(), V.matrix(probes["v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, leaf = batch.column("vec_id").to_numpy(), batch.column("leaf").to_numpy()
             if len(own):
-                qi, ri, s = _top(own, V.unit(V.matrix(batch.column("v"))), ids, q, k)
+                qi, ri, s = _top(own, V.matrix(batch.column("v")), ids, q, k)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[qi]), pa.array(own[ri]), pa.array(leaf[ri]), pa.array(s)], names=["query_id", "vec_id", "leaf", "score"]
                 )
@@ -138,14 +143,14 @@ def _audit(leafed: DataFrame, probes: pa.Table, k: int) -> list[tuple[int, int]]
 
 
 def nearest_neighbours(
-    table: DataFrame, is_query: Column, k: int = 5, recall: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding"
+    table: DataFrame, is_query: Column, k: int = 5, recall: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding", leaf_rows: int = LEAF_ROWS, part: int = PART
 ) -> DataFrame:
     """query_id, rank, vec_id, score; ``is_query`` is a predicate on vec_id."""
     rows = V.clean(table, id_col, vector_col)
     n = rows.count()
     found_schema = "query_id long, vec_id long, score double"
     x = V.sample(rows, n)
-    tree = Tree(x, n).freeze() if len(x) else None
+    tree = Tree(x, n, leaf_rows).freeze() if len(x) else None
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,54 +174,44 @@ def nearest_neighbours(
         place[query] = {leaf: i for i, leaf in enumerate(tree.visits(tree.centres @ v))}
     ranks = sorted(place[query][leaf] for query, leaf in _audit(leafed, probes, k)) if place else []
     width = ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)] + 1 if ranks else tree.n_leaves
-    parts = np.maximum(1, -(-count // PART))
-    chunks = np.maximum(1, -(-np.full(tree.n_leaves, n_asked) // PART))
-
-    def spread(rng: np.ndarray, salt: int) -> np.ndarray:
-        return (rng.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * salt)) >> np.uint64(33)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, x = batch.column("vec_id").to_numpy(), V.unit(V.matrix(batch.column("v"))) if batch.num_rows else None
-            at, leaves, part, chunk = [], [], [], []
+            x = V.unit(V.matrix(batch.column("v"))) if batch.num_rows else None
+            at, leaves = [], []
             for i in range(batch.num_rows):
                 seen = 0
                 for step, leaf in enumerate(tree.visits(tree.centres @ x[i])):
                     if step >= width and seen > k:
                         break
                     seen += int(count[leaf])
-                    own = int(spread(ids[i : i + 1], 1)[0] % np.uint64(chunks[leaf]))
-                    for p in range(int(parts[leaf])):
-                        at.append(i), leaves.append(leaf), part.append(p), chunk.append(own)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id").take(pa.array(at, pa.int64())), batch.column("v").take(pa.array(at, pa.int64())), *(pa.array(y, pa.int64()) for y in (leaves, part, chunk))],
-                names=["vec_id", "v", "leaf", "part", "chunk"],
-            )
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            leaf = batch.column("leaf").to_numpy()
-            part = (spread(batch.column("vec_id").to_numpy(), 2) % parts[leaf].astype(np.uint64)).astype(np.int64)
-            at = np.repeat(np.arange(len(leaf)), chunks[leaf])
-            chunk = np.arange(len(at)) - np.repeat(np.cumsum(chunks[leaf]) - chunks[leaf], chunks[leaf])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id").take(pa.array(at)), batch.column("v").take(pa.array(at)), pa.array(leaf[at]), pa.array(part[at]), pa.array(chunk)],
-                names=["vec_id", "v", "leaf", "part", "chunk"],
-            )
+                    at.append(i), leaves.append(leaf)
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(at), batch.column("v").take(at), pa.array(leaves, pa.int64())], names=["vec_id", "v", "leaf"])
 
     def search(asked: pa.Table, held: pa.Table) -> pa.Table:
         out = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not asked.num_rows or not held.num_rows:
             return out
-        ids, x = held["vec_id"].to_numpy(), V.unit(V.matrix(held["v"]))
-        query_ids, q = asked["vec_id"].to_numpy(), V.unit(V.matrix(asked["v"]))
+        ids, v = held["vec_id"].to_numpy(), V.matrix(held["v"])
+        query_ids, q = asked["vec_id"].to_numpy(), V.matrix(asked["v"])
         pieces = [out]
         for at in range(0, len(query_ids), 512):
-            qi, ri, s = _top(ids, x, query_ids[at : at + 512], q[at : at + 512], k)
-            pieces.append(pa.table({"query_id": query_ids[at : at + 512][qi], "vec_id": ids[ri], "score": np.minimum(s, 1.0)}))
+            qi, ri, s = _top(ids, v, query_ids[at : at + 512], q[at : at + 512], k)
+            pieces.append(pa.table({"query_id": query_ids[at : at + 512][qi], "vec_id": ids[ri], "score": np.clip(s, -1.0, 1.0)}))
         return pa.concat_tables(pieces)
 
-    keys, schema = ["leaf", "part", "chunk"], "vec_id long, v array<double>, leaf long, part long, chunk long"
-    routed = asked.mapInArrow(route, schema).groupBy(keys)
-    found = routed.cogroup(leafed.mapInArrow(deal, schema).groupBy(keys)).applyInArrow(search, found_schema)
-    return _nearest(found, k).select("query_id", "rank", "vec_id", "score")
+    # One row for each visited leaf, LEAVES at most: how its rows and its queries are dealt.
+    routed = asked.mapInArrow(route, "vec_id long, v array<double>, leaf long")
+    per = lambda column: F.greatest(F.lit(1), F.ceil(F.col(column) / part)).cast("int")
+    visited = routed.groupBy("leaf").agg(F.count(F.lit(1)).alias("asked"))
+    sizes = F.broadcast(
+        visited.join(leafed.groupBy("leaf").agg(F.count(F.lit(1)).alias("held")), "leaf").select("leaf", per("held").alias("parts"), per("asked").alias("chunks"))
+    )
+    deal = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.col(n)).cast("int")
+    copy = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    queries = routed.join(sizes, "leaf").withColumn("chunk", deal("chunks", 1)).withColumn("part", copy("parts"))
+    members = leafed.join(sizes, "leaf").withColumn("part", deal("parts", 2)).withColumn("chunk", copy("chunks"))
+    keys = ["leaf", "part", "chunk"]
+    queries, members = (x.select(*keys, "vec_id", "v").groupBy(keys) for x in (queries, members))
+    return _nearest(queries.cogroup(members).applyInArrow(search, found_schema), k).select("query_id", "rank", "vec_id", "score")

@@ -14,8 +14,9 @@ chance below 1e-9, so pairs that agree in fewer are left out.
    under one of those (prefix).
 3. Meetings are turned into links without emitting the pairs of a group.  In
    each of ``ROUNDS`` rounds a posting list names one hub, drawn by a hash; members
-   count how often they collide with a hub of another class, the best few hubs
-   are compared on full sets, and linked documents share a class from then on.
+   count how often they collide with a hub of another class, the pairs with the best
+   few hubs are retained if they agree in ``least`` coordinates of the whole
+   signature and confirmed on full sets, and linked documents share a class from then on.
 4. What remains is exact: documents whose classes still meet under a value post
    their shingles, rarest first, as far as the threshold asks; classes that meet
    there are paired once, and the smaller class of a pair is compared with the
@@ -30,7 +31,8 @@ Defined cases: null and empty texts have an empty set, link with nothing and are
 kept; fewer than five words are one shingle; rows with a null id are returned as
 their own class (null) and kept; rows that share an id are one document, linked
 by what links any of them; an empty table gives an empty result; other columns
-are ignored.  Shingles are compared as 64-bit hashes.
+are ignored.  Shingles are compared as 64-bit hashes, chained word by word
+(``textarrays``), so a wrong match needs two of a pair's few hundred to collide by chance.
 """
 
 from __future__ import annotations
@@ -45,13 +47,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textarrays as A
-from .batches import in_small_batches
+from .batches import in_small_batches, slices, tidied
 from .components import connected_components, ensure_checkpoint_dir, release
+from .skew import join_salted
 
 COORDS = 64
 ROUNDS = 3
 HUBS = 2
 BLOCK = 512
+TEXT = 1_000_000  # bytes of text, or of shingle sets, that a task holds at once
+SEED = 0xA24BAED4963EE407
 SMALL = 64  # products of class sizes up to which pairs are compared one by one
 
 
@@ -73,12 +78,14 @@ def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
         starts, ends, doc = A.words(part, offs)
         words = A.word_hashes(part, starts, ends)
         n = np.bincount(doc, minlength=len(offs) - 1)
-        sums = A.prefix(words, A.WORD_BASE)
-        h = A.window_hash(sums, size, A.WORD_BASE)
+        h = A.chained(words, size, SEED)
         ok = doc[: len(h)] == doc[size - 1 :] if len(h) else np.zeros(0, bool)
         few = np.flatnonzero((n > 0) & (n < size))
         first = np.cumsum(n) - n
-        whole = A.mix(A.slice_hash(sums, first[few], first[few] + n[few], A.WORD_BASE) + n[few].astype(A.U64) * A.U64(0xA24BAED4963EE407))
+        whole = A.mix(n[few].astype(A.U64) + A.U64(SEED))
+        for k in range(size - 1):
+            more = n[few] > k
+            whole[more] = A.mix(whole[more] ^ words[first[few[more]] + k])
         h = np.concatenate((h[ok], whole))
         row = np.concatenate((doc[: len(ok)][ok], few))
         order = np.lexsort([h, row])
@@ -112,8 +119,7 @@ def _sketch(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in slices(batch, TEXT, 500):
                 flat, offsets = shingle_sets(part.column("text"), size)
                 n = np.diff(offsets)
                 full = np.flatnonzero(n)
@@ -134,7 +140,7 @@ def _sketch(docs: DataFrame, size: int) -> DataFrame:
                     names=["doc_id", "n", "digest", "values"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, values array<long>")
+    return docs.mapInArrow(tidied(run), "doc_id long, n long, digest binary, values array<long>")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -142,24 +148,24 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in slices(batch, TEXT, 500):
                 flat, offsets = shingle_sets(part.column("text"), size)
                 raw = flat.tobytes()
                 items = pa.array([raw[8 * a : 8 * b] for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), items], names=["doc_id", "items"])
 
-    return docs.mapInArrow(run, "doc_id long, items binary")
+    return docs.mapInArrow(tidied(run), "doc_id long, items binary")
 
 
 def _similar(inter: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * inter >= percent * (a + b - inter)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, least: int) -> DataFrame:
+    """The pairs (a, b) that agree in ``least`` coordinates or more and whose full sets reach the threshold."""
+    left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"), F.col("signature").alias("xs"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"), F.col("signature").alias("ys"))
+    collisions = F.aggregate(F.zip_with("xs", "ys", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +176,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     good[i] = _similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent)
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
+    matched = pairs.select("a", "b").join(left, "a").join(right, "b").filter(collisions >= least)
+    return matched.select("a", "b", "x", "y").mapInArrow(tidied(run), "a long, b long")
 
 
 def _hub_pairs(now: DataFrame, turn: int) -> DataFrame:
@@ -202,8 +209,7 @@ def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each shingle of each set."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
+        for part in slices(batch, TEXT, 500, "items"):
             sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("items")]
             n = np.array([len(x) for x in sets])
             row = np.repeat(np.arange(len(n)), n)
@@ -213,7 +219,7 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _rest(lists: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _rest(lists: DataFrame, label: DataFrame, sets: DataFrame, percent: int, least: int) -> DataFrame:
     """Links between classes that still meet under a value, all of them compared.
 
     The documents of such classes post their shingles themselves.  A document of n
@@ -224,8 +230,8 @@ def _rest(lists: DataFrame, label: DataFrame, sets: DataFrame, percent: int) ->
     classes = lists.join(label, "doc_id").select("value", "label").distinct()
     values = classes.groupBy("value").count().filter("count > 1").select("value")
     meeting = classes.join(values, "value").select("label").distinct()
-    open_ = label.join(meeting, "label").join(sets, "doc_id").select("doc_id", "label", "items").checkpoint()
-    posts = open_.mapInArrow(_explode, "doc_id long, label long, n long, item long")
+    open_ = label.join(meeting, "label").join(sets, "doc_id").select("doc_id", "label", "items", "signature").checkpoint()
+    posts = open_.drop("signature").mapInArrow(tidied(_explode), "doc_id long, label long, n long, item long")
     held = posts.groupBy("item").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("df"))
     ranked = (
         posts.join(held.filter("lo < hi").select("item", "df"), "item")
@@ -255,12 +261,12 @@ def _rest(lists: DataFrame, label: DataFrame, sets: DataFrame, percent: int) ->
     # Small classes are compared pair by pair.
     a, b = (label.select(F.col("doc_id").alias(x), F.col("label").alias(y)) for x, y in (("a", "small"), ("b", "large")))
     little = F.col("few") * F.col("many") <= SMALL
-    direct = _verified(tests.filter(little).join(a, "small").join(b, "large").select("a", "b"), open_, percent)
+    direct = _verified(tests.filter(little).join(a, "small").join(b, "large").select("a", "b"), open_, percent, least)
     # The documents of the smaller class, in chunks, against a larger one, in blocks.
     tests = tests.filter(~little)
     per = tests.groupBy("large").agg(F.sum("few").alias("asked"), F.max("many").alias("size"))
     per = per.select("large", F.ceil(F.col("asked") / BLOCK).cast("int").alias("chunks"), F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
-    full = open_
+    full = open_.drop("signature")
     queries = (
         tests.select("small", "large")
         .join(per, "large")
@@ -275,7 +281,7 @@ def _rest(lists: DataFrame, label: DataFrame, sets: DataFrame, percent: int) ->
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .select("large", "part", "chunk", F.lit(1).alias("side"), "doc_id", "items")
     )
-    blocks = queries.unionByName(members).groupBy("large", "part", "chunk").applyInPandas(_compare_blocks(percent), "a long, b long")
+    blocks = queries.unionByName(members).groupBy("large", "part", "chunk").applyInPandas(tidied(_compare_blocks(percent)), "a long, b long")
     return direct.unionByName(blocks).checkpoint()
 
 
@@ -317,8 +323,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, id_col: s
     sketched = _sketch(picked, size).checkpoint()
     named = sketched.filter("doc_id is not null and n > 0")
     # Representatives of equal sets: the smallest id stands for all.
-    heads = named.groupBy("digest", "n").agg(F.min("doc_id").alias("head"))
-    member = named.select("doc_id", "digest", "n").join(heads, ["digest", "n"])
+    heads = named.groupBy("digest", "n").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("copies")).checkpoint()
+    member = join_salted(named.select("doc_id", "digest", "n"), heads, ["digest", "n"], "copies", ["doc_id"])
     copies = member.filter("doc_id != head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     chosen = heads.select(F.col("head").alias("doc_id"), "digest", "n")
     reps = named.select("doc_id", "digest", "n", "values").join(chosen, ["doc_id", "digest", "n"])
@@ -331,17 +337,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, id_col: s
     prefix = held.filter(F.size("held") >= least).select("doc_id", fame, F.explode(rare).alias("p"))
     lists = prefix.select("doc_id", "fame", F.col("p.value").alias("value")).checkpoint()
     wanted = lists.select("doc_id").distinct()
-    sets = _sets(picked.join(wanted, "doc_id"), size).checkpoint()
+    short = F.transform("values", lambda x: x.bitwiseAND(F.lit(127)).cast("byte"))  # enough to count agreement from above
+    sets = _sets(picked.join(wanted, "doc_id"), size).join(reps.select("doc_id", short.alias("signature")), "doc_id").checkpoint()
     label = wanted.select("doc_id", F.col("doc_id").alias("label")).checkpoint()
     release(docs.sparkSession)
     links = None
     for turn in range(ROUNDS):
-        found = _verified(_hub_pairs(lists.join(label, "doc_id"), turn), sets, percent).checkpoint()
+        found = _verified(_hub_pairs(lists.join(label, "doc_id"), turn), sets, percent, least).checkpoint()
         links = found if links is None else links.unionByName(found)
         label = _joined(label, found).checkpoint()
         release(docs.sparkSession)
     label = connected_components(wanted, links).checkpoint()
-    links = links.unionByName(_rest(lists, label, sets, percent))
+    links = links.unionByName(_rest(lists, label, sets, percent, least))
     release(docs.sparkSession)
     component = connected_components(named.select("doc_id").distinct(), links.unionByName(copies))
     return (

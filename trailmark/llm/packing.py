@@ -11,24 +11,29 @@ that start again at 0 with each segment.  ``write_binary`` writes the matrices.
 
 Defined cases: null and empty texts have no ids and appear in no row; special
 tokens are ordinary text; rows with a null id are packed like others; repeated
-rows are packed as often as they occur; ties are broken by id, then piece, so
-reruns agree; an empty table gives an empty result; other columns are ignored.
+rows are packed as often as they occur; ties are broken by id, text and piece, so
+reruns agree as long as the input is split alike; an empty table gives an empty
+result; other columns are ignored.  Copies of one text under one id (or none) are
+dealt over groups, so no group grows with them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import in_small_batches
+from .batches import in_small_batches, slices, tidied
 from .byte_bpe import load_ranks
 
 GROUP_BYTES = 8_000_000
+COPIES = 16
 SCHEMA = (
     "group long, row long, n_tokens int, n_segments int, ids binary, cu_seqlens array<int>, positions binary, doc_ids array<long>, pieces array<int>"
 )
@@ -89,46 +94,57 @@ def _encoding(path: str, pattern: str, held):
 
 
 def token_ids(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (unsigned 32-bit little-endian) by the tokenizer's own library."""
+    """doc_id, ids (unsigned 32-bit little-endian) by the tokenizer's own library, and salt.
+
+    The salt is 0 for the first COPIES rows of an id and text in a split of the input,
+    then another for each COPIES more.
+    """
     held = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))  # of the vocabulary's size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = _encoding(ranks_path, pattern, held)
+        split, seen = TaskContext.get().partitionId(), {}
+
+        def salt(doc: int | None, ids: bytes) -> int:
+            key = (doc, blake2b(ids, digest_size=12).digest())
+            seen[key] = seen.get(key, -1) + 1
+            return (split << 32) + seen[key] // COPIES if seen[key] >= COPIES else 0
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            for part in slices(batch, 1_000_000):
                 ids = [np.array(encoding.encode_ordinary(t), "<u4").tobytes() for t in part.column("text").fill_null("").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+                salts = list(map(salt, part.column("doc_id").to_pylist(), ids))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(salts, pa.int64())], names=["doc_id", "ids", "salt"])
 
-    return in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, ids binary, salt long")
 
 
 def pack(encoded: DataFrame, n_groups: int, length: int = 2048, pad: int = 0) -> DataFrame:
-    """Packed rows of (doc_id, ids)."""
+    """Packed rows of (doc_id, ids, salt)."""
 
     def run(table: pa.Table) -> pa.Table:
         group = table["group"][0].as_py()
         docs = table["doc_id"].to_pylist()
-        ids = [np.frombuffer(x.as_py(), "<u4") for x in table["ids"]]
-        pieces = [(min(length, len(x) - at), -1 if d is None else d, k, i, at) for i, (d, x) in enumerate(zip(docs, ids)) for k, at in enumerate(range(0, len(x), length))]
-        pieces.sort(key=lambda p: (-p[0], p[1], p[2], ids[p[3]].tobytes() if p[1] < 0 else b""))
+        raw = [x.as_py() for x in table["ids"]]
+        ids = [np.frombuffer(x, "<u4") for x in raw]
+        pieces = [(min(length, len(x) - at), k, i, at) for i, x in enumerate(ids) for k, at in enumerate(range(0, len(x), length))]
+        pieces.sort(key=lambda p: (-p[0], docs[p[2]] is not None, docs[p[2]] or 0, raw[p[2]], p[1]))
         out = {name.split()[0]: [] for name in SCHEMA.split(", ")}
         for row, members in enumerate(best_fit_decreasing(np.array([p[0] for p in pieces], np.int64), length)):
             own = [pieces[m] for m in members]
             size = np.array([p[0] for p in own])
             line = np.full(length, pad, "<u4")
-            line[: size.sum()] = np.concatenate([ids[i][at : at + n] for n, _, _, i, at in own])
+            line[: size.sum()] = np.concatenate([ids[i][at : at + n] for n, _, i, at in own])
             place = np.zeros(length, "<u4")
             place[: size.sum()] = np.concatenate([np.arange(n) for n in size])
-            values = (group, row, int(size.sum()), len(own), line.tobytes(), np.concatenate(([0], np.cumsum(size))).tolist(), place.tobytes(), [docs[p[3]] for p in own], [p[2] for p in own])
+            values = (group, row, int(size.sum()), len(own), line.tobytes(), np.concatenate(([0], np.cumsum(size))).tolist(), place.tobytes(), [docs[p[2]] for p in own], [p[1] for p in own])
             for name, value in zip(out, values):
                 out[name].append(value)
         types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
         return pa.table(out, pa.schema(list(zip(out, types))))
 
-    full = encoded.filter(F.length("ids") > 0)
-    dealt = full.withColumn("group", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(n_groups)).cast("long"))
-    return dealt.groupBy("group").applyInArrow(run, SCHEMA)
+    dealt = encoded.filter(F.length("ids") > 0).select("doc_id", "ids", F.pmod(F.xxhash64("doc_id", "ids", "salt"), F.lit(n_groups)).cast("long").alias("group"))
+    return dealt.groupBy("group").applyInArrow(tidied(run), SCHEMA)
 
 
 def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, length: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

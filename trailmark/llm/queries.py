@@ -74,8 +74,7 @@ def tokenizer_path() -> str:
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    both = byte_bpe.decode(byte_bpe.encode(_read(spark, sf_dir, "documents"), path), path)
+    both = byte_bpe.encode(_read(spark, sf_dir, "documents"), tokenizer_path(), decoded=True)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

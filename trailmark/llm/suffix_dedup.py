@@ -2,12 +2,12 @@
 
 A byte goes if a ``width``-byte string covering it also starts in a document
 with a smaller id.  Whether it does is read from a longest-previous-factor
-array: suffixes are put in suffix order and each one's nearest neighbours with
-an earlier position give its longest earlier match.  Only matches of ``width``
-bytes or more count, so suffixes are ordered by their first ``width`` bytes and
-then by document; the previous smaller position at that length is the head of
-the suffix's run of equal prefixes, and the next smaller position, which would
-stand after it in its run, cannot exist.
+array: suffixes are put in suffix order; the previous and the next place in that
+order whose document is smaller, with the least common prefix on the way, give
+each suffix its longest match in an earlier document.  Later copies go, the first
+stays.  Only matches of ``width`` bytes or more count, so suffixes are ordered and
+compared by their first ``width`` bytes, factors are cut at that length, and
+shorter ones are reported as 0.
 
 Ordering all suffixes of a corpus at once is neither possible in one task nor
 needed.  Each window of ``width`` bytes has an anchor, the smallest hash of its
@@ -38,10 +38,11 @@ from pyspark.sql import DataFrame
 
 from . import blocks as B
 from . import textarrays as A
+from .batches import tidied
 
 GRAM = 24
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-SPAN = np.dtype([("doc", "<i8"), ("start", "<i4"), ("end", "<i4")])
+SPAN = np.dtype([("doc", "<i8"), ("start", "<i4"), ("end", "<i4")])  # ``doc``: the row in its block
 
 
 def _anchors(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,11 +101,6 @@ def _unpack(raw: bytes) -> bytes:
     return pa.Codec("zstd").decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True) if raw else b""
 
 
-def _each(first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """All places of the ranges [first, first + size)."""
-    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-
-
 def _recurring(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
     """Which of the ascending starts have a window that may occur again (by its hash)."""
     parts = [np.zeros(0, A.U64)]
@@ -116,26 +112,53 @@ def _recurring(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
     return A.member(hashes, A.repeated(hashes))
 
 
+def _common(suffix: np.ndarray, width: int) -> np.ndarray:
+    """Bytes that each ordered suffix shares with the one before it, up to ``width``; 0 for the first."""
+    out = np.zeros(len(suffix), np.int64)
+    view = suffix.view(np.uint8).reshape(len(suffix), width)
+    for at in range(1, len(suffix), 100_000):
+        part = view[at - 1 : at + 100_000]
+        differs = part[1:] != part[:-1]
+        out[at : at + len(differs)] = np.where(differs.any(axis=1), differs.argmax(axis=1), width)
+    return out
+
+
+def _smaller_before(owner: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
+    """For each place the common prefix with the nearest earlier place of a smaller owner, 0 if below ``least``.
+
+    ``common`` is shared with the place before.  A place hops over those that are not
+    smaller by their own hops, all places at once; what it shares is the least of the way.
+    """
+    n = len(owner)
+    hop, shared = np.arange(-1, n - 1), common.copy()
+    live = np.flatnonzero(shared >= least)
+    while len(live):
+        live = live[owner[hop[live]] >= owner[live]]
+        over = hop[live]
+        shared[live], hop[live] = np.minimum(shared[live], shared[over]), hop[over]
+        live = live[shared[live] >= least]
+    return np.where(shared >= least, shared, 0)
+
+
 def longest_previous(data: np.ndarray, starts: np.ndarray, owner: np.ndarray, width: int) -> np.ndarray:
-    """Whether the longest previous factor at each start reaches ``width``.
+    """The longest previous factor at each start, cut at ``width`` and 0 below it.
 
-    Starts and owners are ascending; a factor is previous if it starts under a
-    smaller owner.  Suffixes whose first ``width`` bytes occur once cannot reach
-    it and stay out of the order.
+    Starts are ascending; a factor is previous if it starts under a smaller owner.
+    Suffixes whose first ``width`` bytes occur once cannot reach that length and stay
+    out of the order.
     """
-    reached = np.zeros(len(starts), bool)
+    factor = np.zeros(len(starts), np.int64)
     again = np.flatnonzero(_recurring(data, starts, width)) if len(starts) else starts
     if not len(again):
-        return reached
+        return factor
     suffix = np.ndarray(len(data) - width + 1, f"S{width}", np.ascontiguousarray(data), strides=(1,))[starts[again]]
-    order = np.argsort(suffix, kind="stable")  # suffix order, ties by document
-    suffix = suffix[order]
-    head = np.ones(len(order), bool)
-    head[1:] = suffix[1:] != suffix[:-1]
-    owner = owner[again][order]
-    previous = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
-    reached[again[order]] = owner[previous] < owner
-    return reached
+    order = np.argsort(suffix, kind="stable")  # suffix order
+    common = _common(suffix[order], width)
+    own = owner[again][order]
+    previous = _smaller_before(own, common, width)
+    following = _smaller_before(own[::-1], np.concatenate((common[1:], [0]))[::-1], width)[::-1]
+    factor[again[order]] = np.maximum(previous, following)
+    return factor
 
 
 def _shard(anchors: np.ndarray, n_shards: int) -> np.ndarray:
@@ -191,6 +214,7 @@ def remove_repeated_bytes(
     laid = B.lay_out(docs, id_col, text_col, carry)
     n_shards = laid.n_shards
 
+    @tidied
     def tell(table: pa.Table) -> pa.Table:
         out = {"shard": [], "block": [], "hashes": []}
         if not B.is_loose(table):
@@ -205,6 +229,7 @@ def remove_repeated_bytes(
                 out["hashes"].append(_six(piece))
         return pa.table(out, pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary())]))
 
+    @tidied
     def shared(table: pa.Table) -> pa.Table:
         parts = [_from_six(x.as_py()) for x in table["hashes"]]
         held = np.concatenate(parts)
@@ -218,6 +243,7 @@ def remove_repeated_bytes(
 
     wire = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("body", pa.binary()), ("segments", pa.binary()), ("spans", pa.binary())])
 
+    @tidied
     def compare(table: pa.Table, reply: pa.Table) -> pa.Table:
         out = {k: [] for k in wire.names}
         if table.num_rows and not B.is_loose(table):
@@ -231,10 +257,10 @@ def remove_repeated_bytes(
             row = np.searchsorted(offsets, start, side="right") - 1
             hit = A.member(low, A.distinct(np.concatenate((_multi(low, rank[row]), far)))) if len(low) else np.zeros(0, bool)
             start, size, low, row = start[hit], size[hit], low[hit], row[hit]
-            window = _each(start, size)
+            window = A.each(start, size)
             doc = np.repeat(row, size)
-            gone = longest_previous(data, window, rank[doc], width)
-            local = _spans(ids[doc[gone]], (window - offsets[doc])[gone], width)
+            gone = longest_previous(data, window, rank[doc], width) >= width
+            local = _spans(doc[gone], (window - offsets[doc])[gone], width)
             for name, value in zip(wire.names, (block % n_shards, block, b"", b"", _pack(local.tobytes()))):
                 out[name].append(value)
             send = ~gone & np.repeat(A.member(low, far), size)
@@ -249,12 +275,13 @@ def remove_repeated_bytes(
                 order = np.argsort(shard, kind="stable")
                 for piece in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
                     own = row[run[piece]]
-                    segments = b"".join(x.tobytes() for x in (ids[own], (begin[piece] - offsets[own]).astype("<i4"), size[piece].astype("<i4")))
-                    body = data[_each(begin[piece], size[piece])].tobytes()
+                    segments = b"".join(x.tobytes() for x in (own, (begin[piece] - offsets[own]).astype("<i4"), size[piece].astype("<i4")))
+                    body = data[A.each(begin[piece], size[piece])].tobytes()
                     for name, value in zip(wire.names, (int(shard[piece[0]]), block, _pack(body), _pack(segments), b"")):
                         out[name].append(value)
         return pa.table(out, wire)
 
+    @tidied
     def settle(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
         out = {"block": [], "spans": []}
@@ -276,8 +303,8 @@ def remove_repeated_bytes(
             data = np.frombuffer(b"".join(_unpack(x.as_py()) for x in table["body"]), np.uint8)
             size = seg_n - width + 1
             which = np.repeat(np.arange(len(size)), size)
-            inner = _each(np.zeros_like(size), size)
-            gone = longest_previous(data, (np.cumsum(seg_n) - seg_n)[which] + inner, owner[which], width)
+            inner = A.each(np.zeros_like(size), size)
+            gone = longest_previous(data, (np.cumsum(seg_n) - seg_n)[which] + inner, owner[which], width) >= width
             which, inner = which[gone], inner[gone]
             doc, at, blk = seg_doc[which], seg_at[which] + inner, owner[which]
             order = np.lexsort([at, doc, blk])
@@ -289,21 +316,21 @@ def remove_repeated_bytes(
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()), ("spans", SPANS)])
 
+    @tidied
     def cut(table: pa.Table, reply: pa.Table) -> pa.Table:
         spans = np.concatenate([np.frombuffer(x.as_py(), SPAN) for x in reply["spans"]] or [np.zeros(0, SPAN)])
         spans = spans[np.lexsort([spans["start"], spans["doc"]])]
         out = {k: [] for k in schema.names}
-        for doc, text in zip(table["doc_id"].to_pylist(), table["text"]):
+        table = B.by_id(table)
+        for row, (doc, text) in enumerate(zip(table["doc_id"].to_pylist(), table["text"])):
             body = (text.as_py() or "").encode()
-            own = spans[slice(*np.searchsorted(spans["doc"], [doc, doc + 1]))] if doc is not None else spans[:0]
+            own = spans[slice(*np.searchsorted(spans["doc"], [row, row + 1]))]
             merged: list[list[int]] = []
             for start, end in zip(own["start"].tolist(), own["end"].tolist()):
-                if start >= len(body):
-                    continue
                 if merged and start <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], min(end, len(body)))
+                    merged[-1][1] = max(merged[-1][1], end)
                 else:
-                    merged.append([start, min(end, len(body))])
+                    merged.append([start, end])
             if whole_characters:
                 merged = [pair for pair in (_on_characters(body, *x) for x in merged) if pair[0] < pair[1]]
             edges = [0, *(x for pair in merged for x in pair), len(body)]

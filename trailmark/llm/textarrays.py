@@ -1,13 +1,17 @@
 """Numpy views of Arrow string columns, and rolling hashes over them.
 
 These helpers run inside Spark tasks, on one block of documents at a time.
-Hashes are polynomial (Rabin-Karp) modulo 2**64, taken from prefix sums, so the
-hash of any slice costs one subtraction and one multiplication.
+
+Two kinds of hash are used.  Polynomial ones (Rabin-Karp, modulo 2**64) come from
+prefix sums, so the hash of any slice costs one subtraction and one multiplication;
+as strings can be built that collide under every base, they only choose what is
+compared, and bytes decide.  Chained ones mix in one symbol after the other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +20,8 @@ U64 = np.uint64
 BYTE_BASE = 0x9E3779B97F4A7C15  # odd, hence invertible modulo 2**64
 WORD_BASE = 0xD6E8FEB86659FD93
 CHUNK_BYTES = 1_000_000
+LONG_WORD = 256
+TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)  # the first k bytes of eight
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -110,8 +116,82 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    sums = prefix(data.astype(U64) + U64(1), BYTE_BASE)
-    return mix(slice_hash(sums, starts, ends, BYTE_BASE) + (ends - starts).astype(U64))
+    """A chained hash of each slice, eight bytes a step; slices above LONG_WORD bytes by blake2b."""
+    size = ends - starts
+    order = np.argsort(-size, kind="stable")
+    start, size = starts[order], size[order]
+    eight = np.ndarray(len(data) + 1, "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+    n_long = int(np.searchsorted(-size, -LONG_WORD))
+    held = size.astype(U64) * U64(BYTE_BASE)
+    for step in range(-(-int(size[n_long]) // 8) if n_long < len(size) else 0):
+        to = int(np.searchsorted(-size, -8 * step))
+        part = slice(n_long, to)
+        word = eight[start[part] + 8 * step] & TAIL[np.minimum(size[part] - 8 * step, 8)]
+        held[part] = mix(held[part] ^ word)
+    for i in range(n_long):
+        digest = blake2b(data[start[i] : start[i] + size[i]].tobytes(), digest_size=8).digest()
+        held[i] = int.from_bytes(digest, "little")
+    out = np.empty(len(size), U64)
+    out[order] = held
+    return out
+
+
+def chained(values: np.ndarray, width: int, seed: int) -> np.ndarray:
+    """A hash of every ``width`` consecutive values, one value mixed in after the other."""
+    n = max(0, len(values) - width + 1)
+    out = np.full(n, seed, U64)
+    for k in range(width if n else 0):
+        out ^= values[k : k + n]
+        out *= U64(BYTE_BASE)
+        out ^= out >> U64(29)
+    return mix(out)
+
+
+def in_order(hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places ordered by (hash, check), ties as they come, and where a new pair begins."""
+    order = np.argsort(hashes, kind="stable")
+    for _ in range(2):
+        h, c = hashes[order], checks[order]
+        new = np.ones(len(order), bool)
+        same = h[1:] == h[:-1]
+        new[1:] = ~same | (c[1:] != c[:-1])
+        if not (same & new[1:]).any():
+            break
+        order = np.lexsort((checks, hashes))  # one hash with several checks
+    return order, new
+
+
+def each(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of the ranges [first, first + size)."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def distinct_slices(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct slice, and each slice's place in that list.
+
+    Slices are sorted by a polynomial hash and then compared with the first of their
+    hash; those that differ are told apart by their bytes.
+    """
+    size = stop - start
+    sums = prefix(values.astype(U64) + U64(1), BYTE_BASE)
+    hashes = mix(slice_hash(sums, start, stop, BYTE_BASE) + size.astype(U64))
+    _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    head = first[inverse]
+    like = np.where(size == size[head], size, 0)
+    differs = np.concatenate(([0], np.cumsum(values[each(start, like)] != values[each(start[head], like)])))
+    end = np.cumsum(like)
+    other = np.flatnonzero((like != size) | (differs[end] != differs[end - like]))
+    if len(other):
+        found: dict[bytes, int] = {}
+        more = []
+        for i in other.tolist():
+            piece = values[start[i] : stop[i]].tobytes()
+            if piece not in found:
+                found[piece] = len(first) + len(more)
+                more.append(i)
+            inverse[i] = found[piece]
+        first = np.concatenate((first, more))
+    return first, inverse
 
 
 def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:

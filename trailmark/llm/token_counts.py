@@ -11,7 +11,7 @@ Pieces and ranks come from a public vocabulary file; a piece of rank r has the
 score -round(1000 ln(r + 1)), Zipf's law in thousandths, so sums are exact.  Of
 equally good segmentations the one with fewer tokens counts.
 
-Each task keeps the counts of up to ``CACHE`` distinct pre-tokens.  Defined cases:
+Each worker keeps the counts of up to 120,000 distinct pre-tokens or so.  Defined cases:
 null and empty texts count 0; rows are treated one by one, so repeated rows and
 null ids change nothing; a pre-token of any length is scored whole; an empty table
 gives an empty result; other columns are ignored.
@@ -29,11 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import textarrays as A
-from .batches import in_small_batches
-from .byte_bpe import END, _groups, classes, load_ranks, pretokens
-
-CACHE = 200_000
+from .batches import in_small_batches, slices, tidied
+from .byte_bpe import CHUNK_CHARS, Cache, load_ranks, pretokenise
 
 
 def piece_scores(ranks: dict[bytes, int]) -> dict[bytes, int]:
@@ -46,7 +43,7 @@ class Counter:
     def __init__(self, ranks: dict[bytes, int]):
         self.scores = piece_scores(ranks)
         self.longest = max(map(len, self.scores))
-        self.cache: dict[int, tuple[int, int]] = {}
+        self.cache = Cache()
 
     def walk(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
         """(tokens, score) at the end of each word; words are in byte order."""
@@ -71,35 +68,21 @@ class Counter:
             yield count[-1], score[-1]
             before = word
 
-    def lookup(self, hashes: list[int], slices: list[bytes]) -> np.ndarray:
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        new = sorted((slices[i], h) for i, h in enumerate(hashes) if h not in cache)
-        for (_, h), found in zip(new, self.walk([w for w, _ in new])):
-            cache[h] = found
-        return np.array([cache[h] for h in hashes], np.int64).reshape(-1, 2)
+    def lookup(self, words: list[bytes]) -> np.ndarray:
+        cache, before = self.cache.turn()
+        cache.update((w, before[w]) for w in words if w not in cache and w in before)
+        new = sorted(w for w in words if w not in cache)
+        cache.update(zip(new, self.walk(new)))
+        return np.array([cache[w] for w in words], np.int64).reshape(-1, 2)
 
     def count(self, texts: list[str]) -> np.ndarray:
         """Pre-tokens, tokens and score of each text."""
-        joined = "\0".join(texts) + "\0"
-        cp = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        kind = classes()[cp]
-        kind[np.cumsum([len(t) + 1 for t in texts]) - 1] = END
-        start = pretokens(cp, kind)
-        stop = np.append(start[1:], len(cp))
-        real = kind[start] != END
-        which = np.cumsum(kind == END)[start][real]
-        start, stop = start[real], stop[real]
-        sums = A.prefix(cp.astype(A.U64) + A.U64(1), A.BYTE_BASE)
-        hashes = A.mix(A.slice_hash(sums, start, stop, A.BYTE_BASE) + (stop - start).astype(A.U64))
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        slices = [joined[a:b].encode() for a, b in zip(start[first].tolist(), stop[first].tolist())]
-        found = self.lookup(distinct.tolist(), slices)[inverse]
+        sliced = pretokenise(texts)
+        found = self.lookup(sliced.distinct)[sliced.which]
         out = np.zeros((len(texts), 3), np.int64)
-        out[:, 0] = np.bincount(which, minlength=len(texts))
+        out[:, 0] = np.bincount(sliced.text, minlength=len(texts))
         for k in (0, 1):
-            np.add.at(out[:, k + 1], which, found[:, k])
+            np.add.at(out[:, k + 1], sliced.text, found[:, k])
         return out
 
 
@@ -117,8 +100,8 @@ def count_tokens(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(ranks_path, held)
         for batch in batches:
-            for part in _groups(batch):
+            for part in slices(batch, CHUNK_CHARS):
                 found = counter.count(part.column("text").fill_null("").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(found[:, k]) for k in range(3))], names=["doc_id", "n_pretokens", "n_tokens", "score"])
 
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(tidied(run), schema)

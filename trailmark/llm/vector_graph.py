@@ -23,7 +23,8 @@ Equal vectors are first folded into one, which carries their number.
 
 Defined cases: rows that ``vectors.clean`` leaves out (null, zero, non-finite)
 link with nothing and are kept; rows with a null id form their own class (null);
-rows that share an id count once; ties change nothing, as all vectors above the
+rows that share an id count once, with the least of their vectors; vectors of another
+length than most link with nothing; a cosine of exactly the threshold links; ties change nothing, as all vectors above the
 threshold are links; an empty table gives an empty result; other columns are
 ignored.
 """
@@ -40,13 +41,16 @@ from pyspark.sql import functions as F
 
 from . import vectors as V
 from .components import connected_components, ensure_checkpoint_dir
+from .skew import join_salted
 
-SHARDS = 1024
+SHARDS = 2048  # at most an eighth of the vectors that centres are fitted on
 PART = 2048
 OVERLAP = 3
 POOL, DEGREE, ALPHA = 64, 24, 1.2
 BEAM = 24
+WIDE = 4 * DEGREE  # neighbours that greedy search looks at, the nearest; the range expansion looks at all
 MEDOIDS, ENTRIES = 48, 4  # medoids of a shard's clusters; a search starts from the few nearest to the query
+NEAR = 1e-9  # cosines this close to the threshold are decided by the exact ones
 SLACK = 1e-6  # for rounding in the bounds
 MARGIN = 0.03  # how far below the threshold a neighbour may lie and still be expanded
 
@@ -91,6 +95,10 @@ def build_graph(x: np.ndarray) -> list[np.ndarray]:
     return np.split(pairs % n, np.searchsorted(pairs, np.arange(1, n) * n))
 
 
+def _nearest_first(x: np.ndarray, node: int, near: np.ndarray) -> np.ndarray:
+    return near if len(near) <= WIDE else near[np.argsort(-(x[near] @ x[node]), kind="stable")]
+
+
 def _padded(lists: list[np.ndarray], width: int) -> np.ndarray:
     out = np.full((len(lists), max(1, width)), -1)
     for i, own in enumerate(lists):
@@ -107,8 +115,7 @@ def greedy(
     x: np.ndarray, graph: list[np.ndarray], medoids: np.ndarray, q: np.ndarray, own: np.ndarray, beam: int
 ) -> tuple[np.ndarray, np.ndarray]:
     """The beam of each query after greedy search: nodes (or -1) and similarities."""
-    wide = 4 * DEGREE
-    table = _padded([g[:wide] for g in graph], min(wide, max((len(g) for g in graph), default=1)))
+    table = _padded([_nearest_first(x, i, g)[:WIDE] for i, g in enumerate(graph)], min(WIDE, max((len(g) for g in graph), default=1)))
     m = len(q)
     nodes, sims, open_ = np.full((m, beam), -1), np.full((m, beam), -2.0), np.zeros((m, beam), bool)
     seen = np.zeros((m, len(x)), bool)
@@ -154,19 +161,28 @@ def expand(x: np.ndarray, graph: list[np.ndarray], q: np.ndarray, start: np.ndar
     return np.concatenate(found)
 
 
+def _reaches(q: np.ndarray, x: np.ndarray, threshold: float) -> np.ndarray:
+    """Which cosines of unit rows reach the threshold; those within NEAR of it are computed pair by pair."""
+    sims = q @ x.T
+    good = sims >= threshold
+    i, j = np.nonzero(np.abs(sims - threshold) <= NEAR)
+    good[i, j] = V.cosines(q[i], x[j]) >= threshold
+    return good
+
+
 def search(x: np.ndarray, graph: list[np.ndarray], q: np.ndarray, own: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Links (query, node) found, the node itself among them."""
     beam, medoids = max(2, min(BEAM, len(x) + 1)), find_medoids(x)
     out_q, out_n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for at in range(0, len(q), 512):
-        true = q[at : at + 512] @ x.T >= threshold
+        true = _reaches(q[at : at + 512], x, threshold)
         nodes, sims = greedy(x, graph, medoids, q[at : at + 512], own[at : at + 512], beam)
         near = sims >= threshold - MARGIN
         for i in np.flatnonzero(true.any(axis=1)):
             hit = out_n[0]
             if near[i].any():
                 all_ = expand(x, graph, q[at + i], nodes[i, near[i]], threshold - MARGIN)
-                hit = all_[x[all_] @ q[at + i] >= threshold]
+                hit = np.unique(all_[true[i, all_]])
             if len(hit) < true[i].sum():
                 hit = np.flatnonzero(true[i])
             out_q.append(np.full(len(hit), at + i))
@@ -215,7 +231,7 @@ def _report(query_ids: np.ndarray, ids: np.ndarray, copies: np.ndarray, counted:
     return {"vec_id": all_ids[told], "n": n[told], "least": least[told]}
 
 
-def _far_links(points: DataFrame, dealt: DataFrame, centres: np.ndarray, threshold: float, schema: str) -> DataFrame:
+def _far_links(points: DataFrame, dealt: DataFrame, centres: np.ndarray, threshold: float, schema: str, shard_rows: int) -> DataFrame:
     """What ``_report`` says of links into shards that are not among the ``OVERLAP`` nearest of a vector."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,11 +277,11 @@ def _far_links(points: DataFrame, dealt: DataFrame, centres: np.ndarray, thresho
         if len(query_ids) and len(ids):
             q, x = V.unit(V.matrix(asked["v"])), V.unit(V.matrix(held["v"]))
             for at in range(0, len(q), 512):
-                i, j = np.nonzero(q[at : at + 512] @ x.T >= threshold)
+                i, j = np.nonzero(_reaches(q[at : at + 512], x, threshold))
                 a.append(i + at), b.append(j)
         return pa.table(_report(query_ids, ids, held["copies"].to_numpy(), np.ones(len(ids), bool), np.concatenate(a), np.concatenate(b), np.full(len(query_ids), -1)))
 
-    size = points.mapInArrow(tally, "shard long, n long").groupBy("shard").agg(F.ceil(F.sum("n") / (2 * PART)).alias("far_chunks")).filter("far_chunks > 0")
+    size = points.mapInArrow(tally, "shard long, n long").groupBy("shard").agg(F.ceil(F.sum("n") / (2 * shard_rows)).alias("far_chunks")).filter("far_chunks > 0")
     members = dealt.filter("home").join(F.broadcast(size), "shard")
     shards = members.groupBy("shard").agg(F.first("parts").alias("parts"), F.first("far_chunks").alias("far_chunks"))
     members = members.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("far_chunks") - 1)))
@@ -277,10 +293,12 @@ def _far_links(points: DataFrame, dealt: DataFrame, centres: np.ndarray, thresho
     return asked.groupBy(keys).cogroup(members.groupBy(keys)).applyInArrow(compare, schema)
 
 
-def near_vectors(table: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_vectors(
+    table: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = PART, shards: int = SHARDS
+) -> DataFrame:
     """vec_id, n_links, component_id, kept: a row for each row of ``table``."""
     ensure_checkpoint_dir(table.sparkSession)
-    rows = V.clean(table, id_col, vector_col).dropDuplicates(["vec_id"])
+    rows = V.clean(table, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v"))
     folded = rows.groupBy("v").agg(F.min("vec_id").alias("head"), F.count(F.lit(1)).alias("copies")).checkpoint()
     n = folded.count()
     points = folded.select(F.col("head").alias("vec_id"), "v", "copies")
@@ -288,7 +306,7 @@ def near_vectors(table: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
     everything = table.select(F.col(id_col).cast("long").alias("vec_id"))
     if not len(x):
         return everything.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    centres = V.kmeans(x, max(1, min(SHARDS, n // PART)))
+    centres = V.kmeans(x, max(1, min(shards, n // shard_rows, max(1, len(x) // 8))))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -307,7 +325,7 @@ def near_vectors(table: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
     routed = points.mapInArrow(route, "vec_id long, v array<double>, copies long, shard long, home boolean")
     # A row for each centre, SHARDS at most: how many parts members and queries are dealt into.
     size = routed.groupBy("shard").agg(
-        F.ceil(F.count(F.when(F.col("home"), 1)) / PART).alias("parts"), F.ceil(F.count(F.lit(1)) / PART).alias("chunks")
+        F.ceil(F.count(F.when(F.col("home"), 1)) / shard_rows).alias("parts"), F.ceil(F.count(F.lit(1)) / shard_rows).alias("chunks")
     ).withColumn("parts", F.greatest("parts", F.lit(1)))
     dealt = routed.join(F.broadcast(size), "shard").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
 
@@ -347,15 +365,14 @@ def near_vectors(table: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
     found_schema = "vec_id long, n long, least long"
     found = nodes.unionByName(queries).groupBy("shard", "part", "chunk").applyInPandas(find, found_schema)
     if len(centres) > OVERLAP:
-        found = found.unionByName(_far_links(points, dealt, centres, threshold, found_schema))
+        found = found.unionByName(_far_links(points, dealt, centres, threshold, found_schema, shard_rows))
     found = found.checkpoint()
     links = found.filter("vec_id != least").select(F.col("vec_id").alias("a"), F.col("least").alias("b"))
     label = connected_components(points.select(F.col("vec_id").alias("doc_id")), links)
     counts = found.groupBy("vec_id").agg(F.sum("n").alias("n")).withColumnRenamed("vec_id", "head")
     heads = folded.join(label.withColumnRenamed("doc_id", "head"), "head").join(counts, "head", "left")
-    own = rows.join(heads.select("v", "label", "copies", "n"), "v").select(
-        "vec_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("label").alias("component_id")
-    )
+    heads = heads.select("v", "label", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")).checkpoint()
+    own = join_salted(rows, heads, ["v"], "copies", ["vec_id"]).select("vec_id", "n_links", F.col("label").alias("component_id"))
     return (
         everything.join(own, "vec_id", "left")
         .withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
