@@ -20,15 +20,14 @@ from trailmark.llm.components import ensure_checkpoint_dir
 from trailmark.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-LEAST_SCORE = 0.25  # what guessing among two families of two languages would score
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a recognised language; fills in missing language codes."""
+    """Rejects texts in which no language can be told (null, or without a letter); fills in missing language codes."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     model = language_id.fit(docs, ~held_out)
-    found = language_id.identify(docs, model, carry=others, keep_text=True).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    found = language_id.identify(docs, model, carry=others, keep_text=True).filter(F.col("lang_pred") != "und")
     kept = found.select("doc_id", "text", *[F.coalesce("rest.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"rest.{c}").alias(c) for c in others])
     return kept.select(*docs.columns)
 
@@ -57,8 +56,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with digests of the ids and of what they decode to."""
-    path = tokenizer_path()
-    both = byte_bpe.decode(byte_bpe.encode(docs, path, carry=["lang", "source"]), path)
+    both = byte_bpe.encode(docs, tokenizer_path(), carry=["lang", "source"], decoded=True)
     return both.select(
         "doc_id",
         F.col("rest.lang").alias("lang"),
