@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailmark.llm import substring_dedup
+from trailmark.llm.components import connected_components, ensure_checkpoint_dir
 from trailmark.llm.minhash import least_matches, near_duplicates
 from trailmark.llm.skew import join_salted
 from trailmark.llm.substring_dedup import remove_repeated_windows
@@ -119,6 +120,16 @@ def test_rows_of_one_id_keep_their_own_spans(spark):
     assert sorted((r.doc_id, bytes(r.kept).decode()) for r in got) == sorted([(1, first), (1, second), (7, " tail of seven"), (7, "head "), (7, "nothing shared")])
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components_with_a_hub(spark, few):
+    rng = random.Random(1)
+    links = [(1000, i) for i in range(200)] + [(i, i + 1) for i in range(300, 340)] + [(rng.randint(400, 500), rng.randint(400, 500)) for _ in range(40)]
+    nodes = spark.range(1001).withColumnRenamed("id", "doc_id")
+    ensure_checkpoint_dir(spark)
+    got = connected_components(nodes, spark.createDataFrame(links, "a long, b long"), few)
+    assert {r.doc_id: r.label for r in got.collect()} == brute.classes(range(1001), links)
+
+
 def test_salted_join(spark):
     rows = spark.createDataFrame([(7, i) for i in range(900)] + [(i % 50 + 100, i) for i in range(100)], "k long, i long")
     keyed = rows.groupBy("k").agg(F.count("*").alias("w"), F.min("i").alias("least"))

@@ -29,7 +29,10 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+FEW = 1_000_000  # so many edges of one node are no burden to a task
+
+
+def connected_components(nodes: DataFrame, links: DataFrame, few: int = FEW) -> DataFrame:
     """doc_id and label, the smallest doc_id reachable over links (a, b); ``nodes`` has doc_id.
 
     Edges are replaced, round by round, by edges to smaller neighbours (large
@@ -37,17 +40,19 @@ def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     Every round is cut by a checkpoint.  Neighbours are aggregated before the
     shuffle, and where a node's edges meet its smallest neighbour, those of nodes
     with very many are dealt over all tasks, so no task gets a hub's whole list.
+    With at most ``few`` edges altogether a plain join does, which is easier to plan.
     """
     edges = links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
     seen, total = None, edges.count()
     while total:
+        meet = (lambda rows, least: join_salted(rows, least, ["u"], "w", ["v"], total)) if total > few else (lambda rows, least: rows.join(least, "u"))  # noqa: B023
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("w")).select("u", F.least("u", "m").alias("m"), "w")
         # Large star: larger neighbours move to the smallest node around.
-        large = join_salted(both, least, ["u"], "w", ["v"], total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = meet(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Small star: smaller neighbours and the node itself do.
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("w"))
-        moved = join_salted(large, low, ["u"], "w", ["v"], total)
+        moved = meet(large, low)
         small = moved.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = small.distinct().checkpoint()
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()

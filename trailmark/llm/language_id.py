@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textarrays as A
-from .batches import in_small_batches, slices, tidied
+from .batches import in_small_batches, slices, tidied, tidy
 
 DIM = 4096
 TEXT = 500_000  # bytes of text that a task holds at once
@@ -211,7 +211,10 @@ def fit(
     x = table["features"].combine_chunks().flatten().to_numpy().reshape(-1, DIM + 1)
     langs = table["lang"].to_pylist()
     order = sorted(range(len(langs)), key=lambda i: (langs[i], x[i, :64].tobytes()))  # the same however rows arrive
-    return train(x[order], [langs[i] for i in order])
+    model = train(x[order], [langs[i] for i in order])
+    del table, x
+    tidy()
+    return model
 
 
 def identify(
