@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from trailmark.functions.filters import Filter, where
 from trailmark.functions.flatten import flatten_json, merge_maps, register_functions, render, to_dots
-from trailmark.functions.timegrid import capped, named_range, previous_range
+from trailmark.functions.timegrid import bucket, capped, named_range, previous_range, to_utc
 from trailmark.operators import charts, enrich, lists, profiles
+from trailmark.operators.cohorts import conversion
 from trailmark.operators.funnel import funnel_levels, window_funnel
-from trailmark.operators.sessions import session_rows, sessionize
+from trailmark.operators.sessions import collapse, session_rows, sessionize, spread_identity, view_duration
 from trailmark.plans.spec import EventSeries
 from trailmark.sources import imports
 
@@ -55,7 +56,7 @@ def test_unknown_operator_and_formula():
         Filter("name", "almost", ("x",))
     for bad in ("__import__('os')", "A ** B", "Z + 1", "A if B else 1"):
         with pytest.raises(ValueError):
-            charts.formula_column(bad, ["A", "B"])
+            charts.formula_column(bad, {"A": F.lit(1.0), "B": F.lit(2.0)})
 
 
 def test_wildcards(spark):
@@ -100,8 +101,8 @@ def test_window_funnel_with_ties(spark):
 def test_funnel_levels_of_a_long_key(spark):
     rng, epoch = random.Random(7), datetime(2024, 1, 1)
     cases = [*tied_events(200), [(rng.randint(-400, 400), rng.randint(1, 3)) for _ in range(150)] * 2]
-    rows = [(f"w{i}" if i else None, "r", f"s{s}", epoch + timedelta(milliseconds=t)) for i, pairs in enumerate(cases) for t, s in pairs]
-    events = spark.createDataFrame(rows, "session_id string, region string, name string, created_at timestamp")
+    rows = [("p", f"w{i}" if i else None, "r", f"s{s}", epoch + timedelta(milliseconds=t)) for i, pairs in enumerate(cases) for t, s in pairs]
+    events = spark.createDataFrame(rows, "project_id string, session_id string, region string, name string, created_at timestamp")
     series = [EventSeries(f"s{k}") for k in (1, 2, 3)]
     for window in (5, 0, None):
         hours = None if window is None else window / 3_600_000
@@ -171,6 +172,12 @@ def test_profile_merge_and_increment(spark):
     new = spark.createDataFrame([("p", "a", "", t, {"k": "", "m": "2"}), ("p", "b", "b@x", t, {}), ("p", "c", None, t, {"z": "1"})], schema)
     merged = {r.id: (r.email, r.properties) for r in profiles.merge_profiles(old, new).collect()}
     assert merged == {"a": ("a@x", {"n": "1", "k": "v", "m": "2"}), "c": (None, {"z": "1"})}
+    held = old
+    for batch in (new, new, spark.createDataFrame([("p", "a", "b@x", t + timedelta(days=1), {})], schema)):  # as a stream would: every version is kept
+        held = held.unionByName(profiles.merge_profiles(held, batch))
+    kept = sorted(repr((r.id, r.email, sorted(r.properties.items()))) for r in held.collect())
+    versions = [("a", "a@x", {"k": "v", "n": "1"}), ("a", "a@x", {"k": "v", "m": "2", "n": "1"}), ("a", "b@x", {"k": "v", "m": "2", "n": "1"}), ("b", "b@x", {}), ("c", None, {"z": "1"})]
+    assert kept == sorted(repr((i, e, sorted(p.items()))) for i, e, p in versions)
     deltas = spark.createDataFrame([("p", "a", "n", 2.0), ("p", "a", "n", 3.0), ("p", "b", "q", -1.0)], "project_id string, id string, key string, by double")
     assert {r.id: r.properties for r in profiles.increments(old, deltas).collect()} == {"a": {"n": "6.0", "k": "v"}, "b": {"q": "-1.0"}}
 
@@ -231,3 +238,35 @@ def test_references(spark):
     notes = spark.createDataFrame([("in", datetime(2024, 1, 6), "p1"), ("other", datetime(2024, 1, 6), "p2"), ("late", datetime(2024, 2, 1), "p1")], "title string, date timestamp, project_id string")
     spec = ReportSpec((EventSeries("view"),), datetime(2024, 1, 5), datetime(2024, 1, 25), project_id="p1")
     assert [r.title for r in charts.references_in(notes, spec).collect()] == ["in"]
+
+
+def test_collapse_of_withdrawn_sessions(spark):
+    log = [("p", "kept", 1, 1, 5), ("p", "kept", -1, 1, 5), ("p", "kept", 1, 2, 7), ("p", "gone", 1, 1, 3), ("p", "gone", -1, 1, 3), ("q", "gone", 1, 1, 4), ("p", "back", 1, 1, 2), ("p", "back", 1, 2, 9), ("p", "back", -1, 2, 9)]
+    got = collapse(spark.createDataFrame(log, "project_id string, id string, sign int, version int, n int"))
+    assert sorted((r.project_id, r.id, r.n) for r in got.collect()) == [("p", "back", 2), ("p", "kept", 7), ("q", "gone", 4)]
+
+
+def test_projects_do_not_mix(spark):
+    """Two projects that share device, session and profile ids."""
+    t = datetime(2024, 1, 1)
+    one = lambda p, minute, name, person="x": (p, "d", person, "s", name, t + timedelta(minutes=minute), f"{p}{minute}", minute)
+    rows = [one("p", 0, "view", "d"), one("p", 10, "view", "d"), one("q", 3, "view"), one("q", 4, "buy")]
+    events = spark.createDataFrame(rows, "project_id string, device_id string, profile_id string, session_id string, name string, created_at timestamp, id string, event_id long")
+    assert {r.id: r.duration for r in view_duration(events, "view").collect()} == {"p0": 600_000, "p10": 0, "q3": 0, "q4": 0}
+    assert {r.id: r.profile_id for r in spread_identity(events).collect()} == {"p0": "d", "p10": "d", "q3": "x", "q4": "x"}
+    steps, day = [EventSeries("view"), EventSeries("buy")], timedelta(days=1)
+    levels = funnel_levels(events, steps, t - day, t + day, 24)
+    assert {(r.project_id, r.level) for r in levels.collect()} == {("p", 1), ("q", 2)}
+    same = events.withColumn("profile_id", F.lit("x"))
+    assert conversion(same, *steps, t - day, t + day, 24).select("total", "conversions").collect() == [(3, 1)]
+    assert {r.id for r in lists.device_closure(events, "x").collect()} == {"q3", "q4"}
+
+
+def test_time_zones(spark):
+    zone = "Europe/Stockholm"
+    at = datetime(2024, 3, 31, 23, 30)  # already April there
+    assert named_range("today", at, zone) == (datetime(2024, 4, 1), datetime(2024, 4, 1, 23, 59, 59, 999000))
+    assert to_utc(datetime(2024, 3, 31), zone) == datetime(2024, 3, 30, 23) and to_utc(datetime(2024, 4, 1), zone) == datetime(2024, 3, 31, 22)
+    rows = spark.createDataFrame([(datetime(2024, 3, 30, 22, 59),), (datetime(2024, 3, 30, 23),), (datetime(2024, 3, 31, 1, 30),), (datetime(2024, 3, 31, 22),)], "created_at timestamp")
+    days = rows.select(bucket(F.col("created_at"), "day", tz=zone).cast("date").cast("string").alias("d"), bucket(F.col("created_at"), "hour", tz=zone).cast("string").alias("h")).collect()
+    assert [r.d for r in days] == ["2024-03-30", "2024-03-31", "2024-03-31", "2024-04-01"] and days[2].h == "2024-03-31 03:00:00"

@@ -1,11 +1,14 @@
 """Time buckets, calendars, named ranges and previous periods.
 
-Nothing here reads the clock: ``as_of`` is always given.
+Nothing here reads the clock: ``as_of`` is always given.  Stored times are UTC (the
+session's zone).  With a zone ``tz``, bounds and buckets are wall-clock times there:
+a day of a clock change has 23 or 25 hours, an hour that is repeated is one bucket.
 """
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +16,25 @@ from pyspark.sql import functions as F
 INTERVALS = ("minute", "hour", "day", "week", "month")
 
 
-def bucket(t: Column, interval: str, week_start: str = "monday") -> Column:
+def local(t: Column, tz: str = "UTC") -> Column:
+    """The wall-clock time in a zone at a stored time."""
+    return t if tz == "UTC" else F.from_utc_timestamp(t, tz)
+
+
+def to_utc(t: datetime, tz: str = "UTC") -> datetime:
+    """The stored time at a wall-clock time of a zone."""
+    return t.replace(tzinfo=ZoneInfo(tz)).astimezone(timezone.utc).replace(tzinfo=None)
+
+
+def to_local(t: datetime, tz: str = "UTC") -> datetime:
+    return t.replace(tzinfo=timezone.utc).astimezone(ZoneInfo(tz)).replace(tzinfo=None)
+
+
+def bucket(t: Column, interval: str, week_start: str = "monday", tz: str = "UTC") -> Column:
     """The start of the interval that holds ``t``, a timestamp."""
     if interval not in INTERVALS:
         raise ValueError(f"no such interval: {interval}")
+    t = local(t, tz)
     if interval == "week" and week_start == "sunday":
         return F.date_trunc("week", t + F.expr("INTERVAL 1 DAY")) - F.expr("INTERVAL 1 DAY")
     return F.date_trunc(interval, t)
@@ -30,10 +48,14 @@ def bucket_from(t: Column, seconds: int, origin: datetime) -> Column:
 
 def calendar(spark: SparkSession, start: datetime, end: datetime, interval: str, week_start: str = "monday") -> DataFrame:
     """``date``: every bucket from the one of ``start`` up to ``end``, which is not included."""
+    return spark.range(1).select(F.explode(buckets(start, end, interval, week_start)).alias("date"))
+
+
+def buckets(start: datetime, end: datetime, interval: str, week_start: str = "monday") -> Column:
+    """The calendar as an array."""
     first = bucket(F.lit(start).cast("timestamp"), interval, week_start)
-    step = F.expr(f"INTERVAL 1 {interval.upper()}")
     last = F.lit(end - timedelta(seconds=1)).cast("timestamp")
-    return spark.range(1).select(F.explode(F.sequence(first, last, step)).alias("date"))
+    return F.sequence(first, last, F.expr(f"INTERVAL 1 {interval.upper()}"))
 
 
 def _month(d: datetime, back: int = 0) -> datetime:
@@ -41,8 +63,9 @@ def _month(d: datetime, back: int = 0) -> datetime:
     return datetime(month // 12, month % 12 + 1, 1)
 
 
-def named_range(name: str, as_of: datetime) -> tuple[datetime, datetime]:
-    """Start and end (included) of a named range."""
+def named_range(name: str, as_of: datetime, tz: str = "UTC") -> tuple[datetime, datetime]:
+    """Start and end (included) of a named range, in the zone's wall-clock time; ``as_of`` is UTC."""
+    as_of = to_local(as_of, tz)
     day = datetime(as_of.year, as_of.month, as_of.day)
     end_of_day = day + timedelta(days=1, milliseconds=-1)
     tick = timedelta(milliseconds=1)
@@ -85,5 +108,6 @@ def capped(start: datetime, end: datetime, cap: datetime | None) -> tuple[dateti
     return min(start, end), end
 
 
-def between(column: str, start: datetime, end: datetime) -> Column:
-    return F.col(column).between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"))
+def between(column: str, start: datetime, end: datetime, tz: str = "UTC") -> Column:
+    """A filter on the stored column, so that it reaches the scan whatever the zone."""
+    return F.col(column).between(F.lit(to_utc(start, tz)).cast("timestamp"), F.lit(to_utc(end, tz)).cast("timestamp"))

@@ -8,27 +8,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.filters import where
+from ..functions.props import resolve
 from ..functions.timegrid import between, bucket
 from ..plans.spec import EventSeries
 
 
 def conversion(
-    events: DataFrame, a: EventSeries, b: EventSeries, start, end, window_hours: int, interval: str = "day", group: str = "profile_id", breakdowns: Sequence[str] = ()
+    events: DataFrame, a: EventSeries, b: EventSeries, start, end, window_hours: int, interval: str = "day", group: str = "profile_id", breakdowns: Sequence[str] = (), tz: str = "UTC"
 ) -> DataFrame:
-    """Per bucket of A: A events, those followed by a B within the window, rate in percent.
+    """Per bucket of A, empty breakdowns as '(not set)': A events, those followed by a B within the window, rate in percent.
 
     A and B go through one window per group: for each row the earliest B time in
     [t, t + window], so no A meets all B of its group.
     """
     is_a = (F.col("name") == a.name) & where(a.filters)
     is_b = (F.col("name") == b.name) & where(b.filters)
-    both = events.filter(between("created_at", start, end) & F.col("name").isin(a.name, b.name) & (is_a | is_b))
+    both = events.filter(between("created_at", start, end, tz) & F.col("name").isin(a.name, b.name) & (is_a | is_b))
     t = F.unix_micros("created_at")
-    order = Window.partitionBy(group).orderBy("_t").rangeBetween(0, window_hours * 3_600_000_000)
+    order = Window.partitionBy("project_id", group).orderBy("_t").rangeBetween(0, window_hours * 3_600_000_000)
     found = both.withColumn("_t", t).withColumn("_b", F.min(F.when(is_b, F.col("_t"))).over(order))
-    each = found.filter(is_a).groupBy(group, "created_at", *breakdowns).agg(F.min("_b").alias("b"))
+    labels = [F.when(resolve(b) == "", "(not set)").otherwise(resolve(b)).alias(b.rsplit(".", 1)[-1]) for b in breakdowns]
+    each = found.filter(is_a).groupBy("project_id", group, "created_at", *labels).agg(F.min("_b").alias("b"))
     return (
-        each.groupBy(bucket(F.col("created_at"), interval).alias("date"), *breakdowns)
+        each.groupBy(bucket(F.col("created_at"), interval, tz=tz).alias("date"), *[b.rsplit(".", 1)[-1] for b in breakdowns])
         .agg(F.count(F.lit(1)).alias("total"), F.count("b").alias("conversions"))
         .withColumn("rate", F.round(F.col("conversions") * 100.0 / F.col("total"), 2))
     )
@@ -47,6 +49,26 @@ def conversion_summary(rates: DataFrame) -> DataFrame:
     )
 
 
+def series_summary(rates: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The best and the worst series by mean rate, and the mean of all of them."""
+    each = rates.groupBy(*keys).agg(F.round(F.avg("rate"), 2).alias("mean_rate"))
+    label = F.concat_ws(" / ", *keys)
+    return each.agg(
+        F.max_by(label, F.struct("mean_rate", label)).alias("best_series"),
+        F.max("mean_rate").alias("best_mean"),
+        F.min_by(label, F.struct("mean_rate", label)).alias("worst_series"),
+        F.min("mean_rate").alias("worst_mean"),
+        F.round(F.avg("mean_rate"), 2).alias("overall_mean"),
+    )
+
+
+def with_previous_rates(now: DataFrame, before: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Rates beside those of the previous period, aligned by position in each series."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("date"))
+    old = before.withColumn("position", place).select(*keys, "position", F.col("rate").alias("previous"))
+    return now.withColumn("position", place).join(old, [*keys, "position"], "left")
+
+
 def cohort_events(events: DataFrame) -> DataFrame:
     """Counts per (project, name, day, profile), identified profiles only."""
     return (
@@ -61,11 +83,13 @@ def cohort_matrix(daily: DataFrame, first: str, second: str, unit: str = "day",
     start = lambda c: F.to_date(F.date_trunc(unit, F.col(c)))
     cohorts = daily.filter(F.col("name") == first).select("project_id", "profile_id", start("day").alias("cohort")).distinct()
     later = daily.filter(F.col("name") == second).select("project_id", "profile_id", F.col("day").alias("seen")).distinct()
-    days = {"day": 1, "week": 7}[unit]
-    joined = cohorts.join(later, ["project_id", "profile_id"]).filter(
-        (F.col("seen") >= F.col("cohort")) & (F.col("seen") <= F.date_add("cohort", horizon * days))
-    )
-    x = (F.datediff(start("seen"), F.col("cohort")) / days).cast("int")
+    months = lambda c: F.year(c) * 12 + F.month(c)
+    if unit == "month":
+        last, x = F.add_months("cohort", horizon), months(F.col("seen")) - months(F.col("cohort"))
+    else:
+        days = {"day": 1, "week": 7}[unit]
+        last, x = F.date_add("cohort", horizon * days), (F.datediff(start("seen"), F.col("cohort")) / days).cast("int")
+    joined = cohorts.join(later, ["project_id", "profile_id"]).filter((F.col("seen") >= F.col("cohort")) & (F.col("seen") <= last))
     if on_or_after:
         reached = joined.groupBy("cohort", "project_id", "profile_id").agg(F.max(x).alias("m"))
         hits = reached.select("cohort", "project_id", "profile_id", F.explode(F.sequence(F.lit(0), F.col("m"))).alias("x"))
@@ -77,6 +101,11 @@ def cohort_matrix(daily: DataFrame, first: str, second: str, unit: str = "day",
     return spine.join(users, ["cohort", "x"], "left").withColumn("users", F.coalesce("users", F.lit(0)))
 
 
+def with_percentages(matrix: DataFrame) -> DataFrame:
+    """The matrix with each cell as a percentage of its cohort."""
+    return matrix.withColumn("percent", F.coalesce(F.round(F.try_divide(F.col("users") * 100.0, F.col("size")), 2), F.lit(0.0)))
+
+
 def weighted_average(matrix: DataFrame) -> DataFrame:
     """Mean percentage at each distance, weighted by cohort size, zeros left out."""
     rate = F.col("users") / F.col("size")
@@ -120,12 +149,13 @@ def rolling_active(daily: DataFrame, days: int) -> DataFrame:
 
 def daily_sketches(events: DataFrame) -> DataFrame:
     """A mergeable sketch of each day's profiles."""
-    return events.groupBy("project_id", F.to_date("created_at").alias("day")).agg(F.hll_sketch_agg(F.concat("project_id", "profile_id")).alias("sketch"))
+    return events.groupBy("project_id", F.to_date("created_at").alias("day")).agg(F.hll_sketch_agg("profile_id").alias("sketch"))
 
 
 def rolling_active_approx(sketches: DataFrame, days: int) -> DataFrame:
     spread = sketches.withColumn("date", F.explode(F.expr(f"sequence(day, date_add(day, {days - 1}), interval 1 day)")))
-    return spread.groupBy("date").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("users"))
+    each = spread.groupBy("project_id", "date").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("users"))
+    return each.groupBy("date").agg(F.sum("users").alias("users"))  # a profile belongs to one project
 
 
 def days_since_seen(events: DataFrame, as_of) -> DataFrame:

@@ -49,7 +49,7 @@ def step_pairs(events: DataFrame, steps: Sequence[EventSeries]) -> DataFrame:
 def funnel_levels(
     events: DataFrame, steps: Sequence[EventSeries], start, end, window_hours: float | None = 24, group: str = "session_id", breakdowns: Sequence[str] = ()
 ) -> DataFrame:
-    """group, breakdowns, level: how deep each session or profile got.
+    """project_id, who, breakdowns, level: how deep each session or profile of a project got.
 
     Each event carries the latest start of a chain that it ends, read from strictly
     earlier events of the step before by windows, which spill, so no key's events
@@ -59,10 +59,10 @@ def funnel_levels(
     """
     pairs = step_pairs(events.filter(between("created_at", start, end)), steps)
     window = None if window_hours is None else int(window_hours * 3_600_000)
-    keys = ["who", *breakdowns]
+    keys = ["project_id", "who", *breakdowns]
     own = F.floor(F.col("ts") / max(1, window or 1))
     buckets = F.array(F.lit(0)) if window is None else F.when(F.col("step") == 1, F.array(own)).otherwise(F.array(own - 1, own))
-    rows = pairs.select(F.col(group).alias("who"), *breakdowns, "ts", "step", F.explode(buckets).alias("_bucket")).distinct()
+    rows = pairs.select("project_id", F.col(group).alias("who"), *breakdowns, "ts", "step", F.explode(buckets).alias("_bucket")).distinct()
     rows = rows.withColumn("_start", F.when(F.col("step") == 1, F.col("ts")))
     earlier = Window.partitionBy(*keys, "_bucket").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     for i in range(2, len(steps) + 1):
@@ -74,12 +74,26 @@ def funnel_levels(
 
 def with_person(events: DataFrame, sessions: DataFrame) -> DataFrame:
     """Events under the person of their session, where the session knows one."""
-    persons = sessions.select(F.col("id").alias("session_id"), F.col("profile_id").alias("person"))
-    return events.join(persons, "session_id", "left").withColumn(
+    persons = sessions.select("project_id", F.col("id").alias("session_id"), F.col("profile_id").alias("person"))
+    return events.join(persons, ["project_id", "session_id"], "left").withColumn(
         "profile_id", F.coalesce(F.nullif("person", F.lit("")), F.col("profile_id"))
     ).drop("person")
 
 
+def first_labels(events: DataFrame, steps: Sequence[EventSeries], start, end, breakdowns: Sequence[str], limit: int) -> DataFrame:
+    """The breakdown values seen first in the range, ``limit`` of them: a limit on the series of a funnel or conversion."""
+    named = events.filter(between("created_at", start, end) & F.col("name").isin([s.name for s in steps]))
+    return named.groupBy(*breakdowns).agg(F.min("created_at").alias("_first")).orderBy("_first", *breakdowns).limit(limit).drop("_first")
+
+
+def by_total(table: DataFrame, breakdowns: Sequence[str]) -> DataFrame:
+    """Breakdown funnels numbered by how many entered them, most first (``place`` from 1)."""
+    whole = Window.partitionBy(*breakdowns)
+    entered = table.withColumn("_n", F.max(F.when(F.col("step") == 1, F.col("count"))).over(whole))
+    order = Window.orderBy(F.desc("_n"), *breakdowns)  # a row for each step of each series
+    return entered.withColumn("place", F.dense_rank().over(order)).drop("_n")
+
+
 def funnel_steps(levels: DataFrame, n_steps: int, breakdowns: Sequence[str] = ()) -> DataFrame:
     """For each step: how many reached it, percent of the first step, drop-off, the highest one."""
     counts = levels.groupBy(*breakdowns, "level").agg(F.count(F.lit(1)).alias("n"))

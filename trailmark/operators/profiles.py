@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.filters import search
+
 
 def profile_metrics(events: DataFrame, sessions: DataFrame, view: str, conversions: Sequence[str]) -> DataFrame:
     """One row per (project, profile): everything its page shows."""
@@ -65,6 +67,20 @@ def power_users(events: DataFrame, profiles: DataFrame, page: int, size: int) ->
     )
 
 
+def find_profiles(profiles: DataFrame, project_id: str | None = None, ids: Sequence[str] | None = None, external: bool | None = None, text: str = "") -> DataFrame:
+    """Profiles by id, by ids, by kind and by text; ``count()`` of it is the total of a list."""
+    kept = F.lit(True)
+    if project_id is not None:
+        kept = kept & (F.col("project_id") == project_id)
+    if ids is not None:
+        kept = kept & F.col("id").isin(list(ids))
+    if external is not None:
+        kept = kept & (F.col("is_external") == external)
+    if text:
+        kept = kept & search(["email", "first_name", "id"], text)
+    return profiles.filter(kept)
+
+
 def increments(base: DataFrame, deltas: DataFrame) -> DataFrame:
     """Profiles with numeric properties raised by the sum of their deltas (project_id, id, key, by)."""
     summed = deltas.groupBy("project_id", "id", "key").agg(F.sum("by").alias("by"))
@@ -79,21 +95,29 @@ def increments(base: DataFrame, deltas: DataFrame) -> DataFrame:
 
 
 def merge_profiles(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Old profiles with what newer rows say; null and '' say nothing; unchanged ones are left out."""
+    """Old profiles with what newer rows say; null and '' say nothing; unchanged ones are left out.
+
+    ``old`` may hold any number of versions of a profile; what they say together counts.
+    """
     keys = ["project_id", "id"]
     fields = [c for c in old.columns if c not in (*keys, "created_at", "properties")]
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
     at = F.struct("_new", "created_at")
+    is_old = F.col("_new") == 0
     said = lambda c: F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), at)
     entries = F.sort_array(F.collect_list(F.struct("_new", "created_at", F.map_entries("properties").alias("e"))))
-    folded = both.groupBy(*keys).agg(
+    held = both.groupBy(*keys).agg(
         *[F.max_by(c, said(c)).alias(c) for c in fields],
         F.max("created_at").alias("created_at"),
-        F.aggregate(entries, F.create_map().cast("map<string,string>"), lambda m, x: F.map_zip_with(
-            m, F.map_filter(F.map_from_entries(x["e"]), lambda k, v: v != ""), lambda k, a, b: F.coalesce(b, a)
-        )).alias("properties"),
+        F.struct(*[F.max_by(c, F.when(is_old, said(c))).alias(c) for c in fields]).alias("_was"),
+        F.min("_new").alias("_fresh"),  # 1 without an old version
+        entries.alias("_entries"),
     )
-    before = old.select(*keys, F.struct(*fields, F.array_sort(F.map_entries("properties")).alias("p")).alias("_was"))
-    now = F.struct(*fields, F.array_sort(F.map_entries("properties")).alias("p"))
-    changed = folded.join(before, keys, "left").filter(F.col("_was").isNull() | ~now.eqNullSafe(F.col("_was")))
-    return changed.drop("_was")
+
+    def merged(rows):
+        said = lambda x: F.map_filter(F.map_from_entries(x["e"]), lambda k, v: v != "")
+        return F.aggregate(rows, F.create_map().cast("map<string,string>"), lambda m, x: F.map_zip_with(m, said(x), lambda k, a, b: F.coalesce(b, a)))
+
+    both_maps = held.withColumn("properties", merged(F.col("_entries"))).withColumn("_before", merged(F.filter("_entries", lambda x: x["_new"] == 0)))
+    same = F.struct(*fields).eqNullSafe(F.col("_was")) & F.array_sort(F.map_entries("properties")).eqNullSafe(F.array_sort(F.map_entries("_before")))
+    return both_maps.filter((F.col("_fresh") == 1) | ~same).select(*keys, *fields, "created_at", "properties")

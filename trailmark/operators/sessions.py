@@ -24,7 +24,7 @@ def bucket_session_id(device: Column, t: Column, seconds: int = 1800) -> Column:
 
 def view_duration(events: DataFrame, view: str = "screen_view") -> DataFrame:
     """Adds duration: milliseconds until the session's next view; 0 for the last and for other events."""
-    order = Window.partitionBy("session_id", "name").orderBy("created_at", "event_id")
+    order = Window.partitionBy("project_id", "session_id", "name").orderBy("created_at", "event_id")
     gap = F.unix_millis(F.lead("created_at").over(order)) - F.unix_millis("created_at")
     return events.withColumn("duration", F.when(F.col("name") == view, F.coalesce(gap, F.lit(0))).otherwise(0).cast("long"))
 
@@ -79,20 +79,48 @@ def session_markers(events: DataFrame, before_ms: int = 1000, after_ms: int = 50
     return start.unionByName(stop)
 
 
-def changelog(sessions: DataFrame) -> DataFrame:
-    """Session rows as a changelog: a half-done version, its withdrawal, and the final version."""
+def changelog(sessions: DataFrame, withdrawn: Column | None = None) -> DataFrame:
+    """Session rows as a changelog: a half-done version, its withdrawal, and the final version.
+
+    Sessions that meet ``withdrawn`` lose their final version again.
+    """
     half = sessions.withColumn("screen_view_count", F.floor(F.col("screen_view_count") / 2)).withColumn("revenue", F.floor(F.col("revenue") / 2))
     return (
         half.withColumn("sign", F.lit(1)).withColumn("version", F.lit(1))
         .unionByName(half.withColumn("sign", F.lit(-1)).withColumn("version", F.lit(1)))
         .unionByName(sessions.withColumn("sign", F.lit(1)).withColumn("version", F.lit(2)))
+        .unionByName(sessions.filter(F.lit(False) if withdrawn is None else withdrawn).withColumn("sign", F.lit(-1)).withColumn("version", F.lit(2)))
     )
 
 
 def collapse(log: DataFrame) -> DataFrame:
-    """The surviving version of each session."""
+    """The last version of each session that was not withdrawn; none if all were."""
+    own = Window.partitionBy("project_id", "id", "version")
     order = Window.partitionBy("project_id", "id").orderBy(F.desc("version"))
-    return log.filter("sign = 1").withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
+    left = log.withColumn("_left", F.sum("sign").over(own)).filter("sign = 1 AND _left > 0")
+    return left.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r", "_left")
+
+
+def session_as_event(sessions: DataFrame) -> DataFrame:
+    """Session rows in the shape of events: where and when they ended, campaign tags as one struct."""
+    tags = [F.col(f"utm_{k}").alias(k) for k in ("source", "medium", "campaign", "content", "term")]
+    return sessions.select(
+        "id",
+        F.lit("session").alias("name"),
+        "project_id",
+        "device_id",
+        "profile_id",
+        F.col("id").alias("session_id"),
+        F.col("ended_at").alias("created_at"),
+        F.col("exit_path").alias("path"),
+        F.col("exit_origin").alias("origin"),
+        "referrer",
+        "country",
+        "region",
+        "duration",
+        "revenue",
+        F.struct(*tags).alias("utm"),
+    )
 
 
 def attach_live_session(events: DataFrame, server: Column, valid_seconds: int = 3600) -> DataFrame:
@@ -110,5 +138,5 @@ def attach_live_session(events: DataFrame, server: Column, valid_seconds: int =
 def spread_identity(events: DataFrame) -> DataFrame:
     """Gives a session's anonymous events its latest known profile."""
     known = F.when(F.col("profile_id") != F.col("device_id"), F.col("profile_id"))
-    whole = Window.partitionBy("session_id").orderBy("created_at", "event_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = Window.partitionBy("project_id", "session_id").orderBy("created_at", "event_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return events.withColumn("profile_id", F.coalesce(F.last(known, ignorenulls=True).over(whole), F.col("profile_id")))

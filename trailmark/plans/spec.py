@@ -40,5 +40,6 @@ class ReportSpec:
     breakdowns: tuple[str, ...] = ()
     limit: int | None = None  # breakdown tuples, by number of events
     week_start: str = "monday"
+    tz: str = "UTC"  # of start, end and the buckets
     project_id: str | None = None
     filters: tuple[Filter, ...] = field(default=())

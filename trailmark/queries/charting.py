@@ -6,10 +6,9 @@ import re
 from dataclasses import replace
 from datetime import datetime
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.filters import Filter
+from ..functions.timegrid import between, bucket, named_range, previous_range
 from ..operators import charts as C
 from ..operators import cohorts as K
 from ..operators import funnel as Fn
@@ -138,15 +137,17 @@ def chart_total_count(spark, sf_dir):
 @query(
     f"""WITH c AS (SELECT region, date_trunc('day', created_at) AS date, count(*) FILTER (name = 'purchase') AS a, count(*) FILTER (name = 'view') AS b FROM ev WHERE name IN ('purchase', 'view') AND {IN} GROUP BY ALL),
     g AS (SELECT region, date FROM (SELECT DISTINCT region FROM c) CROSS JOIN {DAYS}),
+    t AS (SELECT region, count(DISTINCT profile_id) FILTER (name = 'purchase')::DOUBLE AS ta, count(DISTINCT profile_id) FILTER (name = 'view')::DOUBLE AS tb FROM ev WHERE name IN ('purchase', 'view') AND {IN} GROUP BY region),
     f AS (SELECT g.region, g.date, coalesce(a, 0)::DOUBLE AS a, coalesce(b, 0)::DOUBLE AS b FROM g LEFT JOIN c ON c.region = g.region AND CAST(c.date AS TIMESTAMP) = g.date)
     SELECT region AS label_0, strftime(date, '%Y-%m-%d') AS date, CASE WHEN b = 0 THEN 0 ELSE a / b * 100 END AS ratio,
-    (CASE WHEN b = 0 THEN 0 ELSE a / b * 100 END) + 1 AS shifted FROM f"""
+    (CASE WHEN b = 0 THEN 0 ELSE a / b * 100 END) + 1 AS shifted, CASE WHEN tb = 0 THEN 0 ELSE ta / tb * 100 END AS total_ratio FROM f JOIN t USING (region)"""
 )
 def chart_formula(spark, sf_dir):
     spec = _spec(EventSeries("purchase"), EventSeries("view"), FormulaSeries("A / B * 100"), FormulaSeries("C + 1"), breakdowns=("region",))
     rows = C.chart(T.base_events(spark, sf_dir), spec)
     pick = lambda i: F.max(F.when(F.col("def_index") == i, F.col("count")))
-    return rows.groupBy("label_0", day("date").alias("date")).agg(pick(2).alias("ratio"), pick(3).alias("shifted"))
+    total = F.max(F.when(F.col("def_index") == 2, F.col("total_count")))
+    return rows.groupBy("label_0", day("date").alias("date")).agg(pick(2).alias("ratio"), pick(3).alias("shifted"), total.alias("total_ratio"))
 
 
 @query(
@@ -168,21 +169,22 @@ def chart_metrics(spark, sf_dir):
     return C.series_metrics(C.chart(T.base_events(spark, sf_dir), spec), ["label_0", "label_1"])
 
 
-@query(f"WITH s AS ({_BROKEN}) SELECT label_0, label_1, sum(count) FILTER (date = '2024-01-05') AS d20240105, sum(count) FILTER (date = '2024-01-06') AS d20240106, sum(count) AS sum FROM s GROUP BY ALL")
+@query(f"WITH s AS ({_BROKEN}) SELECT label_0, label_1, sum(count) FILTER (date = '2024-01-05') AS d20240105, sum(count) FILTER (date = '2024-01-06') AS d20240106, sum(count) AS sum, coalesce(avg(CASE WHEN count <> 0 THEN count END), 0) AS average, min(count) AS min, max(count) AS max FROM s GROUP BY ALL")
 def chart_pivot(spark, sf_dir):
     spec = _spec(EventSeries("view"), breakdowns=("region", "properties.__query.utm_source"))
     wide = C.pivot_table(C.chart(T.base_events(spark, sf_dir), spec), ["label_0", "label_1"], ["20240105", "20240106"])
-    return wide.select("label_0", "label_1", "d20240105", "d20240106", "sum")
+    return wide.select("label_0", "label_1", "d20240105", "d20240106", "sum", "average", "min", "max")
 
 
 @query(
-    f"WITH s AS ({_BROKEN}), m AS (SELECT label_0, label_1, sum(count) AS sum, min(count) AS mn, max(count) AS mx FROM s GROUP BY label_0, label_1) "
-    "SELECT label_0, label_1, CAST(grouping(label_0, label_1) AS BIGINT) AS level, count(*) AS series, sum(sum) AS sum, min(mn) AS min, max(mx) AS max FROM m GROUP BY ROLLUP (label_0, label_1)"
+    f"WITH s AS ({_BROKEN}), m AS (SELECT label_0, label_1, sum(count) AS sum, coalesce(avg(CASE WHEN count <> 0 THEN count END), 0) AS av, min(count) AS mn, max(count) AS mx, sum(count) FILTER (date = '2024-01-06') AS d FROM s GROUP BY label_0, label_1) "
+    "SELECT label_0, label_1, CAST(grouping(label_0, label_1) AS BIGINT) AS level, count(*) AS series, sum(sum) AS sum, round(avg(av), 6) AS average, min(mn) AS min, max(mx) AS max, sum(d) AS d20240106 FROM m GROUP BY ROLLUP (label_0, label_1)"
 )
 def chart_group_rollup(spark, sf_dir):
     spec = _spec(EventSeries("view"), breakdowns=("region", "properties.__query.utm_source"))
-    metrics = C.series_metrics(C.chart(T.base_events(spark, sf_dir), spec), ["label_0", "label_1"])
-    return C.group_rollup(metrics, ["label_0", "label_1"]).select("label_0", "label_1", F.col("level").cast("long").alias("level"), "series", "sum", "min", "max")
+    wide = C.pivot_table(C.chart(T.base_events(spark, sf_dir), spec), ["label_0", "label_1"], ["20240106"])
+    rolled = C.group_rollup(wide, ["label_0", "label_1"], ["20240106"])
+    return rolled.withColumn("level", F.col("level").cast("long")).withColumn("average", F.round("average", 6))
 
 
 @query(f"WITH s AS ({_BROKEN}) SELECT 'label_0' AS label, count(DISTINCT label_0) AS values FROM s UNION ALL SELECT 'label_1', count(DISTINCT label_1) FROM s")
@@ -199,12 +201,14 @@ def chart_drilldown_profiles(spark, sf_dir):
 
 @query(
     """WITH d AS (SELECT *, date_diff('day', CAST(created_at AS DATE), DATE '2024-01-28') AS n FROM ev),
-    c AS (SELECT project_id, count(DISTINCT profile_id) FILTER (n = 0) AS day, count(DISTINCT profile_id) FILTER (n = 1) AS previous_day, count(DISTINCT profile_id) FILTER (n >= 0 AND n < 30) AS month,
-    count(DISTINCT profile_id) FILTER (n >= 0 AND n < 14) AS half, count(DISTINCT profile_id) FILTER (n >= 14 AND n < 28) AS previous_half, CAST(sum(revenue) AS BIGINT) AS revenue FROM d GROUP BY project_id)
-    SELECT *, CASE WHEN previous_half = 0 THEN 0 ELSE round((half - previous_half) * 100.0::DOUBLE / previous_half, 2) END AS trend FROM c"""
+    c AS (SELECT project_id, count(DISTINCT profile_id) FILTER (n = 0) AS day, count(DISTINCT profile_id) FILTER (n = 1) AS previous_day, count(DISTINCT profile_id) FILTER (n >= 0 AND n < 7) AS month,
+    count(DISTINCT profile_id) FILTER (n >= 7 AND n < 14) AS previous_month, count(DISTINCT profile_id) FILTER (n >= 0 AND n < 21) AS quarter, count(DISTINCT profile_id) FILTER (n >= 21 AND n < 42) AS previous_quarter,
+    CAST(sum(revenue) AS BIGINT) AS revenue FROM d GROUP BY project_id),
+    l AS (SELECT project_id, string_agg(CAST(m AS VARCHAR), ',' ORDER BY x DESC) AS daily FROM (SELECT c.project_id, x, (SELECT count(DISTINCT profile_id) FROM d WHERE d.project_id = c.project_id AND n = x) AS m FROM c CROSS JOIN (SELECT unnest(range(7)) AS x)) GROUP BY project_id)
+    SELECT c.*, CASE WHEN previous_quarter = 0 THEN 0 ELSE round((quarter - previous_quarter) * 100.0::DOUBLE / previous_quarter, 2) END AS trend, daily FROM c JOIN l USING (project_id)"""
 )
 def project_card(spark, sf_dir):
-    return C.project_card(T.base_events(spark, sf_dir), AS_OF)
+    return C.project_card(T.base_events(spark, sf_dir), AS_OF, 7).withColumn("daily", F.array_join("daily", ","))  # a month of seven days: the table holds four weeks
 
 
 STEPS = [EventSeries("view"), EventSeries("click"), EventSeries("purchase")]
@@ -228,12 +232,12 @@ def _funnel(spark, sf_dir, group, events=None, **more):
 
 @query("WITH " + _levels("session_id") + " SELECT who, level FROM levels")
 def funnel_session(spark, sf_dir):
-    return _funnel(spark, sf_dir, "session_id")
+    return _funnel(spark, sf_dir, "session_id").select("who", "level")
 
 
 @query("WITH person AS (SELECT ev.* EXCLUDE (profile_id), coalesce(nullif(ss.profile_id, ''), ev.profile_id) AS profile_id FROM ev LEFT JOIN ss ON ss.id = ev.session_id), " + _levels("profile_id", "person") + " SELECT who, level FROM levels")
 def funnel_profile(spark, sf_dir):
-    return _funnel(spark, sf_dir, "profile_id", Fn.with_person(T.events(spark, sf_dir), T.sessions(spark, sf_dir)))
+    return _funnel(spark, sf_dir, "profile_id", Fn.with_person(T.events(spark, sf_dir), T.sessions(spark, sf_dir))).select("who", "level")
 
 
 _STEPS_SQL = """, grid AS (SELECT {g} step FROM {from_} CROSS JOIN (SELECT unnest([1, 2, 3]) AS step)),
@@ -261,7 +265,7 @@ def funnel_breakdown(spark, sf_dir):
 @query("WITH " + _levels("profile_id") + " SELECT who AS profile_id, first_name FROM levels LEFT JOIN pr ON pr.id = who WHERE level = 2")
 def funnel_dropoff_profiles(spark, sf_dir):
     stopped = Fn.at_step(_funnel(spark, sf_dir, "profile_id", T.base_events(spark, sf_dir)), 2, dropped=True)
-    return stopped.join(T.profiles(spark, sf_dir).select(F.col("id").alias("who"), "first_name"), "who", "left").select(F.col("who").alias("profile_id"), "first_name")
+    return stopped.join(T.profiles(spark, sf_dir).select("project_id", F.col("id").alias("who"), "first_name"), ["project_id", "who"], "left").select(F.col("who").alias("profile_id"), "first_name")
 
 
 def _shift(sql):
@@ -322,18 +326,178 @@ def conversion_table(spark, sf_dir):
     return C.rate_table(_rates(spark, sf_dir, breakdowns=["region"]), ["region"], ["20240105", "20240106"])
 
 
+_HALF = "created_at BETWEEN TIMESTAMP '2024-01-15' AND TIMESTAMP '2024-01-24 23:59:59.999'"
+_BEFORE = "created_at BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-14 23:59:59.999'"
+
+
+def _two_periods(keys=""):
+    now, old = (re.sub(r"\b(conv|rates)\b", rf"\1{n}", _conv(keys).replace(IN, where)) for n, where in (("", _HALF), ("b", _BEFORE)))
+    return now + ", " + old
+
+
+def _period_rates(spark, sf_dir, **more):
+    start, end = datetime(2024, 1, 15), datetime(2024, 1, 24, 23, 59, 59, 999000)
+    each = [K.conversion(T.base_events(spark, sf_dir), EventSeries("view"), EventSeries("purchase"), *r, 24, **more) for r in ((start, end), previous_range(start, end))]
+    return each
+
+
 @query(
-    "WITH " + _conv() + ", now AS (SELECT row_number() OVER (ORDER BY date) AS position, rate FROM rates WHERE date >= TIMESTAMP '2024-01-15'), "
-    "old AS (SELECT row_number() OVER (ORDER BY date) AS position, rate FROM rates WHERE date < TIMESTAMP '2024-01-15') "
+    "WITH " + _two_periods() + ", now AS (SELECT row_number() OVER (ORDER BY date) AS position, rate FROM rates), old AS (SELECT row_number() OVER (ORDER BY date) AS position, rate FROM ratesb) "
     "SELECT CAST(now.position AS INTEGER) AS position, now.rate, old.rate AS previous FROM now LEFT JOIN old ON old.position = now.position"
 )
 def conversion_previous(spark, sf_dir):
-    rates = _rates(spark, sf_dir)
-    place = F.row_number().over(Window.orderBy("date"))  # one row for each bucket
-    cut = F.lit(datetime(2024, 1, 15)).cast("timestamp")
-    now = rates.filter(F.col("date") >= cut).withColumn("position", place)
-    old = rates.filter(F.col("date") < cut).withColumn("position", place)
-    return now.select("position", "rate").join(old.select("position", F.col("rate").alias("previous")), "position", "left")
+    """The previous period by itself: a view before the cut is not converted by a purchase after it."""
+    return K.with_previous_rates(*_period_rates(spark, sf_dir)).select("position", "rate", "previous")
+
+
+@query(
+    "WITH " + _two_periods("region") + """ SELECT region, CAST(sum(total) AS BIGINT) AS total, CAST(sum(conversions) AS BIGINT) AS conversions, round(avg(rate), 2) AS mean_rate,
+    coalesce((SELECT round(avg(rate), 2) FROM ratesb b WHERE b.region = rates.region), 0) AS previous_mean, coalesce(max(rate) FILTER (strftime(date, '%Y%m%d') = '20240116'), 0) AS d20240116 FROM rates GROUP BY region"""
+)
+def conversion_table_previous(spark, sf_dir):
+    now, before = _period_rates(spark, sf_dir, breakdowns=["region"])
+    return C.rate_table(now, ["region"], ["20240116"], before)
+
+
+@query(
+    "WITH " + _conv("region") + """, m AS (SELECT region, round(avg(rate), 2) AS mean FROM rates GROUP BY region)
+    SELECT (SELECT region FROM m ORDER BY mean DESC, region DESC LIMIT 1) AS best_series, max(mean) AS best_mean, (SELECT region FROM m ORDER BY mean, region LIMIT 1) AS worst_series, min(mean) AS worst_mean, round(avg(mean), 2) AS overall_mean FROM m"""
+)
+def conversion_series_summary(spark, sf_dir):
+    return K.series_summary(_rates(spark, sf_dir, breakdowns=["region"]), ["region"])
+
+
+@query(
+    "WITH tagged AS (SELECT * REPLACE (CASE WHEN utm_source = '' THEN '(not set)' ELSE utm_source END AS utm_source) FROM ev), "
+    + _conv("utm_source").replace("FROM ev ", "FROM tagged ")
+    + f", chosen AS (SELECT utm_source FROM tagged WHERE name IN ('view', 'purchase') AND {IN} GROUP BY utm_source ORDER BY min(created_at), utm_source LIMIT 2) SELECT strftime(date, '%Y-%m-%d') AS date, rates.utm_source, total, conversions, rate FROM rates SEMI JOIN chosen ON chosen.utm_source = rates.utm_source"
+)
+def conversion_limit(spark, sf_dir):
+    """A property breakdown with '(not set)', the two series seen first."""
+    events = T.base_events(spark, sf_dir)
+    rates = K.conversion(events, EventSeries("view"), EventSeries("purchase"), START, END, 24, breakdowns=["properties.__query.utm_source"])
+    labelled = events.withColumn("utm_source", C.label("properties.__query.utm_source"))
+    chosen = Fn.first_labels(labelled, [EventSeries("view"), EventSeries("purchase")], START, END, ["utm_source"], 2)
+    return rates.join(chosen, "utm_source", "left_semi").withColumn("date", day("date"))
+
+
+@query(
+    "WITH " + _levels("profile_id", more=", region") + """, counted AS (SELECT region, s AS step, count(*) FILTER (level >= s) AS count FROM levels CROSS JOIN (SELECT unnest([1, 2, 3]) AS s) GROUP BY ALL)
+    SELECT region, step, count, CAST(dense_rank() OVER (ORDER BY entered DESC, region) AS INTEGER) AS place FROM (SELECT *, max(count) FILTER (step = 1) OVER (PARTITION BY region) AS entered FROM counted)"""
+)
+def funnel_by_total(spark, sf_dir):
+    steps = Fn.funnel_steps(_funnel(spark, sf_dir, "profile_id", T.base_events(spark, sf_dir), breakdowns=["region"]), 3, ["region"])
+    return Fn.by_total(steps, ["region"]).select("region", "step", "count", "place")
+
+
+@query(
+    "WITH " + _levels("profile_id", more=", region") + f", chosen AS (SELECT region FROM ev WHERE name IN ('view', 'click', 'purchase') AND {IN} GROUP BY region ORDER BY min(created_at), region LIMIT 2) "
+    "SELECT region, who, level FROM levels SEMI JOIN chosen USING (region)"
+)
+def funnel_limit(spark, sf_dir):
+    events = T.base_events(spark, sf_dir)
+    chosen = Fn.first_labels(events, STEPS, START, END, ["region"], 2)
+    return _funnel(spark, sf_dir, "profile_id", events.join(chosen, "region", "left_semi"), breakdowns=["region"]).select("region", "who", "level")
+
+
+_RANKED = f"WITH s AS ({_BROKEN}), m AS (SELECT label_0, label_1, sum(count) AS sum, coalesce(avg(CASE WHEN count <> 0 THEN count END), 0) AS average, min(count) AS min, max(count) AS max, max(total_count) AS total FROM s GROUP BY label_0, label_1)"
+
+
+def _broken(spark, sf_dir):
+    spec = _spec(EventSeries("view"), breakdowns=("region", "properties.__query.utm_source"))
+    return spec, C.chart(T.base_events(spark, sf_dir), spec)
+
+
+@query(_RANKED + " SELECT md5('0' || chr(31) || label_0 || chr(31) || label_1) AS id, CAST(row_number() OVER (ORDER BY sum DESC, label_0, label_1) AS INTEGER) AS place, 'view' AS name, CAST(0 AS INTEGER) AS def_index, * FROM m QUALIFY place <= 7")
+def chart_formatted(spark, sf_dir):
+    spec, series = _broken(spark, sf_dir)
+    return C.formatted(series, spec, 7)
+
+
+@query(_RANKED + ", t AS (SELECT label_0, label_1 FROM m ORDER BY sum DESC, label_0, label_1 LIMIT 3) SELECT label_0, label_1, date, count FROM s SEMI JOIN t USING (label_0, label_1)")
+def chart_series_limit(spark, sf_dir):
+    spec, series = _broken(spark, sf_dir)
+    return C.limit_series(series, spec, 3).select("label_0", "label_1", "date", "count").withColumn("date", day("date"))
+
+
+@query(_RANKED + " SELECT label_0, label_1, sum AS count, round(sum * 100.0::DOUBLE / sum(sum) OVER (), 2) AS share FROM m")
+def chart_pie(spark, sf_dir):
+    spec, series = _broken(spark, sf_dir)
+    return C.shaped(series, spec, "pie").drop("def_index")
+
+
+@query(f"SELECT country AS label_0, CAST(count(*) AS DOUBLE) AS count FROM ev WHERE name = 'view' AND {IN} GROUP BY country")
+def chart_map(spark, sf_dir):
+    spec = _spec(EventSeries("view"), breakdowns=("country",))
+    return C.shaped(C.chart(T.base_events(spark, sf_dir), spec), spec, "map").drop("def_index")
+
+
+@query(f"SELECT CAST(i AS INTEGER) AS def_index, CAST(count(*) AS DOUBLE) AS count FROM ev JOIN (VALUES (0, 'view'), (1, 'purchase')) t(i, n) ON n = name WHERE {IN} GROUP BY i")
+def chart_metric(spark, sf_dir):
+    spec = _spec(EventSeries("view"), EventSeries("purchase"), breakdowns=("region",))
+    return C.shaped(C.chart(T.base_events(spark, sf_dir), spec), spec, "metric")
+
+
+@query(_daily("count(*)", ["view"]).replace("SELECT t.def_index,", "SELECT t.def_index, '' AS label_0,").replace(IN, IN + " AND NOT EXISTS (SELECT 1 FROM ev WHERE region = 'ATLANTIS')"))
+def chart_fallback(spark, sf_dir):
+    """A breakdown below a filter that nothing meets: the report without breakdowns."""
+    events = T.base_events(spark, sf_dir)
+    matched = events.filter("region = 'ATLANTIS'")
+    spec = _spec(EventSeries("view"), breakdowns=("region",))
+    found = C.chart_or_whole(matched, spec)
+    return _out(found if found.limit(1).count() else C.chart_or_whole(events.withColumn("region", F.lit("")).filter("name = 'view'"), replace(spec, breakdowns=())).withColumn("label_0", F.lit("")), 1)
+
+
+_ZONE = "Europe/Stockholm"
+_LOCAL = "(created_at + INTERVAL 66 DAY) AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Stockholm'"
+_ZONED = f"SELECT *, {_LOCAL} AS t FROM ev WHERE name = 'view'"
+
+
+def _spring(spark, sf_dir):
+    """The events moved to March, so that the clock changes among them."""
+    return T.base_events(spark, sf_dir).withColumn("created_at", F.col("created_at") + F.expr("INTERVAL 66 DAYS"))
+
+
+@query(
+    f"""WITH z AS ({_ZONED}), c AS (SELECT date_trunc('day', t) AS date, count(DISTINCT profile_id) AS n FROM z WHERE t BETWEEN TIMESTAMP '2024-03-25' AND TIMESTAMP '2024-04-03 23:59:59' GROUP BY 1)
+    SELECT strftime(g.date, '%Y-%m-%d') AS date, CAST(coalesce(n, 0) AS DOUBLE) AS count, (SELECT count(DISTINCT profile_id) FROM z WHERE t BETWEEN TIMESTAMP '2024-03-25' AND TIMESTAMP '2024-04-03 23:59:59') AS total_count
+    FROM (SELECT unnest(generate_series(TIMESTAMP '2024-03-25', TIMESTAMP '2024-04-03', INTERVAL 1 DAY)) AS date) g LEFT JOIN c ON CAST(c.date AS TIMESTAMP) = g.date"""
+)
+def chart_zone_daily(spark, sf_dir):
+    """Days of a zone in which the clock changes."""
+    spec = ReportSpec((EventSeries("view", "user"),), datetime(2024, 3, 25), datetime(2024, 4, 3, 23, 59, 59), tz=_ZONE)
+    return C.chart(_spring(spark, sf_dir), spec).select(day("date").alias("date"), "count", "total_count")
+
+
+@query(
+    f"""WITH z AS ({_ZONED}), c AS (SELECT date_trunc('hour', t) AS date, count(*) AS n FROM z WHERE t BETWEEN TIMESTAMP '2024-03-30' AND TIMESTAMP '2024-03-31 23:59:59' GROUP BY 1)
+    SELECT strftime(g.date, '%Y-%m-%d %H:%M:%S') AS date, CAST(coalesce(n, 0) AS DOUBLE) AS count FROM (SELECT unnest(generate_series(TIMESTAMP '2024-03-30', TIMESTAMP '2024-03-31 23:00:00', INTERVAL 1 HOUR)) AS date) g LEFT JOIN c ON c.date = g.date"""
+)
+def chart_zone_hourly(spark, sf_dir):
+    spec = ReportSpec((EventSeries("view"),), datetime(2024, 3, 30), datetime(2024, 3, 31, 23, 59, 59), interval="hour", tz=_ZONE)
+    return C.chart(_spring(spark, sf_dir), spec).select(text("date").alias("date"), "count")
+
+
+@query(f"WITH z AS (SELECT *, {_LOCAL} AS t FROM ev) SELECT name, count(*) AS n, strftime(date_trunc('week', t), '%Y-%m-%d') AS week, strftime(date_trunc('month', t), '%Y-%m-%d') AS month FROM z WHERE t BETWEEN TIMESTAMP '2024-03-27' AND TIMESTAMP '2024-04-03 23:59:59.999' GROUP BY ALL")
+def zone_named_range(spark, sf_dir):
+    """The last seven days as people of the zone count them, at half past ten in the evening by UTC."""
+    start, end = named_range("7d", datetime(2024, 4, 2, 22, 30), _ZONE)
+    rows = _spring(spark, sf_dir).filter(between("created_at", start, end, _ZONE))
+    week, month = (day(bucket(F.col("created_at"), unit, tz=_ZONE)).alias(unit) for unit in ("week", "month"))
+    return rows.groupBy("name", week, month).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "SELECT 'release' AS title, '2024-01-10' AS date, CAST(count(*) AS BIGINT) AS events FROM ev WHERE project_id = 'p0' AND CAST(created_at AS DATE) = DATE '2024-01-10' UNION ALL "
+    "SELECT 'campaign', '2024-01-20', count(*) FROM ev WHERE project_id = 'p0' AND CAST(created_at AS DATE) = DATE '2024-01-20'"
+)
+def chart_references(spark, sf_dir):
+    """Annotations inside a chart's range, beside the events of their day."""
+    made = [("release", "2024-01-10", "p0"), ("campaign", "2024-01-20", "p0"), ("early", "2024-01-02", "p0"), ("foreign", "2024-01-12", "p1")]
+    marks = spark.createDataFrame(made, "title string, at string, project_id string").withColumn("date", F.to_timestamp("at"))
+    shown = C.references_in(marks, _spec(EventSeries("*"), project_id="p0"))
+    per_day = T.base_events(spark, sf_dir).groupBy("project_id", F.to_date("created_at").cast("string").alias("at")).agg(F.count(F.lit(1)).alias("events"))
+    return shown.join(per_day, ["project_id", "at"], "left").select("title", F.col("at").alias("date"), F.coalesce("events", F.lit(0)).alias("events"))
 
 
 def _cohort(keep, unit="day", days=1):
@@ -360,6 +524,25 @@ def cohort_weighted(spark, sf_dir):
     return K.weighted_average(K.cohort_matrix(K.cohort_events(T.base_events(spark, sf_dir)), "view", "purchase"))
 
 
+@query("WITH " + _cohort(">=") + " SELECT *, CASE WHEN size = 0 THEN 0 ELSE round(users * 100.0::DOUBLE / size, 2) END AS percent FROM matrix")
+def cohort_percent(spark, sf_dir):
+    return K.with_percentages(K.cohort_matrix(K.cohort_events(T.base_events(spark, sf_dir)), "view", "purchase"))
+
+
+@query(
+    """WITH daily AS (SELECT DISTINCT project_id, name, CAST(created_at + to_days(CAST(event_id % 4 * 30 AS INTEGER)) AS DATE) AS day, profile_id FROM ev WHERE profile_id <> device_id),
+    cohorts AS (SELECT DISTINCT project_id, profile_id, CAST(date_trunc('month', day) AS DATE) AS cohort FROM daily WHERE name = 'view'),
+    later AS (SELECT DISTINCT project_id, profile_id, day AS seen FROM daily WHERE name = 'purchase'),
+    reached AS (SELECT cohort, project_id, profile_id, date_diff('month', cohort, seen) AS x FROM cohorts JOIN later USING (project_id, profile_id) WHERE seen >= cohort AND seen <= cohort + INTERVAL 3 MONTH),
+    sizes AS (SELECT cohort, count(*) AS size FROM cohorts GROUP BY cohort)
+    SELECT s.cohort, s.size, g.x, count(DISTINCT r.project_id || r.profile_id) AS users FROM sizes s CROSS JOIN (SELECT unnest(range(4))::INTEGER AS x) g LEFT JOIN reached r ON r.cohort = s.cohort AND r.x = g.x GROUP BY ALL"""
+)
+def cohort_month(spark, sf_dir):
+    """Months, on events spread over four of them."""
+    spread = T.base_events(spark, sf_dir).withColumn("created_at", F.col("created_at") + F.make_dt_interval(days=(F.col("event_id") % 4 * 30).cast("int")))
+    return K.cohort_matrix(K.cohort_events(spread), "view", "purchase", "month", 3, on_or_after=False)
+
+
 _WEEK = "CAST(date_trunc('week', {} + INTERVAL 1 DAY) - INTERVAL 1 DAY AS DATE)"
 
 
