@@ -68,7 +68,7 @@ def drop_self_referrals(rows: DataFrame, page_host: Column, referrer: str = "ref
 
 
 def parse_user_agent(ua: Column) -> dict[str, Column]:
-    """os, browser, device and is_server by a reduced set of rules."""
+    """os, browser, their versions, device, brand, model and is_server by a reduced set of rules."""
     has = lambda pattern: ua.rlike(f"(?i){pattern}")
     server = ua.isNull() | (ua == "") | has(r"^(curl|wget|python|go-http|node|axios|okhttp|java|ruby|php|postman)")
     os = (
@@ -81,7 +81,23 @@ def parse_user_agent(ua: Column) -> dict[str, Column]:
     )
     tablet = has("ipad|tablet|kindle|silk") | (has("android") & ~has("mobile"))
     device = F.when(server, "server").when(tablet, "tablet").when(has("mobi|iphone|ipod"), "mobile").otherwise("desktop")
-    return {"os": os, "browser": browser, "device": device, "is_server": server}
+    first = lambda pattern: F.regexp_extract(ua, f"(?i){pattern}", 1)
+    number = r"(\d+(?:\.\d+)*)"
+    os_version = (
+        F.when(os == "iOS", F.replace(first(r"os (\d+(?:_\d+)*) like mac"), F.lit("_"), F.lit("."))).when(os == "Android", first("android " + number)).when(os == "Windows", first("windows nt " + number))
+        .when(os == "macOS", F.replace(first(r"mac os x (\d+(?:[_.]\d+)*)"), F.lit("_"), F.lit("."))).otherwise("")
+    )
+    marks = {"Edge": "edg(?:e|a|ios)?/", "Opera": "(?:opr|opera)/", "Samsung Internet": "samsungbrowser/", "Firefox": "(?:firefox|fxios)/", "Chrome": "(?:chrome|crios)/", "Safari": "version/"}
+    browser_version = F.lit("")
+    for name, mark in marks.items():
+        browser_version = F.when(browser == name, first(mark + number)).otherwise(browser_version)
+    apple = first("(iphone|ipad|ipod|macintosh)")
+    galaxy, pixel = first(r"\b(sm-[a-z0-9]+)"), first(r"\b(pixel [a-z0-9 ]*?)(?: build|[;)])")
+    brand = F.when(server, "").when(apple != "", "Apple").when(galaxy != "", "Samsung").when(pixel != "", "Google").when(has(r"\b(redmi|xiaomi|mi )"), "Xiaomi").when(has("huawei"), "Huawei").otherwise("")
+    model = F.when(server, "").when(apple != "", apple).when(galaxy != "", galaxy).otherwise(pixel)
+    return {
+        "os": os, "os_version": os_version, "browser": browser, "browser_version": browser_version, "device": device, "brand": brand, "model": model, "is_server": server,
+    }
 
 
 def enrich_user_agents(rows: DataFrame, ua: str = "user_agent", properties: str | None = "properties") -> DataFrame:
@@ -133,21 +149,22 @@ def client_ip(headers: Sequence[str]) -> Column:
 
 
 def locate(rows: DataFrame, ranges: DataFrame, ip: str = "ip") -> DataFrame:
-    """Adds country and city from CIDR ranges (network, bits, country, city).
+    """Adds what CIDR ranges of any length (network, bits, country, city, …) say of IPv4 addresses; '' or null where none does.
 
     Addresses and ranges meet under the range's prefix length: one equi-join for
     each length that occurs, the longest match winning.
     """
-    lengths = F.explode(F.array(*[F.lit(b) for b in range(8, 33)])).alias("bits")
-    ranged = ranges.select("bits", F.shiftright(ip_number(F.col("network")), 0).alias("_net"), "country", "city")
+    told = [c for c in ranges.columns if c not in ("network", "bits")]
+    lengths = F.explode(F.sequence(F.lit(0), F.lit(32))).alias("bits")
+    ranged = ranges.select("bits", ip_number(F.col("network")).alias("_net"), *told)
     keyed = ranged.withColumn("_key", F.floor(F.col("_net") / F.pow(F.lit(2.0), F.lit(32) - F.col("bits"))).cast("long")).drop("_net")
     used = keyed.select("bits").distinct()
     addresses = rows.select(F.col(ip).alias("_ip")).filter(is_public(F.col("_ip"))).distinct()
-    probes = addresses.select("_ip", ip_number(F.col("_ip")).alias("_n"), lengths).join(used, "bits")
+    probes = addresses.select("_ip", ip_number(F.col("_ip")).alias("_n"), lengths).join(F.broadcast(used), "bits")  # 33 rows at most
     probes = probes.withColumn("_key", F.floor(F.col("_n") / F.pow(F.lit(2.0), F.lit(32) - F.col("bits"))).cast("long"))
-    found = probes.join(keyed, ["bits", "_key"]).groupBy("_ip").agg(F.max_by(F.struct("country", "city"), "bits").alias("_at"))
+    found = probes.join(keyed, ["bits", "_key"]).groupBy("_ip").agg(F.max_by(F.struct(*told), "bits").alias("_at"))
     return rows.join(found, F.col(ip) == F.col("_ip"), "left").select(
-        *rows.columns, F.coalesce("_at.country", F.lit("")).alias("country"), F.coalesce("_at.city", F.lit("")).alias("city")
+        *rows.columns, *[(F.coalesce(f"_at.{c}", F.lit("")) if kind == "string" else F.col(f"_at.{c}")).alias(c) for c, kind in ranges.dtypes if c in told]
     )
 
 

@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timegrid import between, bucket, calendar
+from .charts import difference
 
 #: Dimensions of the generic top list, and the one each stands under.
 PARENTS = {"region": "country", "city": "country", "browser_version": "browser", "os_version": "os"}
+#: The dimensions that visitors can be listed by.
+DIMENSIONS = (
+    "referrer", "referrer_name", "referrer_type", "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "country", "region", "city",
+    "device", "brand", "model", "browser", "browser_version", "os", "os_version",
+)
 
 
 def _ratio(a: Column, b: Column, places: int = 2) -> Column:
@@ -75,6 +81,7 @@ def top_pages(events: DataFrame, sessions: DataFrame, start, end, view: str) ->
     """Paths by sessions: views, mean duration, bounce rate and revenue of sessions that enter there."""
     views = events.filter(between("created_at", start, end) & (F.col("name") == view))
     pages = views.groupBy("path", "origin").agg(
+        F.max_by("title", F.struct("created_at", "event_id")).alias("title"),
         F.count_distinct("session_id").alias("sessions"),
         F.count(F.lit(1)).alias("views"),
         F.coalesce(F.round(F.avg(F.when(F.col("duration") > 0, F.col("duration") / 1000.0)), 2), F.lit(0.0)).alias("avg_duration"),
@@ -89,6 +96,25 @@ def top_pages(events: DataFrame, sessions: DataFrame, start, end, view: str) ->
     )
 
 
+def top_dimensions(sessions: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, limit: int | None = None) -> DataFrame:
+    """dimension, parent value ('' without one), value and the figures of ``top_generic``, for all dimensions in one pass."""
+    entry = lambda d: F.struct(F.lit(d).alias("dimension"), (F.col(PARENTS[d]) if d in PARENTS else F.lit("")).alias("parent"), F.col(d).alias("value"))
+    each = sessions.select("is_bounce", "duration", "revenue", F.explode(F.array(*map(entry, dimensions))).alias("x")).select("x.*", "is_bounce", "duration", "revenue")
+    counted = top_generic(each, ["dimension", "parent", "value"])
+    if limit is None:
+        return counted
+    place = F.row_number().over(Window.partitionBy("dimension").orderBy(F.desc("sessions"), "parent", "value"))
+    return counted.withColumn("_r", place).filter(F.col("_r") <= limit).drop("_r")
+
+
+def metrics_with_previous(log: DataFrame, start, end, previous: tuple) -> DataFrame:
+    """metric, value, previous, diff, state: the totals of both periods, a row for each of the seven metrics."""
+    names = [f.name for f in site_metrics(log, start, end).schema if f.name not in ("date", "is_total")]
+    long = lambda r, c: site_metrics(log, *r).filter("is_total = 1").select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias(c)) for n in names])).alias("x")).select("x.*")
+    both = long((start, end), "value").join(long(previous, "previous"), "metric", "left").withColumn("previous", F.coalesce("previous", F.lit(0.0)))
+    return both.select("*", *[c.alias(n) for n, c in difference(F.col("value"), F.col("previous")).items()])
+
+
 def top_generic(sessions: DataFrame, columns: list[str]) -> DataFrame:
     """Sessions, bounce rate, mean duration and revenue by the values of columns (a parent first)."""
     return sessions.groupBy(*columns).agg(
@@ -119,6 +145,14 @@ def live_minutes(events: DataFrame, as_of, minutes: int = 30) -> DataFrame:
     return calendar(events.sparkSession, start, as_of, "minute").join(counted, "date", "left").fillna(0)
 
 
+def live_referrers(events: DataFrame, as_of, minutes: int = 30, by_minute: bool = False, limit: int | None = None) -> DataFrame:
+    """Sessions by referrer in the last minutes, of each minute or altogether; the first ``limit`` of them."""
+    recent = events.filter(between("created_at", as_of - timedelta(minutes=minutes), as_of) & (F.col("referrer") != ""))
+    keys = [*([bucket(F.col("created_at"), "minute").alias("date")] if by_minute else []), F.col("referrer")]
+    counted = recent.groupBy(*keys).agg(F.count_distinct("project_id", "session_id").alias("sessions"))
+    return counted if limit is None else counted.orderBy(F.desc("sessions"), *counted.columns[:-1]).limit(limit)
+
+
 def live_top(events: DataFrame, columns: list[str], as_of, minutes: int = 30) -> DataFrame:
     """Events, sessions and mean view duration by the values of columns."""
     return events.filter(between("created_at", as_of - timedelta(minutes=minutes), as_of)).groupBy(*columns).agg(

@@ -17,12 +17,13 @@ SQL: dict[str, str] = {}
 _CANONICAL = r"""
 pg AS (
   SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin,
-         regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS query FROM pages),
+         regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS query,
+         regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages),
 np AS (SELECT count(*) AS c FROM pages),
 e0 AS (
   SELECT CAST(event_id AS VARCHAR) AS id, event_id, event_type AS name, ts AS created_at, 'p' || (user_id % 2) AS project_id,
          'd' || user_id AS device_id, CASE WHEN user_id % 3 = 0 THEN 'd' || user_id ELSE 'u' || user_id END AS profile_id,
-         pg.path AS path, pg.origin AS origin, rf.host AS referrer, n_name AS country, r_name AS region,
+         pg.path AS path, pg.origin AS origin, pg.title AS title, rf.host AS referrer, n_name AS country, r_name AS region,
          CASE WHEN event_type = 'purchase' THEN CAST(round(value * 100) AS BIGINT) ELSE 0 END AS revenue, value,
          coalesce(props->>'$.k', '') AS k, regexp_extract(pg.query, '(?:^|&)utm_source=([^&]*)', 1) AS utm_source,
          regexp_extract(pg.query, '(?:^|&)page=([^&]*)', 1) AS q_page, regexp_extract(pg.query, '(?:^|&)ref=([^&]*)', 1) AS q_ref

@@ -128,6 +128,21 @@ def property_catalogue(spark, sf_dir):
     return lists.property_catalogue(T.base_events(spark, sf_dir)).orderBy(F.length("property"), "property").select("property")
 
 
+@query(
+    "SELECT property FROM (SELECT 'properties.k' AS property UNION ALL SELECT 'properties.__query.' || x FROM (SELECT DISTINCT unnest(list_concat(CASE WHEN utm_source <> '' THEN ['utm_source'] ELSE [] END, CASE WHEN q_page <> '' THEN ['page'] ELSE [] END, CASE WHEN q_ref <> '' THEN ['ref'] ELSE [] END)) AS x FROM ev) "
+    "UNION ALL SELECT unnest(['profile.properties.plan', 'profile.properties.country', 'name', 'path', 'country', 'has_profile']))"
+)
+def property_catalogue_full(spark, sf_dir):
+    """Event and profile properties and the fixed columns, shortest first."""
+    return lists.full_catalogue(T.base_events(spark, sf_dir), T.profiles(spark, sf_dir), ["name", "path", "country"]).select("property")
+
+
+@query("SELECT DISTINCT path AS value FROM ev WHERE path <> '' AND created_at >= TIMESTAMP '2023-12-28' AND created_at <= TIMESTAMP '2024-01-28 12:00:00' ORDER BY length(path), path LIMIT 40")
+def column_values(spark, sf_dir):
+    """Values of a plain column over the last month, shortest first."""
+    return lists.column_values(T.base_events(spark, sf_dir), "path", AS_OF, 1, 40)
+
+
 @query("SELECT k AS value, count(*) AS n, strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS last_seen FROM ev WHERE k <> '' GROUP BY k")
 def property_values(spark, sf_dir):
     values = lists.property_values(T.base_events(spark, sf_dir)).filter(F.col("property_key") == "k")

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import enrich as E
+from ..operators import lists as L
+from ..operators import overview as O
+from ..sources import clients as C
 from ..sources import imports as Im
 from ..sources import tables as T
-from .base import day, query, text
+from .base import AS_OF, day, query, text
 
 KNOWN = [("spam-farm.example.org", "Spam Farm", "spam"), ("www.casino-win.example.org", "Casino", "spam"), ("feed.com", "Feed", "feed")]
 _KNOWN_SQL = "known AS (SELECT * FROM (VALUES ('spam-farm.example.org', 'Spam Farm', 'spam'), ('www.casino-win.example.org', 'Casino', 'spam'), ('feed.com', 'Feed', 'feed')) t(host, name, type))"
@@ -61,9 +64,7 @@ def _web_rows(spark, sf_dir):
 )
 def import_production(spark, sf_dir):
     rows = _web_rows(spark, sf_dir)
-    devices = rows.select(F.col("event_id").alias("id"), F.col("device_id").alias("_d"))
-    mapped = Im.map_web_rows(rows, "p0").join(devices, "id").withColumn("device_id", F.col("_d")).withColumn("profile_id", F.col("_d")).drop("_d")
-    return Im.production_rows(mapped).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    return Im.production_rows(Im.map_web_rows(rows, "p0")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT 'import-1' AS import_id, count(*) AS rows, min(CAST(created_at AS DATE)) AS first_day, max(CAST(created_at AS DATE)) AS last_day FROM ev")
@@ -101,3 +102,153 @@ def orders_monthly_by_nation(spark, sf_dir):
     return joined.groupBy(day(F.date_trunc("month", "o_orderdate")).alias("month"), F.col("n_name").alias("nation")).agg(
         F.count(F.lit(1)).alias("orders"), F.count_distinct("o_custkey").alias("customers"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("revenue")
     )
+
+
+_N = "CAST(substr(device_id, 2) AS BIGINT)"
+_AGENT = f"CASE {_N} % {len(C.AGENTS)} " + " ".join(f"WHEN {i} THEN '{a}'" for i, a in enumerate(C.AGENTS)) + " END"
+_IP = f"CASE WHEN {_N} % 11 = 0 THEN '10.0.0.1' ELSE '81.' || ({_N} % 3) || '.' || ({_N} // 2 % 128) || '.9' END"
+#: What the rules say of each agent: os, os_version, browser, browser_version, device, brand, model.
+PARSED = (
+    ("iOS", "17.2", "Safari", "17.2", "mobile", "Apple", "iPhone"),
+    ("Android", "14", "Chrome", "120.0.6099.43", "mobile", "Google", "Pixel 8"),
+    ("Windows", "10.0", "Firefox", "121.0", "desktop", "", ""),
+    ("macOS", "10.15.7", "Edge", "119.0.2151.58", "desktop", "Apple", "Macintosh"),
+    ("Android", "13", "Samsung Internet", "23.0", "tablet", "Samsung", "SM-X710"),
+    ("", "", "", "", "server", "", ""),
+    ("", "", "", "", "desktop", "", ""),
+)
+_PARSED = "parsed AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, " + ", ".join(f"'{x}'" for x in row) + ")" for i, row in enumerate(PARSED)) + ") t(agent, os, os_version, browser, browser_version, device, brand, model))"
+_PLACED = f"""placed AS (SELECT n, CASE WHEN n % 11 = 0 THEN '' WHEN n % 3 = 0 THEN 'SE' WHEN n % 3 = 1 THEN 'DE' ELSE 'FR' END AS country,
+    CASE WHEN n % 11 = 0 THEN '' WHEN n % 3 = 0 THEN 'Stockholm' WHEN n % 3 = 1 AND n // 2 % 128 >= 64 THEN 'Hamburg' WHEN n % 3 = 1 THEN 'Berlin' ELSE 'Paris' END AS city FROM (SELECT DISTINCT {_N} AS n FROM ev))"""
+
+
+@query(f"WITH {_PARSED} SELECT id, os, os_version, browser, browser_version, device, brand, model, agent = 5 AS is_server FROM ev JOIN parsed ON agent = {_N} % {len(C.AGENTS)}")
+def user_agents(spark, sf_dir):
+    rows = E.enrich_user_agents(C.client_events(spark, sf_dir), properties=None)
+    return rows.select("id", "os", "os_version", "browser", "browser_version", "device", "brand", "model", "is_server")
+
+
+@query(f"WITH {_PLACED} SELECT id, p.country AS place, p.city AS city, CASE p.city WHEN 'Paris' THEN 'Ile-de-France' ELSE p.city END AS district, CASE p.city WHEN 'Stockholm' THEN 18.07 WHEN 'Berlin' THEN 13.4 WHEN 'Hamburg' THEN 9.99 WHEN 'Paris' THEN 2.35 END::DOUBLE AS longitude FROM ev JOIN placed p ON n = {_N}")
+def ip_locations(spark, sf_dir):
+    rows = C.client_events(spark, sf_dir).drop("country", "region")
+    placed = E.locate(rows, C.ranges(spark))
+    return placed.select("id", F.col("country").alias("place"), "city", F.col("region").alias("district"), "longitude")
+
+
+@query(f"SELECT id, {_AGENT} AS user_agent, {_IP} AS ip, CASE {_N} % {len(C.AGENTS)} WHEN 6 THEN 'Sample crawler' END AS bot_name, CASE {_N} % {len(C.AGENTS)} WHEN 6 THEN 'crawler' END AS bot_type FROM ev")
+def bot_classification(spark, sf_dir):
+    return E.classify_bots(C.client_events(spark, sf_dir), C.bot_rules(spark)).select("id", "user_agent", "ip", "bot_name", "bot_type")
+
+
+@query(
+    f"WITH b AS (SELECT id, path FROM ev WHERE {_N} % {len(C.AGENTS)} = 6 AND path <> '') SELECT id, path, 'Sample crawler' AS bot_name, (SELECT count(*) FROM b) AS total, (SELECT CAST(ceil(count(*) / 15.0) AS BIGINT) FROM b) AS pages FROM b ORDER BY CAST(id AS BIGINT) DESC LIMIT 15 OFFSET 15"
+)
+def bot_events_page(spark, sf_dir):
+    """A page of the events of bots, with how many there are."""
+    _, bots = E.split_bots(E.classify_bots(C.client_events(spark, sf_dir), C.bot_rules(spark)))
+    return L.page_with_total(bots, [F.desc("event_id")], 1, 15).select("id", "path", "bot_name", "total", "pages")
+
+
+@query(f"SELECT id, CASE WHEN {_N} % 11 = 0 THEN NULL ELSE {_IP} END AS ip FROM ev")
+def client_addresses(spark, sf_dir):
+    """The first public address of two headers; private and malformed ones are passed over."""
+    rows = C.client_events(spark, sf_dir).withColumn("forwarded", F.concat(F.lit("unknown, 192.168.0.4, "), "ip")).withColumn("real", F.lit("127.0.0.1"))
+    return rows.select("id", E.client_ip(["real", "forwarded"]).alias("ip"))
+
+
+@query(
+    f"""WITH c AS (SELECT id, project_id, {_AGENT} AS a, {_IP} AS i, CAST(created_at AS DATE) AS d FROM ev)
+    SELECT id, substr(sha256(a || ':' || i || ':' || project_id || ':salt' || strftime(d, '%Y%m%d')), 1, 32) AS device,
+    CASE WHEN d > (SELECT min(d) FROM c) THEN substr(sha256(a || ':' || i || ':' || project_id || ':salt' || strftime((SELECT max(b.d) FROM c b WHERE b.d < c.d), '%Y%m%d')), 1, 32) ELSE '' END AS before FROM c"""
+)
+def device_hashes(spark, sf_dir):
+    """Salted device ids of the day and of the day before."""
+    rows = C.client_events(spark, sf_dir).drop("device_id")
+    days = rows.select(F.to_date("created_at").alias("day")).distinct()
+    salts = days.withColumn("salt", F.concat(F.lit("salt"), F.date_format("day", "yyyyMMdd")))
+    return E.device_ids(rows, salts).select("id", F.col("device_id").alias("device"), F.col("previous_device_id").alias("before"))
+
+
+@query(
+    r"""SELECT ev.id, ev.path AS path, ev.origin AS origin, CASE WHEN regexp_replace(referrer, '^www\.', '') = regexp_replace(regexp_extract(origin, '^https?://(.*)$', 1), '^www\.', '') THEN '' ELSE referrer END AS referrer,
+    revenue, k, utm_source FROM ev WHERE origin <> ''"""
+)
+def normalized_events(spark, sf_dir):
+    """Tracked rows as a client sends them, normalised again: addresses split, own keys consumed, self-referrals dropped."""
+    events = T.base_events(spark, sf_dir).filter("origin <> ''")
+    query_of = F.when(F.element_at("properties", "__query.utm_source").isNotNull(), F.concat(F.lit("?utm_source="), F.element_at("properties", "__query.utm_source"))).otherwise("")
+    sent = F.map_concat(
+        F.create_map(F.lit("k"), F.element_at("properties", "k"), F.lit("__path"), F.concat("origin", "path", query_of)),
+        F.create_map(F.lit("__referrer"), F.concat(F.lit("https://"), "referrer", F.lit("/x")), F.lit("__revenue"), F.col("revenue").cast("string")),
+    )
+    tracked = events.select("id", "name", "created_at", sent.alias("properties"))
+    got = E.normalize_events(tracked)
+    value = lambda k: F.coalesce(F.element_at("properties", k), F.lit(""))
+    return got.select("id", "path", "origin", "referrer", "revenue", value("k").alias("k"), value("__query.utm_source").alias("utm_source"))
+
+
+@query("SELECT id, CASE WHEN name = 'view' THEN 'screen_view' ELSE name END AS name, 'p0' AS project_id, device_id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS at, path, 'https://example.com' AS origin, referrer, 'desktop' AS device, 'SE' AS country FROM ev")
+def import_web_rows(spark, sf_dir):
+    mapped = Im.map_web_rows(_web_rows(spark, sf_dir), "p0")
+    return mapped.select("id", "name", "project_id", "device_id", text("created_at").alias("at"), "path", "origin", "referrer", "device", "country")
+
+
+@query("SELECT id, CASE WHEN name = 'view' THEN 'screen_view' ELSE name END AS name, profile_id, device_id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS at, path, origin, CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN 'mobile' ELSE 'desktop' END AS device, k FROM ev WHERE origin <> ''")
+def import_product_rows(spark, sf_dir):
+    """Events in the form of a product-analytics export, mapped back."""
+    e = T.base_events(spark, sf_dir).filter("origin <> ''")
+    fields = {
+        "$insert_id": F.col("id"), "distinct_id": F.col("profile_id"), "$device_id": F.concat(F.lit("$device:"), "device_id"), "$current_url": F.concat("origin", "path"),
+        "$screen_width": F.when(F.col("event_id") % 3 == 0, 400).otherwise(1400), "k": F.element_at("properties", "k"), "mp_lib": F.lit("web"),
+    }
+    exported = e.select(
+        F.when(F.col("name") == "view", "$mp_web_page_view").otherwise(F.col("name")).alias("event"),
+        F.unix_seconds("created_at").cast("string").alias("time"),
+        F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()])).alias("properties_json"),
+    )
+    mapped = Im.map_product_rows(exported, "p0")
+    return mapped.select("id", "name", "profile_id", "device_id", text("created_at").alias("at"), "path", "origin", "device", F.coalesce(F.element_at("properties", "k"), F.lit("")).alias("k"))
+
+
+@query("SELECT 'good' AS part, count(*) FILTER (path <> '') AS n FROM ev UNION ALL SELECT 'bad', count(*) FILTER (path = '') FROM ev")
+def import_validation(spark, sf_dir):
+    """Rows with and without what an import requires."""
+    good, bad = Im.validate(T.base_events(spark, sf_dir), ("id", "path"))
+    count = lambda rows, name: rows.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n"))
+    return count(good, "good").unionByName(count(bad, "bad"))
+
+
+_DIMENSIONED = (
+    _KNOWN_SQL + f", {_PARSED}, {_PLACED}, sd AS (SELECT ss.* EXCLUDE (country, region), coalesce(kn.name, '') AS referrer_name, coalesce(kn.type, '') AS referrer_type, q.*, w.* EXCLUDE (n), "
+    "CASE w.city WHEN 'Paris' THEN 'Ile-de-France' ELSE w.city END AS region, "
+    "'' AS utm_medium, '' AS utm_campaign, '' AS utm_term, '' AS utm_content FROM ss LEFT JOIN known kn ON regexp_replace(kn.host, '^www\\.', '') = regexp_replace(lower(ss.referrer), '^www\\.', '') "
+    f"JOIN parsed q ON q.agent = CAST(substr(ss.device_id, 2) AS BIGINT) % {len(C.AGENTS)} JOIN placed w ON w.n = CAST(substr(ss.device_id, 2) AS BIGINT))"
+)
+_FIGURES = "count(*) AS sessions, round(count(*) FILTER (is_bounce) * 100.0::DOUBLE / count(*), 2) AS bounce_rate, coalesce(round(avg(CASE WHEN duration > 0 THEN duration END), 2) / 1000, 0) AS avg_session_duration, CAST(sum(revenue) AS BIGINT) AS revenue"
+_UTM = ("utm_medium", "utm_campaign", "utm_term", "utm_content")
+
+
+@query(
+    "WITH " + _DIMENSIONED + " " + " UNION ALL ".join(
+        f"SELECT '{d}' AS dimension, {O.PARENTS.get(d) or chr(39) * 2} AS parent, {d} AS value, {_FIGURES} FROM sd GROUP BY ALL" for d in O.DIMENSIONS if d not in _UTM
+    )
+)
+def top_dimensions(spark, sf_dir):
+    """Sessions by every dimension in one pass; versions, cities and regions under what they belong to."""
+    rows = O.top_dimensions(C.client_sessions(spark, sf_dir, _known(spark)))
+    return rows.filter(~F.col("dimension").isin(*_UTM))
+
+
+@query("SELECT substr(dim, 1, 20) AS dimension, value, count(*) AS sessions FROM (SELECT unnest(['utm_medium', 'utm_campaign', 'utm_term', 'utm_content']) AS dim, '' AS value FROM ss) GROUP BY ALL")
+def top_campaign_tags(spark, sf_dir):
+    """The tags that the test pages never carry."""
+    return O.top_dimensions(T.sessions(spark, sf_dir), _UTM).select("dimension", "value", "sessions")
+
+
+@query(
+    f"WITH {_PLACED} SELECT CASE p.city WHEN 'Stockholm' THEN 18.07 WHEN 'Berlin' THEN 13.4 WHEN 'Hamburg' THEN 9.99 WHEN 'Paris' THEN 2.35 END::DOUBLE AS longitude, CASE p.city WHEN 'Stockholm' THEN 59.33 WHEN 'Berlin' THEN 52.52 WHEN 'Hamburg' THEN 53.55 WHEN 'Paris' THEN 48.86 END::DOUBLE AS latitude, "
+    f"count(*) AS events, count(DISTINCT session_id) AS sessions FROM ev JOIN placed p ON n = {_N} WHERE created_at BETWEEN TIMESTAMP '2024-01-28 06:00:00' AND TIMESTAMP '2024-01-28 12:00:00' GROUP BY ALL"
+)
+def live_coordinates(spark, sf_dir):
+    rows = E.locate(C.with_client(T.events(spark, sf_dir)).drop("country", "region"), C.ranges(spark))
+    return O.live_top(rows, ["longitude", "latitude"], AS_OF, 360).select("longitude", "latitude", "events", "sessions")

@@ -15,7 +15,7 @@ from ..operators import profiles as P
 from ..operators import rollups as R
 from ..operators import sessions as S
 from ..sources import tables as T
-from .base import AS_OF, END, START, day, query, text
+from .base import AS_OF, END, QUERIES, SQL, START, day, query, text
 
 IN = "created_at BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25'"
 TS = "strftime({}, '%Y-%m-%d %H:%M:%S')"
@@ -63,10 +63,13 @@ def session_start_end(spark, sf_dir):
     return S.session_markers(T.events(spark, sf_dir)).select("session_id", "name", text("created_at").alias("at"), "duration", "path")
 
 
-@query("SELECT id, screen_view_count, revenue FROM ss")
+@query("SELECT id, CASE WHEN revenue > 30000 THEN screen_view_count // 2 ELSE screen_view_count END AS screen_view_count, revenue > 30000 AS older FROM ss WHERE NOT (revenue BETWEEN 10000 AND 30000)")
 def session_collapse(spark, sf_dir):
-    log = S.changelog(T.sessions(spark, sf_dir).withColumn("version", F.lit(0)).drop("version"))
-    return S.collapse(log).select("id", "screen_view_count", "revenue")
+    """Of a changelog in which some sessions are withdrawn, and some fall back to an older version."""
+    sessions = T.sessions(spark, sf_dir)
+    fallen = sessions.filter("revenue > 30000").withColumn("screen_view_count", F.floor(F.col("screen_view_count") / 2)).withColumn("sign", F.lit(1)).withColumn("version", F.lit(1))
+    log = S.changelog(sessions, F.col("revenue") >= 10000).unionByName(fallen)
+    return S.collapse(log).select("id", "screen_view_count", (F.col("version") == 1).alias("older"))
 
 
 @query(f"SELECT id, {TS.format('created_at')} AS created FROM ss WHERE (created_at, id) < (TIMESTAMP '2024-01-20', 'd1') AND screen_view_count > 0 ORDER BY created_at DESC, id DESC LIMIT 50")
@@ -75,9 +78,29 @@ def session_list_keyset(spark, sf_dir):
     return L.keyset_page(rows, L.encode_cursor(datetime(2024, 1, 20), "d1"), 50).select("id", text("created_at").alias("created"))
 
 
-@query("SELECT id, path, exit_path FROM (SELECT id, exit_path AS path, exit_path FROM ss WHERE country = 'NATION_9')")
+@query(f"SELECT id, 'session' AS name, project_id, device_id, profile_id, id AS session_id, {TS.format('ended_at')} AS at, exit_path AS path, exit_origin AS origin, referrer, country, region, duration, revenue, utm_source AS source, '' AS medium FROM ss")
 def session_as_event(spark, sf_dir):
-    return T.sessions(spark, sf_dir).filter("country = 'NATION_9'").select("id", F.col("exit_path").alias("path"), "exit_path")
+    rows = S.session_as_event(T.sessions(spark, sf_dir))
+    return rows.withColumn("at", text("created_at")).withColumn("source", F.col("utm.source")).withColumn("medium", F.col("utm.medium")).drop("created_at", "utm")
+
+
+@query(f"WITH d AS (SELECT * FROM ss WHERE created_at <= TIMESTAMP '2024-01-28 12:00:00' AND created_at >= TIMESTAMP '2024-01-28 00:00:00') SELECT id, {TS.format('created_at')} AS created FROM d ORDER BY created_at DESC, id DESC LIMIT 20")
+def session_list_look_back(spark, sf_dir):
+    return L.look_back(T.sessions(spark, sf_dir), AS_OF, 20).select("id", text("created_at").alias("created"))
+
+
+@query("WITH f AS (SELECT * FROM ss WHERE project_id = 'p0' AND entry_path ILIKE '%a%') SELECT id, entry_path, (SELECT count(*) FROM f) AS total, (SELECT CAST(ceil(count(*) / 25.0) AS BIGINT) FROM f) AS pages FROM f ORDER BY created_at DESC, id LIMIT 25")
+def session_search_page(spark, sf_dir):
+    from ..functions.filters import search
+
+    rows = T.sessions(spark, sf_dir).filter((F.col("project_id") == "p0") & search(["entry_path"], "a"))
+    return L.page_with_total(rows, [F.desc("created_at"), F.col("id")], 0, 25).select("id", "entry_path", "total", "pages")
+
+
+@query("SELECT id, duration FROM ss WHERE project_id = 'p1' AND id IN ('d1-1', 'd3-1', 'd2-1')")
+def session_by_id(spark, sf_dir):
+    wanted = F.col("id").isin("d1-1", "d3-1", "d2-1") & (F.col("project_id") == "p1")
+    return T.sessions(spark, sf_dir).filter(wanted).select("id", "duration")
 
 
 @query(
@@ -116,9 +139,9 @@ def _metrics(spark, sf_dir):
     return O.site_metrics(log, START, END)
 
 
-@query("WITH " + _METRICS + f" SELECT strftime(date, '%Y-%m-%d') AS date, is_total, {_METRIC_COLUMNS.replace('unique_visitors,', '')} FROM m")
+@query("WITH " + _METRICS + f" SELECT strftime(date, '%Y-%m-%d') AS date, is_total, {_METRIC_COLUMNS} FROM m")
 def overview_metrics(spark, sf_dir):
-    return _metrics(spark, sf_dir).drop("unique_visitors").withColumn("date", day("date")).withColumn("is_total", F.col("is_total").cast("long"))
+    return _metrics(spark, sf_dir).withColumn("date", day("date")).withColumn("is_total", F.col("is_total").cast("long"))
 
 
 @query("WITH " + _METRICS + " SELECT strftime(g.date, '%Y-%m-%d') AS date, coalesce(n, 0) AS total_sessions, coalesce(v, 0) AS total_screen_views FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-24', INTERVAL 1 DAY)) AS date) g LEFT JOIN m ON m.is_total = 0 AND CAST(m.date AS TIMESTAMP) = g.date")
@@ -138,22 +161,30 @@ def overview_metrics_page_filter(spark, sf_dir):
     return rows.withColumn("date", day("date"))
 
 
-@query("WITH c AS (SELECT count(*) FILTER (created_at >= TIMESTAMP '2024-01-15') AS sessions, count(*) FILTER (created_at < TIMESTAMP '2024-01-15') AS previous FROM ss WHERE created_at BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-24 23:59:59.999') SELECT *, abs(round((sessions - previous)::DOUBLE / previous * 100, 2)) AS diff, CASE WHEN sessions > previous THEN 'positive' WHEN sessions < previous THEN 'negative' ELSE 'neutral' END AS state FROM c")
+def _totals(start, end):
+    return f"""SELECT round(count(*) FILTER (is_bounce) * 100.0::DOUBLE / count(*), 2) AS bounce_rate, CAST(count(DISTINCT profile_id) AS DOUBLE) AS unique_visitors, CAST(count(*) AS DOUBLE) AS total_sessions,
+    coalesce(round(avg(CASE WHEN duration > 0 THEN duration END), 2) / 1000, 0) AS avg_session_duration, CAST(sum(screen_view_count) AS DOUBLE) AS total_screen_views,
+    round(sum(screen_view_count) * 1.0::DOUBLE / count(*), 2) AS views_per_session, CAST(sum(revenue) AS DOUBLE) AS total_revenue FROM ss WHERE created_at BETWEEN TIMESTAMP '{start}' AND TIMESTAMP '{end}'"""
+
+
+@query(
+    f"""WITH a AS ({_totals('2024-01-15', '2024-01-24 23:59:59.999')}), b AS ({_totals('2024-01-05', '2024-01-14 23:59:59.999')}),
+    now AS (UNPIVOT a ON COLUMNS(*) INTO NAME metric VALUE value), old AS (UNPIVOT b ON COLUMNS(*) INTO NAME metric VALUE previous)
+    SELECT metric, value, previous, CASE WHEN previous = 0 THEN 0 ELSE abs(round((value - previous) / previous * 100, 2)) END AS diff,
+    CASE WHEN value > previous THEN 'positive' WHEN value < previous THEN 'negative' ELSE 'neutral' END AS state FROM now JOIN old USING (metric)"""
+)
 def overview_previous(spark, sf_dir):
+    """All seven metrics beside those of the period before."""
     from ..functions.timegrid import previous_range
-    from ..operators.charts import difference
 
     start, end = datetime(2024, 1, 15), datetime(2024, 1, 24, 23, 59, 59, 999000)
-    before = previous_range(start, end)
-    count = lambda r: F.count_if(between("created_at", *r))
-    both = T.sessions(spark, sf_dir).agg(count((start, end)).alias("sessions"), count(before).alias("previous"))
-    return both.select("*", *[c.alias(n) for n, c in difference(F.col("sessions"), F.col("previous")).items()])
+    return O.metrics_with_previous(S.changelog(T.sessions(spark, sf_dir)), start, end, previous_range(start, end))
 
 
 @query(
-    f"""WITH v AS (SELECT path, origin, count(DISTINCT session_id) AS sessions, count(*) AS views, coalesce(round(avg(CASE WHEN duration > 0 THEN duration / 1000.0::DOUBLE END), 2), 0) AS avg_duration FROM ev WHERE name = 'view' AND {IN} GROUP BY path, origin),
+    f"""WITH v AS (SELECT path, origin, arg_max(title, created_at) AS title, count(DISTINCT session_id) AS sessions, count(*) AS views, coalesce(round(avg(CASE WHEN duration > 0 THEN duration / 1000.0::DOUBLE END), 2), 0) AS avg_duration FROM ev WHERE name = 'view' AND {IN} GROUP BY path, origin),
     b AS (SELECT entry_path AS path, entry_origin AS origin, round(count(*) FILTER (is_bounce) * 100.0::DOUBLE / count(*), 2) AS bounce_rate, CAST(sum(revenue) AS BIGINT) AS revenue FROM ss WHERE {IN} GROUP BY ALL)
-    SELECT v.path, v.origin, sessions, views, avg_duration, coalesce(bounce_rate, 0) AS bounce_rate, coalesce(revenue, 0) AS revenue FROM v LEFT JOIN b ON b.path = v.path AND b.origin = v.origin"""
+    SELECT v.path, v.origin, title, sessions, views, avg_duration, coalesce(bounce_rate, 0) AS bounce_rate, coalesce(revenue, 0) AS revenue FROM v LEFT JOIN b ON b.path = v.path AND b.origin = v.origin"""
 )
 def top_pages(spark, sf_dir):
     return O.top_pages(T.events(spark, sf_dir), T.sessions(spark, sf_dir), START, END, "view")
@@ -194,10 +225,12 @@ def top_origins(spark, sf_dir):
     return events.groupBy("origin").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "origin").limit(3)
 
 
-@query(f"SELECT path, origin, count(*) AS n, {TS.format('min(created_at)')} AS first_seen FROM ev WHERE name = 'view' AND path ILIKE '%9%' GROUP BY ALL")
+@query(f"SELECT path, origin, arg_max(title, created_at) AS title, count(*) AS n, {TS.format('min(created_at)')} AS first_seen FROM ev WHERE name = 'view' AND path ILIKE '%9%' GROUP BY ALL")
 def page_list(spark, sf_dir):
     rows = T.base_events(spark, sf_dir).filter((F.col("name") == "view") & F.col("path").ilike("%9%"))
-    return rows.groupBy("path", "origin").agg(F.count(F.lit(1)).alias("n"), text(F.min("created_at")).alias("first_seen"))
+    return rows.groupBy("path", "origin").agg(
+        F.max_by("title", F.struct("created_at", "event_id")).alias("title"), F.count(F.lit(1)).alias("n"), text(F.min("created_at")).alias("first_seen")
+    )
 
 
 @query("SELECT project_id, count(DISTINCT profile_id) AS visitors FROM ev WHERE created_at BETWEEN TIMESTAMP '2024-01-28 06:00:00' AND TIMESTAMP '2024-01-28 12:00:00' GROUP BY project_id")
@@ -218,6 +251,31 @@ def live_geo(spark, sf_dir):
     return O.live_top(T.events(spark, sf_dir), ["country"], AS_OF, 360)
 
 
+_LIVE = "created_at BETWEEN TIMESTAMP '2024-01-28 06:00:00' AND TIMESTAMP '2024-01-28 12:00:00'"
+
+
+@query(f"SELECT count(DISTINCT session_id) AS sessions, count(DISTINCT profile_id) AS visitors, count(*) AS events FROM ev WHERE {_LIVE}")
+def live_totals(spark, sf_dir):
+    rows = T.events(spark, sf_dir).filter(between("created_at", datetime(2024, 1, 28, 6), AS_OF))
+    return rows.agg(F.count_distinct("session_id").alias("sessions"), F.count_distinct("profile_id").alias("visitors"), F.count(F.lit(1)).alias("events"))
+
+
+@query(f"SELECT {TS.format("date_trunc('minute', created_at)")} AS date, referrer, count(DISTINCT session_id) AS sessions FROM ev WHERE {_LIVE} AND referrer <> '' GROUP BY ALL")
+def live_referrer_minutes(spark, sf_dir):
+    return O.live_referrers(T.events(spark, sf_dir), AS_OF, 360, by_minute=True).withColumn("date", text("date"))
+
+
+@query(f"SELECT referrer, count(DISTINCT session_id) AS sessions FROM ev WHERE {_LIVE} AND referrer <> '' GROUP BY referrer ORDER BY sessions DESC, referrer LIMIT 10")
+def live_top_referrers(spark, sf_dir):
+    return O.live_referrers(T.events(spark, sf_dir), AS_OF, 360, limit=10)
+
+
+@query(f"SELECT name, count(*) AS events FROM ev WHERE {_LIVE} GROUP BY name ORDER BY events DESC, name LIMIT 100")
+def live_active_events(spark, sf_dir):
+    rows = O.live_top(T.events(spark, sf_dir), ["name"], AS_OF, 360).select("name", "events")
+    return L.page(rows, [F.desc("events"), F.col("name")], 0, 100)
+
+
 @query("SELECT path, count(*) AS events FROM ev WHERE created_at BETWEEN TIMESTAMP '2024-01-28 06:00:00' AND TIMESTAMP '2024-01-28 12:00:00' GROUP BY path")
 def live_paths(spark, sf_dir):
     return O.live_top(T.events(spark, sf_dir), ["path"], AS_OF, 360).select("path", "events")
@@ -252,6 +310,17 @@ def profile_search(spark, sf_dir):
     return L.page(rows, [F.desc("created_at"), F.col("id")], 0, 10).select("id", "first_name")
 
 
+@query("WITH f AS (SELECT * FROM pr WHERE project_id = 'p0' AND is_external) SELECT id, email, (SELECT count(*) FROM f) AS total, (SELECT CAST(ceil(count(*) / 5.0) AS BIGINT) FROM f) AS pages FROM f ORDER BY created_at DESC, id LIMIT 5")
+def profile_list_page(spark, sf_dir):
+    found = P.find_profiles(T.profiles(spark, sf_dir), "p0", external=True)
+    return L.page_with_total(found, [F.desc("created_at"), F.col("id")], 0, 5).select("id", "email", "total", "pages")
+
+
+@query("SELECT id, project_id, first_name FROM pr WHERE id IN ('u4', 'u7', 'd3')")
+def profiles_by_ids(spark, sf_dir):
+    return P.find_profiles(T.profiles(spark, sf_dir), ids=["u4", "u7", "d3", "nobody"]).select("id", "project_id", "first_name")
+
+
 @query("SELECT id FROM pr WHERE country = 'NATION_6' AND NOT is_external")
 def profile_by_property(spark, sf_dir):
     return T.profiles(spark, sf_dir).filter(where([Filter("properties.country", "is", ("NATION_6",))]) & ~F.col("is_external")).select("id")
@@ -330,6 +399,24 @@ def event_conversions(spark, sf_dir):
     return T.base_events(spark, sf_dir).join(meta.filter("conversion"), "name", "left_semi").select("id", "name")
 
 
+@query("WITH meta AS (SELECT 'signup' AS name, true AS conversion, 'green' AS color UNION ALL SELECT 'view', false, 'blue') SELECT id, ev.name, coalesce(conversion, false) AS conversion, coalesce(color, '') AS color, 'Project ' || project_id AS project FROM ev LEFT JOIN meta USING (name)")
+def event_metadata(spark, sf_dir):
+    """Events with what is kept of their name and of their project."""
+    meta = spark.createDataFrame([("signup", True, "green"), ("view", False, "blue")], "name string, conversion boolean, color string")
+    projects = spark.createDataFrame([("p0", "Project p0"), ("p1", "Project p1")], "project_id string, project string")
+    rows = L.with_details(L.with_details(T.base_events(spark, sf_dir), meta, ["name"], True), projects, ["project_id"], True)
+    return rows.select("id", "name", F.coalesce("conversion", F.lit(False)).alias("conversion"), F.coalesce("color", F.lit("")).alias("color"), "project")
+
+
+@query("WITH f AS (SELECT * FROM ev WHERE project_id = 'p0' AND name IN ('purchase', 'signup') AND " + IN + ") SELECT f.id, name, first_name, (SELECT count(*) FROM f) AS total, (SELECT CAST(ceil(count(*) / 50.0) AS BIGINT) FROM f) AS pages FROM (SELECT * FROM f ORDER BY created_at DESC, id DESC LIMIT 50 OFFSET 50) f LEFT JOIN pr ON pr.id = profile_id AND pr.project_id = f.project_id")
+def event_export(spark, sf_dir):
+    """A page of an export with its counts, profiles included."""
+    rows = T.base_events(spark, sf_dir).filter((F.col("project_id") == "p0") & F.col("name").isin("purchase", "signup") & between("created_at", START, END))
+    page = L.page_with_total(rows, [F.desc("created_at"), F.desc("id")], 1, 50)
+    people = T.profiles(spark, sf_dir).select("project_id", F.col("id").alias("profile_id"), "first_name")
+    return L.with_details(page, people, ["project_id", "profile_id"], True).select("id", "name", "first_name", "total", "pages")
+
+
 @query("WITH d AS (SELECT DISTINCT device_id FROM ev WHERE profile_id = 'u4') SELECT id FROM ev WHERE profile_id = 'u4' OR device_id IN (SELECT device_id FROM d)")
 def device_closure(spark, sf_dir):
     return L.device_closure(T.base_events(spark, sf_dir), "u4").select("id")
@@ -415,12 +502,27 @@ def insight_completions(spark, sf_dir):
     return I.more_completions(T.base_events(spark, sf_dir), ["purchase", "signup"], "week", 1.01)
 
 
-@query("WITH a AS (SELECT project_id, name, CAST(created_at AS DATE) AS day, count(*) AS count FROM ev GROUP BY ALL), t AS (SELECT *, avg(count) OVER (PARTITION BY project_id, name ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS mean_before FROM a), b AS (SELECT project_id, CAST(date_trunc('week', created_at) AS DATE) AS period, round(avg(duration), 2) AS duration FROM ss GROUP BY ALL), l AS (SELECT *, lag(duration) OVER (PARTITION BY project_id ORDER BY period) AS previous FROM b) SELECT 'event_surge' AS insight, project_id, day AS period, CAST(count AS DOUBLE) AS value FROM t WHERE count > mean_before * 1.3 UNION ALL SELECT 'longer_sessions', project_id, period, duration FROM l WHERE duration > previous * 1.02")
+#: Every insight: its query, what its period and its value are called ('' stands for the day asked about).
+INSIGHTS = {
+    "traffic_spike": ("day", "count"),
+    "event_surge": ("day", "count"),
+    "new_visitors": ("period", "visitors"),
+    "referral_share": ("", "share"),
+    "longer_sessions": ("period", "duration"),
+    "top_content": ("", "views"),
+    "bounce_rate": ("period", "rate"),
+    "returning": ("period", "visitors"),
+    "geographic_shift": ("period", "sessions"),
+    "completions": ("period", "events"),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS insight, project_id, {p or "DATE '2024-01-28'"} AS period, CAST({v} AS DOUBLE) AS value FROM ({SQL['insight_' + n]})" for n, (p, v) in INSIGHTS.items()), tables=False)
 def insights_all(spark, sf_dir):
-    return I.all_insights({
-        "event_surge": (I.event_surges(T.base_events(spark, sf_dir)), "day", "count"),
-        "longer_sessions": (I.longer_sessions(T.sessions(spark, sf_dir), "week", 1.02), "period", "duration"),
-    })
+    """All ten, newest first."""
+    found = {n: QUERIES["insight_" + n](spark, sf_dir) for n in INSIGHTS}
+    dated = {n: (rows if INSIGHTS[n][0] else rows.withColumn("on", F.lit(AS_OF).cast("date")), INSIGHTS[n][0] or "on", INSIGHTS[n][1]) for n, rows in found.items()}
+    return I.all_insights(dated).orderBy(F.desc("period"), "insight", "project_id")
 
 
 # Usage, rollups, upkeep
@@ -462,9 +564,9 @@ def mv_cohort_events(spark, sf_dir):
     return cohort_events(T.base_events(spark, sf_dir))
 
 
-@query("SELECT project_id, name, 'k' AS property_key, k AS property_value, count(*) AS n FROM ev WHERE k <> '' GROUP BY ALL UNION ALL SELECT project_id, name, '__query.utm_source', utm_source, count(*) FROM ev WHERE utm_source <> '' GROUP BY ALL UNION ALL SELECT project_id, name, '__query.page', q_page, count(*) FROM ev WHERE q_page <> '' GROUP BY ALL UNION ALL SELECT project_id, name, '__query.ref', q_ref, count(*) FROM ev WHERE q_ref <> '' GROUP BY ALL")
+@query(" UNION ALL ".join(f"SELECT project_id, name, '{key}' AS property_key, {c} AS property_value, count(*) AS n, {TS.format('max(created_at)')} AS last_seen FROM ev WHERE {c} <> '' GROUP BY ALL" for key, c in (("k", "k"), ("__query.utm_source", "utm_source"), ("__query.page", "q_page"), ("__query.ref", "q_ref"))))
 def mv_property_values(spark, sf_dir):
-    return L.property_values(T.base_events(spark, sf_dir)).drop("last_seen")
+    return L.property_values(T.base_events(spark, sf_dir)).withColumn("last_seen", text("last_seen"))
 
 
 @query("SELECT name, count(*) AS n FROM ev WHERE project_id <> 'p1' GROUP BY name")

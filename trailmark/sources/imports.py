@@ -48,15 +48,16 @@ def _lookup(c: Column, table: dict[str, str]) -> Column:
 
 
 def map_web_rows(rows: DataFrame, project_id: str) -> DataFrame:
-    """Web-analytics rows as canonical events."""
+    """Web-analytics rows as canonical events; a device_id column, if there is one, stands for device and person."""
+    device = "device_id" if "device_id" in rows.columns else "session_id"
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     utm = F.map_filter(F.create_map(*[x for k in ("source", "medium", "campaign") for x in (F.lit(f"__query.utm_{k}"), text(f"utm_{k}"))]), lambda k, v: v != "")
     return rows.select(
         F.col("event_id").alias("id"),
         F.when(F.col("event_type") == "1", "screen_view").otherwise(F.coalesce(F.nullif("event_name", F.lit("")), F.lit("custom"))).alias("name"),
         F.lit(project_id).alias("project_id"),
-        F.col("session_id").alias("device_id"),
-        F.col("session_id").alias("profile_id"),
+        F.col(device).alias("device_id"),
+        F.col(device).alias("profile_id"),
         F.col("session_id"),
         F.try_to_timestamp("created_at").alias("created_at"),
         text("url_path").alias("path"),

@@ -22,9 +22,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def page_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_id, host, origin, path, query, hash of every page's address."""
-    pages = read(spark, sf_dir, "pages").select("page_id", "url")
-    return pages.select("page_id", *[c.alias(n) for n, c in url_parts(F.col("url")).items()])
+    """page_id, title, and host, origin, path, query, hash of every page's address."""
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title")  # unused, it is not read
+    return read(spark, sf_dir, "pages").select("page_id", title, *[c.alias(n) for n, c in url_parts(F.col("url")).items()])
 
 
 def query_properties(query: Column) -> Column:
@@ -65,6 +65,7 @@ def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("user_id") % 3 == 0, device).otherwise(F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("profile_id"),
         text("path").alias("path"),
         text("origin").alias("origin"),
+        text("title").alias("title"),
         text("referrer").alias("referrer"),
         text("country").alias("country"),
         text("region").alias("region"),
