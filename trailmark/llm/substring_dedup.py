@@ -38,7 +38,6 @@ from .batches import tidied
 
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 SEEDS = (0x8CB92BA72F3D8DD7, 0x3C6EF372FE94F82B)
-WIDE = A.U64(1 << 48)  # a greater difference begins a new message
 
 
 class Windows(NamedTuple):
@@ -78,20 +77,25 @@ def _from_low_bytes(raw: bytes, k: int) -> np.ndarray:
 
 
 def _messages(hashes: np.ndarray, checks: np.ndarray, n_shards: int) -> Iterator[tuple[int, int, bytes]]:
-    """Ordered pairs as (shard, place of the first, the first and then differences and checks)."""
+    """Ordered pairs as (shard, place of the first, the first and then differences and checks).
+
+    A message names the bytes that its largest difference takes: 6 in a full block.
+    """
     if len(hashes):
         shard, step = A.shard_of(hashes, n_shards), np.diff(hashes)
-        edges = np.flatnonzero((np.diff(shard) != 0) | (step >= WIDE)) + 1
+        edges = np.flatnonzero(np.diff(shard) != 0) + 1
         for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(hashes)]):
             steps = np.concatenate((np.zeros(1, A.U64), step[a : b - 1]))
-            yield int(shard[a]), a, hashes[a : a + 1].tobytes() + _low_bytes(steps, 6) + _low_bytes(checks[a:b], 3)
+            k = max(1, -(-int(steps.max()).bit_length() // 8))
+            yield int(shard[a]), a, bytes([k]) + hashes[a : a + 1].tobytes() + _low_bytes(steps, k) + _low_bytes(checks[a:b], 3)
 
 
 def _read(message: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = (len(message) - 8) // 9
-    steps = _from_low_bytes(message[8 : 8 + 6 * n], 6)
+    k, message = message[0], message[1:]
+    n = (len(message) - 8) // (k + 3)
+    steps = _from_low_bytes(message[8 : 8 + k * n], k)
     steps[0] = np.frombuffer(message, A.U64, 1)[0]
-    return np.cumsum(steps, dtype=A.U64), _from_low_bytes(message[8 + 6 * n :], 3).astype(np.uint32)
+    return np.cumsum(steps, dtype=A.U64), _from_low_bytes(message[8 + k * n :], 3).astype(np.uint32)
 
 
 def remove_repeated_windows(
