@@ -21,6 +21,7 @@ from ..functions.filters import where
 from ..functions.props import resolve
 from ..functions.timegrid import between, bucket, buckets, previous_range
 from ..plans.spec import EventSeries, FormulaSeries, ReportSpec
+from .cohorts import mean_rate
 
 PROPERTY = ("property_sum", "property_average", "property_max", "property_min")
 NOT_SET = "(not set)"
@@ -334,8 +335,8 @@ def rate_table(rates: DataFrame, keys: Sequence[str], dates: Sequence[str], befo
     """A conversion table's rows: sums, mean rate, that of the period before (0 without), and the rate of each date."""
     named = rates.withColumn("day", F.date_format("date", "yyyyMMdd"))
     wide = named.groupBy(*keys).pivot("day", list(dates)).agg(F.first("rate"))
-    sums = rates.groupBy(*keys).agg(F.sum("total").alias("total"), F.sum("conversions").alias("conversions"), F.round(F.avg("rate"), 2).alias("mean_rate"))
+    sums = rates.groupBy(*keys).agg(F.sum("total").alias("total"), F.sum("conversions").alias("conversions"), mean_rate("rate").alias("mean_rate"))
     if before is not None:
-        old = before.groupBy(*keys).agg(F.round(F.avg("rate"), 2).alias("previous_mean"))
+        old = before.groupBy(*keys).agg(mean_rate("rate").alias("previous_mean"))
         sums = sums.join(old, list(keys), "left").withColumn("previous_mean", F.coalesce("previous_mean", F.lit(0.0)))
     return sums.join(wide.select(*keys, *[F.coalesce(F.col(d), F.lit(0.0)).alias(f"d{d}") for d in dates]), list(keys))

@@ -36,12 +36,18 @@ def conversion(
     )
 
 
+def mean_rate(rate: str) -> Column:
+    """The mean of rates of two places, to two places; halves go up, whatever order they are added in."""
+    hundredths = F.sum(F.round(F.col(rate) * 100).cast("long"))
+    return F.floor(hundredths / F.count(rate) + 0.5) / 100
+
+
 def conversion_summary(rates: DataFrame) -> DataFrame:
     """Sums, mean rate, and the best and worst bucket of a conversion table."""
     return rates.agg(
         F.sum("total").alias("total"),
         F.sum("conversions").alias("conversions"),
-        F.round(F.avg("rate"), 2).alias("mean_rate"),
+        mean_rate("rate").alias("mean_rate"),
         F.date_format(F.max_by("date", F.struct(F.col("rate"), -F.unix_seconds("date"))), "yyyy-MM-dd").alias("best_date"),
         F.date_format(F.min_by("date", F.struct(F.col("rate"), F.unix_seconds("date"))), "yyyy-MM-dd").alias("worst_date"),
         F.max("rate").alias("best_rate"),
@@ -51,14 +57,14 @@ def conversion_summary(rates: DataFrame) -> DataFrame:
 
 def series_summary(rates: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The best and the worst series by mean rate, and the mean of all of them."""
-    each = rates.groupBy(*keys).agg(F.round(F.avg("rate"), 2).alias("mean_rate"))
+    each = rates.groupBy(*keys).agg(mean_rate("rate").alias("mean_rate"))
     label = F.concat_ws(" / ", *keys)
     return each.agg(
         F.max_by(label, F.struct("mean_rate", label)).alias("best_series"),
         F.max("mean_rate").alias("best_mean"),
         F.min_by(label, F.struct("mean_rate", label)).alias("worst_series"),
         F.min("mean_rate").alias("worst_mean"),
-        F.round(F.avg("mean_rate"), 2).alias("overall_mean"),
+        mean_rate("mean_rate").alias("overall_mean"),
     )
 
 

@@ -310,7 +310,7 @@ def conversion_breakdown(spark, sf_dir):
 
 
 @query(
-    "WITH " + _conv() + """ SELECT CAST(sum(total) AS BIGINT) AS total, CAST(sum(conversions) AS BIGINT) AS conversions, round(avg(rate), 2) AS mean_rate,
+    "WITH " + _conv() + """ SELECT CAST(sum(total) AS BIGINT) AS total, CAST(sum(conversions) AS BIGINT) AS conversions, floor(sum(CAST(round(rate * 100) AS BIGINT)) / count(*) + 0.5) / 100 AS mean_rate,
     (SELECT strftime(date, '%Y-%m-%d') FROM rates ORDER BY rate DESC, date LIMIT 1) AS best_date, (SELECT strftime(date, '%Y-%m-%d') FROM rates ORDER BY rate, date LIMIT 1) AS worst_date,
     max(rate) AS best_rate, min(rate) AS worst_rate FROM rates"""
 )
@@ -319,7 +319,7 @@ def conversion_summary(spark, sf_dir):
 
 
 @query(
-    "WITH " + _conv("region") + """ SELECT region, CAST(sum(total) AS BIGINT) AS total, CAST(sum(conversions) AS BIGINT) AS conversions, round(avg(rate), 2) AS mean_rate,
+    "WITH " + _conv("region") + """ SELECT region, CAST(sum(total) AS BIGINT) AS total, CAST(sum(conversions) AS BIGINT) AS conversions, floor(sum(CAST(round(rate * 100) AS BIGINT)) / count(*) + 0.5) / 100 AS mean_rate,
     coalesce(max(rate) FILTER (strftime(date, '%Y%m%d') = '20240105'), 0) AS d20240105, coalesce(max(rate) FILTER (strftime(date, '%Y%m%d') = '20240106'), 0) AS d20240106 FROM rates GROUP BY region"""
 )
 def conversion_table(spark, sf_dir):
@@ -351,8 +351,8 @@ def conversion_previous(spark, sf_dir):
 
 
 @query(
-    "WITH " + _two_periods("region") + """ SELECT region, CAST(sum(total) AS BIGINT) AS total, CAST(sum(conversions) AS BIGINT) AS conversions, round(avg(rate), 2) AS mean_rate,
-    coalesce((SELECT round(avg(rate), 2) FROM ratesb b WHERE b.region = rates.region), 0) AS previous_mean, coalesce(max(rate) FILTER (strftime(date, '%Y%m%d') = '20240116'), 0) AS d20240116 FROM rates GROUP BY region"""
+    "WITH " + _two_periods("region") + """ SELECT region, CAST(sum(total) AS BIGINT) AS total, CAST(sum(conversions) AS BIGINT) AS conversions, floor(sum(CAST(round(rate * 100) AS BIGINT)) / count(*) + 0.5) / 100 AS mean_rate,
+    coalesce((SELECT floor(sum(CAST(round(rate * 100) AS BIGINT)) / count(*) + 0.5) / 100 FROM ratesb b WHERE b.region = rates.region), 0) AS previous_mean, coalesce(max(rate) FILTER (strftime(date, '%Y%m%d') = '20240116'), 0) AS d20240116 FROM rates GROUP BY region"""
 )
 def conversion_table_previous(spark, sf_dir):
     now, before = _period_rates(spark, sf_dir, breakdowns=["region"])
@@ -360,8 +360,8 @@ def conversion_table_previous(spark, sf_dir):
 
 
 @query(
-    "WITH " + _conv("region") + """, m AS (SELECT region, round(avg(rate), 2) AS mean FROM rates GROUP BY region)
-    SELECT (SELECT region FROM m ORDER BY mean DESC, region DESC LIMIT 1) AS best_series, max(mean) AS best_mean, (SELECT region FROM m ORDER BY mean, region LIMIT 1) AS worst_series, min(mean) AS worst_mean, round(avg(mean), 2) AS overall_mean FROM m"""
+    "WITH " + _conv("region") + """, m AS (SELECT region, floor(sum(CAST(round(rate * 100) AS BIGINT)) / count(*) + 0.5) / 100 AS mean FROM rates GROUP BY region)
+    SELECT (SELECT region FROM m ORDER BY mean DESC, region DESC LIMIT 1) AS best_series, max(mean) AS best_mean, (SELECT region FROM m ORDER BY mean, region LIMIT 1) AS worst_series, min(mean) AS worst_mean, floor(sum(CAST(round(mean * 100) AS BIGINT)) / count(*) + 0.5) / 100 AS overall_mean FROM m"""
 )
 def conversion_series_summary(spark, sf_dir):
     return K.series_summary(_rates(spark, sf_dir, breakdowns=["region"]), ["region"])
