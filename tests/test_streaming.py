@@ -115,6 +115,48 @@ def test_profile_sink(spark, tmp_path):
     sink(spark.createDataFrame([("p", "a", "a@x", T0, {"k": "1"})], schema), 0)
     sink(spark.createDataFrame([("p", "a", "a@x", T0, {"k": "1"}), ("p", "b", "b@x", T0, {})], schema), 1)
     assert sorted((r.id, r.batch) for r in spark.read.parquet(str(tmp_path / "profiles")).collect()) == [("a", 0), ("b", 1)]
+    sink(spark.createDataFrame([("p", "b", "b@x", T0, {})], schema), 1)  # tried again: compared with batch 0 only
+    assert sorted((r.id, r.batch) for r in spark.read.parquet(str(tmp_path / "profiles")).collect()) == [("a", 0), ("b", 1)]
+
+
+def test_session_changelog(spark, tmp_path):
+    """A second batch withdraws the version of the first; a known person replaces the device for good."""
+    schema = S.STREAM_SCHEMA
+    row = lambda i, who, minutes, revenue=0: (str(i), "screen_view", "p", "d", who, at(minutes), "/", "o", revenue)
+    slices = [[row(1, "d", 0)], [row(2, "u", 5, 7), row(3, "d", 6)], [row(4, "d", 90)]]
+    log = S.replay(spark, [spark.createDataFrame(rows, schema) for rows in slices], S.session_changelog)
+    got = sorted((r.created_at, r.version, -r.sign, r.profile_id, r.ended_at, r.screen_view_count, r.revenue) for r in log.collect())
+    assert got == [
+        (at(0), 1, -1, "d", at(0), 1, 0),
+        (at(0), 1, 1, "d", at(0), 1, 0),
+        (at(0), 2, -1, "u", at(6), 3, 7),
+        (at(90), 1, -1, "d", at(90), 1, 0),
+    ]
+
+
+def test_session_marks_learn_the_person(spark):
+    row = lambda i, who, minutes: (str(i), "screen_view", "p", "d", who, at(minutes), "/", "o", 0)
+    slices = [[row(1, "d", 0)], [row(2, "u", 5)], [row(3, "d", 90)]]
+    marks = S.replay(spark, [spark.createDataFrame(rows, S.STREAM_SCHEMA) for rows in slices], S.session_marks)
+    assert sorted((r.created_at, r.name, r.profile_id) for r in marks.collect())[:2] == [(at(0) - timedelta(seconds=0.1), "session_start", "d"), (at(5) + timedelta(seconds=1), "session_end", "u")]
+
+
+def test_profile_changes(spark):
+    """Unchanged profiles are left out; '' says nothing; numbers add up, texts that are none count as 0."""
+    schema = "project_id string, id string, created_at timestamp, fields map<string,string>, properties map<string,string>, by map<string,double>"
+    slices = [
+        [("p", "a", at(0), {"email": "a@x"}, {"k": "1", "n": "x"}, None), ("p", "b", at(0), None, None, None)],
+        [("p", "a", at(1), {"email": ""}, {"k": "1"}, {}), ("p", "b", at(1), {}, {}, {"n": 2.5})],
+        [("p", "a", at(2), {}, {}, {"n": 1.0})],
+    ]
+    out = S.replay(spark, [spark.createDataFrame(rows, schema) for rows in slices], S.profile_changes)
+    got = sorted((r.id, r.version, r.fields, r.properties) for r in out.collect())
+    assert [(i, v, dict(f), dict(p)) for i, v, f, p in got] == [
+        ("a", 1, {"email": "a@x"}, {"k": "1", "n": "x"}),
+        ("a", 2, {"email": "a@x"}, {"k": "1", "n": "1"}),
+        ("b", 1, {}, {}),
+        ("b", 2, {}, {"n": "2.5"}),
+    ]
 
 
 def test_time_rules(spark):

@@ -5,8 +5,10 @@ Sources are any stream of canonical events; tests replay files with availableNow
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
-from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -42,42 +44,109 @@ def _timed(events: DataFrame, delay: str | None) -> DataFrame:
     return events.withWatermark("created_at", delay) if delay else events
 
 
-SESSION_MARKS = "project_id string, device_id string, session_id string, name string, created_at timestamp, duration_ms long, views long, events long"
+def split_late(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events of ``with_time_rules`` that take part in session state, and past ones, which are stored without."""
+    return events.filter(~F.col("is_past")).drop("is_past"), events.filter("is_past").drop("is_past")
+
+
+def _keyed(events: DataFrame, delay: str | None, keys: tuple[str, ...]):
+    """Groups with the time in microseconds (``us``) beside the watermarked one, whatever the session's time zone."""
+    return _timed(events, delay).withColumn("us", F.unix_micros("created_at")).groupBy(*keys)
+
+
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+
+def _with_times(rows: DataFrame, **names: str) -> DataFrame:
+    """Microsecond columns as timestamps of another name."""
+    return rows.select(*[F.timestamp_micros(c).alias(names[c]) if c in names else F.col(c) for c in rows.columns])
+
+
+SESSION_MARKS = "project_id string, device_id string, profile_id string, session_id string, name string, us long, duration_ms long, views long, events long"
 
 
 def session_marks(events: DataFrame, gap_minutes: int = 30, delay: str | None = "30 minutes", view: str = "screen_view") -> DataFrame:
-    """session_start when a device's session opens, session_end when it has been silent for the gap."""
-    gap = timedelta(minutes=gap_minutes)
+    """session_start when a device's session opens, session_end when it has been silent for the gap.
+
+    A session belongs to the device until an event tells the person; session_end carries the last person told.
+    """
+    gap = gap_minutes * 60_000_000
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get) if state.exists else None  # first, last in microseconds, views, events
+        held = list(state.get) if state.exists else None  # opened, first, last, views, events, person
         out: list[tuple] = []
 
         def close() -> None:
-            first, last, views, count = held
-            at = pd.Timestamp(last, unit="us")
-            out.append((*key, f"{key[1]}-{first}", "session_end", at + pd.Timedelta(seconds=1), (last - first) // 1000, views, count))
+            opened, first, last, views, count, person = held
+            out.append((*key, person, f"{key[1]}-{opened}", "session_end", last + 1_000_000, (last - first) // 1000, views, count))
 
         if state.hasTimedOut:
             close()
             state.remove()
         else:
-            rows = pd.concat(batches).sort_values(["created_at", "id"])
-            for at, name in zip(rows["created_at"], rows["name"]):
-                now = at.value // 1000
-                if held and now - held[1] > gap // timedelta(microseconds=1):
+            rows = pd.concat(batches).sort_values(["us", "id"])
+            for now, name, person in zip(rows["us"].tolist(), rows["name"], rows["profile_id"]):
+                if held and now - held[2] > gap:
                     close()
                     held = None
+                known = person if person and person != key[1] else None
                 if held is None:
-                    held = [now, now, 0, 0]
-                    out.append((*key, f"{key[1]}-{now}", "session_start", at - pd.Timedelta(milliseconds=100), 0, 0, 0))
-                held = [min(held[0], now) if now < held[0] else held[0], max(held[1], now), held[2] + (name == view), held[3] + (name != view)]
+                    held = [now, now, now, 0, 0, known or key[1]]
+                    out.append((*key, held[5], f"{key[1]}-{now}", "session_start", now - 100_000, 0, 0, 0))
+                held = [held[0], min(held[1], now), max(held[2], now), held[3] + (name == view), held[4] + (name != view), known or held[5]]
             state.update(tuple(held))
-            state.setTimeoutTimestamp(max(held[1] // 1000 + gap // timedelta(milliseconds=1), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in SESSION_MARKS.split(", ")])
+            state.setTimeoutTimestamp(max((held[2] + gap) // 1000, state.getCurrentWatermarkMs() + 1))
+        yield _frame(out, SESSION_MARKS)
+
+    held = "opened long, first long, last long, views long, events long, person string"
+    marks = _keyed(events, delay, ("project_id", "device_id")).applyInPandasWithState(run, SESSION_MARKS, held, "append", GroupStateTimeout.EventTimeTimeout)
+    return _with_times(marks, us="created_at")
+
+
+CHANGES = "project_id string, device_id string, id string, profile_id string, first_us long, last_us long, screen_view_count long, event_count long, revenue long, version long, sign int"
+
+
+def session_changelog(events: DataFrame, gap_minutes: int = 30, ttl_minutes: int = 60, delay: str | None = "30 minutes", view: str = "screen_view") -> DataFrame:
+    """Session rows as a signed log: each batch withdraws (-1) the version that it replaces and adds (+1) the new one.
 
-    keyed = _timed(events, delay).groupBy("project_id", "device_id")
-    return keyed.applyInPandasWithState(run, SESSION_MARKS, "first long, last long, views long, events long", "append", GroupStateTimeout.EventTimeTimeout)
+    ``operators.sessions.collapse`` makes the last versions of it.  A session is forgotten ``ttl_minutes`` (at least
+    the gap) after its last event, without a row.
+    """
+    gap, keep = gap_minutes * 60_000_000, max(gap_minutes, ttl_minutes) * 60_000_000
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            held = tuple(state.get) if state.exists else None  # opened, person, first, last, views, events, revenue, version
+            told = held
+
+            def emit(row: tuple, sign: int) -> None:
+                out.append((*key, f"{key[1]}-{row[0]}", *row[1:], sign))
+
+            rows = pd.concat(batches).sort_values(["us", "id"])
+            for now, name, person, revenue in zip(rows["us"].tolist(), rows["name"], rows["profile_id"], rows["revenue"].fillna(0).astype("int64").tolist()):
+                if held and now - held[3] > gap:
+                    if held != told:
+                        emit(held, 1)
+                    held = told = None
+                known = person if person and person != key[1] else None
+                if held is None:
+                    held = (now, known or key[1], now, now, 0, 0, 0, 1)
+                elif held == told:  # the first event of this batch that changes what has been told
+                    emit(held, -1)
+                    held, told = (*held[:7], held[7] + 1), None
+                held = (held[0], known or held[1], min(held[2], now), max(held[3], now), held[4] + (name == view), held[5] + (name != view), held[6] + revenue, held[7])
+            emit(held, 1)
+            state.update(held)
+            state.setTimeoutTimestamp(max((held[3] + keep) // 1000, state.getCurrentWatermarkMs() + 1))
+        yield _frame(out, CHANGES)
+
+    held = "opened long, person string, first long, last long, views long, events long, revenue long, version long"
+    log = _keyed(events, delay, ("project_id", "device_id")).applyInPandasWithState(run, CHANGES, held, "append", GroupStateTimeout.EventTimeTimeout)
+    return _with_times(log, first_us="created_at", last_us="ended_at")
 
 
 def session_upserts(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour", view: str = "screen_view") -> DataFrame:
@@ -90,10 +159,10 @@ def session_upserts(events: DataFrame, gap: str = "30 minutes", delay: str = "1
     )
 
 
-HELD_VIEWS = "session_id string, id string, path string, created_at timestamp, duration_ms long"
+HELD_VIEWS = "session_id string, id string, path string, us long, duration_ms long"
 
 
-def held_views(events: DataFrame, delay: str = "30 minutes", wait_minutes: int = 30) -> DataFrame:
+def held_views(events: DataFrame, delay: str = "30 minutes", wait_minutes: int = 30, view: str = "screen_view") -> DataFrame:
     """Screen views (session_id, id, path, created_at, name), each emitted when the next one tells its duration.
 
     The last one comes out at the session's end or after the wait, with 0.
@@ -103,24 +172,54 @@ def held_views(events: DataFrame, delay: str = "30 minutes", wait_minutes: int =
         held = state.get if state.exists else None  # id, path, microseconds
         out = []
         if state.hasTimedOut:
-            out.append((key[0], held[0], held[1], pd.Timestamp(held[2], unit="us"), 0))
+            out.append((key[0], *held, 0))
             state.remove()
         else:
-            rows = pd.concat(batches).sort_values(["created_at", "id"])
+            rows = pd.concat(batches).sort_values(["us", "id"])
             for row in rows.itertuples():
-                now = row.created_at.value // 1000
+                seen = row.name == view
                 if held:
-                    out.append((key[0], held[0], held[1], pd.Timestamp(held[2], unit="us"), max(0, now - held[2]) // 1000 if row.name == "screen_view" else 0))
-                held = (row.id, row.path, now) if row.name == "screen_view" else None
+                    out.append((key[0], *held, max(0, row.us // 1000 - held[2] // 1000) if seen else 0))
+                held = (row.id, row.path, row.us) if seen else None
             if held:
                 state.update(held)
                 state.setTimeoutTimestamp(max(held[2] // 1000 + wait_minutes * 60_000, state.getCurrentWatermarkMs() + 1))
             elif state.exists:
                 state.remove()
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in HELD_VIEWS.split(", ")])
+        yield _frame(out, HELD_VIEWS)
+
+    views = _keyed(events.filter(F.col("name").isin(view, "session_end")), delay, ("session_id",))
+    held = views.applyInPandasWithState(run, HELD_VIEWS, "id string, path string, at long", "append", GroupStateTimeout.EventTimeTimeout)
+    return _with_times(held, us="created_at")
+
+
+NOTICES = "project_id string, profile_id string, us long, change int"
 
-    views = events.filter(F.col("name").isin("screen_view", "session_end")).withWatermark("created_at", delay)
-    return views.groupBy("session_id").applyInPandasWithState(run, HELD_VIEWS, "id string, path string, at long", "append", GroupStateTimeout.EventTimeTimeout)
+
+def visitor_notices(events: DataFrame, minutes: int = 5, delay: str | None = "1 minute") -> DataFrame:
+    """+1 when a visitor turns active, -1 once they have been silent for some minutes; the sum is who is there."""
+    silence = minutes * 60_000_000
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        out = []
+        if state.hasTimedOut:
+            out.append((*key, last + silence, -1))
+            state.remove()
+        else:
+            for now in sorted(pd.concat(batches)["us"].tolist()):
+                if last is not None and now - last > silence:
+                    out.append((*key, last + silence, -1))
+                    last = None
+                if last is None:
+                    out.append((*key, now, 1))
+                last = max(last or now, now)
+            state.update((last,))
+            state.setTimeoutTimestamp(max((last + silence) // 1000, state.getCurrentWatermarkMs() + 1))
+        yield _frame(out, NOTICES)
+
+    notices = _keyed(events, delay, ("project_id", "profile_id")).applyInPandasWithState(run, NOTICES, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return _with_times(notices, us="at")
 
 
 def active_visitors(events: DataFrame, delay: str = "5 minutes") -> DataFrame:
@@ -143,16 +242,16 @@ def minute_counts(events: DataFrame, delay: str = "5 minutes") -> DataFrame:
 
 
 def alerts(events: DataFrame, rules: dict[str, tuple[list[EventSeries], str]]) -> DataFrame:
-    """A row for each rule that an event meets: rule name -> (series, title template)."""
-    out = None
+    """A row for each rule that an event meets, all rules in one pass: rule name -> (series, title template)."""
+    met = []
     for rule, (series, template) in rules.items():
-        met = F.lit(False)
+        hit = F.lit(False)
         for s in series:
-            met = met | ((F.col("name") == s.name) & where(s.filters, negation="all"))
+            hit = hit | ((F.col("name") == s.name) & where(s.filters, negation="all"))
         title = render(F.lit(template), {"path": F.col("path"), "name": F.col("name"), "rule": F.lit(rule)})
-        one = events.filter(met).select(F.lit(rule).alias("rule"), F.col("id").alias("event_id"), "project_id", title.alias("title"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        met.append(F.when(hit, F.struct(F.lit(rule).alias("rule"), title.alias("title"))))
+    hits = events.select("id", "project_id", F.explode(F.array_compact(F.array(*met))).alias("hit"))
+    return hits.select("hit.rule", F.col("id").alias("event_id"), "project_id", "hit.title")
 
 
 def funnel_alerts(events: DataFrame, steps: list[str], delay: str = "30 minutes", gap: str = "30 minutes") -> DataFrame:
@@ -174,9 +273,9 @@ def live_feed(events: DataFrame, public: bool) -> DataFrame:
     return events.select("id", "name", "project_id", "created_at", (mask(F.col("path")) if public else F.col("path")).alias("path"))
 
 
-def write_batches(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None):
+def write_batches(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None, mode: str = "append"):
     """Starts a query that hands each batch to an idempotent sink; without ``every`` it takes what there is and ends."""
-    writer = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
@@ -190,11 +289,87 @@ def append_once(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def upsert_profiles(base: str) -> Callable[[DataFrame, int], None]:
-    """A sink that writes, for each batch, the profiles that it changes."""
+    """A sink that writes, for each batch, the profiles that it changes.
+
+    It compares with what earlier batches wrote of the same profiles, so a batch that is tried again gives the same
+    rows.  ``profile_changes`` holds that in the stream's state instead and reads nothing.
+    """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        held = spark.read.schema(batch.schema).option("recursiveFileLookup", False).parquet(base) if batch_id else batch.limit(0)
+        held = batch.limit(0)
+        if batch_id:
+            keys = batch.select("project_id", "id").distinct()
+            earlier = batch.sparkSession.read.schema(batch.schema).parquet(base).filter(F.col("batch") < batch_id)
+            held = earlier.join(keys, ["project_id", "id"], "left_semi")
         merge_profiles(held.select(batch.columns), batch).select(batch.columns).write.mode("overwrite").parquet(f"{base}/batch={batch_id}")
 
     return sink
+
+
+PROFILE_ROWS = "project_id string, id string, fields map<string,string>, properties map<string,string>, us long, version long"
+
+
+def profile_changes(rows: DataFrame) -> DataFrame:
+    """Profiles as a stream of their versions, one for each batch that changes anything.
+
+    ``rows`` has project_id, id, created_at, ``fields`` and ``properties`` (maps of texts; null and '' say nothing) and
+    ``by`` (map of numbers, added to numeric properties, which start at 0).  Later rows win, equal times in any order.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        was = json.loads(state.get[0]) if state.exists else {"fields": {}, "properties": {}, "version": 0}
+        now = {"fields": dict(was["fields"]), "properties": dict(was["properties"])}
+        new = pd.concat(batches).sort_values("us", kind="stable")
+        for row in new.itertuples():
+            for part in ("fields", "properties"):
+                now[part] |= {k: v for k, v in _pairs(getattr(row, part)) if v}
+            for k, by in _pairs(row.by):
+                now["properties"][k] = _number(_number_or_zero(now["properties"].get(k)) + by)
+        out = []
+        if not was["version"] or any(now[part] != was[part] for part in now):
+            version = was["version"] + 1
+            state.update((json.dumps({**now, "version": version}),))
+            out.append((*key, now["fields"], now["properties"], int(new["us"].iloc[-1]), version))
+        yield _frame(out, PROFILE_ROWS)
+
+    keyed = rows.withColumn("us", F.unix_micros("created_at")).groupBy("project_id", "id")
+    return _with_times(keyed.applyInPandasWithState(run, PROFILE_ROWS, "profile string", "append", GroupStateTimeout.NoTimeout), us="created_at")
+
+
+def _pairs(value) -> list[tuple]:
+    """The entries of a map as Arrow hands it to pandas."""
+    return list(value.items() if isinstance(value, dict) else value) if value is not None else []
+
+
+def _number_or_zero(text: str | None) -> float:
+    try:
+        return float(text or 0)
+    except ValueError:
+        return 0.0
+
+
+def _number(value: float) -> str:
+    return str(int(value)) if value == int(value) else str(value)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all executors can reach; machine-local only where the master is."""
+    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
+        root = tempfile.mkdtemp(prefix="streams-")
+    return f"{root}/{uuid.uuid4().hex}"
+
+
+def replay(spark: SparkSession, slices: list[DataFrame], transform: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    """All rows that a stream emits when slices of its input arrive one after the other.
+
+    Each slice is a run of its own that resumes from the checkpoint, as after a restart.
+    """
+    folder = shared_folder(spark)
+    for rows in slices:
+        rows.write.mode("append").parquet(f"{folder}/in")
+        stream = transform(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
+        write_batches(stream, append_once(f"{folder}/out"), f"{folder}/checkpoint", mode=mode).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out").select(stream.columns)
