@@ -2,7 +2,7 @@
 
 import json
 import random
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,9 +13,11 @@ from trailmark.functions.timegrid import bucket, capped, named_range, previous_r
 from trailmark.operators import charts, enrich, lists, profiles
 from trailmark.operators.cohorts import conversion
 from trailmark.operators.funnel import funnel_levels, window_funnel
+from trailmark.operators.rollups import write_days
 from trailmark.operators.sessions import collapse, session_rows, sessionize, spread_identity, view_duration
 from trailmark.plans.spec import EventSeries
 from trailmark.sources import imports
+from trailmark.sources.imports import copy_by_period
 
 
 def test_to_dots():
@@ -270,3 +272,44 @@ def test_time_zones(spark):
     rows = spark.createDataFrame([(datetime(2024, 3, 30, 22, 59),), (datetime(2024, 3, 30, 23),), (datetime(2024, 3, 31, 1, 30),), (datetime(2024, 3, 31, 22),)], "created_at timestamp")
     days = rows.select(bucket(F.col("created_at"), "day", tz=zone).cast("date").cast("string").alias("d"), bucket(F.col("created_at"), "hour", tz=zone).cast("string").alias("h")).collect()
     assert [r.d for r in days] == ["2024-03-30", "2024-03-31", "2024-03-31", "2024-04-01"] and days[2].h == "2024-03-31 03:00:00"
+
+
+def test_stored_days(spark, tmp_path):
+    """Days that are written again are replaced, others stay; ids of digits stay texts; folders are pruned."""
+    from trailmark.sources import tables as T
+
+    rows = lambda n: spark.createDataFrame([("007", datetime(2024, 1, d, 5), n) for d in (1, 2, 3)], "project_id string, created_at timestamp, n int").withColumn("event_date", F.to_date("created_at"))
+    write_days(rows(1), str(tmp_path / "t"))
+    write_days(rows(2).filter("event_date = '2024-01-02'"), str(tmp_path / "t"))
+    got = T.stored(spark, str(tmp_path), "t", "007", datetime(2024, 1, 2))
+    assert sorted((r.project_id, r.created_at.day, r.n) for r in got.collect()) == [("007", 2, 2), ("007", 3, 1)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(project_id" in plan and "event_date" in plan.split("PartitionFilters")[1].split("]")[0]
+
+
+def test_partial_materialize_equals_the_whole(spark, sf_dir, tmp_path):
+    from trailmark.sources import tables as T
+
+    T.materialize(spark, sf_dir, str(tmp_path / "a"), date(2024, 1, 9), date(2024, 1, 12))
+    T.materialize(spark, sf_dir, str(tmp_path / "b"))
+    days = lambda root, table: T.stored(spark, str(tmp_path / root), table, None, datetime(2024, 1, 10), datetime(2024, 1, 12))
+    for table, columns in (("events", ["event_id", "session_id", "duration"]), ("sessions", ["id", "screen_view_count", "duration"])):
+        part, whole = (sorted(map(tuple, days(root, table).select(columns).collect())) for root in "ab")
+        assert part and part == whole
+
+
+def test_sql_window_funnel_equals_the_fold(spark):
+    register_functions(spark)
+    rng = random.Random(3)
+    rows = [(i, [(rng.randrange(12), rng.randrange(1, 4)) for _ in range(rng.randrange(9))]) for i in range(200)]
+    pairs = spark.createDataFrame(rows, "i int, pairs array<struct<ts: bigint, step: int>>")
+    for window in (None, 4):
+        both = pairs.select("i", window_funnel(F.col("pairs"), 3, window).alias("a"), F.expr(f"window_funnel(pairs, 3, {'NULL' if window is None else window})").alias("b")).collect()
+        assert [(r.i, r.a) for r in both] == [(r.i, r.b) for r in both]
+
+
+def test_periods_of_a_copy(spark, tmp_path):
+    rows = spark.createDataFrame([("p", datetime(2024, 1, 31)), ("p", datetime(2024, 3, 1)), ("p", datetime(2023, 12, 31))], "project_id string, created_at timestamp")
+    done = list(copy_by_period(rows, str(tmp_path / "c"), date(2024, 1, 1), date(2024, 3, 2), "month", [date(2024, 2, 1)]))
+    assert done == [date(2024, 3, 1), date(2024, 1, 1)]
+    assert sorted(r.created_at for r in spark.read.parquet(str(tmp_path / "c")).collect()) == [datetime(2024, 1, 31), datetime(2024, 3, 1)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,7 +62,35 @@ def render(template: Column, values: dict[str, Column]) -> Column:
     return template
 
 
+def dots_of(texts: pd.Series) -> pd.Series:
+    """JSON texts as dotted maps, in Arrow batches; none for malformed ones."""
+    return texts.map(_dots_or_none)
+
+
+def _dots_or_none(text: str | None) -> dict[str, str]:
+    try:
+        return to_dots(json.loads(text)) if text else {}
+    except ValueError:
+        return {}
+
+
 def register_functions(spark: SparkSession) -> None:
-    """SQL functions week_start(t) and strip_empty(m)."""
+    """SQL functions week_start(t), strip_empty(m), to_dots(json) and window_funnel(pairs, steps, window_ms).
+
+    ``pairs`` is an array of (ts, step) with steps from 1; a null window has no limit.
+    """
+    spark.udf.register("to_dots", F.pandas_udf(dots_of, "map<string,string>"))
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION week_start(t TIMESTAMP) RETURNS TIMESTAMP RETURN date_trunc('week', t)")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION strip_empty(m MAP<STRING, STRING>) RETURNS MAP<STRING, STRING> RETURN map_filter(m, (k, v) -> v IS NOT NULL AND v <> '')")
+    # held: for each step the latest start of a chain that reached it, and when; events of one time go by falling step
+    spark.sql(
+        """CREATE OR REPLACE TEMPORARY FUNCTION window_funnel(pairs ARRAY<STRUCT<ts: BIGINT, step: INT>>, steps INT, window_ms BIGINT) RETURNS INT RETURN
+        size(filter(aggregate(
+          array_sort(transform(pairs, p -> struct(p.ts AS ts, -p.step AS back))),
+          transform(sequence(1, steps), i -> CAST(NULL AS STRUCT<first: BIGINT, last: BIGINT>)),
+          (held, p) -> transform(held, (h, i) -> CASE
+            WHEN i <> -p.back - 1 THEN h
+            WHEN i = 0 THEN struct(p.ts AS first, p.ts AS last)
+            WHEN held[i - 1].last < p.ts AND (window_ms IS NULL OR p.ts - held[i - 1].first <= window_ms) THEN struct(held[i - 1].first AS first, p.ts AS last)
+            ELSE h END)), h -> h IS NOT NULL))"""
+    )

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timegrid import between, calendar
+from .cohorts import cohort_events, daily_profiles
 
 SESSION_MARKERS = ("session_start", "session_end")
 
@@ -25,6 +28,47 @@ def event_name_list(names: DataFrame) -> DataFrame:
     return names.select("project_id", "name", "event_count").unionByName(total)
 
 
+def daily_event_names(events: DataFrame) -> DataFrame:
+    return events.groupBy("project_id", F.to_date("created_at").alias("event_date"), "name").agg(F.max("created_at").alias("last_seen"), F.count(F.lit(1)).alias("event_count"))
+
+
+def daily_property_values(events: DataFrame) -> DataFrame:
+    pairs = events.select("project_id", F.to_date("created_at").alias("event_date"), "name", "created_at", F.explode("properties").alias("property_key", "property_value"))
+    kept = pairs.filter((F.col("property_value") != "") & ~F.col("property_key").isin("__duration", "__duration_from"))
+    return kept.groupBy("project_id", "event_date", "name", "property_key", "property_value").agg(F.max("created_at").alias("last_seen"), F.count(F.lit(1)).alias("n"))
+
+
+def _dated(daily: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    return lambda events: daily(events).withColumnRenamed("day", "event_date")
+
+
+#: Rollup name -> how a day of it follows from that day's events.
+DAILY = {"users": _dated(daily_profiles), "event_names": daily_event_names, "cohort_events": _dated(cohort_events), "property_values": daily_property_values}
+
+
+def refresh(events: DataFrame, root: str, first=None, last=None, names: tuple[str, ...] = tuple(DAILY)) -> None:
+    """Writes the rollups of some days (all, if none are named) below ``root``; a day that is refreshed is replaced.
+
+    A day whose events are all gone keeps its old rows; overwrite it by hand.
+    """
+    days = events
+    if first is not None:
+        days = days.filter(F.col("created_at") >= F.lit(first).cast("date").cast("timestamp"))
+    if last is not None:
+        days = days.filter(F.col("created_at") < F.date_add(F.lit(last).cast("date"), 1).cast("timestamp"))
+    for name in names:
+        write_days(DAILY[name](days), f"{root}/{name}")
+
+
+def write_days(rows: DataFrame, path: str) -> None:
+    """Rows with project_id and event_date as one folder for each; folders that are written again are replaced.
+
+    Rows of a folder meet in few tasks (large folders are split by the size that Spark is told to aim at).
+    """
+    placed = rows.hint("rebalance", "project_id", "event_date")
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id", "event_date").parquet(path)
+
+
 def billable(events: DataFrame, start, end) -> DataFrame:
     return events.filter(between("created_at", start, end) & ~F.col("name").isin(*SESSION_MARKERS))
 

@@ -17,6 +17,12 @@ def sessionize(events: DataFrame, gap_seconds: int = 1800) -> DataFrame:
     return events.withColumn("_fresh", fresh).withColumn("session_id", F.concat("device_id", F.lit("-"), number.cast("string"))).drop("_fresh")
 
 
+def with_start_ids(sessionized: DataFrame) -> DataFrame:
+    """Session ids of device and first microsecond: the same whatever range of events was read, if it holds the start."""
+    whole = Window.partitionBy(*BY_DEVICE, "session_id")
+    return sessionized.withColumn("session_id", F.concat("device_id", F.lit("-"), F.unix_micros(F.min("created_at").over(whole)).cast("string")))
+
+
 def bucket_session_id(device: Column, t: Column, seconds: int = 1800) -> Column:
     """A session id from the device and a half hour, for imports without ids."""
     return F.md5(F.concat(device, F.lit("-"), F.floor(F.unix_seconds(t) / seconds).cast("string")))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
+from ..functions.flatten import flatten_json, register_functions
 from ..operators import enrich as E
 from ..operators import lists as L
 from ..operators import overview as O
 from ..sources import clients as C
 from ..sources import imports as Im
 from ..sources import tables as T
+from ..sources.folders import shared_folder
 from .base import AS_OF, day, query, text
 
 KNOWN = [("spam-farm.example.org", "Spam Farm", "spam"), ("www.casino-win.example.org", "Casino", "spam"), ("feed.com", "Feed", "feed")]
@@ -210,6 +214,59 @@ def import_product_rows(spark, sf_dir):
     return mapped.select("id", "name", "profile_id", "device_id", text("created_at").alias("at"), "path", "origin", "device", F.coalesce(F.element_at("properties", "k"), F.lit("")).alias("k"))
 
 
+@query("SELECT id, CASE WHEN name = 'view' THEN 'screen_view' ELSE name END AS name, device_id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS at, path, referrer FROM ev")
+def import_csv_files(spark, sf_dir):
+    """A compressed CSV export with a header, read, staged in one batch and read from staging."""
+    root = shared_folder(spark)
+    exported = _web_rows(spark, sf_dir).withColumn("session_id", F.col("device_id")).drop("device_id")
+    exported.write.option("header", True).option("compression", "gzip").option("escape", '"').csv(f"{root}/export")
+    Im.stage(Im.map_web_rows(Im.read_web_csv(spark, f"{root}/export"), "p0"), "import-1", f"{root}/staging", "batch-1")
+    staged = spark.read.parquet(f"{root}/staging")
+    return staged.select("id", "name", "device_id", text("created_at").alias("at"), "path", "referrer")
+
+
+@query("SELECT name AS event, CAST(CAST(floor(epoch_us(created_at) / 1000000) AS BIGINT) AS VARCHAR) AS time, k FROM ev")
+def import_ndjson_files(spark, sf_dir):
+    """An NDJSON export among lines that are no JSON."""
+    root = shared_folder(spark)
+    e = T.base_events(spark, sf_dir)
+    seconds = F.unix_seconds("created_at")
+    lines = e.select(F.to_json(F.struct(F.col("name").alias("event"), F.struct(seconds.alias("time"), F.element_at("properties", "k").alias("k")).alias("properties"))).alias("value"))
+    lines.unionByName(e.select(F.concat(F.lit("{broken "), "id").alias("value"))).write.text(f"{root}/export")
+    rows = flatten_json(Im.read_ndjson(spark, f"{root}/export"), "properties_json")
+    return rows.select("event", "time", F.coalesce(F.element_at("properties", "k"), F.lit("")).alias("k"))
+
+
+@query("SELECT id, project_id, CAST(created_at AS DATE) AS day FROM ev WHERE created_at >= TIMESTAMP '2024-01-05' AND created_at < TIMESTAMP '2024-01-21'")
+def copy_weeks(spark, sf_dir):
+    """A copy week by week that stopped after its first and went on."""
+    rows, path = T.base_events(spark, sf_dir).select("id", "project_id", "created_at"), f"{shared_folder(spark)}/copy"
+    first, last = date(2024, 1, 5), date(2024, 1, 20)
+    done = [next(Im.copy_by_period(rows, path, first, last, "week"))]
+    for week in Im.copy_by_period(rows, path, first, last, "week", done):
+        done.append(week)
+    return spark.read.parquet(path).select("id", "project_id", F.col("event_date").alias("day"))
+
+
+@query("SELECT id, k, strftime(date_trunc('week', created_at), '%Y-%m-%d') AS week FROM ev")
+def sql_functions(spark, sf_dir):
+    """to_dots, strip_empty and week_start called from SQL."""
+    register_functions(spark)
+    T.base_events(spark, sf_dir).select("id", "created_at", F.to_json(F.struct(F.element_at("properties", "k").alias("k"), F.lit("").alias("none"))).alias("said")).createOrReplaceTempView("sent")
+    return spark.sql("SELECT id, coalesce(strip_empty(to_dots(said))['k'], '') AS k, date_format(week_start(created_at), 'yyyy-MM-dd') AS week FROM sent")
+
+
+@query("WITH f AS (SELECT session_id, min(CASE WHEN name = 'view' THEN epoch_ms(created_at) END) AS v, max(CASE WHEN name = 'click' THEN epoch_ms(created_at) END) AS c FROM ev GROUP BY session_id) SELECT session_id, CASE WHEN v < c THEN 2 WHEN v IS NOT NULL THEN 1 ELSE 0 END AS level FROM f")
+def sql_window_funnel(spark, sf_dir):
+    """The funnel function called from SQL."""
+    register_functions(spark)
+    T.events(spark, sf_dir).createOrReplaceTempView("sessionized")
+    return spark.sql(
+        """SELECT session_id, window_funnel(collect_list(named_struct('ts', unix_millis(created_at), 'step', CASE name WHEN 'view' THEN 1 ELSE 2 END)) FILTER (WHERE name IN ('view', 'click')), 2, NULL) AS level
+        FROM sessionized GROUP BY session_id"""
+    )
+
+
 @query("SELECT 'good' AS part, count(*) FILTER (path <> '') AS n FROM ev UNION ALL SELECT 'bad', count(*) FILTER (path = '') FROM ev")
 def import_validation(spark, sf_dir):
     """Rows with and without what an import requires."""

@@ -15,6 +15,7 @@ from ..operators import profiles as P
 from ..operators import rollups as R
 from ..operators import sessions as S
 from ..sources import tables as T
+from ..sources.folders import shared_folder
 from .base import AS_OF, END, QUERIES, SQL, START, day, query, text
 
 IN = "created_at BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25'"
@@ -569,6 +570,39 @@ def mv_property_values(spark, sf_dir):
     return L.property_values(T.base_events(spark, sf_dir)).withColumn("last_seen", text("last_seen"))
 
 
+@query(
+    """WITH k AS (SELECT *, CAST(created_at AS DATE) AS d FROM ev WHERE name <> 'click' OR CAST(created_at AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-12'),
+    p AS (SELECT project_id, d, name, unnest([k, utm_source, q_page, q_ref]) AS v, unnest(['k', 'utm_source', 'page', 'ref']) AS key FROM k)
+    SELECT 'users' AS rollup, d AS day, count(DISTINCT (project_id, profile_id)) AS rows, 0 AS events FROM k GROUP BY d UNION ALL
+    SELECT 'event_names', d, count(DISTINCT (project_id, name)), count(*) FROM k GROUP BY d UNION ALL
+    SELECT 'cohort_events', d, count(DISTINCT (project_id, name, profile_id)), count(*) FROM k WHERE profile_id <> device_id GROUP BY d UNION ALL
+    SELECT 'property_values', d, count(DISTINCT (project_id, name, key, v)), count(*) FROM p WHERE v <> '' GROUP BY d"""
+)
+def mv_refresh(spark, sf_dir):
+    """Four rollups written by day without one kind of event, then three days refreshed with it."""
+    events, root = T.base_events(spark, sf_dir), shared_folder(spark)
+    R.refresh(events.filter("name <> 'click'"), root)
+    R.refresh(events, root, "2024-01-10", "2024-01-12")
+    counts = {"users": F.lit(0), "event_names": F.col("event_count"), "cohort_events": F.col("event_count"), "property_values": F.col("n")}
+    out = None
+    for name, n in counts.items():
+        one = T.stored(spark, root, name).groupBy(F.lit(name).alias("rollup"), F.col("event_date").alias("day")).agg(F.count(F.lit(1)).alias("rows"), F.sum(n).cast("long").alias("events"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(
+    f"""SELECT 'events' AS kind, device_id, {TS.format('created_at')} AS at, duration AS n FROM ev WHERE project_id = 'p0' AND created_at BETWEEN TIMESTAMP '2024-01-10 06:00:00' AND TIMESTAMP '2024-01-12 18:00:00' UNION ALL
+    SELECT 'sessions', device_id, {TS.format('created_at')}, screen_view_count FROM ss WHERE project_id = 'p0' AND created_at BETWEEN TIMESTAMP '2024-01-10 06:00:00' AND TIMESTAMP '2024-01-12 18:00:00'"""
+)
+def stored_tables(spark, sf_dir):
+    """Canonical tables written by project and day, read pruned."""
+    root = shared_folder(spark)
+    T.materialize(spark, sf_dir, root)
+    picked = lambda name, n: T.stored(spark, root, name, "p0", datetime(2024, 1, 10, 6), datetime(2024, 1, 12, 18)).select(F.lit(name).alias("kind"), "device_id", text("created_at").alias("at"), F.col(n).alias("n"))
+    return picked("events", "duration").unionByName(picked("sessions", "screen_view_count"))
+
+
 @query("SELECT name, count(*) AS n FROM ev WHERE project_id <> 'p1' GROUP BY name")
 def delete_projects(spark, sf_dir):
     gone = spark.createDataFrame([("p1",)], "project_id string")

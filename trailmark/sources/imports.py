@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -152,3 +155,19 @@ def copy_slice(rows: DataFrame, path: str, project_id: str | None = None, start=
         picked = picked.filter(F.col("created_at") <= F.lit(end))
     dated = picked.withColumn("event_date", F.to_date("created_at"))
     dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id", "event_date").parquet(path)
+
+
+def copy_by_period(rows: DataFrame, path: str, first: date, last: date, unit: str = "day", done: Sequence[date] = ()) -> Iterator[date]:
+    """Copies days, weeks or months one by one, newest first, yielding the first day of each as it is done.
+
+    Periods in ``done`` are passed over, so a copy that stopped goes on where it was; a repeated one replaces its days.
+    """
+    begins = {"day": lambda d: d, "week": lambda d: d - timedelta(days=d.weekday()), "month": lambda d: d.replace(day=1)}[unit]
+    end = last
+    while end >= first:
+        begin = begins(end)
+        if begin not in done:
+            lower, upper = F.lit(max(begin, first)).cast("timestamp"), F.lit(end + timedelta(days=1)).cast("timestamp")
+            copy_slice(rows.filter((F.col("created_at") >= lower) & (F.col("created_at") < upper)), path)
+            yield begin
+        end = begin - timedelta(days=1)

@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.urls import url_parts
-from ..operators.sessions import session_rows, sessionize, view_duration
+from ..operators.rollups import write_days
+from ..operators.sessions import session_rows, sessionize, view_duration, with_start_ids
 
 GAP_SECONDS = 12 * 3600  # the raw events are sparse; shorter gaps leave sessions of one event
 
@@ -114,6 +116,45 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest(history, ["project_id", "id"], [F.desc("created_at"), F.col("properties")["plan"]])
 
 
+def materialize(spark: SparkSession, sf_dir: str, root: str, first=None, last=None) -> None:
+    """Writes canonical events and sessions below ``root``, by project and day (of a session: the day it began).
+
+    With bounds only those days are written again; begin a day before the first that changed, as a session lies in the
+    folder of the day it began.  Events are read with a margin of a day on both sides for sessions that cross midnight;
+    where sessions are longer than that, all days must be written.
+    """
+    rows = base_events(spark, sf_dir)
+    if first is not None or last is not None:
+        rows = rows.filter(_days("created_at", first, last, margin=1))
+    # plain session numbers count from the first event that is read; these ids do not
+    found = view_duration(with_start_ids(sessionize(rows, GAP_SECONDS)), "view")
+    for name, table in (("events", found), ("sessions", session_rows(found, "view"))):
+        write_days(table.filter(_days("created_at", first, last)).withColumn("event_date", F.to_date("created_at")), f"{root}/{name}")
+
+
+def _days(column: str, first, last, margin: int = 0) -> Column:
+    kept = F.lit(True)
+    if first is not None:
+        kept = kept & (F.col(column) >= F.date_sub(F.lit(first).cast("date"), margin).cast("timestamp"))
+    if last is not None:
+        kept = kept & (F.col(column) < F.date_add(F.lit(last).cast("date"), 1 + margin).cast("timestamp"))
+    return kept
+
+
+def stored(spark: SparkSession, root: str, name: str, project_id: str | None = None, start=None, end=None) -> DataFrame:
+    """Rows of a table that ``materialize`` wrote; project and range (ends included) prune its folders."""
+    told = spark.read.parquet(f"{root}/{name}").schema
+    texts = StructType([StructField(f.name, StringType()) if f.name == "project_id" else f for f in told])  # ids of digits stay texts
+    rows = spark.read.schema(texts).parquet(f"{root}/{name}")
+    if project_id is not None:
+        rows = rows.filter(F.col("project_id") == project_id)
+    if start is not None:
+        rows = rows.filter((F.col("event_date") >= F.lit(start).cast("date")) & (F.col("created_at") >= F.lit(start)))
+    if end is not None:
+        rows = rows.filter((F.col("event_date") <= F.lit(end).cast("date")) & (F.col("created_at") <= F.lit(end)))
+    return rows
+
+
 def register(spark: SparkSession, sf_dir: str) -> None:
     """Temporary views under the logical names, for SQL users."""
     for name, make in (("events", events), ("sessions", sessions), ("profiles", profiles)):

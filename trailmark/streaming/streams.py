@@ -6,8 +6,6 @@ Sources are any stream of canonical events; tests replay files with availableNow
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -21,6 +19,7 @@ from ..functions.urls import mask
 from ..operators.enrich import event_time
 from ..operators.profiles import merge_profiles
 from ..plans.spec import EventSeries
+from ..sources.folders import shared_folder
 
 STREAM_SCHEMA = "id string, name string, project_id string, device_id string, profile_id string, created_at timestamp, path string, origin string, revenue long"
 
@@ -352,16 +351,6 @@ def _number(value: float) -> str:
     return str(int(value)) if value == int(value) else str(value)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that all executors can reach; machine-local only where the master is."""
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
-        root = tempfile.mkdtemp(prefix="streams-")
-    return f"{root}/{uuid.uuid4().hex}"
-
-
 def replay(spark: SparkSession, slices: list[DataFrame], transform: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
     """All rows that a stream emits when slices of its input arrive one after the other.
 
