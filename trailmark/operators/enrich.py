@@ -33,17 +33,16 @@ def seed_referrers(spark: SparkSession) -> DataFrame:
 
 
 def classify_referrers(rows: DataFrame, known: DataFrame, host: str = "referrer") -> DataFrame:
-    """Adds referrer_name and referrer_type by host, with or without www."""
-    hosts = rows.select(F.lower(F.col(host)).alias("_host")).distinct()
-    exact = known.select(F.col("host").alias("_host"), F.col("name").alias("_n1"), F.col("type").alias("_t1"))
-    bare = known.select(strip_www(F.col("host")).alias("_bare"), F.col("name").alias("_n2"), F.col("type").alias("_t2")).dropDuplicates(["_bare"])
-    found = (
-        hosts.withColumn("_bare", strip_www(F.col("_host")))
-        .join(exact, "_host", "left")
-        .join(bare, "_bare", "left")
-        .select("_host", F.coalesce("_n1", "_n2", F.lit("")).alias("referrer_name"), F.coalesce("_t1", "_t2", F.lit("")).alias("referrer_type"))
-    )
-    return rows.withColumn("_host", F.lower(F.col(host))).join(found, "_host", "left").drop("_host")
+    """Adds referrer_name and referrer_type by host, with or without www; of known rows for one host the least counts.
+
+    Rows meet the known hosts directly: Spark broadcasts those if they are small.  Empty hosts become null first, so
+    they meet nothing and gather in no task.
+    """
+    one = lambda key, to: known.groupBy(key.alias(to)).agg(F.min(F.struct("name", "type")).alias(f"{to}_hit"))
+    keyed = rows.withColumn("_host", F.nullif(F.lower(F.col(host)), F.lit(""))).withColumn("_bare", strip_www(F.col("_host")))
+    found = keyed.join(one(F.col("host"), "_host"), "_host", "left").join(one(strip_www(F.col("host")), "_bare"), "_bare", "left")
+    told = lambda field: F.coalesce(f"_host_hit.{field}", f"_bare_hit.{field}", F.lit(""))
+    return found.select(*[F.col(c) for c in rows.columns], told("name").alias("referrer_name"), told("type").alias("referrer_type"))
 
 
 def campaign_source(rows: DataFrame, known: DataFrame, properties: str = "properties") -> DataFrame:

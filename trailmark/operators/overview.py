@@ -140,7 +140,7 @@ def live_minutes(events: DataFrame, as_of, minutes: int = 30) -> DataFrame:
     """Sessions and visitors of each of the last minutes, zeros included."""
     start = as_of - timedelta(minutes=minutes)
     counted = events.filter(between("created_at", start, as_of)).groupBy(bucket(F.col("created_at"), "minute").alias("date")).agg(
-        F.count_distinct("session_id").alias("sessions"), F.count_distinct("profile_id").alias("visitors")
+        F.count_distinct("project_id", "session_id").alias("sessions"), F.count_distinct("project_id", "profile_id").alias("visitors")
     )
     return calendar(events.sparkSession, start, as_of, "minute").join(counted, "date", "left").fillna(0)
 
@@ -157,6 +157,6 @@ def live_top(events: DataFrame, columns: list[str], as_of, minutes: int = 30) ->
     """Events, sessions and mean view duration by the values of columns."""
     return events.filter(between("created_at", as_of - timedelta(minutes=minutes), as_of)).groupBy(*columns).agg(
         F.count(F.lit(1)).alias("events"),
-        F.count_distinct("session_id").alias("sessions"),
+        F.count_distinct("project_id", "session_id").alias("sessions"),
         F.coalesce(F.round(F.avg(F.when(F.col("duration") > 0, F.col("duration"))), 2), F.lit(0.0)).alias("avg_duration"),
     )

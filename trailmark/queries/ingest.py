@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
@@ -307,5 +307,5 @@ def top_campaign_tags(spark, sf_dir):
     f"count(*) AS events, count(DISTINCT session_id) AS sessions FROM ev JOIN placed p ON n = {_N} WHERE created_at BETWEEN TIMESTAMP '2024-01-28 06:00:00' AND TIMESTAMP '2024-01-28 12:00:00' GROUP BY ALL"
 )
 def live_coordinates(spark, sf_dir):
-    rows = E.locate(C.with_client(T.events(spark, sf_dir)).drop("country", "region"), C.ranges(spark))
+    rows = E.locate(C.with_client(T.events_since(spark, sf_dir, AS_OF - timedelta(minutes=360))).drop("country", "region"), C.ranges(spark))
     return O.live_top(rows, ["longitude", "latitude"], AS_OF, 360).select("longitude", "latitude", "events", "sessions")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -234,6 +234,10 @@ def page_list(spark, sf_dir):
     )
 
 
+def _live(spark, sf_dir, minutes=360):
+    return T.events_since(spark, sf_dir, AS_OF - timedelta(minutes=minutes))
+
+
 @query("SELECT project_id, count(DISTINCT profile_id) AS visitors FROM ev WHERE created_at BETWEEN TIMESTAMP '2024-01-28 06:00:00' AND TIMESTAMP '2024-01-28 12:00:00' GROUP BY project_id")
 def live_visitors(spark, sf_dir):
     return O.live_visitors(T.base_events(spark, sf_dir), AS_OF, 360)
@@ -244,12 +248,12 @@ def live_visitors(spark, sf_dir):
     SELECT strftime(g.date, '%Y-%m-%d %H:%M:%S') AS date, coalesce(sessions, 0) AS sessions, coalesce(visitors, 0) AS visitors FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-28 11:00:00', TIMESTAMP '2024-01-28 11:59:00', INTERVAL 1 MINUTE)) AS date) g LEFT JOIN c ON c.date = g.date"""
 )
 def live_minutes(spark, sf_dir):
-    return O.live_minutes(T.events(spark, sf_dir), AS_OF, 60).withColumn("date", text("date"))
+    return O.live_minutes(_live(spark, sf_dir, 60), AS_OF, 60).withColumn("date", text("date"))
 
 
 @query("SELECT country, count(*) AS events, count(DISTINCT session_id) AS sessions, coalesce(round(avg(CASE WHEN duration > 0 THEN duration END), 2), 0) AS avg_duration FROM ev WHERE created_at BETWEEN TIMESTAMP '2024-01-28 06:00:00' AND TIMESTAMP '2024-01-28 12:00:00' GROUP BY country")
 def live_geo(spark, sf_dir):
-    return O.live_top(T.events(spark, sf_dir), ["country"], AS_OF, 360)
+    return O.live_top(_live(spark, sf_dir), ["country"], AS_OF, 360)
 
 
 _LIVE = "created_at BETWEEN TIMESTAMP '2024-01-28 06:00:00' AND TIMESTAMP '2024-01-28 12:00:00'"
@@ -257,29 +261,29 @@ _LIVE = "created_at BETWEEN TIMESTAMP '2024-01-28 06:00:00' AND TIMESTAMP '2024-
 
 @query(f"SELECT count(DISTINCT session_id) AS sessions, count(DISTINCT profile_id) AS visitors, count(*) AS events FROM ev WHERE {_LIVE}")
 def live_totals(spark, sf_dir):
-    rows = T.events(spark, sf_dir).filter(between("created_at", datetime(2024, 1, 28, 6), AS_OF))
+    rows = _live(spark, sf_dir).filter(between("created_at", datetime(2024, 1, 28, 6), AS_OF))
     return rows.agg(F.count_distinct("session_id").alias("sessions"), F.count_distinct("profile_id").alias("visitors"), F.count(F.lit(1)).alias("events"))
 
 
 @query(f"SELECT {TS.format("date_trunc('minute', created_at)")} AS date, referrer, count(DISTINCT session_id) AS sessions FROM ev WHERE {_LIVE} AND referrer <> '' GROUP BY ALL")
 def live_referrer_minutes(spark, sf_dir):
-    return O.live_referrers(T.events(spark, sf_dir), AS_OF, 360, by_minute=True).withColumn("date", text("date"))
+    return O.live_referrers(_live(spark, sf_dir), AS_OF, 360, by_minute=True).withColumn("date", text("date"))
 
 
 @query(f"SELECT referrer, count(DISTINCT session_id) AS sessions FROM ev WHERE {_LIVE} AND referrer <> '' GROUP BY referrer ORDER BY sessions DESC, referrer LIMIT 10")
 def live_top_referrers(spark, sf_dir):
-    return O.live_referrers(T.events(spark, sf_dir), AS_OF, 360, limit=10)
+    return O.live_referrers(_live(spark, sf_dir), AS_OF, 360, limit=10)
 
 
 @query(f"SELECT name, count(*) AS events FROM ev WHERE {_LIVE} GROUP BY name ORDER BY events DESC, name LIMIT 100")
 def live_active_events(spark, sf_dir):
-    rows = O.live_top(T.events(spark, sf_dir), ["name"], AS_OF, 360).select("name", "events")
+    rows = O.live_top(_live(spark, sf_dir), ["name"], AS_OF, 360).select("name", "events")
     return L.page(rows, [F.desc("events"), F.col("name")], 0, 100)
 
 
 @query("SELECT path, count(*) AS events FROM ev WHERE created_at BETWEEN TIMESTAMP '2024-01-28 06:00:00' AND TIMESTAMP '2024-01-28 12:00:00' GROUP BY path")
 def live_paths(spark, sf_dir):
-    return O.live_top(T.events(spark, sf_dir), ["path"], AS_OF, 360).select("path", "events")
+    return O.live_top(_live(spark, sf_dir), ["path"], AS_OF, 360).select("path", "events")
 
 
 # Profiles
