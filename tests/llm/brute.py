@@ -75,3 +75,30 @@ def near(docs, percent=75):
 
 def sha(x):
     return hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
+
+
+def mixed_copies(docs, weights=(3, 1, 2), share=1.5, cap=2.0, seed=17):
+    """doc_id -> copies, for (doc_id, text, source); targets by filling: sources that overflow stop, the rest share again."""
+    import hashlib
+    import math
+    import re
+
+    size = {d: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t, _ in docs}
+    names = sorted({s for _, _, s in docs if s is not None}) + ([None] if any(s is None for _, _, s in docs) else [])
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    total = {s: sum(size[d] for d, _, own in docs if own == s) for s in names}
+    target, open_ = {}, list(names)
+    left = share * sum(total.values())
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = [s for s in open_ if weight[s] * level > cap * total[s]]
+        for s in full or open_:
+            target[s] = cap * total[s] if full else weight[s] * level
+        left -= sum(target[s] for s in full)
+        open_ = [s for s in open_ if s not in full] if full else []
+    copies = {}
+    for d, _, s in docs:
+        rate = target[s] / total[s] if total[s] else 0.0
+        drawn = int(hashlib.md5(f"{seed}:{d}".encode()).hexdigest()[:13], 16) / 2**52
+        copies[d] = math.floor(rate) + (drawn < rate - math.floor(rate))
+    return copies

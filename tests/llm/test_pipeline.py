@@ -2,7 +2,6 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from trailmark.llm import mixing
 
 from . import brute
 
@@ -24,8 +23,7 @@ def test_stages_and_plain_version(spark, tmp_path):
     texts = {d: t for d, t in texts.items() if labels[d][1] == d}
     texts = {d: kept.decode() for d, (_, _, _, kept) in brute.cut_bytes(list(texts.items()), 50).items() if kept.split()}
     source = {d: s for d, _, _, s in docs}
-    sized = spark.createDataFrame([(d, t, source[d]) for d, t in texts.items()], "doc_id long, text string, source string")
-    copies = {r.doc_id: r.copies for r in mixing.mix_sources(sized).collect()}
+    copies = brute.mixed_copies([(d, t, source[d]) for d, t in texts.items()])
 
     got = P.run(spark, str(tmp_path))
     counted = {r.doc_id: (r.n, r.sha) for r in got.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("decoded_sha256").alias("sha")).collect()}
