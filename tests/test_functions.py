@@ -313,3 +313,16 @@ def test_periods_of_a_copy(spark, tmp_path):
     done = list(copy_by_period(rows, str(tmp_path / "c"), date(2024, 1, 1), date(2024, 3, 2), "month", [date(2024, 2, 1)]))
     assert done == [date(2024, 3, 1), date(2024, 1, 1)]
     assert sorted(r.created_at for r in spark.read.parquet(str(tmp_path / "c")).collect()) == [datetime(2024, 1, 31), datetime(2024, 3, 1)]
+
+
+def test_addresses_of_both_kinds(spark):
+    """IPv6 in all spellings, IPv4 inside IPv6, and what is no address or belongs to no place."""
+    places = [("81.0.0.0", 8, "A"), ("81.2.0.0", 16, "B"), ("2001:db8::", 32, "C"), ("2001:db8:0:7::", 64, "D"), ("2001::", 16, "E")]
+    ips = {
+        "81.2.3.4": "B", "81.9.0.1": "A", "::ffff:81.2.3.4": "B", "2001:0DB8:0000:0007::1": "D", "2001:db8::7": "C", "2001:db8:0:7:1:2:3:4": "D", "2001:1::": "E",
+        "2002::1": "", "81.2.3.400": "", "81.2.3": "", "fe80::1": "", "fd00::1": "", "::1": "", "::": "", "2001:db8::1::2": "", "2001:db8:0:7:1:2:3": "", "2001:db8:0:7:1:2:3:4:5": "",
+        "12345::": "", ":2001:db8::": "", "10.0.0.1": "", "x": "", "": "", None: "",
+    }
+    got = enrich.locate(spark.createDataFrame([(i,) for i in ips], "ip string"), spark.createDataFrame(places, "network string, bits int, country string"))
+    assert {r.ip: r.country for r in got.collect()} == ips
+    assert enrich.locate(spark.createDataFrame([("81.2.3.4",)], "ip string"), spark.createDataFrame([("0.0.0.0", 0, "all"), ("81.2.3.4", 32, "one")], "network string, bits int, country string")).first().country == "one"

@@ -129,16 +129,31 @@ def split_bots(classified: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classified.filter(~bot).drop("bot_name", "bot_type"), classified.filter(bot & (F.coalesce("path", F.lit("")) != ""))
 
 
-def ip_number(ip: Column) -> Column:
-    """An IPv4 address as a number; null if it is none."""
-    parts = F.split(ip, r"\.")
-    part = lambda i: F.try_element_at(parts, F.lit(i + 1)).try_cast("long")
-    value = sum((part(i) * (1 << (24 - 8 * i)) for i in range(1, 4)), part(0) * (1 << 24))
-    return F.when(ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), value)
+def plain_ip(ip: Column) -> Column:
+    """The address without the prefix of IPv4 addresses in IPv6 form."""
+    return F.regexp_replace(F.lower(F.trim(ip)), r"^::ffff:(?=\d+\.)", "")
+
+
+def ip_bits(ip: Column) -> Column:
+    """'4' or '6' and the bits of an address, as text; null if it is none."""
+    ip = plain_ip(ip)
+    bits = lambda parts, base, width: F.array_join(F.transform(parts, lambda x: F.lpad(F.conv(x, base, 2), width, "0")), "")
+    four = F.split(ip, r"\.")
+    sides = F.split(ip, "::")  # what lies before and after the run of zeros, if there is one
+    groups = lambda i: F.filter(F.split(F.coalesce(F.get(sides, F.lit(i)), F.lit("")), ":"), lambda x: x != "")
+    gap = F.greatest(F.lit(8) - F.size(groups(0)) - F.size(groups(1)), F.lit(0))
+    six = F.concat(groups(0), F.when(F.size(sides) == 2, F.array_repeat(F.lit("0"), gap)).otherwise(F.array().cast("array<string>")), groups(1))
+    is_six = ip.rlike(r"^[0-9a-f:]*:[0-9a-f:]*$") & ~ip.rlike("[0-9a-f]{5}|:::|::.*::|^:[^:]|[^:]:$") & (F.size(six) == 8)
+    is_four = ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & F.forall(four, lambda x: x.try_cast("int") <= 255)
+    return F.when(is_four, F.concat(F.lit("4"), bits(four, 10, 8))).when(is_six, F.concat(F.lit("6"), bits(six, 16, 16)))
+
+
+#: Ranges of addresses that belong to no place.
+PRIVATE = r"^(0\.|10\.|127\.|169\.254\.|192\.168\.|172\.(1[6-9]|2\d|3[01])\.|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:|::1?$)"
 
 
 def is_public(ip: Column) -> Column:
-    return ip_number(ip).isNotNull() & ~ip.rlike(r"^(0\.|10\.|127\.|169\.254\.|192\.168\.|172\.(1[6-9]|2\d|3[01])\.)")
+    return ip_bits(ip).isNotNull() & ~plain_ip(ip).rlike(PRIVATE)
 
 
 def client_ip(headers: Sequence[str]) -> Column:
@@ -148,22 +163,23 @@ def client_ip(headers: Sequence[str]) -> Column:
 
 
 def locate(rows: DataFrame, ranges: DataFrame, ip: str = "ip") -> DataFrame:
-    """Adds what CIDR ranges of any length (network, bits, country, city, …) say of IPv4 addresses; '' or null where none does.
+    """Adds what CIDR ranges of any length (network, bits, country, city, …) say of addresses; '' or null where none does.
 
-    Addresses and ranges meet under the range's prefix length: one equi-join for
-    each length that occurs, the longest match winning.
+    Addresses and ranges of both kinds (IPv4, IPv6) meet under the range's first bits: one equi-join for all lengths
+    that occur, the longest match winning.
     """
     told = [c for c in ranges.columns if c not in ("network", "bits")]
-    lengths = F.explode(F.sequence(F.lit(0), F.lit(32))).alias("bits")
-    ranged = ranges.select("bits", ip_number(F.col("network")).alias("_net"), *told)
-    keyed = ranged.withColumn("_key", F.floor(F.col("_net") / F.pow(F.lit(2.0), F.lit(32) - F.col("bits"))).cast("long")).drop("_net")
-    used = keyed.select("bits").distinct()
+    first = lambda text: F.substr(text, F.lit(1), F.col("bits") + 1)
+    kind = lambda text: F.substring(text, 1, 1).alias("_kind")
+    network = ip_bits(F.col("network"))
+    ranged = ranges.select("bits", first(network).alias("_key"), kind(network), *told)
+    used = ranged.select("_kind", "bits").distinct()
     addresses = rows.select(F.col(ip).alias("_ip")).filter(is_public(F.col("_ip"))).distinct()
-    probes = addresses.select("_ip", ip_number(F.col("_ip")).alias("_n"), lengths).join(F.broadcast(used), "bits")  # 33 rows at most
-    probes = probes.withColumn("_key", F.floor(F.col("_n") / F.pow(F.lit(2.0), F.lit(32) - F.col("bits"))).cast("long"))
-    found = probes.join(keyed, ["bits", "_key"]).groupBy("_ip").agg(F.max_by(F.struct(*told), "bits").alias("_at"))
+    known = addresses.select("_ip", ip_bits(F.col("_ip")).alias("_bits"), kind(ip_bits(F.col("_ip"))))
+    probes = known.join(F.broadcast(used), "_kind").select("_ip", first(F.col("_bits")).alias("_key"))  # 33 + 129 lengths at most
+    found = probes.join(ranged, "_key").groupBy("_ip").agg(F.max_by(F.struct(*told), "bits").alias("_at"))
     return rows.join(found, F.col(ip) == F.col("_ip"), "left").select(
-        *rows.columns, *[(F.coalesce(f"_at.{c}", F.lit("")) if kind == "string" else F.col(f"_at.{c}")).alias(c) for c, kind in ranges.dtypes if c in told]
+        *rows.columns, *[(F.coalesce(f"_at.{c}", F.lit("")) if of == "string" else F.col(f"_at.{c}")).alias(c) for c, of in ranges.dtypes if c in told]
     )
 
 

@@ -575,6 +575,16 @@ def hll_rolling_active(spark, sf_dir):
     return K.rolling_active_approx(K.daily_sketches(T.base_events(spark, sf_dir)), 7)
 
 
+@query("WITH d AS (SELECT DISTINCT project_id, profile_id, CAST(created_at AS DATE) AS day FROM ev), s AS (SELECT project_id, profile_id, day + CAST(n AS INTEGER) AS date FROM d, range(7) t(n)) SELECT date, count(DISTINCT (project_id, profile_id)) AS users, true AS near FROM s GROUP BY date")
+def hll_against_exact(spark, sf_dir):
+    """Exact rolling counts, and whether the sketches come within 5 % (or one) of them."""
+    events = T.base_events(spark, sf_dir)
+    week = F.expr("sequence(day, date_add(day, 6), interval 1 day)")
+    exact = K.daily_profiles(events).withColumn("date", F.explode(week)).groupBy("date").agg(F.count_distinct("project_id", "profile_id").alias("users"))
+    near = K.rolling_active_approx(K.daily_sketches(events), 7).withColumnRenamed("users", "estimate")
+    return exact.join(near, "date", "full").select("date", "users", (F.abs(F.col("estimate") - F.col("users")) <= F.greatest(F.lit(1.0), F.col("users") * 0.05)).alias("near"))
+
+
 @query("WITH l AS (SELECT max(created_at) AS t FROM ev GROUP BY project_id, profile_id) SELECT CAST(date_diff('day', CAST(t AS DATE), DATE '2024-01-28') AS INTEGER) AS days, count(*) AS users FROM l GROUP BY 1")
 def last_seen(spark, sf_dir):
     return K.days_since_seen(T.base_events(spark, sf_dir), AS_OF)

@@ -622,3 +622,17 @@ def staging_retention(spark, sf_dir):
 def bulk_update_sessions(spark, sf_dir):
     changes = T.events(spark, sf_dir).filter("name = 'signup'").groupBy(F.col("session_id").alias("id")).agg(F.round(F.sum("value")).cast("long").alias("revenue"))
     return R.bulk_update(T.sessions(spark, sf_dir), changes, ["id"]).select("id", "revenue")
+
+
+@query("SELECT name, count(*) AS events, (SELECT count(*) FROM ss) AS sessions, (SELECT count(*) FROM pr) AS profiles FROM ev GROUP BY name")
+def registered_tables(spark, sf_dir):
+    """Canonical tables as views, asked in SQL."""
+    T.register(spark, sf_dir)
+    return spark.sql("SELECT name, count(*) AS events, (SELECT count(*) FROM canonical_sessions) AS sessions, (SELECT count(*) FROM canonical_profiles) AS profiles FROM canonical_events GROUP BY name")
+
+
+@query("SELECT id, name, project_id, device_id, profile_id, path, origin, country, region, revenue FROM ev WHERE revenue > 100 ORDER BY created_at DESC, id DESC LIMIT 40")
+def event_list_hook(spark, sf_dir):
+    """A list with a caller's own step in the middle, all columns but some."""
+    rows = L.apply_hook(T.base_events(spark, sf_dir), lambda rows: rows.filter("revenue > 100"))
+    return L.keyset_page(rows, None, 40).drop("event_id", "created_at", "title", "referrer", "value", "properties")
