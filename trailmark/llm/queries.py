@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, mixing, packing, token_counts
+from . import byte_bpe, fill_in_middle, filter_audit, language_id, mixing, packing, token_counts
 from .kmeans_tree import nearest_neighbours
 from .minhash import near_duplicates
 from .substring_dedup import remove_repeated_windows
@@ -78,6 +78,17 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = filter_audit.failures(_read(spark, sf_dir, "documents"))
+    return filter_audit.audit(filter_audit.combinations(failed, _read(spark, sf_dir, "labels"))).drop("filter")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.transform(_read(spark, sf_dir, "documents"))
+    output, restored = F.sha2("output", 256), F.sha2(fill_in_middle.restore("output", "form"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", output.alias("output_sha256"), restored.alias("restored_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -96,6 +107,8 @@ QUERIES = {
     "op8_kmeans_tree": op8_kmeans_tree,
     "op9_token_counts": op9_token_counts,
     "op10_byte_bpe": op10_byte_bpe,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE_SQL = {
@@ -191,5 +204,60 @@ pieces AS (
 SELECT d.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(lost AS BIGINT) AS n_removed, CAST(n AS BIGINT) AS n_spans,
        sha256(unhex(head || substr(x, 2 * coalesce(last_end, 0) + 1))) AS kept_sha256
 FROM d JOIN pieces USING (doc_id)
+""",
+    "op12_filter_audit": r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
+firsts AS (SELECT text, min(doc_id) AS first FROM d GROUP BY text),
+failed AS (
+  SELECT w.doc_id, part, concat(
+    CASE WHEN len(words) < 100 THEN 'A' ELSE '' END,
+    CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END,
+    CASE WHEN 100 * len(regexp_extract_all(w.text, '[A-Z]')) > 10 * length(w.text) THEN 'C' ELSE '' END,
+    CASE WHEN regexp_matches(w.text, '[#$%&*|]') THEN 'D' ELSE '' END,
+    CASE WHEN first < w.doc_id THEN 'E' ELSE '' END) AS failed
+  FROM w JOIN firsts ON firsts.text = w.text),
+marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+combined AS (
+  SELECT part, failed, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM failed LEFT JOIN marks USING (doc_id) GROUP BY part, failed),
+orders AS (
+  SELECT '' AS filter_order UNION ALL
+  SELECT filter_order || letter FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter) WHERE NOT contains(filter_order, letter)),
+steps AS (SELECT filter_order, step, filter_order[step] AS f, filter_order[1:step - 1] AS before FROM orders, range(1, 6) AS r(step) WHERE length(filter_order) = 5),
+told AS (
+  SELECT part, filter_order, step, f, n, good, toxic, failed, contains(failed, f) AS fails,
+         translate(failed, before, '') <> failed AS earlier
+  FROM combined, steps),
+summed AS (
+  SELECT part, filter_order, step, f,
+    coalesce(sum(n) FILTER (NOT fails AND NOT earlier), 0) AS kept,
+    coalesce(sum(n) FILTER (fails AND NOT earlier), 0) AS removed,
+    coalesce(sum(n) FILTER (fails AND earlier), 0) AS redundant,
+    coalesce(sum(n) FILTER (failed = f), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (fails AND NOT earlier), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (fails AND NOT earlier), 0) AS toxic_lost
+  FROM told GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM summed
+""",
+    "op13_fill_in_middle": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS x FROM documents),
+h AS (
+  SELECT doc_id, text, u, CAST(len(u) AS BIGINT) AS n, CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2,
+         CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM d),
+cut AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+parts AS (
+  SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
 """,
 }
