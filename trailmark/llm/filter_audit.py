@@ -8,10 +8,10 @@ that it marks are united with the other failures, and documents are counted by
 combination of letters.  Orders and steps are worked out on these counts: for each
 part at most 2**filters rows, whatever the size of the corpus.
 
-Only rows whose hash recurs are shuffled with their text (where Spark finds the list
-of such hashes small, it sends that instead).  Rows of a hot hash are dealt over all
-tasks by their id, and the row that they look for is copied to each.  Equal texts are
-folded within each task before they are shuffled to find the smallest id.
+Texts are shuffled once, to meet the hashes that recur; those that do are shuffled again.
+Both joins sort and merge at every size, so cost is in proportion.  Rows of a hot hash
+are dealt over all tasks by their id, and the row that they look for is copied to
+each.  Equal texts are folded within each task before the smallest id is sought.
 
 Defined cases: null texts are empty (they fail A only, and E behind the first); white
 space other than ``[\\x20\\x09-\\x0D]`` belongs to words; a null part is the empty one; a
@@ -81,12 +81,12 @@ def exact_copies(texts: DataFrame) -> DataFrame:
     every = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(lanes - 1))).otherwise(F.array(F.lit(0)))).alias("lane")
     dealt = named.join(F.broadcast(hot), "h", "left").withColumn("lane", lane)
     known = recurs.select("h", is_hot.alias("hot")).select("h", every)
-    again = dealt.join(known, ["h", "lane"], "left_semi").checkpoint()
+    again = dealt.join(known.hint("merge"), ["h", "lane"], "left_semi").checkpoint()
     least = again.groupBy("h", "text").agg(F.min("doc_id").alias("least"), F.max("hot").alias("hot"))
     first = least.select("h", every, F.col("text").alias("same"), "least")
     a, b = again.alias("a"), first.alias("b")
     on = (F.col("a.h") == F.col("b.h")) & (F.col("a.lane") == F.col("b.lane")) & (F.col("a.text") == F.col("b.same")) & (F.col("b.least") < F.col("a.doc_id"))
-    return a.join(b, on, "left_semi").select("doc_id", "h", "part")
+    return a.join(b.hint("merge"), on, "left_semi").select("doc_id", "h", "part")
 
 
 def combinations(failed: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
