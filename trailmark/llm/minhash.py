@@ -30,7 +30,8 @@ cut by checkpoint() each round.
 Defined cases: null and empty texts have an empty set, link with nothing and are
 kept; fewer than five words are one shingle; rows with a null id are returned as
 their own class (null) and kept; rows that share an id are one document, linked
-by what links any of them; an empty table gives an empty result; other columns
+by what links any of them, be they equal (folded before anything else) or not (each
+text has a set of its own); an empty table gives an empty result; other columns
 are ignored.  Shingles are compared as 64-bit hashes, chained word by word
 (``textarrays``), so a wrong match needs two of a pair's few hundred to collide by chance.
 """
@@ -114,6 +115,16 @@ def signatures(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def digests(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """128 bits for each set, from sums over its items."""
+    full = np.flatnonzero(np.diff(offsets))
+    out = np.zeros((len(offsets) - 1, 2), A.U64)
+    if len(full):
+        out[full, 0] = np.add.reduceat(A.mix(flat ^ A.U64(0x5851F42D4C957F2D)), offsets[:-1][full])
+        out[full, 1] = np.add.reduceat(A.mix(flat + A.U64(0x14057B7EF767814F)), offsets[:-1][full])
+    return pa.array([d.tobytes() for d in out], pa.binary())
+
+
 def _sketch(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n, digest, values (coordinate-value pairs) of each row."""
 
@@ -124,17 +135,14 @@ def _sketch(docs: DataFrame, size: int) -> DataFrame:
                 n = np.diff(offsets)
                 full = np.flatnonzero(n)
                 values = np.zeros((len(n), COORDS), np.int64)
-                digest = np.zeros((len(n), 2), A.U64)
                 if len(full):
                     sig = signatures(flat, np.append(offsets[:-1][full], len(flat)))
                     values[full] = sig.astype(np.int64) | (np.arange(COORDS, dtype=np.int64) << 32)
-                    digest[full, 0] = np.add.reduceat(A.mix(flat ^ A.U64(0x5851F42D4C957F2D)), offsets[:-1][full])
-                    digest[full, 1] = np.add.reduceat(A.mix(flat + A.U64(0x14057B7EF767814F)), offsets[:-1][full])
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
                         pa.array(n, pa.int64()),
-                        pa.array([d.tobytes() for d in digest], pa.binary()),
+                        digests(flat, offsets),
                         pa.array([v if k else [] for v, k in zip(values, n)], pa.list_(pa.int64())),
                     ],
                     names=["doc_id", "n", "digest", "values"],
@@ -144,17 +152,21 @@ def _sketch(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id and items: the set as ordered 64-bit hashes."""
+    """doc_id, n, digest and items: the set as ordered 64-bit hashes; equal rows of a batch are folded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            place = pa.array(np.arange(batch.num_rows))
+            first = pa.table([batch.column("doc_id"), batch.column("text"), place], ["doc_id", "text", "at"]).group_by(["doc_id", "text"]).aggregate([("at", "min")])
+            if first.num_rows < batch.num_rows:
+                batch = batch.take(first["at_min"].combine_chunks())
             for part in slices(batch, TEXT, 500):
                 flat, offsets = shingle_sets(part.column("text"), size)
                 raw = flat.tobytes()
                 items = pa.array([raw[8 * a : 8 * b] for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), items], names=["doc_id", "items"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), digests(flat, offsets), items], names=["doc_id", "n", "digest", "items"])
 
-    return docs.mapInArrow(tidied(run), "doc_id long, items binary")
+    return docs.mapInArrow(tidied(run), "doc_id long, n long, digest binary, items binary")
 
 
 def _similar(inter: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -176,21 +188,26 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, least: int) -> Da
                     good[i] = _similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent)
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    matched = pairs.select("a", "b").join(left, "a").join(right, "b").filter(collisions >= least)
+    # A hub may stand in the pairs of a third of all documents.
+    pairs = pairs.select("a", "b").checkpoint()
+    popular = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("w"))
+    met = join_salted(pairs.join(left, "a"), popular.join(right, "b"), ["b"], "w", ["a"], pairs.count())
+    matched = met.filter(collisions >= least)
     return matched.select("a", "b", "x", "y").mapInArrow(tidied(run), "a long, b long")
 
 
-def _hub_pairs(now: DataFrame, turn: int) -> DataFrame:
+def _hub_pairs(now: DataFrame, turn: int, posted: int) -> DataFrame:
     """Pairs (a, b): each document with the hubs of other classes that it collides with most."""
     # First the documents that agree with most others, later any.
     rank = F.struct(-F.col("fame"), "doc_id") if turn == 0 else F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id")
     hubs = (
         now.groupBy("value")
-        .agg(F.min_by(F.struct("doc_id", "label"), rank).alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        .agg(F.min_by(F.struct("doc_id", "label"), rank).alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("w"))
         .filter("lo < hi")
-        .select("value", "hub")
+        .select("value", "hub", "w")
+        .checkpoint()
     )
-    met = now.join(hubs, "value").filter("label != hub.label").groupBy("doc_id", F.col("hub.doc_id").alias("b")).count()
+    met = join_salted(now, hubs, ["value"], "w", ["doc_id"], posted).filter("label != hub.label").groupBy("doc_id", F.col("hub.doc_id").alias("b")).count()
     best = Window.partitionBy("doc_id").orderBy(F.col("count").desc(), "b")
     return met.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= HUBS).select(F.col("doc_id").alias("a"), "b")
 
@@ -233,8 +250,9 @@ def _rest(lists: DataFrame, label: DataFrame, sets: DataFrame, percent: int, lea
     open_ = label.join(meeting, "label").join(sets, "doc_id").select("doc_id", "label", "items", "signature").checkpoint()
     posts = open_.drop("signature").mapInArrow(tidied(_explode), "doc_id long, label long, n long, item long")
     held = posts.groupBy("item").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("df"))
+    between = held.filter("lo < hi").select("item", "df", F.col("df").alias("w")).checkpoint()
     ranked = (
-        posts.join(held.filter("lo < hi").select("item", "df"), "item")
+        join_salted(posts, between, ["item"], "w", ["doc_id"])
         .groupBy("doc_id", "label", "n")
         .agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("held"))
     )
@@ -321,36 +339,46 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, id_col: s
     least = least_matches(percent / 100)
     picked = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketched = _sketch(picked, size).checkpoint()
+    # One row for each id and set; repeated rows are folded before they meet anything.
     named = sketched.filter("doc_id is not null and n > 0")
-    # Representatives of equal sets: the smallest id stands for all.
-    heads = named.groupBy("digest", "n").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("copies")).checkpoint()
-    member = join_salted(named.select("doc_id", "digest", "n"), heads, ["digest", "n"], "copies", ["doc_id"])
+    folded = named.select("doc_id", "digest", "n").distinct()
+    # Representatives of equal sets: the smallest id stands for all.  An id with several texts has several sets,
+    # so sets get numbers of their own, which the checkpoint fixes.
+    heads = folded.groupBy("digest", "n").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id()).checkpoint()
+    member = join_salted(folded, heads.drop("node"), ["digest", "n"], "copies", ["doc_id"])
     copies = member.filter("doc_id != head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
-    chosen = heads.select(F.col("head").alias("doc_id"), "digest", "n")
-    reps = named.select("doc_id", "digest", "n", "values").join(chosen, ["doc_id", "digest", "n"])
+    key = ["head", "digest", "n"]
+    chosen = heads.select(*key, "node")
+    reps = named.withColumnRenamed("doc_id", "head").dropDuplicates(key).join(chosen, key).select(*key, F.col("node").alias("doc_id"), "values")
     posts = reps.select("doc_id", F.explode("values").alias("value"))
-    shared = posts.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    shared = posts.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").withColumn("w", F.col("df")).checkpoint()
     # Rarest first; documents with too few shared values cannot reach ``least`` matches.
-    held = posts.join(shared, "value").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("held"))
+    met = join_salted(posts, shared, ["value"], "w", ["doc_id"])
+    held = met.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("held"))
     rare = F.slice("held", 1, F.size("held") - (least - 1))
     fame = F.aggregate("held", F.lit(0).cast("long"), lambda total, x: total + x["df"]).alias("fame")
     prefix = held.filter(F.size("held") >= least).select("doc_id", fame, F.explode(rare).alias("p"))
     lists = prefix.select("doc_id", "fame", F.col("p.value").alias("value")).checkpoint()
+    posted = lists.count()
     wanted = lists.select("doc_id").distinct()
     short = F.transform("values", lambda x: x.bitwiseAND(F.lit(127)).cast("byte"))  # enough to count agreement from above
-    sets = _sets(picked.join(wanted, "doc_id"), size).join(reps.select("doc_id", short.alias("signature")), "doc_id").checkpoint()
+    asked = chosen.join(wanted.withColumnRenamed("doc_id", "node"), "node", "left_semi").select(F.col("head").alias("doc_id")).distinct()
+    full = _sets(picked.join(asked, "doc_id"), size).withColumnRenamed("doc_id", "head").dropDuplicates(key)
+    sets = full.join(reps.select(*key, "doc_id", short.alias("signature")), key).select("doc_id", "items", "signature").checkpoint()
     label = wanted.select("doc_id", F.col("doc_id").alias("label")).checkpoint()
     release(docs.sparkSession)
     links = None
     for turn in range(ROUNDS):
-        found = _verified(_hub_pairs(lists.join(label, "doc_id"), turn), sets, percent, least).checkpoint()
+        found = _verified(_hub_pairs(lists.join(label, "doc_id"), turn, posted), sets, percent, least).checkpoint()
         links = found if links is None else links.unionByName(found)
         label = _joined(label, found).checkpoint()
         release(docs.sparkSession)
     label = connected_components(wanted, links).checkpoint()
     links = links.unionByName(_rest(lists, label, sets, percent, least))
     release(docs.sparkSession)
-    component = connected_components(named.select("doc_id").distinct(), links.unionByName(copies))
+    side = lambda x: chosen.select(F.col("node").alias(x), F.col("head").alias(f"of_{x}"))
+    between = links.join(side("a"), "a").join(side("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    component = connected_components(folded.select("doc_id").distinct(), between.unionByName(copies))
     return (
         sketched.select("doc_id", F.col("n").alias("n_shingles"))
         .join(component.withColumnRenamed("label", "component_id"), "doc_id", "left")
