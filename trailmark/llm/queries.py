@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fill_in_middle, filter_audit, language_id, mixing, packing, token_counts
+from . import byte_bpe, fill_in_middle, filter_audit, language_id, mixing, packing, token_counts, toxicity
 from .kmeans_tree import nearest_neighbours
 from .minhash import near_duplicates
 from .substring_dedup import remove_repeated_windows
@@ -78,6 +78,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    model = toxicity.fit(docs, _read(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = filter_audit.failures(_read(spark, sf_dir, "documents"))
     return filter_audit.audit(filter_audit.combinations(failed, _read(spark, sf_dir, "labels"))).drop("filter")
@@ -107,6 +114,7 @@ QUERIES = {
     "op8_kmeans_tree": op8_kmeans_tree,
     "op9_token_counts": op9_token_counts,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_toxicity": op11_toxicity,
     "op12_filter_audit": op12_filter_audit,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
