@@ -268,10 +268,12 @@ def fit(
     if len(counts) < 2:
         return None
     few = min(counts[True], rows // 4)
-    share = F.when(F.col("toxic"), few / counts[True]).otherwise(min(1.0, (rows - few) / counts[False]))
+    shares = (few / counts[True], min(1.0, (rows - few) / counts[False]))
     draw = F.xxhash64("of", F.lit(seed)).bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))
     texts = in_small_batches(docs).select(F.col(id_col).alias("of"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    picked = texts.join(known.filter(draw < share), "of").select("text", "toxic")
+    # Ids are drawn on both sides, so only the sample's texts are shuffled.
+    drawn = known.filter(draw < F.when(F.col("toxic"), shares[0]).otherwise(shares[1]))
+    picked = texts.filter(draw < max(shares)).join(drawn, "of").select("text", "toxic")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
