@@ -7,9 +7,12 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ..functions.filters import Filter
-from ..operators.sessions import collapse
+from ..operators.sessions import collapse, session_rows, sessionize, with_start_ids
 from ..plans.spec import EventSeries
 from ..sources import tables as T
+from ..sources.folders import shared_folder
+from ..streaming import rollups as KR
+from ..streaming import sessions as SS
 from ..streaming import streams as S
 from .base import query, text
 
@@ -135,3 +138,77 @@ def stream_late_events(spark, sf_dir):
 @query("SELECT id, name, project_id, path FROM ev")
 def stream_live_feed(spark, sf_dir):
     return S.replay(spark, _slices(spark, sf_dir), lambda e: S.live_feed(e, public=False)).select("id", "name", "project_id", "path")
+
+
+_FULL = ("profile_id", "entry_path", "entry_origin", "exit_path", "exit_origin", "referrer", "country", "region", "screen_view_count", "event_count", "revenue", "utm_source", "duration", "is_bounce")
+
+
+@query(f"SELECT project_id, device_id, {', '.join(_FULL)}, {_TS.format('created_at')} AS started, {_TS.format('ended_at')} AS ended FROM ss")
+def stream_session_rows(spark, sf_dir):
+    """Sessions stored in batch up to the first cut, and a stream with state that goes on from them, restarted once."""
+    first, *later = [T.base_events(spark, sf_dir).filter(c) for c in _cut_conditions()]
+    folder = shared_folder(spark)
+    session_rows(with_start_ids(sessionize(first, T.GAP_SECONDS)), "view").withColumn("version", F.lit(1).cast("long")).write.parquet(folder)
+    stored = spark.read.parquet(folder)
+    kept = [c for c in first.columns if c not in ("title", "value")]
+    known = lambda: spark.readStream.schema(stored.schema).parquet(folder)
+    log = S.replay(spark, [rows.select(*kept) for rows in later], lambda e: SS.session_log(e, known(), GAP_MINUTES, 2 * GAP_MINUTES, view="view"))
+    whole = stored.withColumn("sign", F.lit(1)).select(log.columns).unionByName(log)
+    return collapse(whole).select("project_id", "device_id", *_FULL, text("created_at").alias("started"), text("ended_at").alias("ended"))
+
+
+def _cut_conditions():
+    at, (a, b) = F.col("created_at"), map(F.lit, CUTS)
+    return at < a, (at >= a) & (at < b), at >= b
+
+
+@query(
+    f"""WITH {_MARK}, s AS (SELECT project_id, device_id, session_id, min(created_at) AS a FROM ev GROUP BY ALL HAVING max(created_at) + INTERVAL 12 HOUR <= (SELECT wm FROM wm)),
+    f AS (SELECT session_id AS s, project_id AS p, min(created_at) AS t1 FROM ev WHERE name = 'view' AND path LIKE '/%' AND country <> 'CHINA' GROUP BY ALL),
+    g AS (SELECT s, p, t1, min(created_at) AS t2 FROM f JOIN ev ON ev.session_id = f.s AND project_id = p AND created_at > t1 AND name = 'click' GROUP BY ALL),
+    h AS (SELECT s, p, min(created_at) AS t3 FROM g JOIN ev ON ev.session_id = g.s AND project_id = p AND created_at > t2 GROUP BY ALL),
+    b AS (SELECT session_id AS s, project_id AS p, min(created_at) AS t1 FROM ev WHERE name = 'purchase' AND revenue > 5000 GROUP BY ALL)
+    SELECT s.project_id, s.device_id, {_TS.format('a')} AS session_start, 'journey' AS rule, 'journey: view > click > ' || ev.name AS title FROM h JOIN s ON s.session_id = h.s AND s.project_id = p JOIN ev ON ev.session_id = h.s AND ev.project_id = p AND ev.created_at = t3 UNION ALL
+    SELECT s.project_id, s.device_id, {_TS.format('a')}, 'sale', 'purchase at ' || ev.path FROM b JOIN s ON s.session_id = b.s AND s.project_id = p JOIN ev ON ev.session_id = b.s AND ev.project_id = p AND ev.created_at = t1"""
+)
+def stream_funnel_rules(spark, sf_dir):
+    """Two funnel rules with filters and templates, told when sessions are over; their state is a place for each rule."""
+    rules = {
+        "journey": ([EventSeries("view", filters=(Filter("path", "startsWith", ("/",)), Filter("country", "isNot", ("CHINA",)))), EventSeries("click"), EventSeries("*")], "{{rule}}: {{names}}"),
+        "sale": ([EventSeries("purchase", filters=(Filter("revenue", "gt", ("5000",)),))], "{{first}} at {{path}}"),
+    }
+    fired = S.replay(spark, _slices(spark, sf_dir), lambda e: SS.funnel_rules(e, rules, GAP_MINUTES))
+    return fired.select("project_id", "device_id", text("session_start").alias("session_start"), "rule", "title")
+
+
+def _kept_rollups(spark, sf_dir):
+    """Rollups after three runs of a stream whose every batch is handed over twice; parts are merged on the way."""
+    folder = shared_folder(spark)
+    keep = KR.keep_rollups(f"{folder}/rollups", compact_after=2)
+    rows = T.base_events(spark, sf_dir).select("name", "project_id", "device_id", "profile_id", "created_at", "properties")
+    for condition in _cut_conditions():
+        rows.filter(condition).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        S.write_batches(stream, lambda batch, n: [keep(batch, n), keep(batch, n)], f"{folder}/checkpoint").awaitTermination()
+    return f"{folder}/rollups"
+
+
+@query(
+    f"""SELECT 'event_names' AS rollup, project_id, CAST(created_at AS DATE) AS day, name AS key, count(*) AS n, {_TS.format('max(created_at)')} AS last_seen FROM ev GROUP BY ALL UNION ALL
+    SELECT 'users', project_id, CAST(created_at AS DATE), '', count(DISTINCT profile_id), '' FROM ev GROUP BY ALL UNION ALL
+    SELECT 'cohort_events', project_id, CAST(created_at AS DATE), profile_id || ' ' || name, count(*), '' FROM ev WHERE profile_id <> device_id GROUP BY ALL UNION ALL
+    SELECT 'property_values', project_id, CAST(created_at AS DATE), name || ' ' || k, count(*), {_TS.format('max(created_at)')} FROM ev WHERE k <> '' GROUP BY ALL"""
+)
+def stream_rollups(spark, sf_dir):
+    """The rollups that a stream keeps up, with every batch repeated, equal those of the whole table."""
+    root = _kept_rollups(spark, sf_dir)
+    stored = lambda name: KR.stored_rollup(spark, root, name)
+    row = lambda rows, name, key, n, seen: rows.select(F.lit(name).alias("rollup"), "project_id", F.col("event_date").alias("day"), key.alias("key"), n.cast("long").alias("n"), seen.alias("last_seen"))
+    users = stored("users").groupBy("project_id", "event_date").agg(F.count(F.lit(1)).alias("n"))
+    values = stored("property_values").filter("property_key = 'k'")
+    return (
+        row(stored("event_names"), "event_names", F.col("name"), F.col("event_count"), text("last_seen"))
+        .unionByName(row(users, "users", F.lit(""), F.col("n"), F.lit("")))
+        .unionByName(row(stored("cohort_events"), "cohort_events", F.concat_ws(" ", "profile_id", "name"), F.col("event_count"), F.lit("")))
+        .unionByName(row(values, "property_values", F.concat_ws(" ", "name", "property_value"), F.col("n"), text("last_seen")))
+    )
