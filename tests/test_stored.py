@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trailmark.functions.filters import Filter
 from trailmark.operators.sessions import collapse
 from trailmark.plans.spec import EventSeries
+from trailmark.sources import import_job
 from trailmark.sources import versions as V
 from trailmark.sources.ledger import Ledger
 from trailmark.streaming import rollups as KR
@@ -141,3 +142,36 @@ def test_funnel_rules(spark):
         ("d", "twice", "screen_view again", at(0)),
     ]
     assert [e.created_at for r in got if r.rule == "buyers" for e in r.events] == [at(0), at(10)]
+
+
+def test_import_job_goes_on_where_it_stopped(spark, tmp_path):
+    """A run that breaks while it writes, not only between steps; and an import of nothing."""
+    row = lambda i, minutes: (f"e{i}", "screen_view", "p", f"d{i % 3}", f"d{i % 3}", "", at(minutes), "/", "o", "", "SE")
+    schema = "id string, name string, project_id string, device_id string, profile_id string, session_id string, created_at timestamp, path string, origin string, referrer string, country string"
+    rows = spark.createDataFrame([row(i, 180 * i) for i in range(40)], schema).withColumn("properties", F.create_map().cast("map<string,string>"))
+    batches = {"a": lambda: rows.filter("created_at < '2024-01-03'"), "b": lambda: rows.filter("created_at >= '2024-01-03'")}
+    whole, broken = str(tmp_path / "whole"), str(tmp_path / "broken")
+    state = import_job.run(spark, whole, "x", batches, days_at_once=3)
+    assert (state["step"], state["rows"], state["first"], state["last"]) == ("completed", 40, "2024-01-01", "2024-01-06")
+    put, calls = V.put_days, []
+
+    def fails(*args):
+        calls.append(args[2])
+        put(*args)
+        if len(calls) % 2:
+            raise OSError("after its files were written")
+
+    V.put_days = fails
+    try:
+        while import_job.status(spark, broken, "x").get("step") != "completed":
+            try:
+                import_job.run(spark, broken, "x", batches, days_at_once=3)
+            except OSError:
+                pass
+    finally:
+        V.put_days = put
+    for table in ("events_x", "sessions_x"):
+        a, b = (V.get_days(spark, root, table) for root in (whole, broken))
+        assert a.count() > 0 and a.exceptAll(b).count() == 0 == b.exceptAll(a).count()
+    assert import_job.run(spark, broken, "x", batches) == import_job.status(spark, broken, "x")
+    assert import_job.run(spark, broken, "none", {})["rows"] == 0

@@ -11,8 +11,10 @@ from ..operators import enrich as E
 from ..operators import lists as L
 from ..operators import overview as O
 from ..sources import clients as C
+from ..sources import import_job
 from ..sources import imports as Im
 from ..sources import tables as T
+from ..sources import versions as V
 from ..sources.folders import shared_folder
 from .base import AS_OF, day, query, text
 
@@ -71,6 +73,52 @@ def import_production(spark, sf_dir):
     return Im.production_rows(Im.map_web_rows(rows, "p0")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
+class _Stopped(Exception):
+    """What breaks the import of ``import_job_resumed``."""
+
+
+@query(
+    """WITH r AS (SELECT md5(device_id || '-' || CAST(floor(epoch_us(created_at) / 1000000.0 / 1800) AS BIGINT)) AS s, created_at, CASE WHEN name = 'view' THEN 'screen_view' ELSE name END AS name FROM ev),
+    b AS (SELECT s, min(created_at) AS a, max(created_at) AS z, count(*) AS n FROM r GROUP BY s), days AS (SELECT DISTINCT s, CAST(created_at AS DATE) AS d FROM r)
+    SELECT 'events' AS kind, d AS day, name, count(*) AS n FROM (SELECT CAST(created_at AS DATE) AS d, name FROM r UNION ALL SELECT days.d, 'session_start' FROM b JOIN days ON days.s = b.s AND days.d = CAST(a - INTERVAL 1 SECOND AS DATE)
+    UNION ALL SELECT days.d, 'session_end' FROM b JOIN days ON days.s = b.s AND days.d = CAST(z + INTERVAL 500 MILLISECOND AS DATE)) GROUP BY ALL UNION ALL
+    SELECT 'sessions', CAST(a AS DATE), CAST(n AS VARCHAR), count(*) FROM b GROUP BY ALL"""
+)
+def import_job_resumed(spark, sf_dir):
+    """Stored events and sessions of an import that was stopped after each of its steps and continued."""
+    rows, root, at = _web_rows(spark, sf_dir), shared_folder(spark), F.col("created_at").cast("timestamp")
+    parts = {"first": at < "2024-01-15", "rest": at >= "2024-01-15"}
+    batches = {name: (lambda c=c: Im.map_web_rows(rows.filter(c), "p0")) for name, c in parts.items()}
+
+    def stop(state):
+        raise _Stopped
+
+    while import_job.status(spark, root, "web").get("step") != "completed":
+        try:
+            import_job.run(spark, root, "web", batches, days_at_once=20, told=stop)
+        except _Stopped:
+            continue
+    events, sessions = (V.get_days(spark, root, f"{name}_web") for name in ("events", "sessions"))
+    told = events.groupBy(F.lit("events").alias("kind"), F.col("event_date").alias("day"), "name").agg(F.count(F.lit(1)).alias("n"))
+    size = (F.col("screen_view_count") + F.col("event_count")).cast("string").alias("name")
+    return told.unionByName(sessions.groupBy(F.lit("sessions").alias("kind"), F.col("event_date").alias("day"), size).agg(F.count(F.lit(1)).alias("n")))
+
+
+@query(
+    """SELECT project_id, CAST(created_at AS DATE) AS day, count(*) AS n, count(DISTINCT device_id) AS devices FROM ev
+    WHERE project_id <> 'p1' AND created_at >= TIMESTAMP '2024-01-08 00:00:00' GROUP BY ALL"""
+)
+def stored_deletions(spark, sf_dir):
+    """Events stored by project and day, of which one project and the days before a week's staging are deleted."""
+    root = shared_folder(spark)
+    events = T.base_events(spark, sf_dir).select("id", "project_id", "device_id", "created_at", F.to_date("created_at").alias("event_date"))
+    V.put_days(events, root, "events")
+    V.drop_projects(spark, root, ["p1"])
+    V.drop_before(spark, root, "events", date(2024, 1, 8))
+    V.vacuum(spark, root, states=1)
+    return V.get_days(spark, root, "events").groupBy("project_id", F.col("event_date").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("device_id").alias("devices"))
+
+
 @query("SELECT 'import-1' AS import_id, count(*) AS rows, min(CAST(created_at AS DATE)) AS first_day, max(CAST(created_at AS DATE)) AS last_day FROM ev")
 def import_progress(spark, sf_dir):
     return Im.progress(T.base_events(spark, sf_dir).withColumn("import_id", F.lit("import-1")))
