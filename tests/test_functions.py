@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from trailmark.functions.filters import Filter, where
 from trailmark.functions.flatten import flatten_json, merge_maps, register_functions, render, to_dots
 from trailmark.functions.timegrid import bucket, capped, named_range, previous_range, to_utc
-from trailmark.operators import charts, enrich, lists, profiles
+from trailmark.operators import charts, enrich, lists, overview, profiles
 from trailmark.operators.cohorts import conversion
 from trailmark.operators.funnel import funnel_levels, window_funnel
 from trailmark.operators.rollups import write_days
 from trailmark.operators.sessions import collapse, session_rows, sessionize, spread_identity, view_duration
-from trailmark.plans.spec import EventSeries
+from trailmark.plans.spec import EventSeries, ReportSpec
 from trailmark.sources import imports
 from trailmark.sources.imports import copy_by_period
 
@@ -131,10 +131,10 @@ UAS = {
 
 
 def test_user_agents(spark):
-    rows = spark.createDataFrame([(ua, {}) for ua in UAS] + [("curl/8.0", {"__os": "TempleOS"})], "user_agent string, properties map<string,string>")
+    rows = spark.createDataFrame([(ua, {}) for ua in UAS] + [("curl/8.0", {"__os": "TempleOS", "__osVersion": "5", "__browser": "B", "__browserVersion": "6", "__device": "tv", "__brand": "X", "__model": "Y"})], "user_agent string, properties map<string,string>")
     got = enrich.enrich_user_agents(rows).collect()
     assert {r.user_agent: (r.os, r.browser, r.device) for r in got if not r.properties} == UAS
-    assert [r.os for r in got if r.properties] == ["TempleOS"]
+    assert [(r.os, r.os_version, r.browser, r.browser_version, r.device, r.brand, r.model) for r in got if r.properties] == [("TempleOS", "5", "B", "6", "tv", "X", "Y")]
 
 
 def test_bots(spark):
@@ -264,6 +264,40 @@ def test_projects_do_not_mix(spark):
     assert {r.id for r in lists.device_closure(events, "x").collect()} == {"q3", "q4"}
 
 
+def test_projects_do_not_mix_in_reports(spark):
+    """The same, in overview and drill-down: each project has one session 's' of one person 'x'."""
+    t = datetime(2024, 1, 1)
+    rows = [(p, "s", "x", n, t + timedelta(minutes=m), "/", "o", "title", 0, m) for p, m, n in [("p", 0, "view"), ("p", 1, "view"), ("q", 3, "view"), ("q", 4, "buy")]]
+    events = spark.createDataFrame(rows, "project_id string, session_id string, profile_id string, name string, created_at timestamp, path string, origin string, title string, duration long, event_id long")
+    sessions = spark.createDataFrame(
+        [(p, "s", "x", t, "/", "o", n, n * 10, n < 2, n) for p, n in (("p", 2), ("q", 1))],
+        "project_id string, id string, profile_id string, created_at timestamp, entry_path string, entry_origin string, screen_view_count long, revenue long, is_bounce boolean, duration long",
+    )
+    day = (t, t + timedelta(hours=23))
+    log = sessions.withColumn("sign", F.lit(1)).withColumn("version", F.lit(1))
+    total = lambda **kw: overview.site_metrics(log, *day, **kw).filter("is_total = 1").select("unique_visitors", "total_sessions", "total_revenue").collect()
+    assert total() == [(2, 2, 30)] and total(project_id="q") == [(1, 1, 10)]
+    (page,) = overview.top_pages(events, sessions, *day, "view").collect()
+    assert (page.sessions, page.views, page.bounce_rate, page.revenue) == (2, 3, 50.0, 30)
+    (page,) = overview.top_pages(events, sessions, *day, "view", project_id="p", limit=1).collect()
+    assert (page.sessions, page.views, page.bounce_rate, page.revenue) == (1, 2, 0.0, 20)
+    (hour,) = overview.page_metrics(events, sessions, F.col("path") == "/", *day, "view").collect()
+    assert (hour.unique_visitors, hour.total_sessions, hour.overall_unique_visitors, hour.overall_total_sessions) == (2, 2, 2, 2)
+    assert [(r.project_id, r.id) for r in overview.with_matching_events(sessions, events, F.col("name") == "buy").collect()] == [("q", "s")]
+    spec = ReportSpec((EventSeries("view"),), *day)
+    people = spark.createDataFrame([("p", "x", "Ann")], "project_id string, id string, first_name string")
+    assert sorted(map(tuple, charts.drill_down(events, spec, t, profiles=people).collect())) == [("p", "x", 2, "Ann"), ("q", "x", 1, None)]
+
+
+def test_series_with_previous(spark):
+    t = datetime(2024, 1, 8)
+    log = spark.createDataFrame([("p", f"s{i}", "x", t + timedelta(days=d), 1, 0, True, 0, 1) for i, d in enumerate((-5, -5, -4, 0, 2))], "project_id string, id string, profile_id string, created_at timestamp, screen_view_count long, revenue long, is_bounce boolean, duration long, sign int")
+    last = lambda d: t + timedelta(days=d, hours=23)
+    rows = overview.series_with_previous(log, t, last(2), (t - timedelta(days=5), last(-4))).orderBy("date").collect()
+    assert [(r.total_sessions, r.previous_total_sessions) for r in rows] == [(1, 2), (0, 1), (1, None)]
+    assert rows[0].previous_date == t - timedelta(days=5)
+
+
 def test_time_zones(spark):
     zone = "Europe/Stockholm"
     at = datetime(2024, 3, 31, 23, 30)  # already April there

@@ -283,16 +283,24 @@ def breakdown_sizes(series: DataFrame, labels: Sequence[str]) -> DataFrame:
     return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).alias("values")) for c in labels])).alias("x")).select("x.*").orderBy(F.desc("values"), "label")
 
 
-def drill_down(events: DataFrame, spec: ReportSpec, date, labels: dict[str, str] | None = None) -> DataFrame:
-    """The profiles behind one point of the first series; '(not set)' stands for an empty label."""
+def drill_down(events: DataFrame, spec: ReportSpec, date, labels: dict[str, str] | None = None, profiles: DataFrame | None = None) -> DataFrame:
+    """The profiles behind one point of the first series, with what ``profiles`` (project_id, id, ...) tells of them.
+
+    '(not set)' stands for an empty label.  Profiles that nothing is told of stay, with nulls.
+    """
     s = spec.series[0]
     at = bucket(F.col("created_at"), spec.interval, spec.week_start, spec.tz) == F.lit(date).cast("timestamp")
     picked = events.filter(between("created_at", spec.start, spec.end, spec.tz) & at & where(s.filters))
     if s.name != "*":
         picked = picked.filter(F.col("name") == s.name)
+    if spec.project_id:
+        picked = picked.filter(F.col("project_id") == spec.project_id)
     for name, value in (labels or {}).items():
         picked = picked.filter(label(name) == value)
-    return picked.groupBy("profile_id").agg(F.count(F.lit(1)).alias("events"))
+    counted = picked.groupBy("project_id", "profile_id").agg(F.count(F.lit(1)).alias("events"))
+    if profiles is None:
+        return counted
+    return counted.join(profiles.withColumnRenamed("id", "profile_id"), ["project_id", "profile_id"], "left")
 
 
 def project_card(events: DataFrame, as_of, month: int = 30) -> DataFrame:

@@ -99,14 +99,20 @@ def parse_user_agent(ua: Column) -> dict[str, Column]:
     }
 
 
+#: Columns and the properties that override them.
+OVERRIDES = {
+    "os": "__os", "os_version": "__osVersion", "browser": "__browser", "browser_version": "__browserVersion", "device": "__device", "brand": "__brand", "model": "__model",
+}
+
+
 def enrich_user_agents(rows: DataFrame, ua: str = "user_agent", properties: str | None = "properties") -> DataFrame:
-    """Adds os, browser and device; ``__os``, ``__browser`` and ``__device`` properties override them."""
+    """Adds what a user agent tells; properties such as ``__os`` and ``__osVersion`` override it (``OVERRIDES``)."""
     distinct = rows.select(F.col(ua).alias("_ua")).distinct()
     parsed = distinct.select("_ua", *[c.alias(n) for n, c in parse_user_agent(F.col("_ua")).items()])
     out = rows.join(parsed, F.col(ua).eqNullSafe(F.col("_ua")), "left").drop("_ua")
     if properties:
-        for name in ("os", "browser", "device"):
-            out = out.withColumn(name, F.coalesce(F.nullif(F.element_at(F.col(properties), f"__{name}"), F.lit("")), F.col(name)))
+        told = {name: F.coalesce(F.nullif(F.element_at(F.col(properties), key), F.lit("")), F.col(name)) for name, key in OVERRIDES.items()}
+        out = out.withColumns(told)
     return out
 
 

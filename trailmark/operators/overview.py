@@ -23,10 +23,14 @@ def _ratio(a: Column, b: Column, places: int = 2) -> Column:
     return F.coalesce(F.round(F.try_divide(a.cast("double"), b), places), F.lit(0.0))
 
 
-def site_metrics(log: DataFrame, start, end, interval: str = "day") -> DataFrame:
-    """Totals (date null) and buckets from a session changelog (sign +1 / -1)."""
+def _of(rows: DataFrame, project_id: str | None) -> DataFrame:
+    return rows if project_id is None else rows.filter(F.col("project_id") == project_id)
+
+
+def site_metrics(log: DataFrame, start, end, interval: str = "day", project_id: str | None = None) -> DataFrame:
+    """Totals (date null) and buckets from a session changelog (sign +1 / -1), of one project or of all."""
     s = F.col("sign")
-    scoped = log.filter(between("created_at", start, end)).withColumn("date", bucket(F.col("created_at"), interval))
+    scoped = _of(log, project_id).filter(between("created_at", start, end)).withColumn("date", bucket(F.col("created_at"), interval))
     lasting = F.when((F.col("duration") > 0) & (s > 0), F.col("duration"))
     rolled = (
         scoped.rollup("date")
@@ -34,7 +38,7 @@ def site_metrics(log: DataFrame, start, end, interval: str = "day") -> DataFrame
             F.grouping_id().alias("is_total"),
             F.sum(s).alias("total_sessions"),
             F.sum(s * F.col("is_bounce").cast("int")).alias("bounces"),
-            F.count_distinct(F.when(s > 0, F.col("profile_id"))).alias("unique_visitors"),
+            F.count_distinct(F.when(s > 0, F.col("project_id")), "profile_id").alias("unique_visitors"),
             F.coalesce(F.round(F.avg(lasting), 2) / 1000, F.lit(0.0)).alias("avg_session_duration"),
             F.sum(s * F.col("screen_view_count")).cast("long").alias("total_screen_views"),
             F.sum(s * F.col("revenue")).cast("long").alias("total_revenue"),
@@ -60,37 +64,39 @@ def filled(metrics: DataFrame, start, end, interval: str = "day") -> DataFrame:
     return grid.join(metrics.filter("is_total = 0").drop("is_total"), "date", "left").fillna(0)
 
 
-def page_metrics(events: DataFrame, sessions: DataFrame, page_filter: Column, start, end, view: str, interval: str = "day") -> DataFrame:
+def page_metrics(events: DataFrame, sessions: DataFrame, page_filter: Column, start, end, view: str, interval: str = "day", project_id: str | None = None) -> DataFrame:
     """The same under a page filter: traffic from events, bounces and revenue from sessions entering there."""
-    views = events.filter(between("created_at", start, end) & (F.col("name") == view) & page_filter)
-    entering = sessions.filter(between("created_at", start, end)).withColumn("path", F.col("entry_path")).withColumn("origin", F.col("entry_origin")).filter(page_filter)
+    views = _of(events, project_id).filter(between("created_at", start, end) & (F.col("name") == view) & page_filter)
+    entering = _of(sessions, project_id).filter(between("created_at", start, end)).withColumn("path", F.col("entry_path")).withColumn("origin", F.col("entry_origin")).filter(page_filter)
     rates = entering.groupBy(bucket(F.col("created_at"), interval).alias("date")).agg(
         _ratio(F.count_if("is_bounce") * 100.0, F.count(F.lit(1))).alias("bounce_rate"), F.sum("revenue").alias("total_revenue")
     )
     traffic = views.groupBy(bucket(F.col("created_at"), interval).alias("date")).agg(
-        F.count_distinct("profile_id").alias("unique_visitors"),
-        F.count_distinct("session_id").alias("total_sessions"),
+        F.count_distinct("project_id", "profile_id").alias("unique_visitors"),
+        F.count_distinct("project_id", "session_id").alias("total_sessions"),
         F.coalesce(F.round(F.avg(F.when(F.col("duration") > 0, F.col("duration"))), 2) / 1000, F.lit(0.0)).alias("avg_session_duration"),
         F.count(F.lit(1)).alias("total_screen_views"),
     )
-    overall = views.agg(F.count_distinct("profile_id").alias("overall_unique_visitors"), F.count_distinct("session_id").alias("overall_total_sessions"))
+    overall = views.agg(F.count_distinct("project_id", "profile_id").alias("overall_unique_visitors"), F.count_distinct("project_id", "session_id").alias("overall_total_sessions"))
     return traffic.join(rates, "date", "left").crossJoin(F.broadcast(overall))  # one row
 
 
-def top_pages(events: DataFrame, sessions: DataFrame, start, end, view: str) -> DataFrame:
-    """Paths by sessions: views, mean duration, bounce rate and revenue of sessions that enter there."""
-    views = events.filter(between("created_at", start, end) & (F.col("name") == view))
+def top_pages(events: DataFrame, sessions: DataFrame, start, end, view: str, project_id: str | None = None, limit: int | None = None) -> DataFrame:
+    """Paths by sessions: views, mean duration, bounce rate and revenue of sessions that enter there; the first ``limit``."""
+    views = _of(events, project_id).filter(between("created_at", start, end) & (F.col("name") == view))
     pages = views.groupBy("path", "origin").agg(
         F.max_by("title", F.struct("created_at", "event_id")).alias("title"),
-        F.count_distinct("session_id").alias("sessions"),
+        F.count_distinct("project_id", "session_id").alias("sessions"),
         F.count(F.lit(1)).alias("views"),
         F.coalesce(F.round(F.avg(F.when(F.col("duration") > 0, F.col("duration") / 1000.0)), 2), F.lit(0.0)).alias("avg_duration"),
     )
     bounced = (
-        sessions.filter(between("created_at", start, end))
+        _of(sessions, project_id).filter(between("created_at", start, end))
         .groupBy(F.col("entry_path").alias("path"), F.col("entry_origin").alias("origin"))
         .agg(_ratio(F.count_if("is_bounce") * 100.0, F.count(F.lit(1))).alias("bounce_rate"), F.sum("revenue").alias("revenue"))
     )
+    if limit is not None:
+        pages = pages.orderBy(F.desc("sessions"), "path", "origin").limit(limit)
     return pages.join(bounced, ["path", "origin"], "left").withColumn("bounce_rate", F.coalesce("bounce_rate", F.lit(0.0))).withColumn(
         "revenue", F.coalesce("revenue", F.lit(0))
     )
@@ -115,6 +121,15 @@ def metrics_with_previous(log: DataFrame, start, end, previous: tuple) -> DataFr
     return both.select("*", *[c.alias(n) for n, c in difference(F.col("value"), F.col("previous")).items()])
 
 
+def series_with_previous(log: DataFrame, start, end, previous: tuple, interval: str = "day", project_id: str | None = None) -> DataFrame:
+    """The buckets of a range, gaps filled, each beside the bucket at the same place of the range before (``previous_...``, null beyond its end)."""
+    order = Window.orderBy("date")  # a row for each bucket
+    placed = lambda a, b: filled(site_metrics(log, a, b, interval, project_id), a, b, interval).withColumn("_place", F.row_number().over(order))
+    now, before = placed(start, end), placed(*previous)
+    named = before.select("_place", *[F.col(c).alias(f"previous_{c}") for c in before.columns if c != "_place"])
+    return now.join(named, "_place", "left").drop("_place")
+
+
 def top_generic(sessions: DataFrame, columns: list[str]) -> DataFrame:
     """Sessions, bounce rate, mean duration and revenue by the values of columns (a parent first)."""
     return sessions.groupBy(*columns).agg(
@@ -127,8 +142,8 @@ def top_generic(sessions: DataFrame, columns: list[str]) -> DataFrame:
 
 def with_matching_events(sessions: DataFrame, events: DataFrame, condition: Column) -> DataFrame:
     """The sessions that hold an event which meets the condition."""
-    hit = events.filter(condition).select(F.col("session_id").alias("id")).distinct()
-    return sessions.join(hit, "id", "left_semi")
+    hit = events.filter(condition).select("project_id", F.col("session_id").alias("id")).distinct()
+    return sessions.join(hit, ["project_id", "id"], "left_semi")
 
 
 def live_visitors(events: DataFrame, as_of, minutes: int = 5) -> DataFrame:

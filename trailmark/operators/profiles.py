@@ -121,3 +121,10 @@ def merge_profiles(old: DataFrame, new: DataFrame) -> DataFrame:
     both_maps = held.withColumn("properties", merged(F.col("_entries"))).withColumn("_before", merged(F.filter("_entries", lambda x: x["_new"] == 0)))
     same = F.struct(*fields).eqNullSafe(F.col("_was")) & F.array_sort(F.map_entries("properties")).eqNullSafe(F.array_sort(F.map_entries("_before")))
     return both_maps.filter((F.col("_fresh") == 1) | ~same).select(*keys, *fields, "created_at", "properties")
+
+
+def from_events_if_new(rows: DataFrame, old: DataFrame, from_event: str = "from_event") -> DataFrame:
+    """Rows to merge, without those that events brought of profiles that are known already; the flag is dropped."""
+    known = old.select("project_id", "id").distinct().withColumn("_known", F.lit(True))
+    met = rows.join(known, ["project_id", "id"], "left")
+    return met.filter(~F.col(from_event) | F.col("_known").isNull()).select(*[c for c in rows.columns if c != from_event])

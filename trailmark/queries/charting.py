@@ -193,10 +193,11 @@ def chart_breakdown_order(spark, sf_dir):
     return C.breakdown_sizes(C.chart(T.base_events(spark, sf_dir), spec), ["label_0", "label_1"])
 
 
-@query("SELECT profile_id, count(*) AS events FROM ev WHERE name = 'view' AND region = 'ASIA' AND date_trunc('day', created_at) = TIMESTAMP '2024-01-10' GROUP BY 1")
+@query("SELECT d.project_id, profile_id, events, first_name, email, is_external FROM (SELECT project_id, profile_id, count(*) AS events FROM ev WHERE name = 'view' AND region = 'ASIA' AND date_trunc('day', created_at) = TIMESTAMP '2024-01-10' GROUP BY ALL) d LEFT JOIN pr ON pr.id = profile_id AND pr.project_id = d.project_id")
 def chart_drilldown_profiles(spark, sf_dir):
     spec = _spec(EventSeries("view"), breakdowns=("region",))
-    return C.drill_down(T.base_events(spark, sf_dir), spec, datetime(2024, 1, 10), {"region": "ASIA"})
+    people = T.profiles(spark, sf_dir).select("project_id", "id", "first_name", "email", "is_external")
+    return C.drill_down(T.base_events(spark, sf_dir), spec, datetime(2024, 1, 10), {"region": "ASIA"}, people)
 
 
 @query(

@@ -115,12 +115,12 @@ def asof_session_attach(spark, sf_dir):
     return attached.filter("name = 'error'").select("id", "session_id")
 
 
-@query("SELECT id, coalesce(max(CASE WHEN profile_id <> device_id THEN profile_id END) OVER (PARTITION BY session_id), profile_id) AS profile_id FROM ev")
+@query("SELECT id, coalesce(max(CASE WHEN profile_id <> device_id THEN profile_id END) OVER (PARTITION BY project_id, session_id), profile_id) AS profile_id FROM ev")
 def event_session_identity(spark, sf_dir):
     return S.spread_identity(T.events(spark, sf_dir)).select("id", "profile_id")
 
 
-@query("SELECT ss.id, ss.entry_path FROM ss WHERE EXISTS (SELECT 1 FROM ev WHERE ev.session_id = ss.id AND name = 'purchase' AND revenue > 9000)")
+@query("SELECT ss.id, ss.entry_path FROM ss WHERE EXISTS (SELECT 1 FROM ev WHERE ev.session_id = ss.id AND ev.project_id = ss.project_id AND name = 'purchase' AND revenue > 9000)")
 def session_semi_join(spark, sf_dir):
     hit = (F.col("name") == "purchase") & (F.col("revenue") > 9000)
     return O.with_matching_events(T.sessions(spark, sf_dir), T.events(spark, sf_dir), hit).select("id", "entry_path")
@@ -129,7 +129,7 @@ def session_semi_join(spark, sf_dir):
 # Overview
 
 _METRICS = f"""m AS (SELECT date_trunc('day', created_at) AS date, CAST(grouping(date_trunc('day', created_at)) AS BIGINT) AS is_total, count(*) AS n, count(*) FILTER (is_bounce) AS b,
-    count(DISTINCT profile_id) AS unique_visitors, avg(CASE WHEN duration > 0 THEN duration END) AS d, CAST(sum(screen_view_count) AS BIGINT) AS v, CAST(sum(revenue) AS BIGINT) AS r
+    count(DISTINCT (project_id, profile_id)) AS unique_visitors, avg(CASE WHEN duration > 0 THEN duration END) AS d, CAST(sum(screen_view_count) AS BIGINT) AS v, CAST(sum(revenue) AS BIGINT) AS r
     FROM ss WHERE {IN} GROUP BY ROLLUP (date_trunc('day', created_at)))"""
 _METRIC_COLUMNS = """round(b * 100.0::DOUBLE / n, 2) AS bounce_rate, unique_visitors, n AS total_sessions, coalesce(round(d, 2) / 1000, 0) AS avg_session_duration,
     v AS total_screen_views, round(v * 1.0::DOUBLE / n, 2) AS views_per_session, r AS total_revenue"""
@@ -153,9 +153,9 @@ def overview_series_filled(spark, sf_dir):
 @query(
     f"""WITH v AS (SELECT * FROM ev WHERE name = 'view' AND {IN} AND path LIKE '/en/%'),
     r AS (SELECT date_trunc('day', created_at) AS date, round(count(*) FILTER (is_bounce) * 100.0::DOUBLE / count(*), 2) AS bounce_rate, CAST(sum(revenue) AS BIGINT) AS total_revenue FROM ss WHERE {IN} AND entry_path LIKE '/en/%' GROUP BY 1),
-    t AS (SELECT date_trunc('day', created_at) AS date, count(DISTINCT profile_id) AS unique_visitors, count(DISTINCT session_id) AS total_sessions, coalesce(round(avg(CASE WHEN duration > 0 THEN duration END), 2) / 1000, 0) AS avg_session_duration, count(*) AS total_screen_views FROM v GROUP BY 1)
+    t AS (SELECT date_trunc('day', created_at) AS date, count(DISTINCT (project_id, profile_id)) AS unique_visitors, count(DISTINCT (project_id, session_id)) AS total_sessions, coalesce(round(avg(CASE WHEN duration > 0 THEN duration END), 2) / 1000, 0) AS avg_session_duration, count(*) AS total_screen_views FROM v GROUP BY 1)
     SELECT strftime(t.date, '%Y-%m-%d') AS date, bounce_rate, total_revenue, unique_visitors, total_sessions, avg_session_duration, total_screen_views,
-    (SELECT count(DISTINCT profile_id) FROM v) AS overall_unique_visitors, (SELECT count(DISTINCT session_id) FROM v) AS overall_total_sessions FROM t LEFT JOIN r ON r.date = t.date"""
+    (SELECT count(DISTINCT (project_id, profile_id)) FROM v) AS overall_unique_visitors, (SELECT count(DISTINCT (project_id, session_id)) FROM v) AS overall_total_sessions FROM t LEFT JOIN r ON r.date = t.date"""
 )
 def overview_metrics_page_filter(spark, sf_dir):
     rows = O.page_metrics(T.events(spark, sf_dir), T.sessions(spark, sf_dir), where([Filter("path", "startsWith", ("/en/",))]), START, END, "view")
@@ -163,11 +163,28 @@ def overview_metrics_page_filter(spark, sf_dir):
 
 
 def _totals(start, end):
-    return f"""SELECT round(count(*) FILTER (is_bounce) * 100.0::DOUBLE / count(*), 2) AS bounce_rate, CAST(count(DISTINCT profile_id) AS DOUBLE) AS unique_visitors, CAST(count(*) AS DOUBLE) AS total_sessions,
+    return f"""SELECT round(count(*) FILTER (is_bounce) * 100.0::DOUBLE / count(*), 2) AS bounce_rate, CAST(count(DISTINCT (project_id, profile_id)) AS DOUBLE) AS unique_visitors, CAST(count(*) AS DOUBLE) AS total_sessions,
     coalesce(round(avg(CASE WHEN duration > 0 THEN duration END), 2) / 1000, 0) AS avg_session_duration, CAST(sum(screen_view_count) AS DOUBLE) AS total_screen_views,
     round(sum(screen_view_count) * 1.0::DOUBLE / count(*), 2) AS views_per_session, CAST(sum(revenue) AS DOUBLE) AS total_revenue FROM ss WHERE created_at BETWEEN TIMESTAMP '{start}' AND TIMESTAMP '{end}'"""
 
 
+_P0 = _METRICS.replace("FROM ss WHERE", "FROM ss WHERE project_id = 'p0' AND")
+
+
+@query(
+    "WITH " + _P0.replace(IN, "created_at BETWEEN TIMESTAMP '2024-01-15' AND TIMESTAMP '2024-01-24 23:59:59.999'") + ", " + _P0.replace("m AS", "o AS", 1).replace(IN, "created_at BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-10 23:59:59.999'") + """
+    SELECT strftime(g.date, '%Y-%m-%d') AS date, coalesce(m.n, 0) AS total_sessions, coalesce(m.unique_visitors, 0) AS unique_visitors, CASE WHEN x < 8 THEN coalesce(o.n, 0) END AS previous_total_sessions,
+    CASE WHEN x < 8 THEN coalesce(o.unique_visitors, 0) END AS previous_unique_visitors, CASE WHEN x < 8 THEN strftime(g.before, '%Y-%m-%d') END AS previous_date
+    FROM (SELECT x, TIMESTAMP '2024-01-15' + to_days(CAST(x AS INTEGER)) AS date, TIMESTAMP '2024-01-03' + to_days(CAST(x AS INTEGER)) AS before FROM range(10) r(x)) g
+    LEFT JOIN m ON m.is_total = 0 AND CAST(m.date AS TIMESTAMP) = g.date LEFT JOIN o ON o.is_total = 0 AND CAST(o.date AS TIMESTAMP) = g.before"""
+)
+def overview_series_previous(spark, sf_dir):
+    """One project's days, each beside the day at its place in a shorter range before."""
+    last = lambda d: datetime(2024, 1, d, 23, 59, 59, 999000)
+    rows = O.series_with_previous(S.changelog(T.sessions(spark, sf_dir)), datetime(2024, 1, 15), last(24), (datetime(2024, 1, 3), last(10)), project_id="p0")
+    return rows.select(day("date").alias("date"), "total_sessions", "unique_visitors", "previous_total_sessions", "previous_unique_visitors", day("previous_date").alias("previous_date"))
+
+
 @query(
     f"""WITH a AS ({_totals('2024-01-15', '2024-01-24 23:59:59.999')}), b AS ({_totals('2024-01-05', '2024-01-14 23:59:59.999')}),
     now AS (UNPIVOT a ON COLUMNS(*) INTO NAME metric VALUE value), old AS (UNPIVOT b ON COLUMNS(*) INTO NAME metric VALUE previous)
@@ -183,7 +200,7 @@ def overview_previous(spark, sf_dir):
 
 
 @query(
-    f"""WITH v AS (SELECT path, origin, arg_max(title, created_at) AS title, count(DISTINCT session_id) AS sessions, count(*) AS views, coalesce(round(avg(CASE WHEN duration > 0 THEN duration / 1000.0::DOUBLE END), 2), 0) AS avg_duration FROM ev WHERE name = 'view' AND {IN} GROUP BY path, origin),
+    f"""WITH v AS (SELECT path, origin, arg_max(title, created_at) AS title, count(DISTINCT (project_id, session_id)) AS sessions, count(*) AS views, coalesce(round(avg(CASE WHEN duration > 0 THEN duration / 1000.0::DOUBLE END), 2), 0) AS avg_duration FROM ev WHERE name = 'view' AND {IN} GROUP BY path, origin),
     b AS (SELECT entry_path AS path, entry_origin AS origin, round(count(*) FILTER (is_bounce) * 100.0::DOUBLE / count(*), 2) AS bounce_rate, CAST(sum(revenue) AS BIGINT) AS revenue FROM ss WHERE {IN} GROUP BY ALL)
     SELECT v.path, v.origin, title, sessions, views, avg_duration, coalesce(bounce_rate, 0) AS bounce_rate, coalesce(revenue, 0) AS revenue FROM v LEFT JOIN b ON b.path = v.path AND b.origin = v.origin"""
 )
@@ -366,6 +383,15 @@ def profile_merge(spark, sf_dir):
     return P.merge_profiles(old, new).select("id", "project_id", F.col("properties")["plan"].alias("plan"), F.col("properties")["country"].alias("country"))
 
 
+@query("SELECT id, project_id, CASE WHEN is_external AND id <= 'u3' THEN 'told' WHEN NOT is_external THEN 'event' END AS email FROM pr WHERE (is_external AND id <= 'u3') OR NOT is_external")
+def profile_from_events(spark, sf_dir):
+    """Rows that events bring count for unknown profiles only; what persons are told to be counts for all."""
+    everyone = T.profiles(spark, sf_dir)
+    old = everyone.filter("is_external")
+    rows = everyone.withColumn("email", F.lit("event")).withColumn("from_event", F.lit(True)).unionByName(old.filter("id <= 'u3'").withColumn("email", F.lit("told")).withColumn("from_event", F.lit(False)))
+    return P.merge_profiles(old, P.from_events_if_new(rows, old)).select("id", "project_id", "email")
+
+
 # Events
 
 
@@ -385,17 +411,17 @@ def event_count(spark, sf_dir):
     return T.base_events(spark, sf_dir).groupBy("name").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("profile_id").alias("profiles"))
 
 
-@query("SELECT ev.id, ev.session_id, ss.entry_path, ss.duration AS session_duration FROM ev LEFT JOIN ss ON ss.id = ev.session_id WHERE ev.id IN ('5', '77', '123')")
+@query("SELECT ev.id, ev.session_id, ss.entry_path, ss.duration AS session_duration FROM ev LEFT JOIN ss ON ss.id = ev.session_id AND ss.project_id = ev.project_id WHERE ev.id IN ('5', '77', '123')")
 def event_details(spark, sf_dir):
-    sessions = T.sessions(spark, sf_dir).select(F.col("id").alias("session_id"), "entry_path", F.col("duration").alias("session_duration"))
-    return T.events(spark, sf_dir).filter(F.col("id").isin("5", "77", "123")).join(sessions, "session_id", "left").select("id", "session_id", "entry_path", "session_duration")
+    sessions = T.sessions(spark, sf_dir).select("project_id", F.col("id").alias("session_id"), "entry_path", F.col("duration").alias("session_duration"))
+    return T.events(spark, sf_dir).filter(F.col("id").isin("5", "77", "123")).join(sessions, ["project_id", "session_id"], "left").select("id", "session_id", "entry_path", "session_duration")
 
 
-@query("SELECT ev.id, ss.profile_id AS person, first_name FROM ev LEFT JOIN ss ON ss.id = ev.session_id LEFT JOIN pr ON pr.id = ss.profile_id AND pr.project_id = ev.project_id WHERE name = 'purchase' AND pr.is_external")
+@query("SELECT ev.id, ss.profile_id AS person, first_name FROM ev LEFT JOIN ss ON ss.id = ev.session_id AND ss.project_id = ev.project_id LEFT JOIN pr ON pr.id = ss.profile_id AND pr.project_id = ev.project_id WHERE name = 'purchase' AND pr.is_external")
 def event_three_way(spark, sf_dir):
-    sessions = T.sessions(spark, sf_dir).select(F.col("id").alias("session_id"), F.col("profile_id").alias("person"))
+    sessions = T.sessions(spark, sf_dir).select("project_id", F.col("id").alias("session_id"), F.col("profile_id").alias("person"))
     people = T.profiles(spark, sf_dir).filter("is_external").select("project_id", F.col("id").alias("person"), "first_name")
-    return T.events(spark, sf_dir).filter("name = 'purchase'").join(sessions, "session_id", "left").join(people, ["project_id", "person"]).select("id", "person", "first_name")
+    return T.events(spark, sf_dir).filter("name = 'purchase'").join(sessions, ["project_id", "session_id"], "left").join(people, ["project_id", "person"]).select("id", "person", "first_name")
 
 
 @query("WITH meta AS (SELECT 'signup' AS name, true AS conversion UNION ALL SELECT 'purchase', true UNION ALL SELECT 'view', false) SELECT id, ev.name FROM ev SEMI JOIN (SELECT name FROM meta WHERE conversion) m ON m.name = ev.name")
