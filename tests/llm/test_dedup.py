@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trailmark.llm import substring_dedup
 from trailmark.llm.components import connected_components, ensure_checkpoint_dir
+from trailmark.llm import minhash
 from trailmark.llm.minhash import least_matches, near_duplicates
 from trailmark.llm.skew import join_salted
 from trailmark.llm.substring_dedup import remove_repeated_windows
@@ -188,7 +189,8 @@ def test_repeated_rows_are_one_document(spark):
     assert near_duplicates(rows).agg(F.max("n_shingles")).first()[0] == 26
 
 
-def test_near_duplicates_of_repeated_rows_and_of_an_id_with_many_texts(spark):
+def test_near_duplicates_of_repeated_rows_and_of_an_id_with_many_texts(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "MANY", 0)  # joins of few rows are salted too
     text = " ".join(f"w{i}" for i in range(60))
     words = [[f"v{i}x{j}" for j in range(40)] for i in range(1000)]
     rows = [(17, text)] * 10_000 + [(19, text.replace("w59", "other")), (13, "nothing like it at all here")]

@@ -58,6 +58,7 @@ HUBS = 2
 BLOCK = 512
 TEXT = 1_000_000  # bytes of text, or of shingle sets, that a task holds at once
 SEED = 0xA24BAED4963EE407
+MANY = 20_000_000  # so many small rows are no burden to a task, even if one key holds them all; beyond, joins are salted
 SMALL = 64  # products of class sizes up to which pairs are compared one by one
 
 
@@ -173,7 +174,7 @@ def _similar(inter: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> n
     return 100 * inter >= percent * (a + b - inter)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, least: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, least: int, many: bool) -> DataFrame:
     """The pairs (a, b) that agree in ``least`` coordinates or more and whose full sets reach the threshold."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"), F.col("signature").alias("xs"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"), F.col("signature").alias("ys"))
@@ -188,10 +189,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, least: int) -> Da
                     good[i] = _similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent)
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    # A hub may stand in the pairs of a third of all documents.
-    pairs = pairs.select("a", "b").checkpoint()
-    popular = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("w"))
-    met = join_salted(pairs.join(left, "a"), popular.join(right, "b"), ["b"], "w", ["a"], pairs.count())
+    if many:  # a hub may stand in the pairs of a third of all documents
+        pairs = pairs.select("a", "b").checkpoint()
+        popular = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("w"))
+        met = join_salted(pairs.join(left, "a"), popular.join(right, "b"), ["b"], "w", ["a"], pairs.count())
+    else:
+        met = pairs.select("a", "b").join(left, "a").join(right, "b")
     matched = met.filter(collisions >= least)
     return matched.select("a", "b", "x", "y").mapInArrow(tidied(run), "a long, b long")
 
@@ -205,9 +208,8 @@ def _hub_pairs(now: DataFrame, turn: int, posted: int) -> DataFrame:
         .agg(F.min_by(F.struct("doc_id", "label"), rank).alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("w"))
         .filter("lo < hi")
         .select("value", "hub", "w")
-        .checkpoint()
     )
-    met = join_salted(now, hubs, ["value"], "w", ["doc_id"], posted).filter("label != hub.label").groupBy("doc_id", F.col("hub.doc_id").alias("b")).count()
+    met = (join_salted(now, hubs.checkpoint(), ["value"], "w", ["doc_id"], posted) if posted > MANY else now.join(hubs, "value")).filter("label != hub.label").groupBy("doc_id", F.col("hub.doc_id").alias("b")).count()
     best = Window.partitionBy("doc_id").orderBy(F.col("count").desc(), "b")
     return met.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= HUBS).select(F.col("doc_id").alias("a"), "b")
 
@@ -236,7 +238,7 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _rest(lists: DataFrame, label: DataFrame, sets: DataFrame, percent: int, least: int) -> DataFrame:
+def _rest(lists: DataFrame, label: DataFrame, sets: DataFrame, percent: int, least: int, many: bool) -> DataFrame:
     """Links between classes that still meet under a value, all of them compared.
 
     The documents of such classes post their shingles themselves.  A document of n
@@ -250,9 +252,9 @@ def _rest(lists: DataFrame, label: DataFrame, sets: DataFrame, percent: int, lea
     open_ = label.join(meeting, "label").join(sets, "doc_id").select("doc_id", "label", "items", "signature").checkpoint()
     posts = open_.drop("signature").mapInArrow(tidied(_explode), "doc_id long, label long, n long, item long")
     held = posts.groupBy("item").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("df"))
-    between = held.filter("lo < hi").select("item", "df", F.col("df").alias("w")).checkpoint()
+    between = held.filter("lo < hi").select("item", "df", F.col("df").alias("w"))
     ranked = (
-        join_salted(posts, between, ["item"], "w", ["doc_id"])
+        (join_salted(posts, between.checkpoint(), ["item"], "w", ["doc_id"]) if many else posts.join(between, "item"))
         .groupBy("doc_id", "label", "n")
         .agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("held"))
     )
@@ -279,7 +281,7 @@ def _rest(lists: DataFrame, label: DataFrame, sets: DataFrame, percent: int, lea
     # Small classes are compared pair by pair.
     a, b = (label.select(F.col("doc_id").alias(x), F.col("label").alias(y)) for x, y in (("a", "small"), ("b", "large")))
     little = F.col("few") * F.col("many") <= SMALL
-    direct = _verified(tests.filter(little).join(a, "small").join(b, "large").select("a", "b"), open_, percent, least)
+    direct = _verified(tests.filter(little).join(a, "small").join(b, "large").select("a", "b"), open_, percent, least, many)
     # The documents of the smaller class, in chunks, against a larger one, in blocks.
     tests = tests.filter(~little)
     per = tests.groupBy("large").agg(F.sum("few").alias("asked"), F.max("many").alias("size"))
@@ -351,15 +353,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, id_col: s
     chosen = heads.select(*key, "node")
     reps = named.withColumnRenamed("doc_id", "head").dropDuplicates(key).join(chosen, key).select(*key, F.col("node").alias("doc_id"), "values")
     posts = reps.select("doc_id", F.explode("values").alias("value"))
-    shared = posts.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").withColumn("w", F.col("df")).checkpoint()
+    shared = posts.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").withColumn("w", F.col("df"))
     # Rarest first; documents with too few shared values cannot reach ``least`` matches.
-    met = join_salted(posts, shared, ["value"], "w", ["doc_id"])
+    met = join_salted(posts, shared.checkpoint(), ["value"], "w", ["doc_id"]) if heads.count() * COORDS > MANY else posts.join(shared, "value")
     held = met.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("held"))
     rare = F.slice("held", 1, F.size("held") - (least - 1))
     fame = F.aggregate("held", F.lit(0).cast("long"), lambda total, x: total + x["df"]).alias("fame")
     prefix = held.filter(F.size("held") >= least).select("doc_id", fame, F.explode(rare).alias("p"))
     lists = prefix.select("doc_id", "fame", F.col("p.value").alias("value")).checkpoint()
     posted = lists.count()
+    many = posted > MANY
     wanted = lists.select("doc_id").distinct()
     short = F.transform("values", lambda x: x.bitwiseAND(F.lit(127)).cast("byte"))  # enough to count agreement from above
     asked = chosen.join(wanted.withColumnRenamed("doc_id", "node"), "node", "left_semi").select(F.col("head").alias("doc_id")).distinct()
@@ -369,12 +372,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, id_col: s
     release(docs.sparkSession)
     links = None
     for turn in range(ROUNDS):
-        found = _verified(_hub_pairs(lists.join(label, "doc_id"), turn, posted), sets, percent, least).checkpoint()
+        found = _verified(_hub_pairs(lists.join(label, "doc_id"), turn, posted), sets, percent, least, many).checkpoint()
         links = found if links is None else links.unionByName(found)
         label = _joined(label, found).checkpoint()
         release(docs.sparkSession)
     label = connected_components(wanted, links).checkpoint()
-    links = links.unionByName(_rest(lists, label, sets, percent, least))
+    links = links.unionByName(_rest(lists, label, sets, percent, least, many))
     release(docs.sparkSession)
     side = lambda x: chosen.select(F.col("node").alias(x), F.col("head").alias(f"of_{x}"))
     between = links.join(side("a"), "a").join(side("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
