@@ -202,7 +202,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, least: int, many:
 def _hub_pairs(now: DataFrame, turn: int, posted: int) -> DataFrame:
     """Pairs (a, b): each document with the hubs of other classes that it collides with most."""
     # First the documents that agree with most others, later any.
-    rank = F.struct(-F.col("fame"), "doc_id") if turn == 0 else F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id")
+    rank = F.struct(-F.col("fame"), "head", "doc_id") if turn == 0 else F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id")
     hubs = (
         now.groupBy("value")
         .agg(F.min_by(F.struct("doc_id", "label"), rank).alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("w"))
@@ -352,15 +352,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, id_col: s
     key = ["head", "digest", "n"]
     chosen = heads.select(*key, "node")
     reps = named.withColumnRenamed("doc_id", "head").dropDuplicates(key).join(chosen, key).select(*key, F.col("node").alias("doc_id"), "values")
-    posts = reps.select("doc_id", F.explode("values").alias("value"))
+    posts = reps.select("doc_id", "head", F.explode("values").alias("value"))
     shared = posts.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").withColumn("w", F.col("df"))
     # Rarest first; documents with too few shared values cannot reach ``least`` matches.
     met = join_salted(posts, shared.checkpoint(), ["value"], "w", ["doc_id"]) if heads.count() * COORDS > MANY else posts.join(shared, "value")
-    held = met.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("held"))
+    held = met.groupBy("doc_id", "head").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("held"))
     rare = F.slice("held", 1, F.size("held") - (least - 1))
     fame = F.aggregate("held", F.lit(0).cast("long"), lambda total, x: total + x["df"]).alias("fame")
-    prefix = held.filter(F.size("held") >= least).select("doc_id", fame, F.explode(rare).alias("p"))
-    lists = prefix.select("doc_id", "fame", F.col("p.value").alias("value")).checkpoint()
+    prefix = held.filter(F.size("held") >= least).select("doc_id", "head", fame, F.explode(rare).alias("p"))
+    lists = prefix.select("doc_id", "head", "fame", F.col("p.value").alias("value")).checkpoint()
     posted = lists.count()
     many = posted > MANY
     wanted = lists.select("doc_id").distinct()
