@@ -1,5 +1,6 @@
 import base64
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -7,7 +8,7 @@ import tiktoken
 
 from trailmark.llm import packing, token_counts
 from trailmark.llm import queries as Q
-from trailmark.llm.byte_bpe import load_ranks
+from trailmark.llm.byte_bpe import LETTER, NUMBER, SPACE, classes, load_ranks
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -18,6 +19,23 @@ def reference():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def test_classes_of_all_codepoints():
+    """A vocabulary that joins 'a' and '1' with any first byte tells whether the library's pattern splits between them."""
+    ranks = {bytes([b]): b for b in range(256)}
+    for head in b"a1":
+        ranks |= {bytes([head, b]): len(ranks) + b for b in range(256)}
+    probe = tiktoken.Encoding("probe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    table = classes()
+    joins = lambda head, c: probe.encode_ordinary(head + chr(c))[0] > 255
+    wrong = [
+        hex(c)
+        for c in range(sys.maxunicode + 1)
+        if not 0xD800 <= c < 0xE000 and (joins("a", c), joins("1", c)) != (table[c] == LETTER, table[c] == NUMBER)
+    ]
+    assert not wrong
+    assert [c for c in range(sys.maxunicode + 1) if chr(c).isspace() and not 0x1C <= c <= 0x1F] == np.flatnonzero(table == SPACE).tolist()
+
+
 def test_best_fit_decreasing():
     rng = random.Random(1)
     for length in (1, 7, 16, 100):

@@ -47,6 +47,13 @@ LETTER, NUMBER, OTHER, SPACE, END, LAST, BLANK, QUOTE1, QUOTE2 = range(9)
 #: Fixed values of the pattern: white space besides the ASCII kinds, and the contractions' letters.
 WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 ONE_LETTER, TWO_LETTERS = "stmd", ("re", "ve", "ll")
+#: Letters and numbers that came with Unicode 16, which the pattern knows (first and last of each run).
+NEW_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389),
+    (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA),
+    (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+NEW_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
 SHORT = 48  # longer pre-tokens are merged with a heap
 CACHE = 60_000  # distinct pre-tokens in each generation of a worker's cache
 CHUNK_CHARS = 600_000
@@ -67,6 +74,9 @@ def classes() -> np.ndarray:
             table[c] = LETTER
         elif kind == "N":
             table[c] = NUMBER
+    for kind, runs in ((LETTER, NEW_LETTERS), (NUMBER, NEW_NUMBERS)):
+        for first, last in runs:
+            table[first : last + 1] = kind
     table[list(WHITE)] = SPACE
     return table
 
