@@ -1,5 +1,6 @@
 """Row functions, enrichment, imports: the cases that SQL twins do not reach."""
 
+import re
 import json
 import random
 from datetime import date, datetime, timedelta
@@ -349,6 +350,23 @@ def test_periods_of_a_copy(spark, tmp_path):
     assert sorted(r.created_at for r in spark.read.parquet(str(tmp_path / "c")).collect()) == [datetime(2024, 1, 31), datetime(2024, 3, 1)]
 
 
+def test_bots_by_many_rules(spark):
+    """The first rule of each agent, as by trying all of them; short, empty, absent and odd rules too."""
+    texts = [(i, f"T{i}", "x", t, None) for i, t in enumerate(["Zürich", "x", "ab", "abc", "Agent7", "agent", "no such text", "b/1", *(f"Crawl{i}er" for i in range(300))])]
+    patterns = [(900 + i, f"R{i}", "y", None, p) for i, p in enumerate(["(?i)SPIDER", r"\d{3}$", "never+ there", "a|^q"])]
+    agents = ["abc/1", "Agent77", "SPIDER x", "spider 123", "q", "", "ab", "Zürich", "Crawl17er/2", "Crawl2", "zz 999", "Q", None]
+    schema = "position int, name string, type string, includes string, regex string"
+    for extra in ([], [(990, "back", "z", None, r"(.)\1")], [(5000, "all", "t", "", None)]):
+        rules = texts + patterns + extra
+        rows = spark.createDataFrame([(a, i) for i, a in enumerate(agents)], "user_agent string, i int")
+        found = enrich.classify_bots(rows, spark.createDataFrame(rules, schema))
+        first = lambda a: next((n for *_, n in sorted((t is None, k, n) for k, n, _, t, p in rules if a is not None and (t in a if t is not None else re.search(p, a)))), None)
+        assert {r.i: r.bot_name for r in found.collect()} == {i: first(a) for i, a in enumerate(agents)}
+        assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in found._jdf.queryExecution().executedPlan().toString()
+    none = spark.createDataFrame([], schema)
+    assert {r.bot_name for r in enrich.classify_bots(rows, none).collect()} == {None}
+
+
 def test_addresses_of_both_kinds(spark):
     """IPv6 in all spellings, IPv4 inside IPv6, and what is no address or belongs to no place."""
     places = [("81.0.0.0", 8, "A"), ("81.2.0.0", 16, "B"), ("2001:db8::", 32, "C"), ("2001:db8:0:7::", 64, "D"), ("2001::", 16, "E")]

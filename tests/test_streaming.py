@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailmark.functions.filters import Filter
+from trailmark.operators.sessions import sessionize_over_midnight
 from trailmark.plans.spec import EventSeries
+from trailmark.streaming import sessions as SS
 from trailmark.streaming import streams as S
 
 T0 = datetime(2024, 1, 1, 10)
@@ -141,6 +143,28 @@ def test_session_marks_learn_the_person(spark):
     assert sorted((r.created_at, r.name, r.profile_id) for r in marks.collect())[:2] == [(at(0) - timedelta(seconds=0.1), "session_start", "d"), (at(5) + timedelta(seconds=1), "session_end", "u")]
 
 
+def test_sessions_over_midnight(spark):
+    """One session from 23:50 to 00:10 over a restart; cut at the second midnight; apart after a gap and for other visitors."""
+    begin = datetime(2024, 1, 1, 23, 50)
+    when = {"a": [0, 20, 45, 120, *range(1445, 1480, 10)], "b": [5, 25], "c": [60 * k // 3 for k in range(0, 150)]}  # c never pauses for three days
+    rows = []
+    for who, minutes in when.items():
+        for m in minutes:
+            t = begin + timedelta(minutes=m)
+            rows.append((f"{who}{m:05}", "p", who, f"{who}-{t:%d}", f"{who}-{t - timedelta(days=1):%d}", t))
+    schema = "id string, project_id string, visitor string, device_id string, previous_device_id string, created_at timestamp"
+    cuts = [(0, 10), (10, 700), (700, 9999)]
+    slices = [spark.createDataFrame([r for r in rows if a <= (r[5] - begin).total_seconds() / 60 < b], schema) for a, b in cuts]
+    got = {r.id: (r.session_device, r.session_id) for r in S.replay(spark, slices, SS.sessions_over_midnight).collect()}
+    batch = {r.id: (r.session_device, r.session_id) for r in sessionize_over_midnight(spark.createDataFrame(rows, schema)).collect()}
+    assert got == batch and len(got) == len(rows)
+    device = lambda who, m: got[f"{who}{m:05}"][0]
+    assert [device("a", m) for m in (0, 20, 45, 120, 1445, 1475)] == ["a-01", "a-01", "a-01", "a-02", "a-02", "a-02"]
+    assert len({got[f"a{m:05}"] for m in when["a"]}) == 3
+    assert [device("b", m) for m in (5, 25)] == ["b-01", "b-01"]
+    assert [device("c", m) for m in (0, 1440, 1460, 2880)] == ["c-01", "c-01", "c-03", "c-03"]
+
+
 def test_profile_changes(spark):
     """Unchanged profiles are left out; '' says nothing; numbers add up, texts that are none count as 0."""
     schema = "project_id string, id string, created_at timestamp, fields map<string,string>, properties map<string,string>, by map<string,double>"

@@ -116,16 +116,55 @@ def enrich_user_agents(rows: DataFrame, ua: str = "user_agent", properties: str
     return out
 
 
+GRAM = 3
+
+
+def _grams(told: Column) -> Column:
+    """All pieces of at most ``GRAM`` characters, the empty one included."""
+    pieces = [F.when(F.length(told) >= n, F.transform(F.sequence(F.lit(1), F.length(told) - n + 1), lambda i: F.substring(told, i, F.lit(n)))) for n in range(1, GRAM + 1)]
+    return F.array_distinct(F.flatten(F.array(F.array(F.lit("")), *[F.coalesce(p, F.array().cast("array<string>")) for p in pieces])))
+
+
+def _first_contained(agents: DataFrame, rules: DataFrame) -> DataFrame:
+    """_ua and _bot: the first rule whose text an agent holds.
+
+    A rule meets only agents that hold its rarest piece of ``GRAM`` characters (all of it, if it is shorter); a rule
+    with a piece that no agent holds meets none.
+    """
+    held = agents.select("_ua", F.explode(_grams(F.col("_ua"))).alias("gram"))
+    own = F.filter(_grams(F.col("includes")), lambda g: F.length(g) == F.least(F.lit(GRAM), F.length("includes")))
+    asked = rules.select("position", "name", "type", "includes", F.explode(own).alias("gram"))
+    known = held.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("agents"))
+    weighed = asked.join(known, "gram", "left").withColumn("agents", F.coalesce("agents", F.lit(0)))
+    rarest = weighed.groupBy("position", "name", "type", "includes").agg(F.min(F.struct("agents", "gram")).alias("_key"))
+    keyed = rarest.filter("_key.agents > 0").select("position", "name", "type", "includes", F.col("_key.gram").alias("gram"))
+    met = held.join(keyed, "gram").filter(F.col("_ua").contains(F.col("includes")))
+    return met.groupBy("_ua").agg(F.min(F.struct("position", "name", "type")).alias("_bot"))
+
+
+def _first_matching(agents: DataFrame, rules: DataFrame) -> DataFrame:
+    """_ua and _bot: the first rule whose pattern an agent matches; patterns are tried one by one only where any of them matches.
+
+    Patterns that refer to groups by number or name can't be joined into one; then all agents are tried.
+    """
+    listed = rules.agg(F.sort_array(F.collect_list(F.struct("position", "name", "type", "regex"))).alias("all"))  # one row
+    apart = F.exists("all", lambda r: r["regex"].rlike(r"\\[1-9k]|\(\?<[A-Za-z]"))
+    either = F.when(apart, F.lit("")).otherwise(F.array_join(F.transform("all", lambda r: F.concat(F.lit("(?:"), r["regex"], F.lit(")"))), "|"))
+    some = agents.filter(F.regexp_like("_ua", listed.select(either.alias("either")).scalar()))
+    tried = some.withColumn("_all", listed.scalar()).select("_ua", F.explode("_all").alias("_rule")).filter(F.regexp_like("_ua", F.col("_rule.regex")))
+    return tried.groupBy("_ua").agg(F.min(F.struct("_rule.position", "_rule.name", "_rule.type")).alias("_bot"))
+
+
 def classify_bots(rows: DataFrame, rules: DataFrame, ua: str = "user_agent") -> DataFrame:
     """Adds bot_name and bot_type; ``rules`` has position, name, type, includes and regex.
 
     Substring rules come before regular expressions, then the smaller position
-    wins.  Rules are matched against distinct user agents only.
+    wins.  Rules are matched against distinct user agents only; all patterns are one row.
     """
     agents = rows.select(F.col(ua).alias("_ua")).filter(F.col("_ua").isNotNull()).distinct()
-    hit = F.when(F.col("includes").isNotNull(), F.col("_ua").contains(F.col("includes"))).otherwise(F.expr("_ua rlike regex"))
-    order = F.struct(F.col("includes").isNull(), "position")
-    found = agents.join(rules, hit).groupBy("_ua").agg(F.min_by(F.struct("name", "type"), order).alias("_bot"))
+    texts = _first_contained(agents, rules.filter("includes IS NOT NULL"))
+    rest = agents.join(texts, "_ua", "left_anti")
+    found = texts.unionByName(_first_matching(rest, rules.filter("includes IS NULL AND regex IS NOT NULL")))
     return rows.join(found, F.col(ua) == F.col("_ua"), "left").select(*rows.columns, F.col("_bot.name").alias("bot_name"), F.col("_bot.type").alias("bot_type"))
 
 
@@ -189,6 +228,11 @@ def locate(rows: DataFrame, ranges: DataFrame, ip: str = "ip") -> DataFrame:
     )
 
 
+def with_visitor(rows: DataFrame, pepper: str) -> DataFrame:
+    """Adds visitor, which stays the same when salts change; keep it in state only, for as long as a session lives, never in a table."""
+    return rows.withColumn("visitor", F.sha2(F.concat_ws(":", "user_agent", "ip", "project_id", F.lit(pepper)), 256))
+
+
 def device_ids(rows: DataFrame, salts: DataFrame) -> DataFrame:
     """Adds device_id and previous_device_id by the salts of the day and the day before (day, salt)."""
     order = Window.orderBy("day")  # one row a day

@@ -23,6 +23,27 @@ def with_start_ids(sessionized: DataFrame) -> DataFrame:
     return sessionized.withColumn("session_id", F.concat("device_id", F.lit("-"), F.unix_micros(F.min("created_at").over(whole)).cast("string")))
 
 
+def sessionize_over_midnight(events: DataFrame, gap_seconds: int = 1800) -> DataFrame:
+    """Adds session_id and session_device to events whose device ids change every midnight.
+
+    ``visitor`` tells who stays the same.  A session keeps the device id of its first event and goes on through the next
+    day, where that id is still known as the one before; at the second midnight a new one begins.  The gap is less than a
+    day, so a run of events without such a gap has events on each of its days, and sessions are pairs of these days.
+    """
+    if not 0 <= gap_seconds < 86400:
+        raise ValueError("the gap must be less than a day")
+    who = ("project_id", "visitor")
+    order = Window.partitionBy(*who).orderBy("created_at", "id")
+    before = F.lag("created_at").over(order)
+    fresh = before.isNull() | (F.unix_micros("created_at") - F.unix_micros(before) > gap_seconds * 1_000_000)
+    runs = events.withColumn("_fresh", fresh.cast("int")).withColumn("_run", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    day = F.to_date("created_at")
+    turns = runs.withColumn("_turn", F.floor(F.date_diff(day, F.min(day).over(Window.partitionBy(*who, "_run"))) / 2))
+    first = F.min(F.struct("created_at", "id", "device_id")).over(Window.partitionBy(*who, "_run", "_turn"))
+    named = turns.withColumn("_first", first).withColumn("session_device", F.col("_first.device_id"))
+    return named.withColumn("session_id", F.concat_ws("-", "session_device", F.unix_micros("_first.created_at").cast("string"))).drop("_fresh", "_run", "_turn", "_first")
+
+
 def bucket_session_id(device: Column, t: Column, seconds: int = 1800) -> Column:
     """A session id from the device and a half hour, for imports without ids."""
     return F.md5(F.concat(device, F.lit("-"), F.floor(F.unix_seconds(t) / seconds).cast("string")))

@@ -7,14 +7,17 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ..functions.filters import Filter
+from ..operators import enrich as E
 from ..operators.sessions import collapse, session_rows, sessionize, with_start_ids
 from ..plans.spec import EventSeries
+from ..sources import clients as C
 from ..sources import tables as T
 from ..sources.folders import shared_folder
 from ..streaming import rollups as KR
 from ..streaming import sessions as SS
 from ..streaming import streams as S
 from .base import query, text
+from .ingest import _AGENT, _IP
 
 CUTS = (datetime(2024, 1, 11), datetime(2024, 1, 21))
 GAP_MINUTES = T.GAP_SECONDS // 60
@@ -212,3 +215,20 @@ def stream_rollups(spark, sf_dir):
         .unionByName(row(stored("cohort_events"), "cohort_events", F.concat_ws(" ", "profile_id", "name"), F.col("event_count"), F.lit("")))
         .unionByName(row(values, "property_values", F.concat_ws(" ", "name", "property_value"), F.col("n"), text("last_seen")))
     )
+
+
+@query(
+    f"""WITH c AS (SELECT id, event_id, project_id, created_at, CAST(created_at AS DATE) AS d, {_AGENT} AS a, {_IP} AS i FROM ev),
+    f AS (SELECT *, CASE WHEN created_at - lag(created_at) OVER w <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM c WINDOW w AS (PARTITION BY project_id, a, i ORDER BY created_at, event_id)),
+    g AS (SELECT *, sum(fresh) OVER (PARTITION BY project_id, a, i ORDER BY created_at, event_id ROWS UNBOUNDED PRECEDING) AS run FROM f),
+    h AS (SELECT *, (d - min(d) OVER (PARTITION BY project_id, a, i, run)) // 2 AS turn FROM g),
+    k AS (SELECT *, min(created_at) OVER (PARTITION BY project_id, a, i, run, turn) AS began FROM h)
+    SELECT id, substr(sha256(a || ':' || i || ':' || project_id || ':salt' || strftime(began, '%Y%m%d')), 1, 32) AS session_device, {_TS.format('began')} AS started, d > CAST(began AS DATE) AS over_midnight FROM k"""
+)
+def stream_midnight_sessions(spark, sf_dir):
+    """Sessions of visitors whose device id changes at midnight: those that are open then go on under their first id."""
+    salts = T.read(spark, sf_dir, "events").select(F.to_date("ts").alias("day")).distinct().withColumn("salt", F.concat(F.lit("salt"), F.date_format("day", "yyyyMMdd")))
+    both = E.with_visitor(E.device_ids(C.client_events(spark, sf_dir).drop("device_id"), salts), "pepper").select("project_id", "id", "visitor", "device_id", "previous_device_id", "created_at")
+    told = S.replay(spark, [both.filter(c) for c in _cut_conditions()], lambda e: SS.sessions_over_midnight(e, GAP_MINUTES))
+    opened = F.timestamp_micros(F.substring_index("session_id", "-", -1).cast("long"))
+    return told.select("id", "session_device", text(opened).alias("started"), (F.col("device_id") != F.col("session_device")).alias("over_midnight"))

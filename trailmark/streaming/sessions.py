@@ -164,3 +164,38 @@ def funnel_rules(
     titles = F.coalesce(*[F.when(F.col("rule") == rule, render(F.lit(template), told)) for rule, (_, template) in rules.items()])
     steps = F.transform(F.arrays_zip("names", "paths", "times"), lambda x: F.struct(x["names"].alias("name"), x["paths"].alias("path"), F.timestamp_micros(x["times"]).alias("created_at")))
     return fired.select("project_id", "device_id", F.timestamp_micros("opened").alias("session_start"), "rule", titles.alias("title"), steps.alias("events"))
+
+
+CARRIED = "project_id string, id string, device_id string, session_device string, session_id string, us long"
+
+
+def sessions_over_midnight(events: DataFrame, gap_minutes: int = 30, delay: str = "30 minutes") -> DataFrame:
+    """Each event with the session that it belongs to, where device ids change every midnight.
+
+    Events carry device_id, previous_device_id (under the salt of the day before) and visitor, by which state is
+    kept and which does not leave it.  An open session goes on if either id is the one that it began with; a session is
+    handed over once, as after a second midnight neither is.  State is gone a gap after the last event.  Late events that
+    the watermark lets through join the open session, or become one of their own if it began more than a gap later.
+    """
+    gap = gap_minutes * 60_000_000
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out = []
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            held = tuple(state.get) if state.exists else None  # device, opened, last
+            rows = pd.concat(batches).sort_values(["us", "id"])
+            for now, row, device, previous in zip(rows["us"].tolist(), rows["id"], rows["device_id"], rows["previous_device_id"]):
+                goes_on = held and held[0] in (device, previous) and held[1] - gap <= now <= held[2] + gap
+                session = (held[0], held[1], max(held[2], now)) if goes_on else (device, now, now)
+                if held is None or now >= held[1]:
+                    held = session
+                out.append((key[0], row, device, session[0], f"{session[0]}-{session[1]}", now))
+            state.update(held)
+            state.setTimeoutTimestamp(max((held[2] + gap) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in CARRIED.split(", ")])
+
+    keyed = events.withWatermark("created_at", delay).withColumn("us", F.unix_micros("created_at")).groupBy("project_id", "visitor")
+    told = keyed.applyInPandasWithState(run, CARRIED, "device string, opened long, last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return told.withColumn("created_at", F.timestamp_micros("us")).drop("us")
