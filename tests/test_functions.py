@@ -1,8 +1,8 @@
 """Row functions, enrichment, imports: the cases that SQL twins do not reach."""
 
-import re
 import json
 import random
+import re
 from datetime import date, datetime, timedelta
 
 import pytest

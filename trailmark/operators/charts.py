@@ -201,9 +201,9 @@ def formatted(series: DataFrame, spec: ReportSpec, limit: int | None = None) ->
 def limit_series(series: DataFrame, spec: ReportSpec, limit: int) -> DataFrame:
     """The points of the series with the largest sums."""
     keys = ["def_index", *label_columns(spec)]
-    summed = series.withColumn("_sum", F.sum("count").over(Window.partitionBy(*keys)))
-    order = Window.orderBy(F.desc("_sum"), *keys)  # a row for each point of the chart
-    return summed.withColumn("_place", F.dense_rank().over(order)).filter(F.col("_place") <= limit).drop("_sum", "_place")
+    points = [c for c in series.columns if c not in keys]
+    ranked = series.groupBy(*keys).agg(F.sum("count").alias("_sum"), F.collect_list(F.struct(*points)).alias("_points"))  # a point a bucket
+    return ranked.orderBy(F.desc("_sum"), *keys).limit(limit).select(*keys, F.inline("_points")).select(*series.columns)
 
 
 #: The shapes of a chart; those that need no dates show one figure for each label.

@@ -148,9 +148,20 @@ def daily_profiles(events: DataFrame) -> DataFrame:
 
 
 def rolling_active(daily: DataFrame, days: int) -> DataFrame:
-    """Distinct profiles of the last n days, each day."""
-    spread = daily.withColumn("date", F.explode(F.expr(f"sequence(day, date_add(day, {days - 1}), interval 1 day)")))
-    return spread.groupBy("date").agg(F.count_distinct("project_id", "profile_id").alias("users"))
+    """Distinct profiles of the last n days, each day.
+
+    A profile's days make runs without a pause of n days; a run adds one where it begins and takes it back n days after
+    its last day, so it is two rows, however long it is.
+    """
+    own = Window.partitionBy("project_id", "profile_id").orderBy("day")
+    begins = F.coalesce(F.date_diff("day", F.lag("day").over(own)) >= days, F.lit(True))
+    ends = F.coalesce(F.date_diff(F.lead("day").over(own), "day") >= days, F.lit(True))
+    turns = F.array(F.when(begins, F.struct(F.col("day").alias("date"), F.lit(1).alias("n"))), F.when(ends, F.struct(F.date_add("day", days).alias("date"), F.lit(-1).alias("n"))))
+    told = daily.select(turns.alias("turns")).select(F.explode(F.filter("turns", lambda t: t.isNotNull())).alias("t"))
+    changes = told.groupBy("t.date").agg(F.sum("t.n").alias("n"))
+    order = Window.orderBy("date")  # a row a day
+    levels = changes.select("date", F.sum("n").over(order).alias("users"), F.lead("date").over(order).alias("until")).filter("users > 0")
+    return levels.select(F.explode(F.sequence("date", F.date_sub("until", 1), F.expr("INTERVAL 1 DAY"))).alias("date"), "users")
 
 
 def daily_sketches(events: DataFrame) -> DataFrame:

@@ -46,8 +46,30 @@ def step_pairs(events: DataFrame, steps: Sequence[EventSeries]) -> DataFrame:
     return named.select("*", F.explode(F.filter(F.array(*tags), lambda x: x.isNotNull())).alias("step")).withColumn("ts", F.unix_millis("created_at"))
 
 
+def _levels_by_slices(pairs: DataFrame, keys: Sequence[str], steps: int, slice_ms: int) -> DataFrame:
+    """How deep each key got without a time limit; ``keys``, level.
+
+    A slice of time is told by the lowest step that a chain ending in each step can begin with there.  A key that has
+    reached i before a slice leaves it with the deepest step whose chain begins at i + 1 or below; slices of a key are
+    composed in order, an array of small rows.  Only one slice of a key is sorted by one task.
+    """
+    rows = pairs.select(*keys, "ts", "step", F.floor(F.col("ts") / slice_ms).alias("_slice")).distinct().withColumn("_lowest", F.col("step"))
+    earlier = Window.partitionBy(*keys, "_slice").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
+    for i in range(2, steps + 1):
+        before = F.min(F.when(F.col("step") == i - 1, F.col("_lowest"))).over(earlier)
+        rows = rows.withColumn("_lowest", F.when(F.col("step") == i, F.coalesce(before, F.lit(i))).otherwise(F.col("_lowest")))
+    lowest = F.array(*[F.min(F.when(F.col("step") == j, F.col("_lowest"))) for j in range(1, steps + 1)])
+    slices = rows.groupBy(*keys, "_slice").agg(lowest.alias("_lowest")).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_slice", "_lowest"))).alias("_slices"))
+
+    def after(level: Column, part: Column) -> Column:
+        ends = F.transform(part["_lowest"], lambda low, j: F.when(low <= level + 1, (j + 1).cast("int")))
+        return F.greatest(level, F.array_max(ends))
+
+    return slices.select(*keys, F.aggregate("_slices", F.lit(0), after).alias("level")).filter("level > 0")
+
+
 def funnel_levels(
-    events: DataFrame, steps: Sequence[EventSeries], start, end, window_hours: float | None = 24, group: str = "session_id", breakdowns: Sequence[str] = ()
+    events: DataFrame, steps: Sequence[EventSeries], start, end, window_hours: float | None = 24, group: str = "session_id", breakdowns: Sequence[str] = (), slice_hours: float = 24
 ) -> DataFrame:
     """project_id, who, breakdowns, level: how deep each session or profile of a project got.
 
@@ -55,19 +77,21 @@ def funnel_levels(
     earlier events of the step before by windows, which spill, so no key's events
     are gathered in memory.  A key is split by time: a chain that starts in a bucket
     of the window's width ends in it or in the next, so later steps stand in two
-    buckets.  Without a window a key is one bucket.
+    buckets.  Without a window, slices of ``slice_hours`` are composed.
     """
     pairs = step_pairs(events.filter(between("created_at", start, end)), steps)
-    window = None if window_hours is None else int(window_hours * 3_600_000)
     keys = ["project_id", "who", *breakdowns]
-    own = F.floor(F.col("ts") / max(1, window or 1))
-    buckets = F.array(F.lit(0)) if window is None else F.when(F.col("step") == 1, F.array(own)).otherwise(F.array(own - 1, own))
+    if window_hours is None:
+        return _levels_by_slices(pairs.withColumn("who", F.col(group)), keys, len(steps), int(slice_hours * 3_600_000))
+    window = int(window_hours * 3_600_000)
+    own = F.floor(F.col("ts") / max(1, window))
+    buckets = F.when(F.col("step") == 1, F.array(own)).otherwise(F.array(own - 1, own))
     rows = pairs.select("project_id", F.col(group).alias("who"), *breakdowns, "ts", "step", F.explode(buckets).alias("_bucket")).distinct()
     rows = rows.withColumn("_start", F.when(F.col("step") == 1, F.col("ts")))
     earlier = Window.partitionBy(*keys, "_bucket").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     for i in range(2, len(steps) + 1):
         before = F.max(F.when(F.col("step") == i - 1, F.col("_start"))).over(earlier)
-        fits = F.lit(True) if window is None else F.col("ts") <= before + window
+        fits = F.col("ts") <= before + window
         rows = rows.withColumn("_start", F.when((F.col("step") == i) & fits, before).otherwise(F.col("_start")))
     return rows.filter("_start IS NOT NULL").groupBy(*keys).agg(F.max("step").alias("level"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,13 +60,18 @@ def refresh(events: DataFrame, root: str, first=None, last=None, names: tuple[st
         write_days(DAILY[name](days), f"{root}/{name}")
 
 
-def write_days(rows: DataFrame, path: str) -> None:
+def write_days(rows: DataFrame, path: str, lookup: Sequence[str] = ()) -> None:
     """Rows with project_id and event_date as one folder for each; folders that are written again are replaced.
 
+    Columns of ``lookup`` get Bloom filters, so a search for a few of their values skips most row groups.
+
     Rows of a folder meet in few tasks (large folders are split by the size that Spark is told to aim at).
     """
     placed = rows.hint("rebalance", "project_id", "event_date")
-    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id", "event_date").parquet(path)
+    writer = placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id", "event_date")
+    for column in lookup:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.enable.dictionary#{column}", "false")
+    writer.parquet(path)
 
 
 def billable(events: DataFrame, start, end) -> DataFrame:

@@ -17,6 +17,39 @@ def sessionize(events: DataFrame, gap_seconds: int = 1800) -> DataFrame:
     return events.withColumn("_fresh", fresh).withColumn("session_id", F.concat("device_id", F.lit("-"), number.cast("string"))).drop("_fresh")
 
 
+def sessionize_sliced(events: DataFrame, gap_seconds: int = 1800, slice_seconds: int = 86400) -> DataFrame:
+    """As ``sessionize``, for devices with very many events: no task sorts more than one slice of a device's time.
+
+    Each slice tells its first and last time and how many sessions begin inside; a pass over these rows, one for each
+    device and slice, says whether the slice's first event begins a session and how many came before.
+    """
+    sliced = events.withColumn("_slice", F.floor(F.unix_seconds("created_at") / slice_seconds))
+    keys = [*BY_DEVICE, "_slice"]
+    order = Window.partitionBy(*keys).orderBy("created_at", "event_id")
+    apart = lambda now, before: F.unix_micros(now) - F.unix_micros(before) > gap_seconds * 1_000_000
+    inside = F.coalesce(apart(F.col("created_at"), F.lag("created_at").over(order)), F.lit(False)).cast("long")
+    fresh = sliced.withColumn("_fresh", inside)
+    ends = fresh.groupBy(*keys).agg(F.min("created_at").alias("_first"), F.max("created_at").alias("_last"), F.sum("_fresh").alias("_inside"))
+    slices = Window.partitionBy(*BY_DEVICE).orderBy("_slice")
+    begins = F.coalesce(apart(F.col("_first"), F.lag("_last").over(slices)), F.lit(True)).cast("long")
+    numbered = ends.withColumn("_begins", begins).withColumn("_so_far", F.sum(F.col("_begins") + F.col("_inside")).over(slices) - F.col("_inside"))
+    known = fresh.withColumn("_number", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    met = known.join(numbered.select(*keys, "_so_far"), keys)
+    return met.withColumn("session_id", F.concat("device_id", F.lit("-"), (F.col("_number") + F.col("_so_far")).cast("string"))).select(*events.columns, "session_id")
+
+
+def view_duration_sliced(events: DataFrame, view: str = "screen_view", slice_seconds: int = 86400) -> DataFrame:
+    """As ``view_duration``, for sessions with very many events: a slice's last view takes the first one of the next slice that has any."""
+    sliced = events.withColumn("_slice", F.floor(F.unix_seconds("created_at") / slice_seconds))
+    keys = ["project_id", "session_id", "_slice"]
+    order = Window.partitionBy(*keys, "name").orderBy("created_at", "event_id")
+    firsts = sliced.filter(F.col("name") == view).groupBy(*keys).agg(F.min("created_at").alias("_first"))
+    after = firsts.select(*keys, F.lead("_first").over(Window.partitionBy("project_id", "session_id").orderBy("_slice")).alias("_after"))
+    met = sliced.withColumn("_next", F.lead("created_at").over(order)).join(after, keys, "left")
+    gap = F.unix_millis(F.coalesce("_next", "_after")) - F.unix_millis("created_at")
+    return met.withColumn("duration", F.when(F.col("name") == view, F.coalesce(gap, F.lit(0))).otherwise(0).cast("long")).select(*events.columns, "duration")
+
+
 def with_start_ids(sessionized: DataFrame) -> DataFrame:
     """Session ids of device and first microsecond: the same whatever range of events was read, if it holds the start."""
     whole = Window.partitionBy(*BY_DEVICE, "session_id")

@@ -241,6 +241,18 @@ def funnel_profile(spark, sf_dir):
     return _funnel(spark, sf_dir, "profile_id", Fn.with_person(T.events(spark, sf_dir), T.sessions(spark, sf_dir))).select("who", "level")
 
 
+@query(
+    f"""WITH e AS (SELECT project_id, profile_id AS who, name, created_at AS t FROM ev WHERE name IN ('view', 'click', 'purchase') AND {IN}),
+    a AS (SELECT project_id, who, min(t) AS t FROM e WHERE name = '{STEPS[0].name}' GROUP BY ALL),
+    b AS (SELECT project_id, who, min(e.t) AS t FROM e JOIN a USING (project_id, who) WHERE name = '{STEPS[1].name}' AND e.t > a.t GROUP BY ALL),
+    c AS (SELECT project_id, who, min(e.t) AS t FROM e JOIN b USING (project_id, who) WHERE name = '{STEPS[2].name}' AND e.t > b.t GROUP BY ALL)
+    SELECT who, max(level) AS level FROM (SELECT project_id, who, 1 AS level FROM a UNION ALL SELECT project_id, who, 2 FROM b UNION ALL SELECT project_id, who, 3 FROM c) GROUP BY project_id, who"""
+)
+def funnel_no_window(spark, sf_dir):
+    """A funnel of profiles without a time limit, composed from six-hour slices."""
+    return Fn.funnel_levels(T.events(spark, sf_dir), STEPS, START, END, None, "profile_id", slice_hours=6).select("who", "level")
+
+
 _STEPS_SQL = """, grid AS (SELECT {g} step FROM {from_} CROSS JOIN (SELECT unnest([1, 2, 3]) AS step)),
     counted AS (SELECT grid.*, (SELECT count(*) FROM levels l WHERE l.level >= grid.step {same}) AS count FROM grid),
     around AS (SELECT *, first_value(count) OVER w AS f, lag(count) OVER w AS p, lead(count) OVER w AS n FROM counted WINDOW w AS ({part} ORDER BY step)),

@@ -8,6 +8,9 @@ against SQL.  Absent strings are '' (never null).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -140,7 +143,7 @@ def materialize(spark: SparkSession, sf_dir: str, root: str, first=None, last=No
     # plain session numbers count from the first event that is read; these ids do not
     found = view_duration(with_start_ids(sessionize(rows, GAP_SECONDS)), "view")
     for name, table in (("events", found), ("sessions", session_rows(found, "view"))):
-        write_days(table.filter(_days("created_at", first, last)).withColumn("event_date", F.to_date("created_at")), f"{root}/{name}")
+        write_days(table.filter(_days("created_at", first, last)).withColumn("event_date", F.to_date("created_at")), f"{root}/{name}", ["id"])
 
 
 def _days(column: str, first, last, margin: int = 0) -> Column:
@@ -166,6 +169,12 @@ def stored(spark: SparkSession, root: str, name: str, project_id: str | None = N
     return rows
 
 
+def stored_by_id(spark: SparkSession, root: str, name: str, ids: Sequence[str], near=None, hours: float = 24, project_id: str | None = None) -> DataFrame:
+    """Rows with one of a few ids; a time near which they lie, if it is known, leaves the folders of those days only."""
+    start, end = (None, None) if near is None else (near - timedelta(hours=hours), near + timedelta(hours=hours))
+    return stored(spark, root, name, project_id, start, end).filter(F.col("id").isin(*ids))
+
+
 def register(spark: SparkSession, sf_dir: str) -> None:
     """Temporary views under the logical names, for SQL users."""
     for name, make in (("events", events), ("sessions", sessions), ("profiles", profiles)):
