@@ -49,23 +49,24 @@ def step_pairs(events: DataFrame, steps: Sequence[EventSeries]) -> DataFrame:
 def _levels_by_slices(pairs: DataFrame, keys: Sequence[str], steps: int, slice_ms: int) -> DataFrame:
     """How deep each key got without a time limit; ``keys``, level.
 
-    A slice of time is told by the lowest step that a chain ending in each step can begin with there.  A key that has
-    reached i before a slice leaves it with the deepest step whose chain begins at i + 1 or below; slices of a key are
-    composed in order, an array of small rows.  Only one slice of a key is sorted by one task.
+    A slice of time is told by the lowest step that a chain ending in each step can begin with there.  A key reaches a
+    step in the first slice where such a chain begins with the first step, or with one whose predecessor was reached in a
+    slice before.  Only one slice of a key's events is sorted by one task; a slice is one row of what follows.
     """
     rows = pairs.select(*keys, "ts", "step", F.floor(F.col("ts") / slice_ms).alias("_slice")).distinct().withColumn("_lowest", F.col("step"))
     earlier = Window.partitionBy(*keys, "_slice").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     for i in range(2, steps + 1):
         before = F.min(F.when(F.col("step") == i - 1, F.col("_lowest"))).over(earlier)
         rows = rows.withColumn("_lowest", F.when(F.col("step") == i, F.coalesce(before, F.lit(i))).otherwise(F.col("_lowest")))
-    lowest = F.array(*[F.min(F.when(F.col("step") == j, F.col("_lowest"))) for j in range(1, steps + 1)])
-    slices = rows.groupBy(*keys, "_slice").agg(lowest.alias("_lowest")).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_slice", "_lowest"))).alias("_slices"))
-
-    def after(level: Column, part: Column) -> Column:
-        ends = F.transform(part["_lowest"], lambda low, j: F.when(low <= level + 1, (j + 1).cast("int")))
-        return F.greatest(level, F.array_max(ends))
-
-    return slices.select(*keys, F.aggregate("_slices", F.lit(0), after).alias("level")).filter("level > 0")
+    slices = rows.groupBy(*keys, "_slice").agg(*[F.min(F.when(F.col("step") == j, F.col("_lowest"))).alias(f"_lowest{j}") for j in range(1, steps + 1)])
+    whole = Window.partitionBy(*keys)
+    for j in range(1, steps + 1):
+        reached = F.col(f"_lowest{j}") == 1
+        for i in range(1, j):
+            reached = reached | ((F.col(f"_lowest{j}") <= i + 1) & (F.col(f"_reached{i}") < F.col("_slice")))
+        slices = slices.withColumn(f"_reached{j}", F.min(F.when(reached, F.col("_slice"))).over(whole))
+    deepest = F.max(F.array_max(F.array(*[F.when(F.col(f"_reached{j}").isNotNull(), F.lit(j)) for j in range(1, steps + 1)])))
+    return slices.groupBy(*keys).agg(deepest.alias("level")).filter("level IS NOT NULL")
 
 
 def funnel_levels(
