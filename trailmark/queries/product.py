@@ -635,12 +635,12 @@ def stored_tables(spark, sf_dir):
 
 @query("SELECT id, name, path, {} AS at, duration FROM ev WHERE project_id = 'p0' AND CAST(created_at AS DATE) = DATE '2024-01-15' ORDER BY event_id LIMIT 3".format(TS.format("created_at")))
 def event_lookup_stored(spark, sf_dir):
-    """Three events by their ids, of which it is known when they were about: read from the folder of that day."""
+    """Three events by their ids, of which it is known when they were about: read from the folders about that time."""
     root, noon = shared_folder(spark), datetime(2024, 1, 15, 12)
     T.materialize(spark, sf_dir, root)
     asked = T.base_events(spark, sf_dir).filter("project_id = 'p0' AND to_date(created_at) = DATE '2024-01-15'").orderBy("event_id").limit(3)
     ids = [r.id for r in asked.select("id").collect()]
-    return T.stored_by_id(spark, root, "events", ids, noon, 11.999, "p0").select("id", "name", "path", text("created_at").alias("at"), "duration")
+    return T.stored_by_id(spark, root, "events", ids, noon, 12, "p0").select("id", "name", "path", text("created_at").alias("at"), "duration")
 
 
 @query("SELECT id, session_id, duration FROM ev")
