@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.filters import where
 from ..functions.flatten import render
 from ..plans.spec import EventSeries
+from .buckets import fold_keys
 
 TAGS = ("source", "medium", "campaign", "content", "term")
 _FIRST = ("referrer", "country", "region", *[f"utm_{k}" for k in TAGS])  # as the first event tells them

@@ -20,6 +20,7 @@ from ..operators.enrich import event_time
 from ..operators.profiles import merge_profiles
 from ..plans.spec import EventSeries
 from ..sources.folders import shared_folder
+from .buckets import fold_keys
 
 STREAM_SCHEMA = "id string, name string, project_id string, device_id string, profile_id string, created_at timestamp, path string, origin string, revenue long"
 
@@ -48,6 +49,11 @@ def split_late(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return events.filter(~F.col("is_past")).drop("is_past"), events.filter("is_past").drop("is_past")
 
 
+def _placed(events: DataFrame, delay: str | None) -> DataFrame:
+    """Events with the time in microseconds (``us``) beside the watermarked one, whatever the session's time zone."""
+    return _timed(events, delay).withColumn("us", F.unix_micros("created_at"))
+
+
 def _keyed(events: DataFrame, delay: str | None, keys: tuple[str, ...]):
     """Groups with the time in microseconds (``us``) beside the watermarked one, whatever the session's time zone."""
     return _timed(events, delay).withColumn("us", F.unix_micros("created_at")).groupBy(*keys)
@@ -167,28 +173,21 @@ def held_views(events: DataFrame, delay: str = "30 minutes", wait_minutes: int =
     The last one comes out at the session's end or after the wait, with 0.
     """
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else None  # id, path, microseconds
-        out = []
-        if state.hasTimedOut:
-            out.append((key[0], *held, 0))
-            state.remove()
-        else:
-            rows = pd.concat(batches).sort_values(["us", "id"])
-            for row in rows.itertuples():
-                seen = row.name == view
-                if held:
-                    out.append((key[0], *held, max(0, row.us // 1000 - held[2] // 1000) if seen else 0))
-                held = (row.id, row.path, row.us) if seen else None
+    def step(key: tuple, rows: list[tuple] | None, held: list | None, mark: int, out: list[tuple]):
+        """Holds id, path, microseconds."""
+        if rows is None:
+            out.append((*key, *held, 0))
+            return None
+        for now, row, name, path in rows:
+            seen = name == view
             if held:
-                state.update(held)
-                state.setTimeoutTimestamp(max(held[2] // 1000 + wait_minutes * 60_000, state.getCurrentWatermarkMs() + 1))
-            elif state.exists:
-                state.remove()
-        yield _frame(out, HELD_VIEWS)
-
-    views = _keyed(events.filter(F.col("name").isin(view, "session_end")), delay, ("session_id",))
-    held = views.applyInPandasWithState(run, HELD_VIEWS, "id string, path string, at long", "append", GroupStateTimeout.EventTimeTimeout)
+                out.append((*key, *held, max(0, now // 1000 - held[2] // 1000) if seen else 0))
+            held = (row, path, now) if seen else None
+        return held and (held, max(held[2] // 1000 + wait_minutes * 60_000, mark + 1))
+
+    # all events move the watermark on, so the others are not filtered away here: Spark would do that below the watermark
+    us = F.when(F.col("name").isin(view, "session_end"), F.unix_micros("created_at"))
+    held = fold_keys(_timed(events, delay).withColumn("us", us), ("session_id",), ("name", "path"), step, HELD_VIEWS)
     return _with_times(held, us="created_at")
 
 
