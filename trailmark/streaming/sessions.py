@@ -69,33 +69,34 @@ def session_log(events: DataFrame, stored: DataFrame | None = None, gap_minutes:
         rows = rows.unionByName(_known(stored), allowMissingColumns=True)
     gap, keep = gap_minutes * 60_000_000, max(gap_minutes, ttl_minutes) * 60_000_000
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out: list[tuple] = []
-        if state.hasTimedOut:
-            state.remove()
-        else:
-            held = told = json.loads(state.get[0]) if state.exists else None
-            frame = pd.concat(batches)
-            is_event = frame["known"] == ""
-            if held is None and not is_event.all():
-                held = told = max(map(json.loads, frame["known"][~is_event]), key=lambda s: s["last_us"])
-            for event in frame[is_event].astype({"event_id": "int64", "revenue": "int64"}).sort_values(["us", "event_id"]).to_dict("records"):
-                if held and event["us"] - held["last_us"] > gap:
-                    if held is not told:
-                        out.append(_told(key, held, 1))
-                    held = told = None
-                elif held is not None and held is told:  # the first event of this batch that changes what has been told
-                    out.append(_told(key, held, -1))
-                    held = {**held, "version": held["version"] + 1}
-                held = _take(held, event, key[1], view)
-            if held is not told:
-                out.append(_told(key, held, 1))
-            state.update((json.dumps(held),))
-            state.setTimeoutTimestamp(max((held["last_us"] + keep) // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=_COLUMNS)
-
-    keyed = rows.withWatermark("created_at", delay).withColumn("us", F.unix_micros("created_at")).groupBy("project_id", "device_id")
-    log = keyed.applyInPandasWithState(run, LOG, "session string", "append", GroupStateTimeout.EventTimeTimeout)
+    def step(key: tuple, rows: list[tuple] | None, held: dict | None, mark: int, out: list[tuple]):
+        if rows is None:
+            return None
+        told = held
+        before = [known for *_, known in rows if known]
+        if held is None and before:
+            held = told = max(map(json.loads, before), key=lambda s: s["last_us"])
+        for row in rows:
+            if row[-1]:
+                continue
+            event = dict(zip(names, row))
+            if held and event["us"] - held["last_us"] > gap:
+                if held is not told:
+                    out.append(_told(key, held, 1))
+                held = told = None
+            elif held is not None and held is told:  # the first event of this batch that changes what has been told
+                out.append(_told(key, held, -1))
+                held = {**held, "version": held["version"] + 1}
+            held = _take(held, event, key[1], view)
+        if held is not told:
+            out.append(_told(key, held, 1))
+        return held, max((held["last_us"] + keep) // 1000, mark + 1)
+
+    rows = rows.withColumns({"id": F.col("event_id").cast("string"), "event_id": F.coalesce("event_id", F.lit(0)), "revenue": F.coalesce("revenue", F.lit(0))})
+    timed = rows.withWatermark("created_at", delay).withColumn("us", F.unix_micros("created_at"))
+    values = ("profile_id", "name", "path", "origin", *_FIRST, "event_id", "revenue", "known")
+    names = ("us", "id", *values)
+    log = fold_keys(timed, ("project_id", "device_id"), values, step, LOG)
     times = {"first_us": "created_at", "last_us": "ended_at"}
     return log.select(*[F.timestamp_micros(c).alias(times[c]) if c in times else F.col(c) for c in log.columns])
 
