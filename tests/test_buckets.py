@@ -30,6 +30,7 @@ def people(rows):
 
 
 STREAMS = {
+    "notices": S.visitor_notices,
     "rows": lambda rows: SS.session_log(known(rows)),
     "views": lambda rows: S.held_views(rows.withColumn("session_id", F.col("device_id")), view="view"),
 }

@@ -198,25 +198,20 @@ def visitor_notices(events: DataFrame, minutes: int = 5, delay: str | None = "1
     """+1 when a visitor turns active, -1 once they have been silent for some minutes; the sum is who is there."""
     silence = minutes * 60_000_000
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        out = []
-        if state.hasTimedOut:
+    def step(key: tuple, rows: list[tuple] | None, last: int | None, mark: int, out: list[tuple]):
+        if rows is None:
             out.append((*key, last + silence, -1))
-            state.remove()
-        else:
-            for now in sorted(pd.concat(batches)["us"].tolist()):
-                if last is not None and now - last > silence:
-                    out.append((*key, last + silence, -1))
-                    last = None
-                if last is None:
-                    out.append((*key, now, 1))
-                last = max(last or now, now)
-            state.update((last,))
-            state.setTimeoutTimestamp(max((last + silence) // 1000, state.getCurrentWatermarkMs() + 1))
-        yield _frame(out, NOTICES)
-
-    notices = _keyed(events, delay, ("project_id", "profile_id")).applyInPandasWithState(run, NOTICES, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+            return None
+        for now, _ in rows:
+            if last is not None and now - last > silence:
+                out.append((*key, last + silence, -1))
+                last = None
+            if last is None:
+                out.append((*key, now, 1))
+            last = max(last or now, now)
+        return last, max((last + silence) // 1000, mark + 1)
+
+    notices = fold_keys(_placed(events, delay), ("project_id", "profile_id"), (), step, NOTICES)
     return _with_times(notices, us="at")
 
 
