@@ -31,6 +31,7 @@ def people(rows):
 
 STREAMS = {
     "notices": S.visitor_notices,
+    "profiles": lambda rows: S.profile_changes(people(rows)),
     "rows": lambda rows: SS.session_log(known(rows)),
     "views": lambda rows: S.held_views(rows.withColumn("session_id", F.col("device_id")), view="view"),
 }

@@ -309,24 +309,22 @@ def profile_changes(rows: DataFrame) -> DataFrame:
     ``by`` (map of numbers, added to numeric properties, which start at 0).  Later rows win, equal times in any order.
     """
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        was = json.loads(state.get[0]) if state.exists else {"fields": {}, "properties": {}, "version": 0}
+    def step(key: tuple, new: list[tuple], held: dict | None, mark: int, out: list[tuple]):
+        was = held or {"fields": {}, "properties": {}, "version": 0}
         now = {"fields": dict(was["fields"]), "properties": dict(was["properties"])}
-        new = pd.concat(batches).sort_values("us", kind="stable")
-        for row in new.itertuples():
-            for part in ("fields", "properties"):
-                now[part] |= {k: v for k, v in _pairs(getattr(row, part)) if v}
-            for k, by in _pairs(row.by):
-                now["properties"][k] = _number(_number_or_zero(now["properties"].get(k)) + by)
-        out = []
+        for _, _, fields, properties, by in new:
+            for part, told in (("fields", fields), ("properties", properties)):
+                now[part].update((k, v) for k, v in _pairs(told) if v)
+            for k, n in _pairs(by):
+                now["properties"][k] = _number(_number_or_zero(now["properties"].get(k)) + n)
         if not was["version"] or any(now[part] != was[part] for part in now):
-            version = was["version"] + 1
-            state.update((json.dumps({**now, "version": version}),))
-            out.append((*key, now["fields"], now["properties"], int(new["us"].iloc[-1]), version))
-        yield _frame(out, PROFILE_ROWS)
+            was = {**now, "version": was["version"] + 1}
+            out.append((*key, now["fields"], now["properties"], new[-1][0], was["version"]))
+        return was, 0
 
-    keyed = rows.withColumn("us", F.unix_micros("created_at")).groupBy("project_id", "id")
-    return _with_times(keyed.applyInPandasWithState(run, PROFILE_ROWS, "profile string", "append", GroupStateTimeout.NoTimeout), us="created_at")
+    placed = rows.select("created_at", F.unix_micros("created_at").alias("us"), "project_id", F.col("id").alias("person"), F.lit("").alias("id"), "fields", "properties", "by")
+    told = fold_keys(placed, ("project_id", "person"), ("fields", "properties", "by"), step, PROFILE_ROWS, timeout=False)
+    return _with_times(told, us="created_at")
 
 
 def _pairs(value) -> list[tuple]:
