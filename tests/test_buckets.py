@@ -30,6 +30,7 @@ def people(rows):
 
 
 STREAMS = {
+    "marks": S.session_marks,
     "notices": S.visitor_notices,
     "profiles": lambda rows: S.profile_changes(people(rows)),
     "rows": lambda rows: SS.session_log(known(rows)),
@@ -49,6 +50,17 @@ def test_groups_do_not_grow_with_keys(spark, tmp_path, name):
     assert 0 < groups < 600
 
 
+def test_keys_of_a_bucket_end_one_by_one(spark, monkeypatch):
+    """d1 falls silent beside d2, which goes on in the same bucket; both ways to be called find it."""
+    from trailmark.streaming import buckets
+
+    monkeypatch.setattr(buckets, "BUCKETS", 1)
+    slices = [[(1, "view", "d1", 0), (2, "view", "d2", 0)], [(3, "view", "d2", 25)], [(4, "view", "d2", 50)], [(5, "view", "d2", 75)]]
+    marks = S.replay(spark, [events(spark, rows) for rows in slices], lambda e: S.session_marks(e, view="view"))
+    got = sorted((r.device_id, r.name, r.views) for r in marks.collect())
+    assert got == [("d1", "session_end", 1), ("d1", "session_start", 0), ("d2", "session_start", 0)]
+
+
 def held(spark, slices):
     views = S.replay(spark, [events(spark, rows) for rows in slices], lambda e: S.held_views(e.withColumn("session_id", F.col("device_id")), view="view"))
     return sorted((r.id, r.duration_ms) for r in views.collect())

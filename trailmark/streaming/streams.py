@@ -78,34 +78,27 @@ def session_marks(events: DataFrame, gap_minutes: int = 30, delay: str | None =
     """
     gap = gap_minutes * 60_000_000
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get) if state.exists else None  # opened, first, last, views, events, person
-        out: list[tuple] = []
+    def step(key: tuple, rows: list[tuple] | None, held: list | None, mark: int, out: list[tuple]):
+        """Holds opened, first, last, views, events, person."""
 
         def close() -> None:
             opened, first, last, views, count, person = held
             out.append((*key, person, f"{key[1]}-{opened}", "session_end", last + 1_000_000, (last - first) // 1000, views, count))
 
-        if state.hasTimedOut:
-            close()
-            state.remove()
-        else:
-            rows = pd.concat(batches).sort_values(["us", "id"])
-            for now, name, person in zip(rows["us"].tolist(), rows["name"], rows["profile_id"]):
-                if held and now - held[2] > gap:
-                    close()
-                    held = None
-                known = person if person and person != key[1] else None
-                if held is None:
-                    held = [now, now, now, 0, 0, known or key[1]]
-                    out.append((*key, held[5], f"{key[1]}-{now}", "session_start", now - 100_000, 0, 0, 0))
-                held = [held[0], min(held[1], now), max(held[2], now), held[3] + (name == view), held[4] + (name != view), known or held[5]]
-            state.update(tuple(held))
-            state.setTimeoutTimestamp(max((held[2] + gap) // 1000, state.getCurrentWatermarkMs() + 1))
-        yield _frame(out, SESSION_MARKS)
-
-    held = "opened long, first long, last long, views long, events long, person string"
-    marks = _keyed(events, delay, ("project_id", "device_id")).applyInPandasWithState(run, SESSION_MARKS, held, "append", GroupStateTimeout.EventTimeTimeout)
+        if rows is None:
+            return close()
+        for now, _, name, person in rows:
+            if held and now - held[2] > gap:
+                close()
+                held = None
+            known = person if person and person != key[1] else None
+            if held is None:
+                held = [now, now, now, 0, 0, known or key[1]]
+                out.append((*key, held[5], f"{key[1]}-{now}", "session_start", now - 100_000, 0, 0, 0))
+            held = [held[0], min(held[1], now), max(held[2], now), held[3] + (name == view), held[4] + (name != view), known or held[5]]
+        return held, max((held[2] + gap) // 1000, mark + 1)
+
+    marks = fold_keys(_placed(events, delay), ("project_id", "device_id"), ("name", "profile_id"), step, SESSION_MARKS)
     return _with_times(marks, us="created_at")
 
 
