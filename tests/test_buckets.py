@@ -34,6 +34,7 @@ STREAMS = {
     "notices": S.visitor_notices,
     "profiles": lambda rows: S.profile_changes(people(rows)),
     "rows": lambda rows: SS.session_log(known(rows)),
+    "rules": lambda rows: SS.funnel_rules(rows, {"r": ([S.EventSeries("view")], "{{rule}}")}),
     "views": lambda rows: S.held_views(rows.withColumn("session_id", F.col("device_id")), view="view"),
 }
 

@@ -130,10 +130,8 @@ def funnel_rules(
     ]
     gap = gap_minutes * 60_000_000
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else None
-        opened, last, reached = (held[0], held[1], json.loads(held[2])) if held else (None, None, {})
-        out: list[tuple] = []
+    def step(key: tuple, rows: list[tuple] | None, held: list | None, mark: int, out: list[tuple]):
+        opened, last, reached = held or (None, None, {})
 
         def close() -> None:
             for rule in names:
@@ -141,27 +139,23 @@ def funnel_rules(
                 if len(steps) == sizes[rule]:
                     out.append((*key, opened, rule, *[list(x) for x in zip(*steps)]))
 
-        if state.hasTimedOut:
-            close()
-            state.remove()
-        else:
-            rows = pd.concat(batches).sort_values(["us", "id"])
-            for now, name, path, hits in zip(rows["us"].tolist(), rows["name"], rows["path"], rows["met"]):
-                if opened is not None and now - last > gap:
-                    close()
-                    opened, reached = None, {}
-                opened, last = (now, now) if opened is None else (min(opened, now), max(last, now))
+        if rows is None:
+            return close()
+        for now, _, name, path, hits in rows:
+            if opened is not None and now - last > gap:
+                close()
+                opened, reached = None, {}
+            opened, last = (now, now) if opened is None else (min(opened, now), max(last, now))
+            if hits:
                 due = {f"{r}:{len(reached.get(rule, []))}": rule for r, rule in enumerate(names)}
-                for hit in hits:
+                for hit in hits.split(" "):
                     if hit in due:
                         reached.setdefault(due[hit], []).append((name, path, now))
-            state.update((opened, last, json.dumps(reached)))
-            state.setTimeoutTimestamp(max((last + gap) // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in FIRED.split(", ")])
+        return (opened, last, reached), max((last + gap) // 1000, mark + 1)
 
     timed = events.withWatermark("created_at", delay) if delay else events
-    keyed = timed.withColumn("us", F.unix_micros("created_at")).withColumn("met", F.array_compact(F.array(*met))).groupBy("project_id", "device_id")
-    fired = keyed.applyInPandasWithState(run, FIRED, "opened long, last long, reached string", "append", GroupStateTimeout.EventTimeTimeout)
+    placed = timed.withColumn("us", F.unix_micros("created_at")).withColumn("met", F.concat_ws(" ", *met))
+    fired = fold_keys(placed, ("project_id", "device_id"), ("name", "path", "met"), step, FIRED)
     told = {"rule": F.col("rule"), "names": F.concat_ws(" > ", "names"), "first": F.element_at("names", 1), "path": F.element_at("paths", -1)}
     titles = F.coalesce(*[F.when(F.col("rule") == rule, render(F.lit(template), told)) for rule, (_, template) in rules.items()])
     steps = F.transform(F.arrays_zip("names", "paths", "times"), lambda x: F.struct(x["names"].alias("name"), x["paths"].alias("path"), F.timestamp_micros(x["times"]).alias("created_at")))
