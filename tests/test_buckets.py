@@ -31,6 +31,7 @@ def people(rows):
 
 STREAMS = {
     "marks": S.session_marks,
+    "changelog": S.session_changelog,
     "notices": S.visitor_notices,
     "profiles": lambda rows: S.profile_changes(people(rows)),
     "rows": lambda rows: SS.session_log(known(rows)),

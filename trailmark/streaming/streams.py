@@ -113,37 +113,32 @@ def session_changelog(events: DataFrame, gap_minutes: int = 30, ttl_minutes: int
     """
     gap, keep = gap_minutes * 60_000_000, max(gap_minutes, ttl_minutes) * 60_000_000
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out: list[tuple] = []
-        if state.hasTimedOut:
-            state.remove()
-        else:
-            held = tuple(state.get) if state.exists else None  # opened, person, first, last, views, events, revenue, version
-            told = held
-
-            def emit(row: tuple, sign: int) -> None:
-                out.append((*key, f"{key[1]}-{row[0]}", *row[1:], sign))
-
-            rows = pd.concat(batches).sort_values(["us", "id"])
-            for now, name, person, revenue in zip(rows["us"].tolist(), rows["name"], rows["profile_id"], rows["revenue"].fillna(0).astype("int64").tolist()):
-                if held and now - held[3] > gap:
-                    if held != told:
-                        emit(held, 1)
-                    held = told = None
-                known = person if person and person != key[1] else None
-                if held is None:
-                    held = (now, known or key[1], now, now, 0, 0, 0, 1)
-                elif held == told:  # the first event of this batch that changes what has been told
-                    emit(held, -1)
-                    held, told = (*held[:7], held[7] + 1), None
-                held = (held[0], known or held[1], min(held[2], now), max(held[3], now), held[4] + (name == view), held[5] + (name != view), held[6] + revenue, held[7])
-            emit(held, 1)
-            state.update(held)
-            state.setTimeoutTimestamp(max((held[3] + keep) // 1000, state.getCurrentWatermarkMs() + 1))
-        yield _frame(out, CHANGES)
-
-    held = "opened long, person string, first long, last long, views long, events long, revenue long, version long"
-    log = _keyed(events, delay, ("project_id", "device_id")).applyInPandasWithState(run, CHANGES, held, "append", GroupStateTimeout.EventTimeTimeout)
+    def step(key: tuple, rows: list[tuple] | None, held: list | None, mark: int, out: list[tuple]):
+        """Holds opened, person, first, last, views, events, revenue, version."""
+        if rows is None:
+            return None
+        held = told = tuple(held) if held else None
+
+        def emit(row: tuple, sign: int) -> None:
+            out.append((*key, f"{key[1]}-{row[0]}", *row[1:], sign))
+
+        for now, _, name, person, revenue in rows:
+            if held and now - held[3] > gap:
+                if held != told:
+                    emit(held, 1)
+                held = told = None
+            known = person if person and person != key[1] else None
+            if held is None:
+                held = (now, known or key[1], now, now, 0, 0, 0, 1)
+            elif held == told:  # the first event of this batch that changes what has been told
+                emit(held, -1)
+                held, told = (*held[:7], held[7] + 1), None
+            held = (held[0], known or held[1], min(held[2], now), max(held[3], now), held[4] + (name == view), held[5] + (name != view), held[6] + revenue, held[7])
+        emit(held, 1)
+        return held, max((held[3] + keep) // 1000, mark + 1)
+
+    rows = _placed(events, delay).withColumn("revenue", F.coalesce("revenue", F.lit(0)).cast("long"))
+    log = fold_keys(rows, ("project_id", "device_id"), ("name", "profile_id", "revenue"), step, CHANGES)
     return _with_times(log, first_us="created_at", last_us="ended_at")
 
 
