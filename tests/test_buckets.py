@@ -36,6 +36,7 @@ STREAMS = {
     "profiles": lambda rows: S.profile_changes(people(rows)),
     "rows": lambda rows: SS.session_log(known(rows)),
     "rules": lambda rows: SS.funnel_rules(rows, {"r": ([S.EventSeries("view")], "{{rule}}")}),
+    "midnight": lambda rows: SS.sessions_over_midnight(rows.withColumn("previous_device_id", F.lit("")).withColumn("visitor", F.col("device_id"))),
     "views": lambda rows: S.held_views(rows.withColumn("session_id", F.col("device_id")), view="view"),
 }
 

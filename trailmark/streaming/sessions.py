@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.filters import where
 from ..functions.flatten import render
@@ -175,23 +172,18 @@ def sessions_over_midnight(events: DataFrame, gap_minutes: int = 30, delay: str
     """
     gap = gap_minutes * 60_000_000
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out = []
-        if state.hasTimedOut:
-            state.remove()
-        else:
-            held = tuple(state.get) if state.exists else None  # device, opened, last
-            rows = pd.concat(batches).sort_values(["us", "id"])
-            for now, row, device, previous in zip(rows["us"].tolist(), rows["id"], rows["device_id"], rows["previous_device_id"]):
-                goes_on = held and held[0] in (device, previous) and held[1] - gap <= now <= held[2] + gap
-                session = (held[0], held[1], max(held[2], now)) if goes_on else (device, now, now)
-                if held is None or now >= held[1]:
-                    held = session
-                out.append((key[0], row, device, session[0], f"{session[0]}-{session[1]}", now))
-            state.update(held)
-            state.setTimeoutTimestamp(max((held[2] + gap) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in CARRIED.split(", ")])
-
-    keyed = events.withWatermark("created_at", delay).withColumn("us", F.unix_micros("created_at")).groupBy("project_id", "visitor")
-    told = keyed.applyInPandasWithState(run, CARRIED, "device string, opened long, last long", "append", GroupStateTimeout.EventTimeTimeout)
+    def step(key: tuple, rows: list[tuple] | None, held: list | None, mark: int, out: list[tuple]):
+        """Holds device, opened, last."""
+        if rows is None:
+            return None
+        for now, row, device, previous in rows:
+            goes_on = held and held[0] in (device, previous) and held[1] - gap <= now <= held[2] + gap
+            session = (held[0], held[1], max(held[2], now)) if goes_on else (device, now, now)
+            if held is None or now >= held[1]:
+                held = session
+            out.append((key[0], row, device, session[0], f"{session[0]}-{session[1]}", now))
+        return held, max((held[2] + gap) // 1000 + 1, mark + 1)
+
+    placed = events.withWatermark("created_at", delay).withColumn("us", F.unix_micros("created_at"))
+    told = fold_keys(placed, ("project_id", "visitor"), ("device_id", "previous_device_id"), step, CARRIED)
     return told.withColumn("created_at", F.timestamp_micros("us")).drop("us")
