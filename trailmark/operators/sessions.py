@@ -91,52 +91,78 @@ def view_duration(events: DataFrame, view: str = "screen_view") -> DataFrame:
 
 def session_rows(events: DataFrame, view: str = "screen_view") -> DataFrame:
     """One row per session: entry and exit, counts, bounce, duration, revenue, person."""
-    at = F.struct("created_at", "event_id")
-    first = lambda c: F.min_by(c, at)
+    at, tags = ("created_at", "event_id"), ("source", "medium", "campaign", "content", "term")
     views = F.count_if(F.col("name") == view)
-    utm = lambda k: F.min_by(F.element_at("properties", f"__query.utm_{k}"), at)
-    known = F.when(F.col("profile_id") != F.col("device_id"), F.col("profile_id"))
+    utm = [f"utm_{k}" for k in tags]
+    tagged = events.select("*", *[F.element_at("properties", f"__query.{k}").alias(k) for k in utm])  # texts, no map, are sorted with the rows
+    known = F.when(F.col("profile_id") != F.col("device_id"), F.struct(*at, "profile_id"))
+    own = ["project_id", "device_id", "id"]
     return (
-        events.groupBy("project_id", "device_id", F.col("session_id").alias("id"))
+        # ids first: Spark sorts by these keys, and projects seldom differ
+        tagged.groupBy(F.col("session_id").alias("id"), "device_id", "project_id")
         .agg(
-            F.coalesce(F.max_by(known, F.when(known.isNotNull(), at)), F.max("profile_id")).alias("profile_id"),
+            # first and last event as one value each, not one for each column
+            F.min(F.struct(*at, "path", "origin", "referrer", "country", "region", *utm)).alias("_first"),
+            F.max(F.struct(*at, "path", "origin")).alias("_last"),
+            F.max(known).alias("_known"),
+            F.max("profile_id").alias("profile_id"),
             F.min("created_at").alias("created_at"),
             F.max("created_at").alias("ended_at"),
-            *[first(c).alias(f"entry_{c}") for c in ("path", "origin")],
-            *[F.max_by(c, at).alias(f"exit_{c}") for c in ("path", "origin")],
-            *[first(c).alias(c) for c in ("referrer", "country", "region")],
             views.alias("screen_view_count"),
             F.count_if(F.col("name") != view).alias("event_count"),
             F.sum("revenue").alias("revenue"),
-            *[F.coalesce(utm(k), F.lit("")).alias(f"utm_{k}") for k in ("source", "medium", "campaign", "content", "term")],
         )
-        .withColumn("duration", F.unix_millis("ended_at") - F.unix_millis("created_at"))
-        .withColumn("is_bounce", F.col("screen_view_count") <= 1)
+        .select(
+            *own,
+            F.coalesce("_known.profile_id", "profile_id").alias("profile_id"),
+            "created_at",
+            "ended_at",
+            *[F.col(f"_first.{c}").alias(f"entry_{c}") for c in ("path", "origin")],
+            *[F.col(f"_last.{c}").alias(f"exit_{c}") for c in ("path", "origin")],
+            *[F.col(f"_first.{c}").alias(c) for c in ("referrer", "country", "region")],
+            "screen_view_count",
+            "event_count",
+            "revenue",
+            *[F.coalesce(f"_first.{k}", F.lit("")).alias(k) for k in utm],
+            (F.unix_millis("ended_at") - F.unix_millis("created_at")).alias("duration"),
+            (F.col("screen_view_count") <= 1).alias("is_bounce"),
+        )
     )
 
 
 def session_markers(events: DataFrame, before_ms: int = 1000, after_ms: int = 500) -> DataFrame:
     """Synthetic session_start and session_end events around each session's own."""
-    at = F.struct("created_at", "event_id")
-    kept = ["path", "origin", "referrer", "country"]
-    picked = F.struct(*kept)
-    ends = events.groupBy("project_id", "device_id", "profile_id", "session_id").agg(
-        F.min_by(picked, at).alias("first"), F.max_by(picked, at).alias("last"), F.min("created_at").alias("t0"), F.max("created_at").alias("t1")
-    )
+    return marked_ends(events, before_ms, after_ms).drop("beside")
+
+
+def marker_times(first: Column, last: Column, before_ms: int = 1000, after_ms: int = 500) -> tuple[Column, Column]:
+    """When the markers of a session are, by its first and last event."""
     ms = lambda n: F.make_dt_interval(secs=F.lit(n / 1000).cast("decimal(18,6)"))
+    return first - ms(before_ms), last + ms(after_ms)
+
+
+def marked_ends(events: DataFrame, before_ms: int = 1000, after_ms: int = 500) -> DataFrame:
+    """As ``session_markers``, with the time of the event that a marker stands beside."""
+    kept = ["path", "origin", "referrer", "country"]
+    at = ("created_at", "event_id")
     own = ["project_id", "device_id", "profile_id", "session_id"]
-    start = ends.select(*own, F.lit("session_start").alias("name"), (F.col("t0") - ms(before_ms)).alias("created_at"), F.lit(0).cast("long").alias("duration"), "first.*")
-    stop = ends.select(
-        *own,
-        F.lit("session_end").alias("name"),
-        (F.col("t1") + ms(after_ms)).alias("created_at"),
-        (F.unix_millis("t1") - F.unix_millis("t0")).alias("duration"),
-        F.col("last.path").alias("path"),
-        F.col("last.origin").alias("origin"),
-        F.col("first.referrer").alias("referrer"),
-        F.col("first.country").alias("country"),
+    # sessions first: Spark sorts by these keys, and projects seldom differ
+    ends = events.groupBy(*reversed(own)).agg(
+        F.min(F.struct(*at, *kept)).alias("first"), F.max(F.struct(*at, "path", "origin")).alias("last"), F.min("created_at").alias("t0"), F.max("created_at").alias("t1")
     )
-    return start.unionByName(stop)
+    began, ended = marker_times(F.col("t0"), F.col("t1"), before_ms, after_ms)
+    start = {"name": F.lit("session_start"), "created_at": began, "duration": F.lit(0).cast("long"), **{c: F.col(f"first.{c}") for c in kept}, "beside": F.col("t0")}
+    stop = {
+        **start,
+        "name": F.lit("session_end"),
+        "created_at": ended,
+        "duration": F.unix_millis("t1") - F.unix_millis("t0"),
+        "path": F.col("last.path"),
+        "origin": F.col("last.origin"),
+        "beside": F.col("t1"),
+    }
+    both = F.array(*[F.struct(*[c.alias(n) for n, c in side.items()]) for side in (start, stop)])
+    return ends.select(*own, F.inline(both))
 
 
 def changelog(sessions: DataFrame, withdrawn: Column | None = None) -> DataFrame:

@@ -52,8 +52,9 @@ def timestamp_rules(spark, sf_dir):
     return T.base_events(spark, sf_dir).select("id", text(rule["created_at"]).alias("at"), rule["is_past"].alias("is_past"))
 
 
-def _web_rows(spark, sf_dir):
+def _web_rows(spark, sf_dir, kept=None):
     events = T.base_events(spark, sf_dir)
+    events = events if kept is None else events.filter(kept)  # by times, before they become texts
     return events.select(
         F.lit("w").alias("website_id"), F.lit("").alias("session_id"), F.col("id").alias("event_id"), F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("created_at"),
         F.when(F.col("name") == "view", "1").otherwise("2").alias("event_type"), F.col("name").alias("event_name"), F.col("path").alias("url_path"), F.lit("").alias("url_query"),
@@ -86,9 +87,9 @@ class _Stopped(Exception):
 )
 def import_job_resumed(spark, sf_dir):
     """Stored events and sessions of an import that was stopped after each of its steps and continued."""
-    rows, root, at = _web_rows(spark, sf_dir), shared_folder(spark), F.col("created_at").cast("timestamp")
+    root, at = shared_folder(spark), F.col("created_at")
     parts = {"first": at < "2024-01-15", "rest": at >= "2024-01-15"}
-    batches = {name: (lambda c=c: Im.map_web_rows(rows.filter(c), "p0")) for name, c in parts.items()}
+    batches = {name: (lambda c=c: Im.map_web_rows(_web_rows(spark, sf_dir, c), "p0")) for name, c in parts.items()}
 
     def stop(state):
         raise _Stopped

@@ -18,6 +18,10 @@ from . import imports, versions
 from .ledger import Ledger
 
 STEPS = ("loading", "moving", "backfilling_sessions", "completed")
+#: Rows around midnight that are broadcast; with more, tables are shuffled.
+FEW_ROWS = 100_000
+#: Staged files a day beyond which events are brought together again.
+FEW_FILES = 32
 
 
 def status(spark: SparkSession, root: str, import_id: str) -> dict:
@@ -61,20 +65,39 @@ def run(
             found = _staged(spark, staging, import_id).agg(F.count(F.lit(1)).alias("rows"), F.min("event_date").alias("first"), F.max("event_date").alias("last")).first()
             bounds = {k: v if k == "rows" else str(v) for k, v in found.asDict().items()}
         enter(step="moving", done=[], **bounds)
-    for step, table, make, then in (("moving", "events", imports.production_rows, "backfilling_sessions"), ("backfilling_sessions", "sessions", imports.import_sessions, "completed")):
+    for step, table, make, then in (("moving", "events", _events, "backfilling_sessions"), ("backfilling_sessions", "sessions", _sessions, "completed")):
         if state["step"] != step:
             continue
         for first, last in _runs(state, days_at_once):
             if str(first) in state["done"]:
                 continue
-            near = _staged(spark, staging, import_id).filter(F.col("event_date").between(first - timedelta(days=1), last + timedelta(days=1)))
-            made = make(near.drop("import_id", "batch", "event_date")).withColumn("event_date", F.to_date("created_at"))
-            versions.put_days(made.filter(F.col("event_date").between(first, last)), root, f"{table}_{import_id}")
+            around = (first - timedelta(days=1), last + timedelta(days=1))
+            near = _staged(spark, staging, import_id).filter(F.col("event_date").between(*around)).drop("import_id", "batch", "event_date")
+            files = _files(spark, staging, import_id, *around)
+            parts = [p.withColumn("event_date", F.to_date("created_at")).filter(F.col("event_date").between(first, last)) for p in make(near, files <= FEW_FILES * ((last - first).days + 3))]
+            versions.put_days(parts[0], root, f"{table}_{import_id}", *parts[1:])
             enter(done=[*state["done"], str(first)])
         enter(step=then, done=[])
     return state
 
 
+def _events(near: DataFrame, few_files: bool) -> list[DataFrame]:
+    """What is brought together by day, and what lies so already."""
+    few = imports.at_midnight(near).limit(FEW_ROWS + 1).count() <= FEW_ROWS
+    base, markers = imports.production_parts(near, few_at_midnight=few)
+    return [markers, base] if few_files else [base.unionByName(markers)]
+
+
+def _sessions(near: DataFrame, few_files: bool) -> list[DataFrame]:
+    return [imports.import_sessions(near)]
+
+
+def _files(spark: SparkSession, staging: str, import_id: str, first: date, last: date) -> int:
+    """How many files are staged of days."""
+    found = Ledger(spark, staging).folders(f"import_id={import_id}", "*", "event_date=*", "*.parquet")
+    return sum(str(first) <= path.split("/")[-2].split("=", 1)[1] <= str(last) for path in found)
+
+
 def _staged(spark: SparkSession, staging: str, import_id: str) -> DataFrame:
     return spark.read.parquet(staging).filter(F.col("import_id") == import_id)
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.flatten import flatten_json
 from ..functions.urls import url_parts
-from ..operators.sessions import bucket_session_id, session_markers, session_rows
+from ..operators.sessions import bucket_session_id, marked_ends, marker_times, session_rows
 
 WEB_COLUMNS = (
     "website_id", "session_id", "event_id", "created_at", "event_type", "event_name", "url_path", "url_query", "referrer_domain", "hostname", "browser", "os", "device", "country",
@@ -117,14 +117,31 @@ def with_session_ids(rows: DataFrame) -> DataFrame:
 
 def production_rows(staged: DataFrame, start=None) -> DataFrame:
     """Events with session markers, from a day on; a marker stays only beside events of its session and day."""
+    base, made = production_parts(staged, start)
+    return base.unionByName(made)
+
+
+def production_parts(staged: DataFrame, start=None, few_at_midnight: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The events and the markers of ``production_rows``; ``few_at_midnight`` (see ``at_midnight``) spares a shuffle of all rows."""
     rows = with_session_ids(staged).withColumn("event_id", F.xxhash64("id"))
     rows = rows if start is None else rows.filter(F.col("created_at") >= F.lit(start))
-    markers = session_markers(rows)
-    live = rows.select("session_id", F.to_date("created_at").alias("_day")).distinct()
-    kept = markers.withColumn("_day", F.to_date("created_at")).join(live, ["session_id", "_day"], "left_semi").drop("_day")
+    small = F.broadcast if few_at_midnight else (lambda frame: frame)
+    day, key = F.to_date("created_at"), ["session_id", "_day"]
+    # most markers fall on the day of the event beside them; for the others that day's events are looked up
+    sought = at_midnight(rows).select("session_id", F.explode("_days").alias("_day")).distinct()
+    seen = rows.select("session_id", day.alias("_day")).join(small(sought), key, "left_semi").distinct().withColumn("_seen", F.lit(True))
+    markers = marked_ends(rows).withColumn("_day", day)
+    beside = F.col("session_id").isNotNull() & (F.col("_day") == F.to_date("beside"))
+    kept = markers.join(small(seen), key, "left").filter(beside | F.col("_seen"))
     base = rows.select("id", "name", "project_id", "device_id", "profile_id", "session_id", "created_at", "path", "origin", "referrer", "country", F.lit(0).cast("long").alias("duration"))
     made = kept.withColumn("id", F.md5(F.concat_ws(":", "session_id", "name")))
-    return base.unionByName(made.select(base.columns))
+    return base, made.select(base.columns)
+
+
+def at_midnight(rows: DataFrame) -> DataFrame:
+    """The rows whose markers would fall on another day, with those days as _days."""
+    days = F.array(*[F.to_date(t) for t in marker_times(F.col("created_at"), F.col("created_at"))])
+    return rows.withColumn("_days", F.array_remove(days, F.to_date("created_at"))).filter(F.size("_days") > 0)
 
 
 def move_to_production(staged: DataFrame, path: str, start=None) -> None:

@@ -18,10 +18,16 @@ from pyspark.sql import functions as F
 from .ledger import Ledger
 
 
-def put_days(rows: DataFrame, root: str, name: str) -> None:
-    """Stores rows with project_id and event_date; days that they hold replace what was stored of these."""
+def put_days(rows: DataFrame, root: str, name: str, lying: DataFrame | None = None) -> None:
+    """Stores rows with project_id and event_date; days that they hold replace what was stored of these.
+
+    Rows of a day are brought together, but for those of ``lying``, which come from few files a day and are stored with the others
+    without a shuffle.
+    """
     ledger, folder = Ledger(rows.sparkSession, root), f"{name}/{uuid.uuid4().hex}"
-    placed = rows.withColumn("_project", F.col("project_id")).withColumn("_day", F.col("event_date")).hint("rebalance", "_project", "_day")
+    keyed = lambda frame: frame.withColumn("_project", F.col("project_id")).withColumn("_day", F.col("event_date"))
+    placed = keyed(rows).hint("rebalance", "_project", "_day")
+    placed = placed if lying is None else placed.unionByName(keyed(lying))
     placed.write.partitionBy("_project", "_day").parquet(f"{root}/{folder}")
     version, state = ledger.read()
     days = dict(state.get(name, {}))
