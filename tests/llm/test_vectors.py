@@ -72,6 +72,36 @@ def test_near_vectors_in_parts(spark):
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want and len(got) == 502
 
 
+def test_near_vectors_store_as_much_for_each_row_of_a_larger_table(spark):
+    """Of spread-out vectors any two shards must be compared; only computing may grow with the square. One cluster fills several cells."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: store.executorList(False).apply(0).totalShuffleWrite()
+    rng, each = np.random.default_rng(6), []
+    for n in (500, 2000):
+        x = unit(rng.normal(size=(n, 32)))
+        x[: n // 8] = x[0] + 0.04 * rng.normal(size=(n // 8, 32))
+        x = np.float32(x)
+        rows = spark.createDataFrame([(i, [float(c) for c in v], 0, "", 1) for i, v in enumerate(x)], SCHEMA)
+        before = written()
+        got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(rows, shard_rows=64).collect()}
+        each.append((written() - before) / n)
+        c = cosines([(i, v) for i, v in enumerate(x)])
+        np.fill_diagonal(c, -1)
+        label = brute.classes(range(n), list(zip(*np.nonzero(c >= 0.95))))
+        assert got == {i: (int((c[i] >= 0.95).sum()), label[i]) for i in range(n)}
+    assert each[1] < 1.2 * each[0] and each[1] < 16 * 4 * 32  # times the bytes of a vector
+
+
+def test_linked_decides_as_double_precision_does():
+    rng = np.random.default_rng(7)
+    x = unit(rng.normal(size=(1500, 40)))
+    x[700:] = unit(x[:800] + 0.0519 * rng.normal(size=(800, 40)))  # cosines around 0.95
+    near = x @ x.T
+    assert (np.abs(near - 0.95) < 1e-5).sum() > 0
+    found = [np.stack(p) for p in vector_graph.linked(x[:600], x, 0.95)]
+    assert set(zip(*np.concatenate(found, axis=1).tolist())) == set(zip(*(p.tolist() for p in np.nonzero(near[:600] >= 0.95))))
+
+
 def test_reachable_rules_out_no_link():
     rng = np.random.default_rng(5)
     for d, threshold in ((3, 0.95), (8, 0.9), (4, -0.2)):
