@@ -52,8 +52,8 @@ from .skew import join_salted
 
 SHARDS = 2048  # at most an eighth of the vectors that centres are fitted on
 PART = 2048  # members of a shard, about; a cell has at most about twice as many, and as many visitors as go with them
-BLOCK = 4  # times PART: members of a block
-HELD = 8  # blocks that a task holds at a time
+BLOCK, BLOCK_BYTES = 4, 4 << 20  # times PART: members of a block, or fewer if as doubles they are larger than that; one cell at least
+HELD = 32 << 20  # bytes of blocks, as doubles, that a task holds at a time, about
 OVERLAP = 3
 POOL, DEGREE, ALPHA = 64, 24, 1.2
 BEAM = 24
@@ -396,7 +396,7 @@ def _far_links(points: DataFrame, blocks: np.ndarray, first: np.ndarray, centres
                 yield tally.told()
 
     count = int(blocks.max()) + 1
-    parts = max(min(count, 16), -(-count // HELD))
+    parts = min(count, max(16, -(-n * centres.shape[1] * 8 // HELD)))
     home = points.select(F.get(F.lit(blocks.tolist()), F.col("cells")[0]).cast("long").alias("block"), "vec_id", "v", "copies", "cells")
     laid = home.repartition(parts, "block").groupBy("block").applyInArrow(
         lay, "block long, shards array<int>, reach array<int>, cells binary, v binary, vec_id binary, copies binary"
@@ -463,8 +463,9 @@ def near_vectors(
         visits[r["shard"]] = r["count"]
     parts = np.maximum(1, -(-np.maximum(members, visits // OVERLAP) // (2 * shard_rows)))
     first = np.cumsum(parts) - parts
+    block_rows = max(1, min(BLOCK * shard_rows, BLOCK_BYTES // (8 * x.shape[1])))
     blocks = np.cumsum(np.repeat(members / parts, parts))
-    blocks = np.unique(np.maximum(0, np.ceil(blocks / (BLOCK * shard_rows)) - 1).astype(np.int64), return_inverse=True)[1]
+    blocks = np.unique(np.maximum(0, np.ceil(blocks / block_rows) - 1).astype(np.int64), return_inverse=True)[1]
     hashed = F.xxhash64("vec_id")
     cells = F.transform("shards", lambda s: (F.get(F.lit(first.tolist()), s) + F.pmod(hashed, F.get(F.lit(parts.tolist()), s))).cast("int"))
     points = points.select("vec_id", "v", "copies", cells.alias("cells"))
